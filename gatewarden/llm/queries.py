@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import simhash
+from gatewarden.llm import simhash, toxicity, winnow
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_decontaminate": winnow.op3_decontaminate,
     "op9_simhash": simhash.op9_simhash,
 }
 
