@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import simhash, toxicity, winnow
+from gatewarden.llm import secrets, simhash, toxicity, winnow
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": winnow.op3_decontaminate,
     "op9_simhash": simhash.op9_simhash,
