@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import secrets, simhash, toxicity, winnow
+from gatewarden.llm import secrets, simhash, tokens, toxicity, winnow
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": winnow.op3_decontaminate,
+    "op5_token_output": tokens.op5_token_output,
+    "op8_token_counts": tokens.op8_token_counts,
     "op9_simhash": simhash.op9_simhash,
 }
 
