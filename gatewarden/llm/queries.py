@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import secrets, simhash, tokens, toxicity, winnow
+from gatewarden.llm import secrets, simhash, tokens, topk, toxicity, winnow
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": winnow.op3_decontaminate,
+    "op4_top_scores": topk.op4_top_scores,
     "op5_token_output": tokens.op5_token_output,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_simhash": simhash.op9_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_top_scores": topk.SQL,
+}
