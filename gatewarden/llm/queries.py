@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import secrets, simhash, tokens, topk, toxicity, winnow
+from gatewarden.llm import mixing, secrets, simhash, tokens, topk, toxicity, urls, winnow
 
 QUERIES = {
+    "op10_mixing": mixing.op10_mixing,
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": winnow.op3_decontaminate,
     "op4_top_scores": topk.op4_top_scores,
     "op5_token_output": tokens.op5_token_output,
+    "op7_url_filter": urls.op7_url_filter,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_simhash": simhash.op9_simhash,
 }
 
 SQL: dict[str, str] = {
     "op4_top_scores": topk.SQL,
+    "op7_url_filter": urls.SQL,
+    "op10_mixing": mixing.SQL,
 }
