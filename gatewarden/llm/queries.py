@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gatewarden.llm import mixing, secrets, simhash, tokens, topk, toxicity, urls, winnow
+from gatewarden.llm import mixing, secrets, simhash, suffixes, tokens, topk, toxicity, urls, winnow
 
 QUERIES = {
     "op10_mixing": mixing.op10_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_decontaminate": winnow.op3_decontaminate,
     "op4_top_scores": topk.op4_top_scores,
     "op5_token_output": tokens.op5_token_output,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_url_filter": urls.op7_url_filter,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_simhash": simhash.op9_simhash,
