@@ -232,6 +232,10 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id is the least of their near-duplicate group."""
+    """One row of each near-duplicate group: that of the least doc_id (of repeated rows, one).
+
+    Rows without a doc_id cannot stand for a group and all stay.
+    """
     keep = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
