@@ -1,13 +1,64 @@
-"""Corpus pipeline: documents in, token shards out."""
+"""Corpus pipeline: documents in, token shards out.
+
+Five stages, each on all that its predecessor kept: documents that score as toxic go; of each
+group of near-duplicates the document with the least id stays; contaminated documents go; sources are
+mixed to target weights; what remains is written as token shards and read back. All stages but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from gatewarden.llm import mixing, simhash, tokens, toxicity, winnow
+
+#: Share of the tokens that reach the mixing stage which it keeps, and epochs over each source.
+MIX_SHARE, MIX_EPOCHS = (4, 5), 1
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fits on the labelled rows that are not held out; rows below the threshold stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.mild_rows(docs, toxicity.fit(docs, labels))
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates stays: the least id."""
+    return simhash.one_of_each(docs)
+
+
+def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth or more go."""
+    return winnow.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by weight, within the budget."""
+    return mixing.mixed_rows(docs, MIX_SHARE, MIX_EPOCHS)
+
+
+def tokens_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.token_output(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("near-duplicates", near_duplicates_out),
+    ("decontamination", contaminated_out),
+    ("mixing", mixed),
+    ("token-output", tokens_out),
+]
+#: Segment scores, fingerprints and token ids cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatewarden.llm.store import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
     return docs
