@@ -37,8 +37,8 @@ from gatewarden.llm.lexing import buffer_of, mixed, prefix_hash, runs, slices, s
 from gatewarden.llm.store import clear, written
 
 LENGTH, GRAM = 50, 16
-GATHER = 1 << 20  # anchors packed together
-SUFFIXES = 1 << 18  # of one transform
+GATHER = 1 << 19  # anchors packed together
+SUFFIXES = 1 << 17  # of one transform
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any
 
 
@@ -108,7 +108,13 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram
 
 def _settled(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (anchor, context, doc), and in that order whether a smaller document has the same context."""
-    order = np.lexsort((doc, context, anchor))
+    order = np.argsort(anchor)
+    a = anchor[order]
+    same = np.zeros(len(a), bool)
+    same[1:] = a[1:] == a[:-1]
+    same[:-1] |= same[1:]  # only anchors that occur again need the other keys
+    again = order[same]
+    order[same] = again[np.lexsort((doc[again], context[again], anchor[again]))]
     a, c, d = anchor[order], context[order], doc[order]
     head = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]) if len(a) else np.zeros(0, bool)
     least = d[np.flatnonzero(head)][np.cumsum(head) - 1] if len(a) else d
@@ -144,7 +150,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: i
             yield _sent(int(part[a]), packed(all_keys[used].ravel()), packed(local.astype(np.uint32)), packed(start[a:b].astype(np.uint32)), packed(count[a:b].astype(np.uint8)), _two(packed(step), packed(context[a:b], 6)), None)
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             data, offsets = buffer_of(part.column("text"))
             row, start, count, anchor, context = anchors_of(data, offsets, length, gram)
             ids = part.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
@@ -266,7 +272,7 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
     for i in range(have):
         key |= wide[i : i + n] << np.uint64(64 - bits * (i + 1))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if have >= length:
             return order
         k = key[order]
@@ -294,6 +300,7 @@ def prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     occ = np.zeros((size, n + 1), np.int32)
     for c in range(1, size):
         np.cumsum(last == c, out=occ[c, 1:])
+    lead = text[order]
     back = base[last] + occ[last, np.arange(n)]  # the row one step to the left, of rows that follow no 0
     border = np.zeros(n + 1, bool)
     border[[0, n]] = True
@@ -303,12 +310,27 @@ def prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     one = high - low == 1
     single, low, high = low[one], low[~one], high[~one]
     for _ in range(1, length):
+        wide = high - low > 8
         new_low, new_high = [], []
-        for c in range(1, size):
-            if not len(low):
-                break
-            a, b = base[c] + occ[c, low], base[c] + occ[c, high]
-            fresh = np.flatnonzero((a < b) & ~border[b])
+        if wide.any():
+            i, j = low[wide], high[wide]
+            for c in range(1, size):
+                a, b = base[c] + occ[c, i], base[c] + occ[c, j]
+                fresh = np.flatnonzero((a < b) & ~border[b])
+                new_low.append(a[fresh])
+                new_high.append(b[fresh])
+        # few rows: each goes one step to the left, and those that stay side by side are one interval
+        i, j = low[~wide], high[~wide]
+        many = j - i
+        rows = np.repeat(i - np.cumsum(many) + many, many) + np.arange(many.sum())
+        own = np.repeat(np.arange(len(i)), many)
+        some = last[rows] != 0
+        to = np.sort(own[some] * n + back[rows[some]])
+        if len(to):
+            own, to = np.divmod(to, n)
+            first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (to[1:] != to[:-1] + 1) | (lead[to[1:]] != lead[to[:-1]])]))
+            a, b = to[first], np.append(to[first[1:] - 1], to[-1]) + 1
+            fresh = ~border[b]
             new_low.append(a[fresh])
             new_high.append(b[fresh])
         left = single[last[single] != 0]
@@ -354,18 +376,14 @@ def _expand(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: in
         size = np.diff(at)
         # Of two contexts with an anchor, a common string of this length covers the bytes before it or after it
         # by half: only contexts that agree with one of another document on such a half are compared.
-        prefix = prefix_hash(flat)
-        middle = (length - gram) // 2
-        spot = window_argmin_of(flat, at, length, gram)
         near = np.zeros(len(ids), bool)
-        for a, b in ((spot - middle, spot + gram), (spot, spot + gram + middle)):
-            fits = np.flatnonzero((a >= at[:-1]) & (b <= at[1:]))
-            half = span_hash(prefix, a[fits], b[fits]) ^ mixed(anchor[fits])
-            order = np.argsort(half, kind="stable")
+        halves = [np.concatenate(x) for x in zip(*(_halves(flat, at[i : i + 8193], anchor[i : i + 8192], length, gram) for i in range(0, len(ids), 8192)), strict=True)]
+        for half in halves:
+            fits = np.flatnonzero(half)
+            order = fits[np.argsort(half[fits], kind="stable")]
             head = runs(half[order])
-            who = ids[fits][order]
-            both = np.minimum.reduceat(who, head) != np.maximum.reduceat(who, head) if len(head) else np.zeros(0, bool)
-            near[fits[order[np.repeat(both, np.diff(np.append(head, len(order))))]]] = True
+            both = np.minimum.reduceat(ids[order], head) != np.maximum.reduceat(ids[order], head) if len(head) else np.zeros(0, bool)
+            near[order[np.repeat(both, np.diff(np.append(head, len(order))))]] = True
         keep = np.flatnonzero(near)
         keep = keep[np.argsort(anchor[keep], kind="stable")]
         ends = np.cumsum(size[keep] + 1)
@@ -394,12 +412,19 @@ def _expand(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: in
         yield Spans.rows(keys, who[first], begin, count, np.zeros(len(first), np.uint64), parts)
 
 
-def window_argmin_of(flat: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """The anchor's place of each context: that of its first string."""
+def _halves(flat: np.ndarray, at: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+    """Hashes of the anchor with the bytes before it, and after it, of each context (0: it does not reach so far)."""
+    flat, at = flat[at[0] : at[-1]], at - at[0]
     prefix = prefix_hash(flat)
     every = np.arange(max(0, len(flat) - gram + 1))
-    grams = span_hash(prefix, every, every + gram)
-    return window_argmin(grams, length - gram + 1)[at[:-1]]
+    spot = window_argmin(span_hash(prefix, every, every + gram), length - gram + 1)[at[:-1]]
+    middle, out = (length - gram) // 2, []
+    for a, b in ((spot - middle, spot + gram), (spot, spot + gram + middle)):
+        half = np.zeros(len(anchor), np.uint64)
+        fits = np.flatnonzero((a >= at[:-1]) & (b <= at[1:]))
+        half[fits] = span_hash(prefix, a[fits], b[fits]) ^ mixed(anchor[fits]) | np.uint64(1)
+        out.append(half)
+    return out
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
