@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from gatewarden.plans import audit, chat, evaluation, files, ledger, lookups, redaction, streams, text, tools
+from gatewarden.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "audit", "chat", "evaluation", "files", "ledger", "lookups", "redaction", "streams", "text", "tools"]
