@@ -62,6 +62,10 @@ def _messages(messages: Column, change) -> Column:
     return F.transform(messages, lambda m: m.withField("content", change(m["content"])).withField("parts", F.transform(m["parts"], part)))
 
 
+def _numbering(rule: EntityRule, style: str):
+    return lambda t: numbered(t, rule, style)
+
+
 def with_redacted_messages(df: DataFrame, messages: str, rules: Sequence[EntityRule], style: str = BARE, entities: set[str] | None = None, changed: str | None = None) -> DataFrame:
     """Redacts the texts of messages (role, content, parts), each text on its own; ``changed`` names a flag."""
     if changed:
@@ -70,7 +74,7 @@ def with_redacted_messages(df: DataFrame, messages: str, rules: Sequence[EntityR
         df = df.withColumn(messages, _messages(F.col(messages), lambda t: redacted(t, rules, entities)))
     else:
         for r in chosen(rules, entities):
-            df = df.withColumn(messages, _messages(F.col(messages), lambda t, r=r: numbered(t, r, style)))
+            df = df.withColumn(messages, _messages(F.col(messages), _numbering(r, style)))
     return df.withColumn(changed, ~F.col("_before").eqNullSafe(F.col(messages))).drop("_before") if changed else df
 
 
@@ -81,29 +85,40 @@ def with_vault(df: DataFrame, texts: str, rules: Sequence[EntityRule], style: st
     """
     df = df.withColumn(vault, F.array().cast("array<struct<placeholder: string, original: string>>"))
     for r in rules:
-        head, tail = affixes(r.entity, style)
-        found = F.transform(F.col(texts), lambda t, r=r: F.reverse(F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))))
-        df = df.withColumn("_known", F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull()))))
-        entry = F.transform("_known", lambda v, i, head=head, tail=tail: F.struct(F.concat(F.lit(head), (i + 1).cast("string"), F.lit(tail)).alias("placeholder"), v.alias("original")))
-        df = df.withColumn(texts, F.transform(F.col(texts), lambda t, r=r: numbered(t, r, style, F.col("_known")))).withColumn(vault, F.concat(vault, entry))
+        df = df.withColumn("_known", _known(F.col(texts), r))
+        df = df.withColumn(texts, _with_known(F.col(texts), r, style)).withColumn(vault, F.concat(vault, _entries(r, style)))
     return df.drop("_known")
 
 
+def _known(texts: Column, r: EntityRule) -> Column:
+    found = F.transform(texts, lambda t: F.reverse(F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))))
+    return F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull())))
+
+
+def _with_known(texts: Column, r: EntityRule, style: str) -> Column:
+    return F.transform(texts, lambda t: numbered(t, r, style, F.col("_known")))
+
+
+def _entries(r: EntityRule, style: str) -> Column:
+    head, tail = affixes(r.entity, style)
+    return F.transform("_known", lambda v, i: F.struct(F.concat(F.lit(head), (i + 1).cast("string"), F.lit(tail)).alias("placeholder"), v.alias("original")))
+
+
 def spans(text: Column, rules: Sequence[EntityRule]) -> Column:
     """All matches of all rules on the raw text, by rule and place: entity, start, end (bytes), text."""
-    per_rule = []
-    for r in rules:
-        found = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
-        pieces = F.split(text, r.pattern, -1)
-        total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.octet_length(x))
+    none = F.array().cast("array<struct<entity: string, start: int, end: int, text: string>>")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.octet_length(x))
 
-        def one(v: Column, i: Column, r: EntityRule = r, found: Column = found, pieces: Column = pieces) -> Column:
+    def of(r: EntityRule) -> Column:
+        found, pieces = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), F.split(text, r.pattern, -1)
+
+        def one(v: Column, i: Column) -> Column:
             start = total(F.slice(pieces, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
             return F.struct(F.lit(r.entity).alias("entity"), start.alias("start"), (start + F.octet_length(v)).alias("end"), v.alias("text"))
 
-        none = F.array().cast("array<struct<entity: string, start: int, end: int, text: string>>")
-        per_rule.append(F.when(F.regexp_like(text, F.lit(r.pattern)), F.transform(found, one)).otherwise(none))
-    return F.flatten(F.array(*per_rule))
+        return F.when(F.regexp_like(text, F.lit(r.pattern)), F.transform(found, one)).otherwise(none)
+
+    return F.flatten(F.array(*[of(r) for r in rules]))
 
 
 def partition_by_action(rules: Sequence[EntityRule], overrides: dict[str, str], default: str = "mask") -> dict[str, frozenset[str]]:

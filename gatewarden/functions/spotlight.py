@@ -42,7 +42,7 @@ def spotlighted(text: Column, how: Spotlight = Spotlight()) -> Column:
     if how.method == DELIMIT:
         return F.concat(F.lit(how.opening + "\n"), text, F.lit("\n" + how.closing))
     if how.method == ENCODE:
-        return F.concat(F.lit(ENCODED_OPEN), F.base64(F.encode(text, "UTF-8")), F.lit(ENCODED_CLOSE))
+        return F.concat(F.lit(ENCODED_OPEN), F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", ""), F.lit(ENCODED_CLOSE))
     return F.translate(text, " \t", how.mark * 2)
 
 
