@@ -18,7 +18,7 @@ BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold at most ``max_bytes`` bytes (one longer text stands alone)."""
     if not batch.num_rows:
         return

@@ -315,7 +315,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -
         return out
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 3 << 20):
             flat, lengths = Encoder.of(path).encode(part.column("text"), end)
             ids.append(flat)
             sizes.append(lengths)
@@ -397,7 +397,7 @@ def _flat(batches: Iterator[pa.RecordBatch], path: str, end: int, block: int) ->
 
     names = 0
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 3 << 20):
             flat, lengths = Encoder.of(path).encode(part.column("text"), end)
             own = flat == end
             own[np.cumsum(lengths) - 1] = False
