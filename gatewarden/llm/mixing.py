@@ -56,8 +56,8 @@ def _shared(nodes: DataFrame, level: str, parents: list[str], weight: str) -> Da
 def budgets(leaves: DataFrame, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, weights: dict[str, str] = WEIGHTS) -> DataFrame:
     """domain, lang, source, tokens, budget of each leaf (domain, lang, source, tokens)."""
     level = leaves.withColumn("cap", F.col("tokens") * epochs)
-    total = level.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all")).select(F.expr(f"(all * {share[0]}) div {share[1]}").alias("budget"))
-    nodes = level.groupBy("domain").agg(F.sum("cap").alias("cap")).join(total.hint("broadcast"))  # one row
+    budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * share[0] // share[1]
+    nodes = level.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("budget", F.lit(budget).cast("long"))
     up = _shared(nodes, "domain", [], weights["domain"]).select("domain", F.col("given").alias("budget"))
     nodes = level.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(up, "domain")
     up = _shared(nodes, "lang", ["domain"], weights["lang"]).select("domain", "lang", F.col("given").alias("budget"))
