@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gatewarden.functions.jsonshape import strict_json
+
 REQUEST = "request_id string, timestamp string, api_key string, model string, prompt_hash string, verdict string, matched_rule string, rule_id string, category string, severity string, compliance array<string>, latency_us long, error string"
 CONSOLE = "request_id string, timestamp string, actor string, actor_id long, action string, target string, before string, after string, summary string, file string, before_hash string, after_hash string"
 RELOADS = ("reload_ok", "reload_failed")
@@ -25,7 +27,7 @@ def read_entries(spark: SparkSession, path: str, schema: str = REQUEST) -> DataF
 def parsed_entries(lines: DataFrame, schema: str = REQUEST) -> DataFrame:
     """Entries of a column ``line`` with others kept; tolerant as ``read_entries``."""
     # a line must be an object as a whole; JSON cut short would otherwise give half an entry
-    good = lines.where(F.try_parse_json(F.trim("line")).isNotNull() & F.startswith(F.ltrim(F.col("line")), F.lit("{")))
+    good = lines.where(strict_json(F.col("line")).isNotNull() & F.startswith(F.ltrim(F.col("line")), F.lit("{")))
     return good.withColumn("e", F.from_json("line", schema)).select(*[c for c in lines.columns if c != "line"], "e.*")
 
 
