@@ -47,13 +47,40 @@ def numbered(text: Column, rule: EntityRule, style: str, known: Column | None =
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.array_join(both, "")).otherwise(text)
 
 
+def _rule_rows(rules: Sequence[EntityRule], style: str) -> Column:
+    """Rules as an array of pattern, head, tail, to be folded over: each rule's result is then made once."""
+    return F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(affixes(r.entity, style)[0]).alias("head"), F.lit(affixes(r.entity, style)[1]).alias("tail")) for r in rules])
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _renumbered(text: Column, rule: Column, known: Column | None = None) -> Column:
+    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+
+    def made(m: Column) -> Column:
+        values = F.array_distinct(F.reverse(m)) if known is None else known
+        names = F.transform(m, lambda v: F.concat(rule["head"], F.array_position(values, v).cast("string"), rule["tail"]))
+        both = F.zip_with(F.split(text, rule["pattern"], -1), names, lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
+        return F.when(F.size(m) > 0, F.array_join(both, "")).otherwise(text)
+
+    return _let(found, made)
+
+
+def all_numbered(text: Column, rules: Sequence[EntityRule], style: str) -> Column:
+    """All rules' matches by number, rule after rule."""
+    if not rules:
+        return text
+    return F.aggregate(_rule_rows(rules, style), text, lambda t, r: _renumbered(t, r))
+
+
 def with_redacted(df: DataFrame, text: str, rules: Sequence[EntityRule], style: str = BARE, entities: set[str] | None = None) -> DataFrame:
-    """Replaces the column by its redaction; one projection a rule, so that no match is sought twice."""
+    """Replaces the column by its redaction; rules are folded over, so that no match is sought twice."""
     if style == BARE:
         return df.withColumn(text, redacted(F.col(text), rules, entities))
-    for r in chosen(rules, entities):
-        df = df.withColumn(text, numbered(F.col(text), r, style))
-    return df
+    return df.withColumn(text, all_numbered(F.col(text), chosen(rules, entities), style))
 
 
 def _messages(messages: Column, change) -> Column:
@@ -62,10 +89,6 @@ def _messages(messages: Column, change) -> Column:
     return F.transform(messages, lambda m: m.withField("content", change(m["content"])).withField("parts", F.transform(m["parts"], part)))
 
 
-def _numbering(rule: EntityRule, style: str):
-    return lambda t: numbered(t, rule, style)
-
-
 def with_redacted_messages(df: DataFrame, messages: str, rules: Sequence[EntityRule], style: str = BARE, entities: set[str] | None = None, changed: str | None = None) -> DataFrame:
     """Redacts the texts of messages (role, content, parts), each text on its own; ``changed`` names a flag."""
     if changed:
@@ -73,8 +96,7 @@ def with_redacted_messages(df: DataFrame, messages: str, rules: Sequence[EntityR
     if style == BARE:
         df = df.withColumn(messages, _messages(F.col(messages), lambda t: redacted(t, rules, entities)))
     else:
-        for r in chosen(rules, entities):
-            df = df.withColumn(messages, _messages(F.col(messages), _numbering(r, style)))
+        df = df.withColumn(messages, _messages(F.col(messages), lambda t: all_numbered(t, chosen(rules, entities), style)))
     return df.withColumn(changed, ~F.col("_before").eqNullSafe(F.col(messages))).drop("_before") if changed else df
 
 
@@ -83,25 +105,22 @@ def with_vault(df: DataFrame, texts: str, rules: Sequence[EntityRule], style: st
 
     Numbers count the texts in order, in each the matches from the right.
     """
-    df = df.withColumn(vault, F.array().cast("array<struct<placeholder: string, original: string>>"))
-    for r in rules:
-        df = df.withColumn("_known", _known(F.col(texts), r))
-        df = df.withColumn(texts, _with_known(F.col(texts), r, style)).withColumn(vault, F.concat(vault, _entries(r, style)))
-    return df.drop("_known")
-
-
-def _known(texts: Column, r: EntityRule) -> Column:
-    found = F.transform(texts, lambda t: F.reverse(F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))))
-    return F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull())))
+    none = F.array().cast("array<struct<placeholder: string, original: string>>")
+    if not rules:
+        return df.withColumn(vault, none)
 
+    def step(acc: Column, r: Column) -> Column:
+        found = F.transform(acc["texts"], lambda t: F.reverse(F.regexp_extract_all(t, r["pattern"], F.lit(0))))
 
-def _with_known(texts: Column, r: EntityRule, style: str) -> Column:
-    return F.transform(texts, lambda t: numbered(t, r, style, F.col("_known")))
+        def made(known: Column) -> Column:
+            new = F.transform(acc["texts"], lambda t: _renumbered(t, r, known))
+            entries = F.transform(known, lambda v, i: F.struct(F.concat(r["head"], (i + 1).cast("string"), r["tail"]).alias("placeholder"), v.alias("original")))
+            return F.when(F.size(known) > 0, F.struct(new.alias("texts"), F.concat(acc["vault"], entries).alias("vault"))).otherwise(acc)
 
+        return _let(F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull()))), made)
 
-def _entries(r: EntityRule, style: str) -> Column:
-    head, tail = affixes(r.entity, style)
-    return F.transform("_known", lambda v, i: F.struct(F.concat(F.lit(head), (i + 1).cast("string"), F.lit(tail)).alias("placeholder"), v.alias("original")))
+    folded = F.aggregate(_rule_rows(rules, style), F.struct(F.col(texts).alias("texts"), none.alias("vault")), step)
+    return df.withColumn("_fold", folded).withColumn(texts, F.col("_fold.texts")).withColumn(vault, F.col("_fold.vault")).drop("_fold")
 
 
 def spans(text: Column, rules: Sequence[EntityRule]) -> Column:
