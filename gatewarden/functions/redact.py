@@ -37,16 +37,6 @@ def redacted(text: Column, rules: Sequence[EntityRule], entities: set[str] | Non
     return text
 
 
-def numbered(text: Column, rule: EntityRule, style: str, known: Column | None = None) -> Column:
-    """One rule's matches by number; ``known`` gives the numbering when its scope is wider than the text."""
-    head, tail = affixes(rule.entity, style)
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    values = F.array_distinct(F.reverse(found)) if known is None else known
-    names = F.transform(found, lambda v: F.concat(F.lit(head), F.array_position(values, v).cast("string"), F.lit(tail)))
-    both = F.zip_with(F.split(text, rule.pattern, -1), names, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.array_join(both, "")).otherwise(text)
-
-
 def _rule_rows(rules: Sequence[EntityRule], style: str) -> Column:
     """Rules as an array of pattern, head, tail, to be folded over: each rule's result is then made once."""
     return F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(affixes(r.entity, style)[0]).alias("head"), F.lit(affixes(r.entity, style)[1]).alias("tail")) for r in rules])
