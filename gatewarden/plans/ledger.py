@@ -22,7 +22,11 @@ def limits(spark, folder):
 
 
 LIMITS = "(SELECT DISTINCT user_id AS api_key, CAST(user_id % 50 * 1000 + 5000 AS BIGINT) AS token_limit FROM events WHERE user_id % 7 <> 0)"
-DAY = F.date_trunc("day", F.col("ts"))
+
+
+def day():
+    return F.date_trunc("day", F.col("ts"))
+
 
 
 @query("usage_total", f"SELECT api_key, CAST(sum(tokens) AS BIGINT) AS total FROM {SPEND} GROUP BY api_key")
@@ -54,7 +58,7 @@ BEFORE = "CAST(coalesce(sum(tokens) OVER (PARTITION BY {keys} ORDER BY ts, event
 
 @query("quota_admission", f"SELECT event_id, api_key, spent_before, token_limit IS NULL OR spent_before < token_limit AS admitted FROM (SELECT *, {BEFORE.format(keys='api_key')} AS spent_before FROM {SPEND} s LEFT JOIN {LIMITS} l USING (api_key)) x")
 def quota_admission(spark, folder):
-    rows = ledger.admitted(spend(spark, folder), limits(spark, folder), DAY, ["ts", "event_id"])
+    rows = ledger.admitted(spend(spark, folder), limits(spark, folder), day(), ["ts", "event_id"])
     return rows.select("event_id", "api_key", "spent_before", "admitted")
 
 
@@ -67,8 +71,8 @@ LEFT JOIN {LIMITS} l USING (api_key)) x""")
 def quota_admission_resets(spark, folder):
     """A signup resets the key: the number of resets so far is part of the key."""
     rows = spend(spark, folder).join(table(spark, folder, "events").select("event_id", (F.col("event_type") == "signup").cast("long").alias("reset")), "event_id")
-    rows = ledger.running_total(rows, ["api_key"], ["ts", "event_id"], "reset", DAY, "epoch")
-    rows = ledger.admitted(rows, limits(spark, folder), DAY, ["ts", "event_id"], ["api_key", "epoch"])
+    rows = ledger.running_total(rows, ["api_key"], ["ts", "event_id"], "reset", day(), "epoch")
+    rows = ledger.admitted(rows, limits(spark, folder), day(), ["ts", "event_id"], ["api_key", "epoch"])
     return rows.select("event_id", "api_key", "epoch", "admitted")
 
 
