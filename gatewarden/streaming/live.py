@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -23,31 +24,55 @@ def split_events(buffer: str) -> tuple[list[str], str]:
     return parts[:-1], parts[-1]
 
 
-class Reassembly(StatefulProcessor):
-    """Chunks (request_id, seq, chunk, last) to events. State: the text after the last blank line.
+class InOrder(StatefulProcessor):
+    """Pieces (request_id, seq from 0, last) put in order across batches.
 
-    The chunk marked ``last`` flushes what is left, as it came. Chunks of one batch are put in order of seq.
+    State: what the subclass carries over, the next seq, pieces that came early, and the seq of the last piece.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "text string")
+    column = "chunk"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values("seq")
-        before = self.rest.get()[0] if self.rest.exists() else ""
-        events, rest = split_events(before + "".join(found["chunk"]))
-        if found["last"].any():
-            events += [rest] if rest else []
-            self.rest.clear()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "carried string, next long, early string, last long")
+
+    def taken(self, rows: Iterator[pd.DataFrame]) -> tuple[str, str, bool]:
+        """What was carried over, the text that is in order now, and whether the reply has ended."""
+        carried, after, early, last = self.state.get() if self.state.exists() else ("", 0, "{}", -1)
+        held = {int(k): v for k, v in json.loads(early).items()}
+        for part in rows:
+            for seq, text, end in zip(part["seq"], part[self.column], part["last"], strict=True):
+                held[int(seq)] = text
+                last = int(seq) if end else last
+        text = ""
+        while after in held:
+            text += held.pop(after)
+            after += 1
+        self._next = (after, json.dumps(held), last)
+        return carried, text, 0 <= last < after
+
+    def kept(self, carried: str, ended: bool) -> None:
+        if ended:
+            self.state.clear()
         else:
-            self.rest.update((rest,))
-        if events:
-            yield pd.DataFrame({"request_id": [key[0]] * len(events), "event": events})
+            self.state.update((carried, *self._next))
 
     def close(self) -> None:
         pass
 
 
+class Reassembly(InOrder):
+    """Chunks to events; carried over: the text after the last blank line, which goes out as it is at the end."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rest, text, ended = self.taken(rows)
+        events, rest = split_events(rest + text)
+        if ended and rest:
+            events.append(rest)
+        self.kept(rest, ended)
+        if events:
+            yield pd.DataFrame({"request_id": [key[0]] * len(events), "event": events})
+
+
 def reassemble(chunks: DataFrame) -> DataFrame:
     """A stream of chunks as a stream of events, in update or append mode."""
     return chunks.groupBy("request_id").transformWithStateInPandas(Reassembly(), EVENTS, "append", "none")
@@ -73,35 +98,27 @@ def restore_window(pending: str, text: str, entries: dict[str, str]) -> tuple[st
     return "".join(out), pending
 
 
-class Restoring(StatefulProcessor):
-    """Pieces of text (request_id, seq, text, last) with placeholders restored; state: an open bracket's text.
+class Restoring(InOrder):
+    """Pieces of text with placeholders restored; carried over: the text of an open bracket.
 
-    ``entries`` maps placeholders of all requests, by request, to originals. What is open at the end goes out if ``emit_rest``.
+    ``entries`` maps requests to placeholders and originals. What is open at the end goes out if ``emit_rest``.
     """
 
+    column = "text"
+
     def __init__(self, entries: dict[str, dict[str, str]], emit_rest: bool = True) -> None:
         self.entries, self.emit_rest = entries, emit_rest
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getValueState("pending", "text string")
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values("seq")
-        pending = self.pending.get()[0] if self.pending.exists() else ""
-        text = "".join(found["text"])
+        pending, text, ended = self.taken(rows)
         known = self.entries.get(key[0], {})
         out, pending = restore_window(pending, text, known) if known else (pending + text, "")
-        if found["last"].any():
-            out += pending if self.emit_rest else ""
-            self.pending.clear()
-        else:
-            self.pending.update((pending,))
+        if ended and self.emit_rest:
+            out += pending
+        self.kept(pending, ended)
         if out:
             yield pd.DataFrame({"request_id": [key[0]], "text": [out]})
 
-    def close(self) -> None:
-        pass
-
 
 def restore(pieces: DataFrame, entries: dict[str, dict[str, str]], emit_rest: bool = True) -> DataFrame:
     return pieces.groupBy("request_id").transformWithStateInPandas(Restoring(entries, emit_rest), PIECES, "append", "none")

@@ -47,3 +47,15 @@ def test_quota_equals_a_ledger(spark):
         want[i] = k not in limits or spent.get(k, 0) < limits[k]
         spent[k] = spent.get(k, 0) + n * want[i]
     assert {r.event_id: r.admitted for r in got} == want
+
+
+def test_restored_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    pieces = ["to [REDACT", "ED_EMAIL_1] ple", "ase [x"]
+    for i in (2, 0, 1):
+        (source / f"{i}.json").write_text(json.dumps({"request_id": "r", "seq": i, "text": pieces[i], "last": i == 2}) + "\n")
+    rows = spark.readStream.schema("request_id string, seq int, text string, last boolean").option("maxFilesPerTrigger", 1).json(str(source))
+    q = live.restore(rows, {"r": {"[REDACTED_EMAIL_1]": "a@b.io"}}).writeStream.format("memory").queryName("restored").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    assert sorted("".join(r.text for r in spark.table("restored").collect())) == sorted("to a@b.io please [x")
