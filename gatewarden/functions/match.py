@@ -96,7 +96,7 @@ def weighted_verdict(norm: Column, rules: RuleSet) -> Column:
 
 def classified(df: DataFrame, text: str, rules: RuleSet, out: str = "verdict", shadow: bool = False, engine: str = "aho-corasick") -> DataFrame:
     """Adds the verdict of each text; the normalized text is made once, in a projection of its own."""
-    if engine == "iword-rs":
+    if engine == "weighted":
         found = with_normalized(df, text, "_norm", rules.normalize).withColumn(out, weighted_verdict(F.col("_norm"), rules))
     else:
         found = with_normalized(df, text, "_norm", rules.normalize).withColumn(out, verdict(F.col("_norm"), rules, engine))

@@ -79,7 +79,7 @@ def verdict_automaton(spark, folder):
 
 @query("verdict_weighted", f"SELECT doc_id, level, CASE WHEN level = 'flag' THEN printf('score=%.1f', w) ELSE rule END AS rule FROM (SELECT *, {' + '.join(f'contains(norm, {q(p)})::INT' for p in FLAG_PHRASES)} + 0.0 AS w FROM ({verdict_sql(PROMPTS, False, 'doc_id')}) x JOIN (SELECT doc_id, {norm_sql('text')} AS norm FROM {PROMPTS}) y USING (doc_id)) z")
 def verdict_weighted(spark, folder):
-    return match.classified(prompts(spark, folder), "text", LITERALS, engine="iword-rs").select("doc_id", "verdict.level", "verdict.rule")
+    return match.classified(prompts(spark, folder), "text", LITERALS, engine="weighted").select("doc_id", "verdict.level", "verdict.rule")
 
 
 @query("verdict_obfuscated", verdict_sql(PROMPTS, False, "doc_id", separators_sql(norm_sql("text", leet=True))))

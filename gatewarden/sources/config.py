@@ -9,7 +9,7 @@ from typing import Any
 
 from gatewarden.rules import ALERT_PHRASES, BLOCK_PHRASES, FLAG_PHRASES, Normalize
 
-ENGINES = ("aho-corasick", "iword-rs", "automaton")
+ENGINES = ("aho-corasick", "weighted", "automaton")
 
 
 class ConfigError(ValueError):

@@ -29,7 +29,7 @@ def test_obfuscation(spark, text, options, level):
 def test_engines_agree_on_kinds(spark):
     texts = ["please enable jailbreak", "my password", "crypto and bitcoin", "plain", "gambling dan mode", None]
     one = [v[0] for v in verdicts(spark, texts)]
-    assert one == [v[0] for v in verdicts(spark, texts, engine="automaton")] == [v[0] for v in verdicts(spark, texts, engine="iword-rs")]
+    assert one == [v[0] for v in verdicts(spark, texts, engine="automaton")] == [v[0] for v in verdicts(spark, texts, engine="weighted")]
     with pytest.raises(ValueError, match="unknown"):
         verdicts(spark, texts, engine="other")
 
