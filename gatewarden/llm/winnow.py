@@ -188,8 +188,8 @@ def _prints(batches: Iterator[pa.RecordBatch], lengths: list[int], window: int,
                 at, h = words.grams(kind) if kind else words.winnowed(window, gram)
                 if len(at):
                     both = np.unique(np.stack([words.row[at].astype(np.uint64), h], 1), axis=0)
-                    ids = part.column("doc_id").cast(pa.int64()).take(pa.array(both[:, 0].astype(np.int64)))
-                    yield pa.record_batch({"doc_id": ids, "kind": pa.array(np.full(len(both), kind), pa.int32()), "h": pa.array(both[:, 1].view(np.int64))})
+                    rows = part.column("_row").take(pa.array(both[:, 0].astype(np.int64)))
+                    yield pa.record_batch({"_row": rows, "kind": pa.array(np.full(len(both), kind), pa.int32()), "h": pa.array(both[:, 1].view(np.int64))})
 
 
 def _item_prints(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -200,14 +200,32 @@ def _item_prints(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
                 yield pa.record_batch({"item_id": pa.array([str(item)] * len(h), pa.string()), "kind": pa.array(np.full(len(h), kind), pa.int32()), "h": pa.array(h.view(np.int64))})
 
 
-def _own_items(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _own_items(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """Each row, and what ``_rows`` gives for it with its own items."""
     for batch in batches:
         for i in range(batch.num_rows):
             part = batch.slice(i, 1)
             items = part.column("items")[0].as_py() or []
             words = Words(part.column("text"))
             index = Index([x["item_id"] for x in items], [x["text"] for x in items], window, gram)
-            yield _rows(part, words, *index.hits(words), index.ids)
+            yield part, _rows(part, words, *index.hits(words), index.ids)
+
+
+def _with_items(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """Rows of documents with their candidate items (item_id, text), joined by shuffling.
+
+    Documents may lack or repeat doc_id, so rows get a key of their own; they are written with it, as
+    it would not be the same in another run.
+    """
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    # Lengths below the window are few, whatever the benchmark holds.
+    known = written(items.mapInArrow(lambda it: _item_prints(it, window, gram), "item_id string, kind int, h long"), "item-fingerprints")
+    lengths = sorted(r[0] for r in known.select("kind").distinct().collect())
+    prints = docs.select("_row", "text").mapInArrow(lambda it: _prints(it, lengths, window, gram), "_row long, kind int, h long")
+    pairs = prints.join(known, ["kind", "h"]).select("_row", "item_id").distinct()
+    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    own = pairs.join(texts, "item_id").groupBy("_row").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    return docs.join(own, "_row", "left").drop("_row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -223,14 +241,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         rows = items.collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], window, gram))
         return docs.mapInArrow(lambda it: _narrow(it, index), RESULT)
-    # Lengths below the window are few, whatever the benchmark holds.
-    known = written(items.mapInArrow(lambda it: _item_prints(it, window, gram), "item_id string, kind int, h long"), "item-fingerprints")
-    lengths = sorted(r[0] for r in known.select("kind").distinct().collect())
-    prints = docs.mapInArrow(lambda it: _prints(it, lengths, window, gram), "doc_id long, kind int, h long")
-    pairs = prints.join(known, ["kind", "h"]).select("doc_id", "item_id").distinct()
-    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    own = pairs.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    return docs.join(own, "doc_id", "left").mapInArrow(lambda it: _own_items(it, window, gram), RESULT)
+    return _with_items(docs, items, window, gram).mapInArrow(lambda it: (found for _, found in _own_items(it, window, gram)), RESULT)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -245,13 +256,19 @@ def _kept(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
             yield part.filter(pc.invert(verdict))
 
 
+def _kept_of_own(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for part, found in _own_items(batches, WINDOW, GRAM):
+        if not found.column("contaminated")[0].as_py():
+            yield part.select(columns)
+
+
 def clean_rows(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of documents that are not contaminated; one narrow pass for a benchmark of bounded size."""
+    """The rows of documents that are not contaminated, each judged by its own text; one narrow pass for a benchmark of bounded size."""
     items = clear(benchmark, "item_id", "text").where("item_id is not null and text is not null").dropDuplicates()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
         rows = items.collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
         return docs.mapInArrow(lambda it: _kept(it, index), docs.schema)
-    bad = contamination(docs, items, broadcast_bytes=broadcast_bytes).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    columns = docs.columns
+    return _with_items(docs, items, WINDOW, GRAM).mapInArrow(lambda it: _kept_of_own(it, columns), docs.schema)

@@ -138,6 +138,20 @@ def test_contamination(spark, bound):
     assert winnow.contamination(table(spark, docs), df.limit(0)).where("contaminated").count() == 0
 
 
+def test_both_joins_judge_each_row_by_its_own_text(spark):
+    found, passages = texts(5)
+    docs = [*enumerate(found), (None, passages[0]), (None, passages[0]), (None, "kana"), (None, None), (3, passages[1]), (3, passages[1]), (500, passages[2]), (500, "kana")]
+    items = spark.createDataFrame([*enumerate(passages), (52, "sazin")], "item_id long, text string")
+    narrow, wide = [winnow.contamination(table(spark, docs), items, broadcast_bytes=b).collect() for b in (1 << 20, 0)]
+    assert sorted(map(tuple, wide), key=repr) == sorted(map(tuple, narrow), key=repr) == brute_contamination(docs, items.collect())
+    clean = [d for d in docs if not brute_contamination([d], items.collect())[0][5]]
+    for b in (1 << 20, 0):
+        got = winnow.clean_rows(table(spark, docs), items, b)
+        assert got.columns == ["doc_id", "text", "extra"]
+        assert sorted((r.doc_id, r.text) for r in got.where("text is not null and doc_id is not null").collect()) == sorted(d for d in clean if None not in d)
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, clean))
+
+
 def test_top_scores(spark):
     rnd = random.Random(6)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(400)]
