@@ -113,11 +113,12 @@ class Model:
 
     def statistic(self, count: int, found: list) -> float:
         """Pooled evidence of the best r segments, for the r that gives most; ``FLOOR`` without any."""
-        best, total, log_n = FLOOR, 0.0, math.log(max(self.scale * count, 1e-9))
-        for r, (s, _, _) in enumerate(sorted(found, reverse=True)[:64], 1):
-            total += self.rate * s - log_n
-            best = max(best, total + math.lgamma(r + 1))
-        return best
+        if not found:
+            return FLOOR
+        log_n = math.log(max(self.scale * count, 1e-9))
+        s = np.sort([x[0] for x in found])[::-1]
+        # log r! is the sum of the logs up to r
+        return max(FLOOR, float(np.cumsum(self.rate * s - log_n + np.log(np.arange(1, len(s) + 1))).max()))
 
     def score(self, statistic: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.shift + self.slope * statistic))))

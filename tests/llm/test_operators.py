@@ -100,6 +100,21 @@ def test_toxicity_held_out(spark):
     assert {r.score < 0.3 for r in toxicity.scores(table(spark, docs), empty).collect()} == {True}
 
 
+def test_all_segments_are_pooled():
+    import math
+
+    rnd = random.Random(12)
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -0.7, 1.0, 0.05)
+    for n, words in ((0, 5), (1, 9), (63, 700), (64, 700), (65, 700), (4000, 200_000)):
+        found = [(rnd.uniform(1, 3), 50 * i, 50 * i + 1) for i in range(n)]
+        best, total = toxicity.FLOOR, 0.0
+        for r, (s, _, _) in enumerate(sorted(found, reverse=True), 1):
+            total += model.rate * s - math.log(model.scale * words)
+            best = max(best, total + math.lgamma(r + 1))
+        assert model.statistic(words, found) == pytest.approx(best, rel=1e-9)
+    assert model.statistic(200_000, found) > 0 > model.statistic(200_000, sorted(found, reverse=True)[:64])
+
+
 RX = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
