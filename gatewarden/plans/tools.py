@@ -43,22 +43,47 @@ def tool_gate(spark, folder):
     return calls(spark, folder).select("event_id", GATE.decision(F.col("name"), F.col("arguments")).alias("d")).select("event_id", "d.decision", "d.reason", "d.arguments")
 
 
+#: Event ids in a block; the calls of a user in a block are one reply, so a reply is bounded however many calls a user has.
+REPLY_IDS = 2000
+
+
 def replies(spark, folder):
-    """user_id, calls: the calls of one user's first hour, as one reply."""
+    """user_id, block, calls: every call of every user, those in a block of event ids as one reply."""
     call = F.struct("event_id", F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("id"), "name", "arguments")
-    return calls(spark, folder).where("event_id < 2000").groupBy("user_id").agg(F.sort_array(F.collect_list(call)).alias("x")).select("user_id", F.transform("x", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["arguments"].alias("arguments"))).alias("calls"))
+    rows = calls(spark, folder).withColumn("block", F.expr(f"event_id div {REPLY_IDS}"))
+    return rows.groupBy("user_id", "block").agg(F.sort_array(F.collect_list(call)).alias("x")).select("user_id", "block", F.transform("x", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["arguments"].alias("arguments"))).alias("calls"))
+
+
+def kept_calls(rows):
+    rows = rows.select("user_id", "block", GATE.applied(F.col("calls")).alias("g")).select("user_id", "block", F.posexplode("g.kept").alias("place", "c"))
+    return rows.select("user_id", "block", F.col("place").cast("long").alias("place"), "c.id", "c.name", "c.arguments")
+
+
+def denied_calls(rows):
+    rows = rows.select("user_id", "block", GATE.applied(F.col("calls")).alias("g")).select("user_id", "block", F.posexplode("g.denied").alias("place", "c"))
+    return rows.select("user_id", "block", F.col("place").cast("long").alias("place"), "c.name", "c.reason")
 
 
 @query("tool_gate_reply_kept", f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, 'c' || event_id AS id, name, masked AS arguments FROM {DECIDED} d WHERE event_id < 2000 AND reason IS NULL")
 def tool_gate_reply_kept(spark, folder):
-    rows = replies(spark, folder).select("user_id", GATE.applied(F.col("calls")).alias("g")).select("user_id", F.posexplode("g.kept").alias("place", "c"))
-    return rows.select("user_id", F.col("place").cast("long").alias("place"), "c.id", "c.name", "c.arguments")
+    """The first block only, as its SQL has it; tool_gate_replies_kept covers all."""
+    return kept_calls(replies(spark, folder).where("block = 0")).drop("block")
+
+
+@query("tool_gate_replies_kept", f"SELECT user_id, event_id // {REPLY_IDS} AS block, row_number() OVER (PARTITION BY user_id, event_id // {REPLY_IDS} ORDER BY event_id) - 1 AS place, 'c' || event_id AS id, name, masked AS arguments FROM {DECIDED} d WHERE reason IS NULL")
+def tool_gate_replies_kept(spark, folder):
+    return kept_calls(replies(spark, folder))
 
 
 @query("tool_gate_reply_denied", f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, name, reason FROM {DECIDED} d WHERE event_id < 2000 AND reason IS NOT NULL")
 def tool_gate_reply_denied(spark, folder):
-    rows = replies(spark, folder).select("user_id", GATE.applied(F.col("calls")).alias("g")).select("user_id", F.posexplode("g.denied").alias("place", "c"))
-    return rows.select("user_id", F.col("place").cast("long").alias("place"), "c.name", "c.reason")
+    """The first block only, as its SQL has it; tool_gate_replies_denied covers all."""
+    return denied_calls(replies(spark, folder).where("block = 0")).drop("block")
+
+
+@query("tool_gate_replies_denied", f"SELECT user_id, event_id // {REPLY_IDS} AS block, row_number() OVER (PARTITION BY user_id, event_id // {REPLY_IDS} ORDER BY event_id) - 1 AS place, name, reason FROM {DECIDED} d WHERE reason IS NOT NULL")
+def tool_gate_replies_denied(spark, folder):
+    return denied_calls(replies(spark, folder))
 
 
 @query("mask_json_strings", f"SELECT event_id, {MASKED} AS arguments FROM {CALLS} c")

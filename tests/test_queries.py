@@ -32,3 +32,18 @@ def test_query(spark, name):
     assert sorted(names) == sorted(df.columns)
     order = [names.index(c) for c in sorted(names)]
     assert rows == sorted(repr([plain(r[i]) for i in order]) for r in found.fetchall())
+
+
+def test_every_call_is_in_some_reply(spark, tmp_path):
+    rows = [(e, 7 if e % 3 else e % 5) for e in range(1, 9000, 7)]  # one hot user, ids beyond the first block
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    kept, denied = [QUERIES[f"tool_gate_replies_{k}"](spark, str(tmp_path)).collect() for k in ("kept", "denied")]
+    single = {r.event_id: r.decision for r in QUERIES["tool_gate"](spark, str(tmp_path)).collect()}
+    assert len(single) == len(rows) == len(kept) + len(denied)
+    assert {int(r.id[1:]) for r in kept} == {e for e, d in single.items() if d != "deny"}
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name, got in (("kept", kept), ("denied", denied)):
+        found = con.execute(SQL[f"tool_gate_replies_{name}"])
+        names = [c[0] for c in found.description]
+        assert sorted(repr([r[c] for c in names]) for r in got) == sorted(repr(list(r)) for r in found.fetchall())
