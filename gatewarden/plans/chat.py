@@ -80,17 +80,29 @@ CALL = f"{sql_list(NAMES)}[1 + doc_id % {len(NAMES)}]"
 ARG = f"{sql_list(ARGS)}[1 + doc_id % {len(ARGS)}]"
 
 
+def _blocks(rows, content):
+    d = F.col("doc_id")
+    call = F.array(F.struct(F.lit("c1").alias("id"), pick(NAMES, d % len(NAMES)).alias("name"), pick(ARGS, d % len(ARGS)).alias("arguments")))
+    denied = F.when(d % 5 == 0, F.array(F.struct(F.lit("x").alias("name"), F.lit("r").alias("reason"))))
+    rows = rows.select("doc_id", F.when(d % 3 == 0, "").otherwise(content).alias("content"), F.when(d % 4 != 0, call).alias("calls"), denied.alias("denied"))
+    rows = rows.select("doc_id", jsonshape.stop_reason(F.col("calls")).alias("stop_reason"), F.posexplode(jsonshape.to_blocks(F.col("content"), F.col("calls"), F.col("denied"))).alias("place", "b"))
+    return rows.select("doc_id", F.col("place").cast("long").alias("place"), "b.type", "b.text", "b.name", "b.input", "stop_reason")
+
+
 @query("chat_to_messages", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 20) END AS content, doc_id % 4 <> 0 AS called FROM documents)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, type, text, name, input, stop_reason FROM (
 SELECT doc_id, 0 AS k, 'text' AS type, content AS text, NULL AS name, NULL AS input, CASE WHEN called THEN 'tool_use' ELSE 'end_turn' END AS stop_reason FROM d WHERE content <> '' OR NOT called AND doc_id % 5 <> 0
 UNION ALL SELECT doc_id, 1, 'tool_use', NULL, {CALL}, CASE WHEN json_valid({ARG}) THEN {ARG} ELSE '{{}}' END, 'tool_use' FROM d WHERE called
 UNION ALL SELECT doc_id, 2, 'denied_tools', '[{{"name":"x","reason":"r"}}]', NULL, NULL, CASE WHEN called THEN 'tool_use' ELSE 'end_turn' END FROM d WHERE doc_id % 5 = 0) x""")
 def chat_to_messages(spark, folder):
-    d = F.col("doc_id")
-    call = F.array(F.struct(F.lit("c1").alias("id"), pick(NAMES, d % len(NAMES)).alias("name"), pick(ARGS, d % len(ARGS)).alias("arguments")))
-    denied = F.when(d % 5 == 0, F.array(F.struct(F.lit("x").alias("name"), F.lit("r").alias("reason"))))
-    rows = table(spark, folder, "documents").select("doc_id", F.when(d % 3 == 0, "").otherwise(F.left("text", F.lit(20))).alias("content"), F.when(d % 4 != 0, call).alias("calls"), denied.alias("denied"))
-    rows = rows.select("doc_id", jsonshape.stop_reason(F.col("calls")).alias("stop_reason"), F.posexplode(jsonshape.to_blocks(F.col("content"), F.col("calls"), F.col("denied"))).alias("place", "b"))
-    return rows.select("doc_id", F.col("place").cast("long").alias("place"), "b.type", "b.text", "b.name", "b.input", "stop_reason")
+    """The first 20 characters only, as its SQL has it; chat_to_messages_whole has all."""
+    return _blocks(table(spark, folder, "documents"), F.left("text", F.lit(20)))
 
 
+@query("chat_to_messages_whole", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END AS content, doc_id % 4 <> 0 AS called FROM documents)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, type, text, name, input, stop_reason FROM (
+SELECT doc_id, 0 AS k, 'text' AS type, content AS text, NULL AS name, NULL AS input, CASE WHEN called THEN 'tool_use' ELSE 'end_turn' END AS stop_reason FROM d WHERE content <> '' OR NOT called AND doc_id % 5 <> 0
+UNION ALL SELECT doc_id, 1, 'tool_use', NULL, {CALL}, CASE WHEN json_valid({ARG}) THEN {ARG} ELSE '{{}}' END, 'tool_use' FROM d WHERE called
+UNION ALL SELECT doc_id, 2, 'denied_tools', '[{{"name":"x","reason":"r"}}]', NULL, NULL, CASE WHEN called THEN 'tool_use' ELSE 'end_turn' END FROM d WHERE doc_id % 5 = 0) x""")
+def chat_to_messages_whole(spark, folder):
+    return _blocks(table(spark, folder, "documents"), F.col("text"))

@@ -47,3 +47,16 @@ def test_every_call_is_in_some_reply(spark, tmp_path):
         found = con.execute(SQL[f"tool_gate_replies_{name}"])
         names = [c[0] for c in found.description]
         assert sorted(repr([r[c] for c in names]) for r in got) == sorted(repr(list(r)) for r in found.fetchall())
+
+
+def test_blocks_hold_the_whole_text(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["", None, "short", "x" * 21, "  long\n" + "é " * 3000 + "end", "a\"b" * 50, "tail" * 9, None]) for i in (i, i + 61)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["chat_to_messages_whole"](spark, str(tmp_path)).collect()
+    texts = {r.doc_id: r.text for r in got if r.type == "text"}
+    assert {i: t for i, t in rows if i % 3 and t} == {i: t for i, t in texts.items() if t}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = con.execute(SQL["chat_to_messages_whole"])
+    names = [c[0] for c in found.description]
+    assert sorted(repr([r[c] for c in names]) for r in got) == sorted(repr(list(r)) for r in found.fetchall())
