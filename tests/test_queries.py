@@ -60,3 +60,9 @@ def test_blocks_hold_the_whole_text(spark, tmp_path):
     found = con.execute(SQL["chat_to_messages_whole"])
     names = [c[0] for c in found.description]
     assert sorted(repr([r[c] for c in names]) for r in got) == sorted(repr(list(r)) for r in found.fetchall())
+
+
+def test_every_event_goes_through_the_log(spark, tmp_path):
+    spark.createDataFrame([(e, e % 7) for e in range(50)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["audit_log_round_trip_all"](spark, str(tmp_path)).collect()
+    assert sorted(int(r.request_id) for r in got) == list(range(50))
