@@ -70,7 +70,8 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
     for batch in batches:
         for part in slices(batch, "text"):
             texts = pc.fill_null(part.column("text").cast(pa.large_binary()), b"").to_pylist()
-            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "fp": pa.array(fingerprints_of(texts, shingle).view(np.int64))})
+            more = {c: part.column(c) for c in part.schema.names if c not in ("doc_id", "text")}
+            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "fp": pa.array(fingerprints_of(texts, shingle).view(np.int64)), **more})
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -196,7 +197,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, t
     null doc_id and gets the component of its fingerprint (null if no other row has one).
     """
     prints = written(fingerprints(docs, shingle), "fingerprints")
-    spark = docs.sparkSession
+    return prints.join(_roots(prints, radius, tile), "fp").select("doc_id", "fp", "component_id")
+
+
+def _roots(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """fp, root, component_id for every fingerprint of a table of doc_id and fp; root names the group and is never null."""
+    spark = prints.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     bits = lambda lo, n: F.bit_count(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1)))
@@ -222,8 +228,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, t
     member = tiles.select("fps", "groups").mapInArrow(_members, "fp long, grp long")
     grouped = member.join(roots, member.grp == roots.node, "left").selectExpr("fp", "coalesce(root, grp) root").join(distinct, "fp")
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return grouped.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
@@ -232,10 +237,11 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: that of the least doc_id (of repeated rows, one).
-
-    Rows without a doc_id cannot stand for a group and all stay.
-    """
-    keep = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each near-duplicate group: that of the least doc_id, then of the least hash; rows without a doc_id come last."""
+    # equal for rows of equal doc_id and text only, which are in one group
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
+    rows = clear(docs, "doc_id", "text").withColumn("_key", key)
+    prints = written(rows.mapInArrow(lambda it: _fingerprint(it, SHINGLE), "doc_id long, fp long, _key string"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")
+    first = prints.join(_roots(prints), "fp").groupBy("root").agg(F.min(order).alias("first")).select("first._key")
+    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

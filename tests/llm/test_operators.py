@@ -269,6 +269,16 @@ def test_simhash(spark):
     assert kept.count() == len(set(least.values())) and kept.columns == ["doc_id", "text", "extra"]
 
 
+def test_one_row_of_each_group(spark):
+    rnd = random.Random(13)
+    far = [" ".join(rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(60)) for _ in range(6)]
+    groups = [[(1, far[0]), (1, far[0]), (2, far[0])], [(1, far[1]), (None, far[1])], [(None, far[2]), (None, far[2])], [(9, far[3]), (5, far[3]), (None, far[3])], [(5, far[4]), (7, far[4])], [(None, far[5])], [(3, ""), (3, None)]]
+    docs = [d for g in groups for d in g]
+    kept = [(r.doc_id, r.text or "") for r in simhash.one_of_each(table(spark, docs)).collect()]
+    want = [min(((i is None, i or 0), (i, t or "")) for i, t in g)[1] for g in ([(i, t or "") for i, t in g] for g in groups)]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want))
+
+
 def test_near_copies_give_few_links():
     base = np.uint64(0x123456789ABCDEF0)
     near = np.unique(base ^ (np.uint64(1) << np.arange(60, dtype=np.uint64)))
