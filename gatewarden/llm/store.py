@@ -5,14 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process, in order; ``swept`` removes them.
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests, one machine) one of our own."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a temporary one, but on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -21,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -32,20 +40,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes one of our own tables."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def mark() -> int:
+    """A point in time for ``swept``."""
+    return len(_WRITTEN)
 
 
-def clear(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, under these names, even when a table has two that clash by case."""
-    exact = {}
+def swept(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written after a mark, but for the last ``keep``; no result that reads them may be open."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def _places(df: DataFrame, columns: tuple[str, ...]) -> list[int]:
+    """Where the named columns stand: the first of that very name, else the first that differs by case only."""
+    exact, low = {}, {}
     for i, c in enumerate(df.columns):
         exact.setdefault(c, i)
+        low.setdefault(c.lower(), i)
+    return [exact[c] if c in exact else low[c.lower()] for c in columns]
+
+
+def clear(df: DataFrame, *columns: str) -> DataFrame:
+    """Only the named columns, under these names, even when a table has two that clash by case."""
     if len({c.lower() for c in df.columns}) < len(df.columns):
-        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        low = {c.lower(): i for c, i in reversed(exact.items())}
-        return df.select(*[df[f"c{exact.get(c, low.get(c.lower()))}"].alias(c) for c in columns])
+        at = _places(df, columns)
+        return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[f"c{i}" for i in at]).toDF(*columns)
     return df.select(*columns)
+
+
+def whole(df: DataFrame, *columns: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """All columns under names of their own, for work on rows that carry any columns; and the way back.
+
+    Column i is called ``c<i>``; the named ones are called ``k_<name>`` instead. Names beginning with
+    ``w_`` are free. The way back restores columns, names and order, whatever they clash with.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    for c, i in zip(columns, _places(df, columns), strict=True):
+        names[i] = f"k_{c}"
+    before = df.columns
+    return df.toDF(*names), lambda out: out.select(*names).toDF(*before)
