@@ -4,12 +4,15 @@ A text's fingerprints are the least hash of its 8-word grams in every 6 consecut
 so any 13 consecutive words shared by two texts share a fingerprint. Items of fewer than 13
 words are one window each; for the lengths that occur among them every gram of that length is kept
 (a winnowing window of one), so those are found as surely. Fingerprints of documents and
-items are joined, and every hit is extended in both directions, word by word, to
-the maximal shared span; spans that reach the window length count.
+items are joined, and every hit is extended in both directions, word by word. Every window has a
+fingerprint of its own, so a hit is extended no further than the windows around its gram reach; spans
+that reach the window length count. Places of the benchmark that look alike that far are one entry of the index, so that
+repeated words cost no more than others.
 
 Joining: a benchmark of at most ``BROADCAST_BYTES`` of text (measured first) becomes an
 index that every task holds, and documents are read in one narrow pass. A larger one is joined
-by shuffling distinct fingerprints; only the texts of candidate items then meet the documents.
+by shuffling distinct fingerprints; only the texts of candidate items then meet the documents, in groups of
+about ``BROADCAST_BYTES``. Both judge each row by its own text and give equal results.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.llm.lexing import buffer_of, prefix_hash, runs, slices, span_hash, table, window_argmin, word_spans
-from gatewarden.llm.store import clear, written
+from gatewarden.llm.store import clear, whole, written
 
 WINDOW, GRAM, SHARE = 13, 8, 20
 BROADCAST_BYTES = 8 << 20
+#: Pairs of a place in a text and an entry of the index that are extended together.
+PAIRS = 1 << 17
 LOWER, INSIDE = table(word=b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -86,12 +90,13 @@ class Index:
             self.first.append(at)
             self.size.append(len(h))
             at += len(h) + 1
-        self.hashes = np.concatenate([*parts, np.zeros(1, np.uint64)]) if parts else np.zeros(1, np.uint64)
+        self.hashes = np.concatenate([*parts, np.zeros(window, np.uint64)])
         self.first, self.size = np.array(self.first, np.int64), np.array(self.size, np.int64)
         self.item = np.full(len(self.hashes), -1, np.int64)
         for i, (f, n) in enumerate(zip(self.first, self.size, strict=True)):
             self.item[f : f + n] = i
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.place, self.names = np.zeros(0, np.int64), [np.zeros((0, 2), np.int64)]
         long = np.flatnonzero(self.size >= window)
         prefix = prefix_hash(self.hashes)
         if len(long):
@@ -101,69 +106,85 @@ class Index:
                 at = np.arange(f, f + n - gram + 1)
                 h = span_hash(prefix, at, at + gram)
                 found.append(at[np.unique(window_argmin(h, window - gram + 1))])
-            self._add(0, np.concatenate(found), gram, prefix)
+            self._add(0, np.concatenate(found), gram, window, prefix)
         for n in np.unique(self.size[self.size < window]):
-            self._add(int(n), self.first[self.size == n], int(n), prefix)
-
-    def _add(self, kind: int, at: np.ndarray, k: int, prefix: np.ndarray) -> None:
-        h = span_hash(prefix, at, at + k)
+            self._add(int(n), self.first[self.size == n], int(n), int(n), prefix)
+        names = np.concatenate(self.names)
+        self.names = names[np.argsort(names[:, 0], kind="stable")]
+
+    def _add(self, kind: int, at: np.ndarray, k: int, window: int, prefix: np.ndarray) -> None:
+        """Entries: places that are equal as far as windows around their gram reach, with the items that have them."""
+        around = at[:, None] + np.arange(k - window, window)
+        own = self.item[np.clip(around, 0, len(self.item) - 1)] == self.item[at][:, None]
+        own &= (around >= 0) & (around < len(self.item))
+        look = np.where(own, self.hashes[np.where(own, around, 0)], np.uint64(0))
+        _, first, inverse = np.unique(np.concatenate([look, own.astype(np.uint64)], axis=1), axis=0, return_index=True, return_inverse=True)
+        self.names.append(np.unique(np.stack([inverse.ravel() + len(self.place), self.item[at]], 1), axis=0))
+        entry = np.arange(len(first)) + len(self.place)
+        self.place = np.concatenate([self.place, at[first]])
+        h = span_hash(prefix, at[first], at[first] + k)
         order = np.argsort(h, kind="stable")
-        self.grams[kind] = (h[order], at[order])
+        self.grams[kind] = (h[order], entry[order])
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Shared spans: words hit (boolean, by word) and distinct (row, item) pairs."""
         hit = np.zeros(len(words.hashes) + 1, np.int64)
-        pairs = [np.zeros((0, 2), np.int64)]
-        for kind, (known, where) in self.grams.items():
+        pairs = np.zeros((0, 2), np.int64)
+        for kind, (known, entry) in self.grams.items():
             at, h = words.grams(kind) if kind else words.winnowed(self.window, self.gram)
             low, high = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
             some = np.flatnonzero(high > low)
-            ends = np.cumsum(high[some] - low[some])
-            for a in range(0, len(some), 1 << 16):  # bounds the memory of frequent grams
-                part = some[a : a + (1 << 16)]
+            upto = np.cumsum(high[some] - low[some])
+            a = 0
+            while a < len(some):  # bounds the memory of frequent grams
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
+                part = some[a:b]
                 count = high[part] - low[part]
                 p = np.repeat(at[part], count)
-                q = where[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[part], count)]
-                self._extend(words, p, q, kind or self.window, hit, pairs)
-            del ends
-        return np.cumsum(hit[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0)
-
-    def _extend(self, words: Words, p: np.ndarray, q: np.ndarray, need: int, hit: np.ndarray, pairs: list) -> None:
-        row, item = words.row[p], self.item[q]
-        one = np.unique(np.stack([p - q, p, q, row, item], 1), axis=0) if len(p) else np.zeros((0, 5), np.int64)
-        diagonal, p, q, row, item = one.T
+                e = entry[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[part], count)]
+                found = self._extend(words, p, e, kind or self.gram, kind or self.window, hit)
+                pairs = np.unique(np.concatenate([pairs, found]), axis=0)
+                a = b
+        low, high = np.searchsorted(self.names[:, 0], pairs[:, 1], "left"), np.searchsorted(self.names[:, 0], pairs[:, 1], "right")
+        count = high - low
+        item = self.names[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count), 1]
+        return np.cumsum(hit[:-1]) > 0, np.unique(np.stack([np.repeat(pairs[:, 0], count), item], 1), axis=0)
+
+    def _extend(self, words: Words, p: np.ndarray, entry: np.ndarray, gram: int, need: int, hit: np.ndarray) -> np.ndarray:
+        q = self.place[entry]
+        row, item, most = words.row[p], self.item[q], len(words.hashes) - 1
         first, last = words.first[row], words.first[row + 1]
         left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        active = np.arange(len(p))
-        while len(active):
-            x, y = p[active] - left[active] - 1, q[active] - left[active] - 1
-            ok = (x >= first[active]) & (self.item[y] == item[active])
-            ok &= words.hashes[np.where(ok, x, 0)] == self.hashes[y]
-            active = active[ok]
-            left[active] += 1
-        active = np.arange(len(p))
-        while len(active):
-            x, y = p[active] + right[active], q[active] + right[active]
-            ok = (x < last[active]) & (self.item[y] == item[active])
-            ok &= words.hashes[np.where(ok, x, 0)] == self.hashes[y]
-            active = active[ok]
-            right[active] += 1
+        go = np.ones(len(p), bool)
+        for k in range(need):
+            go = go & (p + k < last) & (self.item[q + k] == item) & (words.hashes[np.minimum(p + k, most)] == self.hashes[q + k])
+            right += go
+        go = right >= gram
+        for k in range(1, need - gram + 1):
+            go = go & (p - k >= first) & (self.item[q - k] == item) & (words.hashes[p - k] == self.hashes[q - k])
+            left += go
         good = left + right >= need
         np.add.at(hit, (p - left)[good], 1)
         np.add.at(hit, (p + right)[good], -1)
-        pairs.append(np.stack([row[good], item[good]], 1))
+        return np.unique(np.stack([row[good], entry[good]], 1), axis=0)
 
 
 def _digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def _rows(part: pa.RecordBatch, words: Words, hit: np.ndarray, pairs: np.ndarray, ids: list[list[str]]) -> pa.RecordBatch:
-    n = part.num_rows
-    n_hit = np.bincount(words.row[hit], minlength=n)
-    names: list[list[str]] = [[] for _ in range(n)]
+def _spread(rows: int, pairs: np.ndarray, ids: list[list[str]]) -> list[set[str]]:
+    names: list[set[str]] = [set() for _ in range(rows)]
     for r, i in pairs.tolist():
-        names[r] += ids[i]
+        names[r].update(ids[i])
+    return names
+
+
+def _rows(part: pa.RecordBatch, words: Words, hit: np.ndarray, pairs: np.ndarray, ids: list[list[str]]) -> pa.RecordBatch:
+    return _judged(part, words, np.bincount(words.row[hit], minlength=part.num_rows), _spread(part.num_rows, pairs, ids))
+
+
+def _judged(part: pa.RecordBatch, words: Words, n_hit: np.ndarray, names: list) -> pa.RecordBatch:
     nothing = _digest([])
     return pa.record_batch({
         "doc_id": part.column("doc_id").cast(pa.int64()), "n_words": pa.array(words.counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
@@ -188,60 +209,103 @@ def _prints(batches: Iterator[pa.RecordBatch], lengths: list[int], window: int,
                 at, h = words.grams(kind) if kind else words.winnowed(window, gram)
                 if len(at):
                     both = np.unique(np.stack([words.row[at].astype(np.uint64), h], 1), axis=0)
-                    rows = part.column("_row").take(pa.array(both[:, 0].astype(np.int64)))
-                    yield pa.record_batch({"_row": rows, "kind": pa.array(np.full(len(both), kind), pa.int32()), "h": pa.array(both[:, 1].view(np.int64))})
+                    rows = part.column("w_row").take(pa.array(both[:, 0].astype(np.int64)))
+                    yield pa.record_batch({"w_row": rows, "kind": pa.array(np.full(len(both), kind), pa.int32()), "h": pa.array(both[:, 1].view(np.int64))})
 
 
 def _item_prints(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for kind, (h, _) in Index([item], [text], window, gram).grams.items():
                 h = np.unique(h)
-                yield pa.record_batch({"item_id": pa.array([str(item)] * len(h), pa.string()), "kind": pa.array(np.full(len(h), kind), pa.int32()), "h": pa.array(h.view(np.int64))})
+                yield pa.record_batch({"item": pa.array(np.full(len(h), item), pa.int64()), "kind": pa.array(np.full(len(h), kind), pa.int32()), "h": pa.array(h.view(np.int64))})
 
 
-def _own_items(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
-    """Each row, and what ``_rows`` gives for it with its own items."""
+def _marks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Spans hit (pairs of word numbers) and items, of each row with a group of its candidate items."""
     for batch in batches:
         for i in range(batch.num_rows):
             part = batch.slice(i, 1)
-            items = part.column("items")[0].as_py() or []
+            items = part.column("items")[0].as_py()
             words = Words(part.column("text"))
             index = Index([x["item_id"] for x in items], [x["text"] for x in items], window, gram)
-            yield part, _rows(part, words, *index.hits(words), index.ids)
+            hit, pairs = index.hits(words)
+            if hit.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                yield pa.record_batch({"w_row": part.column("w_row"), "spans": pa.array([edge], pa.list_(pa.int64())), "names": pa.array([sorted(_spread(1, pairs, index.ids)[0])], pa.list_(pa.string()))})
 
 
-def _with_items(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """Rows of documents with their candidate items (item_id, text), joined by shuffling.
+def _numbered(rows: DataFrame, items: DataFrame, size: int, window: int, gram: int, bound: int) -> DataFrame:
+    """Rows (k_text and others) with spans and names of what they share with the benchmark, by shuffling.
 
     Documents may lack or repeat doc_id, so rows get a key of their own; they are written with it, as
-    it would not be the same in another run.
+    it would not be the same in another run. Items are dealt to groups of about ``bound`` bytes: a row meets
+    one group of its candidates at a time, and its spans are put together.
     """
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    # Lengths below the window are few, whatever the benchmark holds.
-    known = written(items.mapInArrow(lambda it: _item_prints(it, window, gram), "item_id string, kind int, h long"), "item-fingerprints")
+    rows = written(rows.withColumn("w_row", F.monotonically_increasing_id()), "numbered")
+    texts = rows.select("w_row", F.col("k_text").alias("text"))
+    # Items of one id may have several texts, so items have numbers too.
+    items = written(items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), "text"), "items")
+    known = written(items.mapInArrow(lambda it: _item_prints(it, window, gram), "item long, kind int, h long"), "item-fingerprints")
+    # Lengths up to the window are few, whatever the benchmark holds.
     lengths = sorted(r[0] for r in known.select("kind").distinct().collect())
-    prints = docs.select("_row", "text").mapInArrow(lambda it: _prints(it, lengths, window, gram), "_row long, kind int, h long")
-    pairs = prints.join(known, ["kind", "h"]).select("_row", "item_id").distinct()
-    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    own = pairs.join(texts, "item_id").groupBy("_row").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    return docs.join(own, "_row", "left").drop("_row")
+    prints = texts.mapInArrow(lambda it: _prints(it, lengths, window, gram), "w_row long, kind int, h long")
+    pairs = prints.join(known, ["kind", "h"]).select("w_row", "item").distinct()
+    groups = max(1, -(-size // max(bound, 1 << 16)))
+    own = pairs.join(items, "item").groupBy("w_row", F.pmod(F.xxhash64("item"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    marks = texts.join(own, "w_row").select("w_row", "text", "items").mapInArrow(lambda it: _marks(it, window, gram), "w_row long, spans array<long>, names array<string>")
+    found = marks.groupBy("w_row").agg(F.collect_list("spans").alias("w_spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("w_names"))
+    return rows.join(found, "w_row", "left")
+
+
+def _hits_of(part: pa.RecordBatch, words: Words) -> np.ndarray:
+    """Words hit of each row of a part with ``w_spans``."""
+    out = np.zeros(part.num_rows, np.int64)
+    for i, spans in enumerate(part.column("w_spans").to_pylist()):
+        if spans:
+            edge = np.zeros(words.counts[i] + 1, np.int64)
+            both = np.concatenate(spans).reshape(-1, 2)
+            np.add.at(edge, both[:, 0], 1)
+            np.add.at(edge, both[:, 1], -1)
+            out[i] = np.count_nonzero(np.cumsum(edge[:-1]))
+    return out
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "k_text"):
+            words = Words(part.column("k_text"))
+            named = pa.record_batch({"doc_id": part.column("k_doc_id")})
+            yield _judged(named, words, _hits_of(part, words), [x or [] for x in part.column("w_names").to_pylist()])
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Items that take part, and the bytes of their texts."""
+    items = clear(benchmark, "item_id", "text").where("item_id is not null and text is not null").dropDuplicates()
+    return items, items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
+
+
+def _shared(items: DataFrame, window: int, gram: int):
+    rows = items.collect()  # of a size that was measured
+    return items.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], window, gram))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null texts have no words and are never contaminated; items that are null, empty or have a
-    null id are left out; items of equal words count each by its id (an id repeated with equal words
-    counts once per row). Empty tables give no rows, an empty benchmark gives rows without hits.
+    Each row is judged by its own text, whether its doc_id is null, repeated or not. Null texts have no
+    words and are never contaminated; items that are null, empty or have a null id are left out. Items are counted
+    by id: one id with several texts counts once, equal texts with several ids once for each. Repeated rows
+    stay, with equal results. Empty tables give no rows, an empty benchmark gives rows without hits.
+    Other columns, whatever their names, are not read.
     """
-    docs, items = clear(docs, "doc_id", "text"), clear(benchmark, "item_id", "text").where("item_id is not null and text is not null").dropDuplicates()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
+    docs = clear(docs, "doc_id", "text")
+    items, size = _items(benchmark)
     if size <= broadcast_bytes:
-        rows = items.collect()
-        index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], window, gram))
+        index = _shared(items, window, gram)
         return docs.mapInArrow(lambda it: _narrow(it, index), RESULT)
-    return _with_items(docs, items, window, gram).mapInArrow(lambda it: (found for _, found in _own_items(it, window, gram)), RESULT)
+    rows = _numbered(docs.toDF("k_doc_id", "k_text"), items, size, window, gram, broadcast_bytes)
+    return rows.select("k_doc_id", "k_text", "w_spans", "w_names").mapInArrow(_wide, RESULT)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -250,25 +314,33 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(part.column("text"))
-            verdict = _rows(part, words, *index.value.hits(words), index.value.ids).column("contaminated")
-            yield part.filter(pc.invert(verdict))
+        for part in slices(batch, "k_text"):
+            words = Words(part.column("k_text"))
+            hit, _ = index.value.hits(words)
+            n_hit = np.bincount(words.row[hit], minlength=part.num_rows)
+            yield part.filter(pa.array((n_hit == 0) | (SHARE * n_hit < words.counts)))
 
 
-def _kept_of_own(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
-    for part, found in _own_items(batches, WINDOW, GRAM):
-        if not found.column("contaminated")[0].as_py():
-            yield part.select(columns)
+def _kept_wide(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "k_text"):
+            words = Words(part.column("k_text"))
+            n_hit = _hits_of(part, words)
+            yield part.select(columns).filter(pa.array((n_hit == 0) | (SHARE * n_hit < words.counts)))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of documents that are not contaminated, each judged by its own text; one narrow pass for a benchmark of bounded size."""
-    items = clear(benchmark, "item_id", "text").where("item_id is not null and text is not null").dropDuplicates()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
+    """The rows of documents that are not contaminated, with the columns they came with.
+
+    Each row is judged by its own text as in ``contamination``: null and empty texts stay, repeated
+    rows stay or go together, columns whose names clash stay as they are, empty tables give no rows.
+    One narrow pass for a benchmark of bounded size.
+    """
+    rows, back = whole(docs, "text")
+    items, size = _items(benchmark)
     if size <= broadcast_bytes:
-        rows = items.collect()
-        index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
-        return docs.mapInArrow(lambda it: _kept(it, index), docs.schema)
-    columns = docs.columns
-    return _with_items(docs, items, WINDOW, GRAM).mapInArrow(lambda it: _kept_of_own(it, columns), docs.schema)
+        index = _shared(items, WINDOW, GRAM)
+        return back(rows.mapInArrow(lambda it: _kept(it, index), rows.schema))
+    found = _numbered(rows, items, size, WINDOW, GRAM, broadcast_bytes)
+    columns = rows.columns
+    return back(found.select(*columns, "w_spans").mapInArrow(lambda it: _kept_wide(it, columns), rows.schema))
