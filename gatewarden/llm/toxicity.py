@@ -7,7 +7,10 @@ Tokens without evidence cost a little, so that evidence must lie close together.
 linear-time scan then finds all maximal scoring segments of a text.
 Segment scores are judged as extremes of random sequences: the expected number of chance
 segments of score S in n words is K n exp(-lambda S), and the segments of a text are pooled
-by their sum statistic. A logistic curve, fitted on the same labelled rows, turns it into a score.
+by their sum statistic. lambda solves the equation of the scores' chances in clean text; K is counted on clean
+texts. A logistic curve turns the statistic into a score. Both K and the curve are fitted on
+segments found with weights that were learned without the row: the labelled rows are halved, and
+each half is scanned with the weights of the other.
 
 The labelled rows that are fitted on are a bounded sample (``SAMPLE`` rows, least hash of
 the id first), so the table of scored tokens is bounded too and can be sent to all tasks.
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.llm.lexing import buffer_of, prefix_hash, slices, span_hash, table, word_spans
-from gatewarden.llm.store import clear
+from gatewarden.llm.store import clear, whole, written
 
 #: Most labelled rows fitted on; prior weight as a share of all tokens; share of evidence in a toxic passage.
 SAMPLE, PRIOR, DENSITY, MIN_COUNT = 20_000, 0.01, 0.3, 3
@@ -129,30 +132,46 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of tokens in toxic and clean rows of each half; kind -1 counts all words."""
     for batch in batches:
         for part in slices(batch, "text"):
             kinds, row = tokens(part.column("text"))
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            all_toxic = int(toxic.sum())
-            yield pa.record_batch({"kind": pa.array([-1], pa.int32()), "token": pa.array([0], pa.int64()), "t": pa.array([all_toxic], pa.int64()), "c": pa.array([len(row) - all_toxic], pa.int64())})
-            for kind, h in enumerate(kinds):
+            cell = (2 * part.column("half").to_numpy(zero_copy_only=False) + part.column("toxic").to_numpy(zero_copy_only=False)).astype(np.int64)[row]
+            for kind, h in [(-1, np.zeros(len(row), np.uint64)), *enumerate(kinds)]:
                 token, inverse = np.unique(h, return_inverse=True)
-                n = np.bincount(inverse, minlength=len(token))
-                t = np.bincount(inverse, weights=toxic, minlength=len(token)).astype(np.int64)
                 if len(token):
-                    yield pa.record_batch({"kind": pa.array(np.full(len(token), kind), pa.int32()), "token": pa.array(token.view(np.int64)), "t": pa.array(t), "c": pa.array(n - t)})
+                    n = np.bincount(4 * inverse + cell, minlength=4 * len(token)).reshape(-1, 4)
+                    yield pa.record_batch({"kind": pa.array(np.full(len(token), kind), pa.int32()), "token": pa.array(token.view(np.int64)), **{f"n{i}": pa.array(n[:, i], pa.int64()) for i in range(4)}})
 
 
-def _statistics(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
+    """Of clean rows, scanned with the other half's weights: words, and segments that reach the least weight."""
     for batch in batches:
         for part in slices(batch, "text"):
-            count, found = model.found(part.column("text"))
-            x = [model.statistic(n, f) for n, f in zip(count.tolist(), found, strict=True)]
+            half = part.column("half").to_pylist()
+            toxic = part.column("toxic").to_pylist()
+            words = chance = 0
+            for i in range(part.num_rows):
+                if not toxic[i]:
+                    count, found = models[1 - half[i]].found(part.column("text").slice(i, 1))
+                    words += int(count[0])
+                    chance += len(found[0])
+            yield pa.record_batch({"words": pa.array([words], pa.int64()), "chance": pa.array([chance], pa.int64())})
+
+
+def _statistics(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            x = []
+            for i, half in enumerate(part.column("half").to_pylist()):
+                model = models[1 - half]
+                count, found = model.found(part.column("text").slice(i, 1))
+                x.append(model.statistic(int(count[0]), found[0]))
             yield pa.record_batch({"x": pa.array(x, pa.float64()), "toxic": part.column("toxic").cast(pa.int32())})
 
 
-def _extreme(weight: np.ndarray, share: np.ndarray, gap: float) -> tuple[float, float]:
-    """lambda and K of the extreme-value law for scores with these chances in clean text."""
+def _rate(weight: np.ndarray, share: np.ndarray, gap: float) -> float:
+    """lambda of the extreme-value law for scores with these chances in clean text."""
     rest = max(1 - share.sum(), 1e-6)
     f = lambda r: float((share * np.exp(np.minimum(r * weight, 600))).sum() + rest * math.exp(r * gap)) - 1
     low, high = 1e-6, 1.0
@@ -161,7 +180,12 @@ def _extreme(weight: np.ndarray, share: np.ndarray, gap: float) -> tuple[float,
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    return low, min(1.0, max(1e-4, low * -gap))
+    return low
+
+
+def chance_scale(words: int, chance: int, rate: float, least: float) -> float:
+    """K of the law K n exp(-rate S), from the segments of score ``least`` and more in so many clean words."""
+    return min(1e6, max(1e-6, (chance + 0.5) * math.exp(min(600.0, rate * least)) / max(1, words)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -184,19 +208,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows that are not held out; without both classes one that scores 0."""
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), math.log(1 - DENSITY), 1.0, 1.0, -30.0, 0.0)
-    mark = clear(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    mark = mark.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).selectExpr("doc_id", "cast(toxic > 0 as int) toxic")
-    marked = clear(docs, "doc_id", "text").join(F.broadcast(mark), "doc_id").select("text", "toxic")
-    total = marked.mapInArrow(_counts, "kind int, token long, t long, c long").groupBy("kind", "token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    rows = total.where((F.col("kind") < 0) | (F.col("t") >= MIN_COUNT)).toPandas()  # bounded by the sample
+def _weighed(rows, gap: float) -> Model | None:
+    """Weights from counts (kind, token, t, c) of toxic and clean rows, and their lambda; None without evidence."""
     sums = rows[rows.kind < 0]
     nt, nc = int(sums.t.sum()), int(sums.c.sum())
     known, weight, share = [], [], []
     for kind in range(1 + len(STARTS)):
-        some = rows[rows.kind == kind]
+        some = rows[(rows.kind == kind) & (rows.t >= MIN_COUNT)]
         if not nt or not nc or not len(some):
             continue
         t, c = some.t.to_numpy(np.float64), some.c.to_numpy(np.float64)
@@ -209,17 +227,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         weight.append(lower[good])
         share.append((c[good] + a[good]) / (nc + prior))
     if not known or not sum(map(len, known)):
-        return empty
+        return None
     known, weight, share = map(np.concatenate, (known, weight, share))
-    gap = math.log(1 - DENSITY)
-    rate, scale = _extreme(weight, share / max(1.0, 2 * share.sum()), gap)
+    rate = _rate(weight, share / max(1.0, 2 * share.sum()), gap)
     order = np.argsort(known)
-    model = Model(known[order], weight[order], gap, rate, scale)
-    got = marked.mapInArrow(lambda it: _statistics(it, model), "x double, toxic int").toPandas()
+    return Model(known[order], weight[order], gap, rate, 1.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of the labelled rows that are not held out; without both classes in each half one that scores 0.
+
+    At most ``sample`` labelled ids are fitted on (least hash first). Of several labels of one id the larger counts; labels
+    without an id or a value are left out; a null text has no words; repeated rows count each.
+    """
+    gap = math.log(1 - DENSITY)
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), gap, 1.0, 1.0, -30.0, 0.0)
+    named = clear(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = F.xxhash64("doc_id")
+    named = named.where(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(sample)
+    named = named.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.shiftright(order, 7), F.lit(2)).cast("int").alias("half"))
+    # the texts of the sample, read three times below
+    marked = written(clear(docs, "doc_id", "text").join(F.broadcast(named), "doc_id").select("text", "toxic", "half"), "labelled")
+    cells = [F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]
+    total = marked.mapInArrow(_counts, "kind int, token long, n0 long, n1 long, n2 long, n3 long").groupBy("kind", "token").agg(*cells)
+    rows = total.where(f"kind < 0 or n1 + n3 >= {MIN_COUNT}").toPandas()  # bounded by the sample
+    model, *halves = [_weighed(rows.assign(t=t, c=c), gap) for t, c in ((rows.n1 + rows.n3, rows.n0 + rows.n2), (rows.n1, rows.n0), (rows.n3, rows.n2))]
+    if model is None or None in halves:
+        return empty
+    seen = marked.mapInArrow(lambda it: _clean(it, halves), "words long, chance long").agg(F.sum("words"), F.sum("chance")).first()
+    least = min(h.weight.min() for h in halves)
+    halves, model = ([replace(m, scale=chance_scale(seen[0] or 0, seen[1] or 0, m.rate, least)) for m in x] for x in (halves, [model]))
+    got = marked.mapInArrow(lambda it: _statistics(it, halves), "x double, toxic int").toPandas()
     if got.toxic.nunique() < 2:
         return empty
     shift, slope = _logistic(got.x.to_numpy(), got.toxic.to_numpy(np.float64))
-    return Model(known[order], weight[order], gap, rate, scale, shift, slope)
+    return replace(model[0], shift=shift, slope=slope)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -234,7 +276,11 @@ def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, passages (word ranges with their evidence) of every row; null texts count as empty."""
+    """doc_id, score, passages (word ranges with their evidence) of every row.
+
+    Null texts count as empty; a text without words or evidence has the least score. A null doc_id stays null, repeated rows stay
+    with equal scores, an empty table gives no rows, other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return clear(docs, "doc_id", "text").mapInArrow(lambda it: _scored(it, shared), "doc_id long, score double, passages array<struct<start int, end int, evidence double>>")
 
@@ -248,12 +294,17 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
 def _mild(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
-        for part in slices(batch, "text"):
-            count, found = model.found(part.column("text"))
+        for part in slices(batch, "k_text"):
+            count, found = model.found(part.column("k_text"))
             yield part.filter(pa.array([model.score(model.statistic(n, f)) < threshold for n, f in zip(count.tolist(), found, strict=True)], pa.bool_()))
 
 
 def mild_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of documents that score below the threshold, in one narrow pass."""
+    """The rows of documents that score below the threshold, in one narrow pass, with the columns they came with.
+
+    Null and empty texts stay (they hold no evidence), repeated rows stay or go together, a score equal to the
+    threshold goes; doc_id is not read; clashing column names stay as they are; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda it: _mild(it, shared, threshold), docs.schema)
+    rows, back = whole(docs, "text")
+    return back(rows.mapInArrow(lambda it: _mild(it, shared, threshold), rows.schema))
