@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.llm.lexing import slices
-from gatewarden.llm.store import clear, written
+from gatewarden.llm.store import clear, mark, swept, whole, written
 
 SHINGLE, RADIUS, SEED, TILE = 4, 4, 42, 1024
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -165,27 +165,28 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: the least node reachable, for every node of an edge (u, v).
 
-    Alternates two contractions until nothing changes: every node's larger neighbours are
+    Alternates two contractions until only stars remain: every node's larger neighbours are
     hung on its least neighbour, then every node's smaller ones. Each is one aggregation;
-    a node's neighbours are never gathered in one row. Rounds are written out, so a lost
-    executor costs at most one round. Raises if it has not settled after ``max_rounds``.
+    a node's neighbours are never gathered in one row. What they are joined to is written first, so that
+    a hub's rows are read from a shuffle on both sides and can be split. A lost executor
+    costs at most one round; tables of earlier rounds are removed. Raises if it has not settled after ``max_rounds``.
     """
+    spark, since = edges.sparkSession, mark()
     e = edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct()
-    before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.selectExpr("v u", "u v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m"), "components-low")
         large = both.where("v > u").join(low, "u").selectExpr("v u", "m v")
         keep = low.where("m < u").selectExpr("u", "m v")
-        e = large.unionByName(keep).where("u <> v").distinct()
-        small = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = written(large.unionByName(keep).where("u <> v").distinct(), "components-large")
+        small = written(e.groupBy("u").agg(F.min("v").alias("m")), "components-small")
         e = e.join(small, "u").where("v <> m").selectExpr("v u", "m v").unionByName(small.selectExpr("u", "m v")).selectExpr("greatest(u, v) u", "least(u, v) v").where("u <> v").distinct()
         e = written(e, "components")
-        now = e.agg(F.count("*"), F.count_distinct("u"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        # a forest of stars: every node hangs on one root, and no root hangs on anything
-        if tuple(now) == before or now[0] == 0:
+        swept(spark, since, keep=1)
+        rows, nodes = e.agg(F.count("*"), F.count_distinct("u")).first()
+        # only stars: every node hangs on one root, and no root hangs on anything
+        if rows == nodes and not e.select(F.col("v").alias("u")).distinct().join(e.select("u"), "u", "left_semi").limit(1).count():
             return e.selectExpr("u node", "v root")
-        before = tuple(now)
     raise RuntimeError("components did not settle")
 
 
@@ -195,6 +196,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, t
     A null text counts as empty; texts without words share the fingerprint zero and are
     linked like any other. Repeated rows stay, with equal results. A null doc_id keeps a
     null doc_id and gets the component of its fingerprint (null if no other row has one).
+    An empty table gives no rows; other columns are not read.
     """
     prints = written(fingerprints(docs, shingle), "fingerprints")
     return prints.join(_roots(prints, radius, tile), "fp").select("doc_id", "fp", "component_id")
@@ -227,8 +229,10 @@ def _roots(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     roots = components(written(links.distinct(), "links"))
     member = tiles.select("fps", "groups").mapInArrow(_members, "fp long, grp long")
     grouped = member.join(roots, member.grp == roots.node, "left").selectExpr("fp", "coalesce(root, grp) root").join(distinct, "fp")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return grouped.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    grouped = written(grouped, "groups")
+    # written, so that a group with very many fingerprints can be split in the join below
+    least = written(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    return written(grouped.join(least, "root").select("fp", "root", "component_id"), "roots")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
@@ -237,11 +241,17 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: that of the least doc_id, then of the least hash; rows without a doc_id come last."""
+    """One row of each near-duplicate group, with the columns it came with: that of the least doc_id, then of the least hash.
+
+    Rows without a doc_id come last. Null texts count as empty, and all texts without words are one group. Of rows
+    with equal doc_id and text any one stays. Clashing column names stay as they are; an empty table gives no rows.
+    """
+    named, back = whole(docs, "doc_id", "text")
     # equal for rows of equal doc_id and text only, which are in one group
-    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
-    rows = clear(docs, "doc_id", "text").withColumn("_key", key)
-    prints = written(rows.mapInArrow(lambda it: _fingerprint(it, SHINGLE), "doc_id long, fp long, _key string"), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")
-    first = prints.join(_roots(prints), "fp").groupBy("root").agg(F.min(order).alias("first")).select("first._key")
-    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key = F.sha2(F.concat(F.coalesce(F.col("k_doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("k_text", F.lit(""))), 256)
+    named = named.withColumn("w_key", key)
+    rows = named.select(F.col("k_doc_id").alias("doc_id"), F.col("k_text").alias("text"), "w_key")
+    prints = written(rows.mapInArrow(lambda it: _fingerprint(it, SHINGLE), "doc_id long, fp long, w_key string"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "w_key")
+    first = prints.join(_roots(prints), "fp").groupBy("root").agg(F.min(order).alias("first")).select("first.w_key")
+    return back(named.join(first, "w_key", "left_semi").dropDuplicates(["w_key"]))
