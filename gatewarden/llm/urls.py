@@ -25,22 +25,27 @@ HOST = r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:
 def intervals(entries: DataFrame) -> DataFrame:
     """domain, category, since, until (null: still active) of a log (domain, category, action add/remove, at).
 
+    Domains count in lower case: a removal of ``b.org`` ends ``B.org``.
     An addition to what is listed already, and a removal of what is not, change nothing of the
     verdict; of entries of one domain, category and time the removal is the later. Rows that lack a value or have another action are left out.
     """
-    log = clear(entries, "domain", "category", "action", "at").where("domain is not null and category is not null and at is not null and action in ('add', 'remove')").dropDuplicates()
+    log = clear(entries, "domain", "category", "action", "at").where("domain is not null and category is not null and at is not null and action in ('add', 'remove')")
+    log = log.withColumn("domain", F.lower("domain")).dropDuplicates()
     order = W.partitionBy("domain", "category").orderBy("at", "action")
     spans = log.withColumn("until", F.lead("at").over(order)).where("action = 'add' and (until is null or until > at)")
-    return spans.select(F.lower("domain").alias("domain"), "category", F.col("at").alias("since"), "until")
+    return spans.select("domain", "category", F.col("at").alias("since"), "until")
 
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Rows (page_id, host, fetched_at) with blocked, domain, category and since of the deciding entry.
 
-    A null or unreadable URL has an empty host and is never blocked; a null time neither. Ties between
-    categories of one domain go to the earliest, then the first by name. Repeated rows stay.
+    Hosts are in lower case. An entry covers its domain and what lies below; one without a dot covers that very host
+    alone. A null or unreadable URL has an empty host and is never blocked; a null time neither. Ties between
+    categories of one domain go to the earliest, then the first by name. Repeated rows stay. An empty list blocks nothing,
+    empty captures give no rows.
     """
     spans = intervals(entries)
+    captures = clear(captures, "page_id", "host", "fetched_at")
     pairs = captures.select("host", "fetched_at").where("host <> '' and fetched_at is not null").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -88,10 +93,10 @@ def op7_url_filter(spark, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH captures AS (SELECT page_id, {HOST} AS host, TIMESTAMP '{START}' + to_days(CAST(page_id % 365 AS INTEGER)) + to_hours(CAST(page_id % 24 AS INTEGER)) AS fetched_at FROM pages),
 entries AS ({_entries_sql(HOSTS)}),
-log AS (SELECT DISTINCT domain, category, action, TIMESTAMP '{START}' + to_days(CAST(d AS INTEGER)) AS ts FROM entries),
+log AS (SELECT DISTINCT lower(domain) AS domain, category, action, TIMESTAMP '{START}' + to_days(CAST(d AS INTEGER)) AS ts FROM entries),
 nxt AS (SELECT *, lead(ts) OVER (PARTITION BY domain, category ORDER BY ts, action) AS until FROM log),
-spans AS (SELECT lower(domain) AS domain, category, ts AS since, until FROM nxt WHERE action = 'add' AND (until IS NULL OR until > ts)),
+spans AS (SELECT domain, category, ts AS since, until FROM nxt WHERE action = 'add' AND (until IS NULL OR until > ts)),
 hit AS (SELECT c.page_id, s.domain, s.category, s.since, row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.domain) DESC, s.since, s.category) AS k
-  FROM captures c JOIN spans s ON (c.host = s.domain OR ends_with(c.host, '.' || s.domain)) AND s.domain LIKE '%.%' AND s.since <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until))
+  FROM captures c JOIN spans s ON (c.host = s.domain OR (s.domain LIKE '%.%' AND ends_with(c.host, '.' || s.domain))) AND s.since <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until))
 SELECT c.page_id, c.host, c.fetched_at, h.page_id IS NOT NULL AS blocked, h.domain, h.category, h.since FROM captures c LEFT JOIN hit h ON h.page_id = c.page_id AND h.k = 1
 """
