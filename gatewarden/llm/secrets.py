@@ -5,7 +5,7 @@ kind leftmost first without overlaps. Entropy adds what no pattern names: runs o
 characters are candidate strings; by the characters they hold they belong to a class (hexadecimal,
 letters with digits, both cases with digits), and a window slides over each, its Shannon
 entropy kept up by the two counts that change at a step. Windows at or above the threshold of the class join
-into spans. Candidates that an allow-list pattern covers, and spans inside a pattern's span, are
+into spans. The parts of candidates that an allow-list pattern covers, and spans inside a pattern's span, are
 suppressed. All of it is one narrow pass over whole texts.
 """
 
@@ -31,13 +31,14 @@ LEAST_ASSIGN, LEAST_HEX = 12, 16
 WINDOW = 20
 #: Bits in a window of 20 characters, by class of the candidate.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "mixed": 3.8}
-#: Candidates that are known not to be secrets.
+#: Parts of candidates that are known not to be secrets; what a pattern covers is left out, the rest is scanned.
 ALLOWED = (
-    r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUID
-    r"(?i).*(?:example|sample|placeholder|dummy|changeme|your[_-]?key).*",
-    r"\d{4}-\d{2}-\d{2}.*",  # date and time
-    r"(?:[A-Za-z]+\d{0,4}[/_-])+[A-Za-z]*\d{0,4}",  # paths and slugs
-    r"(?i)0x.*|sha(?:1|224|256|384|512)-.*|(?i:md5)-.*",
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![0-9a-fA-F])",  # UUID
+    r"(?i)(?<![a-z0-9])[a-z0-9]*(?:example|sample|placeholder|dummy|changeme|your[_-]?key)[a-z0-9]*",  # one part of a run
+    r"(?<![A-Za-z0-9])\d{4}-\d{2}-\d{2}(?:T\d{2})?(?![A-Za-z0-9])",  # date and hour
+    r"(?<![A-Za-z0-9])(?:[A-Za-z]+\d{0,4}(?:[/_-]+|$))+",  # paths and slugs
+    r"(?<![A-Za-z0-9])0[xX](?:[0-9a-fA-F]{1,40}(?![A-Za-z0-9])|(?=[0-9a-fA-F]{41}))",  # numbers and addresses, of longer ones the mark alone
+    r"(?<![A-Za-z0-9])(?:sha1-[A-Za-z0-9+/]{27}=|sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}==|md5-[A-Za-z0-9+/]{22}==)",  # integrity
 )
 _, HEX = table(word=b"0123456789abcdef")
 _, KEY = table(word=b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
@@ -94,6 +95,17 @@ def hot_windows(candidate: bytes, threshold: float, window: int = WINDOW) -> lis
     return spans
 
 
+def unlisted(candidate: bytes, allowed: tuple[str, ...] = ALLOWED) -> list[tuple[int, bytes]]:
+    """What no allow-list pattern covers: (start, bytes) of each piece."""
+    covered = sorted(m.span() for p in _allowed(allowed) for m in p.finditer(candidate) if m.end() > m.start())
+    out, at = [], 0
+    for a, b in covered:
+        if a > at:
+            out.append((at, candidate[at:a]))
+        at = max(at, b)
+    return [*out, (at, candidate[at:])] if at < len(candidate) else out
+
+
 def spans_of(part: pa.RecordBatch, window: int = WINDOW, thresholds: dict = THRESHOLDS, allowed: tuple[str, ...] = ALLOWED) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, kind, end) in code points, sorted."""
     data, offsets = buffer_of(part.column("text"))
@@ -114,13 +126,15 @@ def spans_of(part: pa.RecordBatch, window: int = WINDOW, thresholds: dict = THRE
     for k in np.flatnonzero(ends - starts >= window).tolist():
         s, e, own = int(starts[k]), int(ends[k]), found[row[k]]
         candidate = bytes(view[s:e])
-        kind = class_of(candidate)
-        if kind is None or any(p.fullmatch(candidate) for p in _allowed(allowed)):
+        if class_of(candidate) is None:
             continue
         base = [x for x in own if x[1] < 3 and x[0] < e and s < x[2]]
-        for x, y in hot_windows(candidate, thresholds[kind], window):
-            if not any(b[0] <= s + x and s + y <= b[2] for b in base):
-                own.append((s + x, 3, s + y))
+        for begin, piece in unlisted(candidate, allowed):
+            kind = class_of(piece) if len(piece) >= window else None
+            for x, y in hot_windows(piece, thresholds[kind], window) if kind else ():
+                x, y = s + begin + x, s + begin + y
+                if not any(b[0] <= x and y <= b[2] for b in base):
+                    own.append((x, 3, y))
     if any(found):
         point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
         for i, own in enumerate(found):
@@ -149,7 +163,8 @@ def secrets(docs: DataFrame, window: int = WINDOW, thresholds: dict = THRESHOLDS
     """One row per document row: counts by kind, a digest of the pattern spans, all spans.
 
     Null texts count as empty; an empty text has no spans and the digest of the empty string.
-    Repeated rows stay; a null doc_id stays null; an empty table gives no rows.
+    Repeated rows stay; a null doc_id stays null; an empty table gives no rows; other columns are not read. Spans of
+    several kinds may overlap; at one start they stand in the order of the kinds.
     """
     return clear(docs, "doc_id", "text").mapInArrow(
         lambda it: _scan(it, window=window, thresholds=thresholds, allowed=allowed),
