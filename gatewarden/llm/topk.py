@@ -1,20 +1,21 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
 Vectors become integers, floor(64 x) by component, so a dimension is a term and its integer
-the term's weight. Rows sorted by id are cut into blocks of consecutive ids. A block keeps
-the largest and least weight of every term and a forward index (its rows' weights). The bound of a
-query on a block sums, over terms, the most that term can give. Each task orders the blocks it
+the term's weight. Rows are put in an order that brings like ones together (nearest of some pivots, then id) and cut into blocks, which
+are ranges of that order. A block keeps the largest and least weight of every term and a forward index (its rows'
+weights). The bound of a query on a block sums, over terms, the most that term can give. Each task orders the blocks it
 holds by bound for every query and scores them through their forward indexes, until the bound
-falls below the query's k-th score so far. The k best of all tasks are merged.
+falls below the query's k-th score so far. That score begins at the k-th of a sample of rows, so a task prunes from its first
+block on. The k best of all tasks are merged.
 
-Queries go out in sets of bounded size (``QUERY_BYTES``): each set is one pass over the blocks,
-and with more than one set its results are written before the next begins.
+The pivots and the first k-th scores come from a sample of bounded size (``SAMPLE`` rows, ``SAMPLE_BYTES``); they decide how much is
+pruned, never what is found. Queries are packed into sets of bounded size (``QUERY_BYTES``) by the executors; each set
+is one pass over the blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatewarden.llm.store import clear, written
+from gatewarden.llm.store import clear, new_path, written
 
-SCALE, TOP, EVERY, BLOCK = 64, 20, 20, 512
-QUERY_BYTES = 16 << 20
+SCALE, TOP, EVERY, BLOCK = 64, 20, 20, 256
+QUERY_BYTES, PART_BYTES = 16 << 20, 64 << 20
+SAMPLE, SAMPLE_BYTES, PIVOTS = 2048, 8 << 20, 256
 #: Largest component that takes part: its integer and any product of two still fit a 64-bit float's integers.
 _EXACT32, _EXACT64 = 1 << 24, 1 << 53
+_LEAST = np.iinfo(np.int64).min
 BLOCKS = "ids binary, weights binary, terms int, most binary, least binary"
+PACKS = "part int, pack int, ids binary, weights binary, terms int, floors binary"
+FOUND = "query_id long, vec_id long, score long, blocks long, scored long"
+#: Which vectors take part.
+WHOLE = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
 
 
 def weights(vectors: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +101,60 @@ def _opened(ids: bytes, data: bytes, terms: int) -> tuple[np.ndarray, np.ndarray
     return i, np.frombuffer(data, kind).reshape(len(i), terms).astype(np.int64)
 
 
+def _fitted(vectors: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(vectors[:, :width], ((0, 0), (0, max(0, width - vectors.shape[1]))))
+
+
+def pivots_of(sample: np.ndarray, number: int = PIVOTS) -> np.ndarray:
+    """Centres of a sample's rows: a few rounds of moving centres to the mean of what is nearest."""
+    centre = sample[:number].astype(np.float64)
+    for _ in range(4 if len(sample) > number else 0):
+        own = nearest(sample, centre)
+        count = np.bincount(own, minlength=len(centre))
+        total = np.zeros_like(centre)
+        np.add.at(total, own, sample)
+        centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
+    return centre
+
+
+def nearest(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    if not len(centre):
+        return np.zeros(len(rows), np.int64)
+    rows = _fitted(rows, centre.shape[1]).astype(np.float64)
+    return np.argmin((centre * centre).sum(axis=1)[None, :] - 2 * (rows @ centre.T), axis=1)
+
+
+def _placed(batches: Iterator[pa.RecordBatch], shared, scale: int) -> Iterator[pa.RecordBatch]:
+    """Rows that take part, with the pivot they are nearest to."""
+    _, _, centre = shared.value
+    for batch in batches:
+        good, w = weights(batch.column("embedding"), scale)
+        yield batch.filter(pa.array(good)).append_column("pivot", pa.array(nearest(w, centre), pa.int32()))
+
+
+def _packs(batches: Iterator[pa.RecordBatch], shared, scale: int, top: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Queries to sets of about ``limit`` bytes, each with the k-th score that the sample gives it."""
+    from pyspark import TaskContext
+
+    known, rows, _ = shared.value
+    part, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        good, w = weights(batch.column("embedding"), scale)
+        ids = batch.column("vec_id").cast(pa.int64()).to_numpy(zero_copy_only=False)[good]
+        step = max(1, limit // (8 * max(1, w.shape[1]) + 16))
+        for a in range(0, len(ids), step):
+            i, x = ids[a : a + step], w[a : a + step]
+            floors = np.full(len(i), _LEAST)
+            for b in range(0, len(i) if len(known) > top else 0, 1024):
+                score = inner(x[b : b + 1024], rows)
+                score[known[None, :] == i[b : b + 1024, None]] = _LEAST
+                floors[b : b + 1024] = np.partition(score, len(known) - top, axis=1)[:, len(known) - top]
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "pack": pa.array([number], pa.int32()), "ids": pa.array([i.tobytes()], pa.binary()), "weights": pa.array([x.tobytes()], pa.binary()), "terms": pa.array([x.shape[1]], pa.int32()), "floors": pa.array([floors.tobytes()], pa.binary())})
+            number += 1
+
+
 def _search(batches: Iterator[pa.RecordBatch], shared, top: int) -> Iterator[pa.RecordBatch]:
-    qid, qw = shared.value
+    qid, qw, floors = shared.value
     blocks, high, low = [], [], []
     for batch in batches:
         for row in zip(*(batch.column(c) for c in ("ids", "weights", "terms", "most", "least")), strict=True):
@@ -106,105 +165,102 @@ def _search(batches: Iterator[pa.RecordBatch], shared, top: int) -> Iterator[pa.
     if not blocks or not len(qid):
         return
     width = qw.shape[1]
-    fit = lambda x: np.stack([np.pad(v[:width], (0, max(0, width - len(v)))) for v in x]).astype(np.float64)
-    high, low = fit(high), fit(low)
-    for a in range(0, len(qid), 2048):
-        q, own = qw[a : a + 2048], qid[a : a + 2048]
+    high, low = (np.stack([_fitted(v[None, :], width)[0] for v in x]).astype(np.float64) for x in (high, low))
+    many = int(np.clip((1 << 22) // len(blocks), 64, 2048))
+    for a in range(0, len(qid), many):
+        q, own, floor = qw[a : a + many], qid[a : a + many], floors[a : a + many]
         plus, minus = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
         # a little above the true sum, so that rounding never lowers it
         bound = plus @ high.T + minus @ low.T
         bound += np.abs(bound) * 1e-9 + 1
         order = np.argsort(-bound, axis=1)
-        best = np.full((len(q), top), np.iinfo(np.int64).min)
+        best = np.full((len(q), top), _LEAST)
         name = np.full((len(q), top), np.iinfo(np.int64).max)
-        full = np.zeros(len(q), np.int64)
-        active = np.arange(len(q))
-        for step in range(len(blocks)):
-            nxt = order[active, step]
-            # the bound of the next block against the k-th score so far (ties may still win by their id)
-            alive = (full[active] < top) | (bound[active, nxt] >= best[active, top - 1])
-            active, nxt = active[alive], nxt[alive]
-            if not len(active):
-                break
-            by = np.argsort(nxt, kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(nxt[by])) + 1):
-                rows = active[part]
-                ids, w = _opened(*blocks[nxt[part[0]]])
+        full, scored = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        active, step, size = np.arange(len(q)), 0, 1
+        while step < len(blocks) and len(active):
+            # the bounds of the next blocks against the k-th score so far (ties may still win by their id)
+            nxt = order[active, step : step + size]
+            kth = np.maximum(floor[active], np.where(full[active] >= top, best[active, top - 1], _LEAST))
+            alive = np.take_along_axis(bound[active], nxt, axis=1) >= kth[:, None]
+            who, which = active[np.nonzero(alive)[0]], nxt[alive]
+            np.add.at(scored, who, 1)
+            by = np.argsort(which, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(which[by])) + 1) if len(by) else ():
+                rows = who[part]
+                ids, w = _opened(*blocks[which[part[0]]])
                 score = inner(q[rows], w)
                 other = ids[None, :] != own[rows][:, None]
-                if len(ids) > top:  # only what reaches the k-th best of the block or of the query so far can count
-                    masked = np.where(other, score, np.iinfo(np.int64).min)
-                    kth = np.partition(masked, len(ids) - top, axis=1)[:, len(ids) - top]
-                    floor = np.maximum(kth, best[rows, top - 1])
-                    r, c = np.nonzero(other & (score >= floor[:, None]))
-                else:
-                    r, c = np.nonzero(other)
+                # only what reaches the k-th score so far, or the k-th best of the block, can count
+                least = np.maximum(floor[rows], best[rows, top - 1])
+                if len(ids) > top:
+                    masked = np.where(other, score, _LEAST)
+                    least = np.maximum(least, np.partition(masked, len(ids) - top, axis=1)[:, len(ids) - top])
+                r, c = np.nonzero(other & (score >= least[:, None]))
                 if not len(r):
                     continue
                 old_r, old_c = np.nonzero(np.arange(top)[None, :] < full[rows][:, None])
                 all_r = np.concatenate([r, old_r])
                 all_s = np.concatenate([score[r, c], best[rows[old_r], old_c]])
                 all_n = np.concatenate([ids[c], name[rows[old_r], old_c]])
-                o = np.lexsort((all_n, -all_s.astype(np.float64) if np.abs(all_s).max(initial=0) < _EXACT64 else ~all_s, all_r))
+                o = np.lexsort((all_n, ~all_s, all_r))
                 all_r, all_s, all_n = all_r[o], all_s[o], all_n[o]
                 rank = np.arange(len(all_r)) - np.searchsorted(all_r, all_r, side="left")
                 keep = rank < top
                 all_r, rank = all_r[keep], rank[keep]
                 best[rows[all_r], rank], name[rows[all_r], rank] = all_s[keep], all_n[keep]
                 full[rows] = np.maximum(full[rows], np.bincount(all_r, minlength=len(rows)))
+            active = active[alive[:, -1]]  # bounds fall, so later blocks cannot count either
+            step, size = step + size, min(size * 2, 64) if step else 1
         r, c = np.nonzero(np.arange(top)[None, :] < full[:, None])
-        yield pa.record_batch({"query_id": pa.array(own[r]), "vec_id": pa.array(name[r, c]), "score": pa.array(best[r, c])})
-
-
-def _query_sets(queries: DataFrame, scale: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries in sets of bounded size, in id order; a repeated id keeps its least vector."""
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    size, last = 0, None
-
-    def packed() -> tuple[np.ndarray, np.ndarray]:
-        good, w = weights(pa.array(rows, pa.list_(pa.float64())), scale)
-        return np.array(ids, np.int64)[good], w
-
-    for row in queries.orderBy("vec_id", "embedding").toLocalIterator():
-        if row.vec_id == last:
-            continue
-        if row.embedding is None or any(x is None or x != x or x in (float("inf"), float("-inf")) for x in row.embedding):
-            continue
-        last = row.vec_id
-        ids.append(row.vec_id)
-        rows.append(list(row.embedding))
-        size += 8 * len(row.embedding) + 8
-        if size >= limit:
-            yield packed()
-            ids, rows, size = [], [], 0
-    if ids:
-        yield packed()
+        nothing = np.zeros(len(q), bool)
+        yield pa.record_batch({"query_id": pa.array(own[r]), "vec_id": pa.array(name[r, c]), "score": pa.array(best[r, c]), "blocks": pa.nulls(len(r), pa.int64()), "scored": pa.nulls(len(r), pa.int64())})
+        yield pa.record_batch({"query_id": pa.array(own), "vec_id": pa.array(own, mask=~nothing), "score": pa.array(own, mask=~nothing), "blocks": pa.array(np.full(len(q), len(blocks))), "scored": pa.array(scored)})
+
+
+def _matches(vectors: DataFrame, queries: DataFrame, top: int, scale: int, block: int, query_bytes: int) -> DataFrame:
+    """The best of every task for every query, and rows without vec_id that hold the blocks a task has and those it scored."""
+    spark = vectors.sparkSession
+    rows = clear(vectors, "vec_id", "embedding").where(WHOLE)
+    size = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    number = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * max(1, size[1]))))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(number).collect()
+    _, drawn = weights(pa.array([r.embedding for r in sample], pa.list_(pa.float64())), scale)
+    shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in sample], np.int64), drawn, pivots_of(drawn)))
+    # parts of bounded size, as a task holds one
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), -(-size[0] * size[1] * 4 // PART_BYTES))
+    placed = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(lambda it: _placed(it, shared, scale), "vec_id long, embedding array<double>, pivot int")
+    blocks = placed.repartitionByRange(parts, "pivot", "vec_id").sortWithinPartitions("pivot", "vec_id").select("vec_id", "embedding").mapInArrow(lambda it: _blocks(it, scale, block), BLOCKS)
+    blocks = written(blocks, "vector-blocks")
+    asked = clear(queries, "vec_id", "embedding").where(WHOLE).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    packs = written(asked.mapInArrow(lambda it: _packs(it, shared, scale, top, query_bytes), PACKS), "query-packs")
+    path = new_path(spark, "top-scores")
+    spark.createDataFrame([], FOUND).write.parquet(path)
+    for part, pack in sorted(packs.select("part", "pack").collect()):
+        row = packs.where((F.col("part") == part) & (F.col("pack") == pack)).first()  # one set, of bounded size
+        ids = np.frombuffer(row.ids, np.int64)
+        one = spark.sparkContext.broadcast((ids, np.frombuffer(row.weights, np.int64).reshape(len(ids), row.terms), np.frombuffer(row.floors, np.int64)))
+        blocks.mapInArrow(lambda it, one=one: _search(it, one, top), FOUND).write.mode("append").parquet(path)
+        one.destroy()
+    return spark.read.schema(FOUND).parquet(path)
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, scale: int = SCALE, block: int = BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` highest scores of each query over all vectors.
 
-    Ties go to the smaller vec_id. A query never finds rows of its own id. Rows with a null id
-    take no part; a repeated id among the queries counts once (its least vector), among candidates each row
-    counts. Vectors of different lengths are compared over the terms both have.
+    Ties go to the smaller vec_id. A query never finds rows of its own id. Rows with a null id, and vectors that are null or
+    hold null or non-finite numbers, take no part; a repeated id among the queries counts once (its least vector), among candidates each row
+    counts. Vectors of different lengths are compared over the terms both have. Without queries or vectors there are no rows;
+    other columns are not read.
     """
-    spark = vectors.sparkSession
-    rows = clear(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null")
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-    blocks = rows.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(lambda it: _blocks(it, scale, block), BLOCKS)
-    blocks = written(blocks, "vector-blocks")
-    found = []
-    for pack in _query_sets(clear(queries, "vec_id", "embedding").where("vec_id is not null and embedding is not null"), scale, query_bytes):
-        if found:
-            found[-1] = written(found[-1], "top-scores")
-        shared = spark.sparkContext.broadcast(pack)
-        best = blocks.mapInArrow(lambda it, shared=shared: _search(it, shared, top), "query_id long, vec_id long, score long")
-        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        found.append(best.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return reduce(DataFrame.unionByName, found)
+    best = _matches(vectors, queries, top, scale, block, query_bytes).where("vec_id is not null")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def work(vectors: DataFrame, queries: DataFrame, top: int = TOP, scale: int = SCALE, block: int = BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """One row: pairs of a query and a block, and how many of them were scored (the others were pruned)."""
+    return _matches(vectors, queries, top, scale, block, query_bytes).agg(F.sum("blocks").alias("blocks"), F.sum("scored").alias("scored"))
 
 
 def op4_top_scores(spark, sf_dir: str) -> DataFrame:
