@@ -6,20 +6,22 @@ LENGTH bytes, the leftmost with the least hash. Equal strings have equal anchors
 strings mostly share one, so a document is a list of short contexts, one for each run of
 strings with a common anchor.
 
-1. ``_anchors`` (narrow) lists anchors with a hash of their context. Contexts that a smaller
-   document of the same chunk has too are settled there, so a passage that fills a third of all
-   documents travels once a chunk. The rest go to the task of their anchor, packed.
-2. ``_meet`` settles contexts that a smaller document has in full, and names those that
-   share only their anchor with other contexts: a repeat may cover a part of them.
-3. ``_fetch`` reads the bytes of these contexts from the documents, and ``_expand`` compares
-   them: over the Burrows-Wheeler transform of the contexts of a block, intervals of strings are
+1. ``_anchors`` (narrow) lists anchors. Contexts that a smaller document of the same chunk has too, byte for byte, are
+   settled there, so a passage that fills a third of all documents travels once a chunk. The rest go to the task
+   of their anchor, packed, without their bytes.
+2. ``_meet`` keeps the anchors that occur in several documents. Nothing is decided by a hash: equal anchors
+   only name contexts to be compared.
+3. ``_fetch`` reads the bytes of these contexts from the documents, and ``_expand`` compares them. Contexts of one anchor that
+   are equal byte for byte become one with the least of its documents; among different ones,
+   over the Burrows-Wheeler transform of the contexts of a block, intervals of strings are
    extended backward one byte at a time, breadth first, which derives the common prefixes of
    neighbouring suffixes by increasing value. It stops at LENGTH, where suffixes still joined
-   share a string of that length; the least document of such a group keeps it.
-4. ``_remove`` takes the settled strings out of the documents.
+   share a string of that length; the least document of such a group keeps it. (Different contexts that agree on neither half
+   around their anchor cannot share such a string, and are left out by the hashes of their halves.)
+4. ``_remove`` takes the found strings out of the documents.
 
-Memory: a task holds what it reads of one bucket of anchors or documents; there are as many of each
-as shuffle partitions. Nothing is collected.
+Memory: a task holds one part of the anchors or documents. Parts hold about ``PART_BYTES`` of text, whatever the input
+(there are no fewer than shuffle partitions), and each has a partition of its own. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from gatewarden.llm.store import clear, written
 
 LENGTH, GRAM = 50, 16
 GATHER = 1 << 19  # anchors packed together
+PART_BYTES = 8 << 20  # of text, by part
 SUFFIXES = 1 << 17  # of one transform
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any
 
@@ -57,15 +60,50 @@ def unpacked(data: bytes, kind: str, keep: int | None = None) -> np.ndarray:
     return full.view(kind).ravel()
 
 
+def own_partitions(parts: int) -> np.ndarray:
+    """For each partition an integer that ``repartition(parts, column)`` sends there: no two parts share a partition."""
+    out = np.full(parts, -1, np.int32)
+    left, base = parts, 0
+    with np.errstate(over="ignore"):
+        while left:  # the hash of an integer that Spark deals by: 32-bit MurmurHash3, seed 42
+            x = np.arange(base, base + 4 * parts, dtype=np.uint32)
+            turned = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+            h = np.uint32(42) ^ (turned(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+            h = (turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+            h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+            h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+            place = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+            first, at = np.unique(place, return_index=True)
+            new = out[first] < 0
+            out[first[new]] = x[at[new]].view(np.int32)
+            left, base = int((out < 0).sum()), base + 4 * parts
+    return out
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are equal, for each (sizes of 8 and more)."""
+    same = np.ones(len(a), bool)
+    if len(a):
+        words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+        for k in range(0, int(size.max()), 8):
+            step = np.minimum(k, size - 8)
+            same &= words[a + step] == words[b + step]
+    return same
+
+
+def document_part(ids: np.ndarray, th: np.ndarray, deal: np.ndarray) -> np.ndarray:
+    return deal[(mixed(ids.astype(np.int64).view(np.uint64) ^ (th.astype(np.int64).view(np.uint64) << np.uint64(17))) % np.uint64(len(deal))).astype(np.int64)]
+
+
 class Spans:
     """Runs of strings of documents: document (index of keys), first start, number, and for open ones the anchor."""
 
-    DDL = "part int, docs binary, doc binary, start binary, count binary, anchor binary"
+    DDL = "part int, docs binary, doc binary, start binary, count binary, anchor binary, has_open boolean"
 
     @staticmethod
-    def rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, parts: int) -> pa.RecordBatch:
+    def rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, deal: np.ndarray) -> pa.RecordBatch:
         """One row for each part of documents; ``keys`` are (id, text hash) pairs; anchor 0: settled."""
-        part = (mixed(keys[:, 0].view(np.uint64) ^ (keys[:, 1].view(np.uint64) << np.uint64(17))) % np.uint64(parts)).astype(np.int64)[doc]
+        part = document_part(keys[:, 0], keys[:, 1], deal)[doc]
         order = np.lexsort((start, doc, part))
         part, doc, start, count, anchor = (x[order] for x in (part, doc, start, count, anchor))
         out: dict[str, list] = {k: [] for k in ("part", "docs", "doc", "start", "count", "anchor")}
@@ -78,7 +116,7 @@ class Spans:
             out["start"].append(packed(start[a:b].astype(np.uint32)))
             out["count"].append(packed(count[a:b].astype(np.uint8)))
             out["anchor"].append(packed(anchor[a:b]))
-        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("docs", "doc", "start", "count", "anchor")]], names=list(out))
+        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("docs", "doc", "start", "count", "anchor")], pa.array([bool(anchor.any())] * len(out["part"]))], names=[*out, "has_open"])
 
     @staticmethod
     def read(row: dict) -> tuple[np.ndarray, ...]:
@@ -106,48 +144,58 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram
     return row[begin], begin - offsets[row[begin]], count, grams[place], mixed(context ^ (place - begin).astype(np.uint64))
 
 
-def _settled(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (anchor, context, doc), and in that order whether a smaller document has the same context."""
+def _settled(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by anchor, and in that order whether a smaller document has the same context, byte for byte."""
     order = np.argsort(anchor)
     a = anchor[order]
     same = np.zeros(len(a), bool)
     same[1:] = a[1:] == a[:-1]
     same[:-1] |= same[1:]  # only anchors that occur again need the other keys
     again = order[same]
-    order[same] = again[np.lexsort((doc[again], context[again], anchor[again]))]
-    a, c, d = anchor[order], context[order], doc[order]
-    head = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]) if len(a) else np.zeros(0, bool)
-    least = d[np.flatnonzero(head)][np.cumsum(head) - 1] if len(a) else d
-    return order, d > least
-
-
-def _anchors(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    order[same] = again = again[np.lexsort((doc[again], context[again], anchor[again]))]
+    a, c, d = anchor[again], context[again], doc[again]
+    done = np.zeros(len(order), bool)
+    if len(again):
+        head = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+        least = np.flatnonzero(head)[np.cumsum(head) - 1]
+        other = np.flatnonzero((d > d[least]) & (size[again] == size[again[least]]))
+        one, two = again[other], again[least[other]]
+        gone = np.zeros(len(again), bool)
+        gone[other] = equal_bytes(data, begin[one], begin[two], size[one])
+        done[same] = gone
+    return order, done
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], deal: np.ndarray, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     keys: list[np.ndarray] = []
-    n_keys, n_held = 0, 0
+    bytes_held: list[np.ndarray] = []
+    n_keys = n_held = n_bytes = 0
+    parts = len(deal)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal held, keys, n_keys, n_held
-        all_keys = np.concatenate(keys)
-        doc, start, count, anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
-        held, keys, n_keys, n_held = [], [], 0, 0
+        nonlocal held, keys, bytes_held, n_keys, n_held, n_bytes
+        all_keys, data = np.concatenate(keys), np.concatenate(bytes_held)
+        doc, begin, start, count, anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
+        held, keys, bytes_held, n_keys, n_held, n_bytes = [], [], [], 0, 0, 0
         if not len(doc):
             return
-        order, done = _settled(anchor, context, all_keys[doc, 0])
-        doc, start, count, anchor, context = (x[order] for x in (doc, start, count, anchor, context))
+        order, done = _settled(data, begin, count + length - 1, anchor, context, all_keys[doc, 0])
+        del data, begin, context
+        doc, start, count, anchor = (x[order] for x in (doc, start, count, anchor))
         if done.any():
-            own = Spans.rows(all_keys, doc[done], start[done], count[done], np.zeros(int(done.sum()), np.uint64), parts)
+            own = Spans.rows(all_keys, doc[done], start[done], count[done], np.zeros(int(done.sum()), np.uint64), deal)
             for i in range(own.num_rows):  # on their way to the documents they pass through the tasks of anchors
-                yield _sent(i % parts, None, None, None, None, None, _ipc(own.slice(i, 1)))
-        doc, start, count, anchor, context = (x[~done] for x in (doc, start, count, anchor, context))
+                yield _sent(int(deal[i % parts]), None, None, None, None, None, _ipc(own.slice(i, 1)))
+        doc, start, count, anchor = (x[~done] for x in (doc, start, count, anchor))
         part = ((anchor >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
         by = np.argsort(part, kind="stable")  # the anchors of a part stay sorted
-        doc, start, count, anchor, context, part = (x[by] for x in (doc, start, count, anchor, context, part))
+        doc, start, count, anchor, part = (x[by] for x in (doc, start, count, anchor, part))
         at = runs(part)
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
             used, local = np.unique(doc[a:b], return_inverse=True)
             step = np.diff(anchor[a:b] >> np.uint64(16), prepend=np.uint64(0))  # 48 bits; a chance equality only adds a comparison
-            yield _sent(int(part[a]), packed(all_keys[used].ravel()), packed(local.astype(np.uint32)), packed(start[a:b].astype(np.uint32)), packed(count[a:b].astype(np.uint8)), _two(packed(step), packed(context[a:b], 6)), None)
+            yield _sent(int(deal[part[a]]), packed(all_keys[used].ravel()), packed(local.astype(np.uint32)), packed(start[a:b].astype(np.uint32)), packed(count[a:b].astype(np.uint8)), packed(step), None)
 
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
@@ -155,15 +203,16 @@ def _anchors(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: i
             row, start, count, anchor, context = anchors_of(data, offsets, length, gram)
             ids = part.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
             keys.append(np.stack([ids, part.column("th").to_numpy(zero_copy_only=False)], 1))
-            held.append((row + n_keys, start, count, anchor, context))
-            n_keys, n_held = n_keys + len(ids), n_held + len(row)
+            bytes_held.append(data)
+            held.append((row + n_keys, offsets[row] + start + n_bytes, start, count, anchor, context))
+            n_keys, n_held, n_bytes = n_keys + len(ids), n_held + len(row), n_bytes + len(data)
             if n_held >= GATHER:
                 yield from flush()
     if keys:
         yield from flush()
 
 
-ANCHORS = "part int, docs binary, doc binary, start binary, count binary, hashes binary, pass binary"
+ANCHORS = "part int, docs binary, doc binary, start binary, count binary, anchors binary, pass binary"
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -173,12 +222,8 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def _two(a: bytes, b: bytes) -> bytes:
-    return len(a).to_bytes(8, "little") + a + b
-
-
 def _sent(part: int, *columns: bytes | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in columns]], names=["part", "docs", "doc", "start", "count", "hashes", "pass"])
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in columns]], names=["part", "docs", "doc", "start", "count", "anchors", "pass"])
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -195,7 +240,8 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield now, rows
 
 
-def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], deal: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Anchors of several documents, with where they stand."""
     for _, rows in _by_part(batches):
         keys, held, n_keys = [], [], 0
         for row in rows:
@@ -203,30 +249,22 @@ def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
                 yield from pa.ipc.open_stream(row["pass"])
                 continue
             own = unpacked(row["docs"], "<i8").reshape(-1, 2)
-            size = int.from_bytes(row["hashes"][:8], "little")
-            anchor = np.cumsum(unpacked(row["hashes"][8 : 8 + size], "<u8"), dtype=np.uint64)
-            context = unpacked(row["hashes"][8 + size :], "<u8", 6)
-            held.append((unpacked(row["doc"], "<u4").astype(np.int64) + n_keys, unpacked(row["start"], "<u4").astype(np.int64), unpacked(row["count"], "<u1").astype(np.int64), anchor, context))
+            anchor = np.cumsum(unpacked(row["anchors"], "<u8"), dtype=np.uint64)
+            held.append((unpacked(row["doc"], "<u4").astype(np.int64) + n_keys, unpacked(row["start"], "<u4").astype(np.int64), unpacked(row["count"], "<u1").astype(np.int64), anchor))
             keys.append(own)
             n_keys += len(own)
         if not held:
             continue
         keys = np.concatenate(keys)
-        doc, start, count, anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, start, count, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
         held = []
-        order, done = _settled(anchor, context, keys[doc, 0])
-        doc, start, count, anchor, context = (x[order] for x in (doc, start, count, anchor, context))
-        # groups of an anchor with different contexts of different documents stay open
-        at = runs(anchor)
-        size = np.diff(np.append(at, len(anchor)))
-        ids = keys[doc, 0]
-        mixed_docs = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
-        many = np.minimum.reduceat(context, at) != np.maximum.reduceat(context, at)
-        open_ = np.repeat(mixed_docs & many, size) & ~done
-        use = done | open_
-        if use.any():
-            mark = np.where(open_, anchor | np.uint64(1 << 63), np.uint64(0))
-            yield Spans.rows(keys, doc[use], start[use], count[use], mark[use], parts)
+        order = np.argsort(anchor)
+        at = runs(anchor[order])
+        ids = keys[doc[order], 0]
+        many = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at) if len(at) else np.zeros(0, bool)
+        use = order[np.repeat(many, np.diff(np.append(at, len(order))))]
+        if len(use):
+            yield Spans.rows(keys, doc[use], start[use], count[use], anchor[use] | np.uint64(1 << 63), deal)
 
 
 CONTEXTS = "part int, id long, th long, start long, count int, anchor long, bytes binary"
@@ -237,7 +275,7 @@ def _documents(table: pa.Table) -> tuple[dict[tuple[int, int], int], pa.Table]:
     return {k: i for i, k in enumerate(zip(ids, table.column("th").to_pylist(), strict=True))}, table
 
 
-def _fetch(docs: pa.Table, spans: pa.Table, parts: int, length: int) -> pa.Table:
+def _fetch(docs: pa.Table, spans: pa.Table, deal: np.ndarray, length: int) -> pa.Table:
     """Bytes of the open contexts of a part of the documents."""
     place, _ = _documents(docs)
     text = docs.column("text").cast(pa.large_binary()).combine_chunks()
@@ -256,7 +294,7 @@ def _fetch(docs: pa.Table, spans: pa.Table, parts: int, length: int) -> pa.Table
         at = np.concatenate([[0], np.cumsum(size)])
         flat = data[np.arange(at[-1]) + np.repeat(a - at[:-1], size)]
         raw = pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)])
-        out.append(pa.table({"part": pa.array((mixed(anchor) % np.uint64(parts)).astype(np.int32)), "id": keys[doc, 0], "th": keys[doc, 1], "start": start, "count": count.astype(np.int32), "anchor": anchor.view(np.int64), "bytes": raw.cast(pa.binary())}))
+        out.append(pa.table({"part": pa.array(deal[(mixed(anchor) % np.uint64(len(deal))).astype(np.int64)]), "id": keys[doc, 0], "th": keys[doc, 1], "start": start, "count": count.astype(np.int32), "anchor": anchor.view(np.int64), "bytes": raw.cast(pa.binary())}))
     if out:
         return pa.concat_tables(out)
     return pa.table({"part": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "th": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "count": pa.array([], pa.int32()), "anchor": pa.array([], pa.int64()), "bytes": pa.array([], pa.binary())})
@@ -367,29 +405,52 @@ def repeated(contexts: list[np.ndarray] | tuple[np.ndarray, np.ndarray], doc: np
     return owner[hit], place[hit]
 
 
-def _expand(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _copies(flat: np.ndarray, at: np.ndarray, anchor: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each context the index of the first, by id, of those equal to it byte for byte."""
+    size = np.diff(at)
+    hashed = [np.zeros(0, np.uint64)]
+    for i in range(0, len(size), 8192):
+        own = at[i : i + 8193] - at[i]
+        hashed.append(span_hash(prefix_hash(flat[at[i] : at[i] + own[-1]]), own[:-1], own[1:]))
+    content = np.concatenate(hashed)
+    order = np.lexsort((ids, content, size, anchor))
+    a, c, n = anchor[order], content[order], size[order]
+    head = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])]) if len(order) else np.zeros(0, bool)
+    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else order
+    equal = equal_bytes(flat, at[:-1][order], at[:-1][first], n)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(equal, first, order)  # a chance equality of hashes: the context stands for itself
+    return out
+
+
+def _expand(batches: Iterator[pa.RecordBatch], deal: np.ndarray, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for _, table in _tables(batches):
         table = table.combine_chunks()
         flat, at = buffer_of(table.column("bytes").chunk(0))
         anchor = table.column("anchor").to_numpy().view(np.uint64)
         ids = table.column("id").to_numpy()
         size = np.diff(at)
+        first = _copies(flat, at, anchor, ids)
+        own = np.flatnonzero(first == np.arange(len(first)))  # different contexts, each with the least of its documents
         # Of two contexts with an anchor, a common string of this length covers the bytes before it or after it
         # by half: only contexts that agree with one of another document on such a half are compared.
         near = np.zeros(len(ids), bool)
-        halves = [np.concatenate(x) for x in zip(*(_halves(flat, at[i : i + 8193], anchor[i : i + 8192], length, gram) for i in range(0, len(ids), 8192)), strict=True)]
-        for half in halves:
+        for half in _halves(flat, at, own, anchor, length, gram):
             fits = np.flatnonzero(half)
             order = fits[np.argsort(half[fits], kind="stable")]
             head = runs(half[order])
-            both = np.minimum.reduceat(ids[order], head) != np.maximum.reduceat(ids[order], head) if len(head) else np.zeros(0, bool)
-            near[order[np.repeat(both, np.diff(np.append(head, len(order))))]] = True
+            both = np.minimum.reduceat(ids[own[order]], head) != np.maximum.reduceat(ids[own[order]], head) if len(head) else np.zeros(0, bool)
+            near[own[order[np.repeat(both, np.diff(np.append(head, len(order))))]]] = True
         keep = np.flatnonzero(near)
         keep = keep[np.argsort(anchor[keep], kind="stable")]
         ends = np.cumsum(size[keep] + 1)
         bounds = np.append(runs(anchor[keep]), len(keep))
         a = 0
-        found: list[tuple] = []
+        # copies of what a smaller document has go whole
+        copy = np.flatnonzero(ids > ids[first])
+        found = [(copy, np.zeros(len(copy), np.int64), size[copy] - length + 1)]
+        twin = np.flatnonzero((ids == ids[first]) & (first != np.arange(len(first))))  # more than one of them in the least document
+        twin = twin[np.argsort(first[twin], kind="stable")]
         while a < len(keep):  # whole anchors, about SUFFIXES suffixes at a time
             room = (ends[a - 1] if a else 0) + SUFFIXES
             b = int(bounds[np.searchsorted(bounds, np.searchsorted(ends, room), side="right") - 1])
@@ -398,32 +459,35 @@ def _expand(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: in
             rel = np.concatenate([[0], np.cumsum(size[part])])
             text = flat[np.arange(rel[-1]) + np.repeat(at[part] - rel[:-1], size[part])]
             who, start = repeated((text, rel), ids[part], length)
-            found.append((part[who], start))
+            if len(who):
+                who = part[who]
+                head = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)]))
+                who, start, count = who[head], start[head], np.diff(np.append(head, len(who)))
+                low, high = np.searchsorted(first[twin], who, "left"), np.searchsorted(first[twin], who, "right")
+                more = np.repeat(np.arange(len(who)), high - low)
+                also = twin[np.arange(len(more)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[more]]
+                found += [(who, start, count), (also, start[more], count[more])]
             a = b
-        if not found:
-            continue
-        who, start = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(who):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)]))
-        count = np.diff(np.append(first, len(who)))
-        keys = np.stack([ids, table.column("th").to_numpy()], 1)
-        begin = table.column("start").to_numpy()[who[first]] + start[first]
-        yield Spans.rows(keys, who[first], begin, count, np.zeros(len(first), np.uint64), parts)
-
-
-def _halves(flat: np.ndarray, at: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
-    """Hashes of the anchor with the bytes before it, and after it, of each context (0: it does not reach so far)."""
-    flat, at = flat[at[0] : at[-1]], at - at[0]
-    prefix = prefix_hash(flat)
-    every = np.arange(max(0, len(flat) - gram + 1))
-    spot = window_argmin(span_hash(prefix, every, every + gram), length - gram + 1)[at[:-1]]
-    middle, out = (length - gram) // 2, []
-    for a, b in ((spot - middle, spot + gram), (spot, spot + gram + middle)):
-        half = np.zeros(len(anchor), np.uint64)
-        fits = np.flatnonzero((a >= at[:-1]) & (b <= at[1:]))
-        half[fits] = span_hash(prefix, a[fits], b[fits]) ^ mixed(anchor[fits]) | np.uint64(1)
-        out.append(half)
+        who, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(who):
+            keys = np.stack([ids, table.column("th").to_numpy()], 1)
+            yield Spans.rows(keys, who, table.column("start").to_numpy()[who] + start, count, np.zeros(len(who), np.uint64), deal)
+
+
+def _halves(flat: np.ndarray, at: np.ndarray, which: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+    """Hashes of the anchor with the bytes before it, and after it, of the contexts ``which`` (0: it does not reach so far)."""
+    middle, out = (length - gram) // 2, [np.zeros(len(which), np.uint64) for _ in range(2)]
+    for i in range(0, len(which), 8192):
+        part = which[i : i + 8192]
+        size = at[part + 1] - at[part]
+        own = np.concatenate([[0], np.cumsum(size)])
+        text = flat[np.arange(own[-1]) + np.repeat(at[part] - own[:-1], size)]
+        prefix = prefix_hash(text)
+        every = np.arange(max(0, len(text) - gram + 1))
+        spot = window_argmin(span_hash(prefix, every, every + gram), length - gram + 1)[own[:-1]]
+        for k, (a, b) in enumerate(((spot - middle, spot + gram), (spot, spot + gram + middle))):
+            fits = np.flatnonzero((a >= own[:-1]) & (b <= own[1:]))
+            out[k][i + fits] = span_hash(prefix, a[fits], b[fits]) ^ mixed(anchor[part[fits]]) | np.uint64(1)
     return out
 
 
@@ -479,32 +543,32 @@ def _remove(docs: pa.Table, spans: pa.Table, length: int, texts: bool) -> pa.Tab
     return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_n, pa.int64()), **last})
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or with ``texts`` the bytes, kept) of each row.
 
     A null text counts as empty. A null doc_id counts as larger than any other. Rows of one doc_id do not
-    remove from each other; equal rows get equal results. An empty table gives no rows.
+    remove from each other; equal rows get equal results. An empty table gives no rows; other columns are not read.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = clear(docs, "doc_id", "text").withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit((1 << 31) - 1)))
-    sent = rows.mapInArrow(lambda it: _anchors(it, parts, length, gram), ANCHORS)
-    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _meet(it, parts), Spans.DDL)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    deal = own_partitions(parts)
+    sent = rows.mapInArrow(lambda it: _anchors(it, deal, length, gram), ANCHORS)
+    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _meet(it, deal), Spans.DDL)
     met = written(met, "repeat-spans")
-    own = rows.mapInArrow(lambda it: _parted(it, parts), "doc_id long, text binary, th long, part int")
-    whole = own.groupBy("part")
-    contexts = whole.cogroup(met.groupBy("part")).applyInArrow(lambda a, b: _fetch(a, b, parts, length), CONTEXTS)
-    more = contexts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _expand(it, parts, length, gram), Spans.DDL)
-    spans = met.unionByName(more)
+    own = rows.mapInArrow(lambda it: _parted(it, deal), "doc_id long, text binary, th long, part int").repartition(parts, "part").groupBy("part")
+    contexts = own.cogroup(met.where("has_open").repartition(parts, "part").groupBy("part")).applyInArrow(lambda a, b: _fetch(a, b, deal, length), CONTEXTS)
+    more = contexts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _expand(it, deal, length, gram), Spans.DDL)
+    spans = met.where("not has_open").unionByName(more).repartition(parts, "part")
     schema = REMOVED.replace("kept_sha256 string", "kept binary") if texts else REMOVED
-    return whole.cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _remove(a, b, length, texts), schema)
+    return own.cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _remove(a, b, length, texts), schema)
 
 
-def _parted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _parted(batches: Iterator[pa.RecordBatch], deal: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
-        th = batch.column("th").to_numpy(zero_copy_only=False)
-        part = mixed(ids.view(np.uint64) ^ (th.view(np.uint64) << np.uint64(17))) % np.uint64(parts)
-        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "text": batch.column("text").cast(pa.binary()), "th": batch.column("th"), "part": pa.array(part.astype(np.int32))})
+        part = document_part(ids, batch.column("th").to_numpy(zero_copy_only=False), deal)
+        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "text": batch.column("text").cast(pa.binary()), "th": batch.column("th"), "part": pa.array(part)})
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
