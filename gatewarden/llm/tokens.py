@@ -4,9 +4,9 @@ Encoding. Texts are cut where the vocabulary's own pattern always cuts; the libr
 distinct piece once, and ids are gathered from what is known (``Encoder``).
 
 Shards. Documents are dealt to shards by ranges of doc_id and sorted. A shard is one row with one
-binary: a wavelet matrix of its ids (one compressed bit plane a bit, with the number of zeros of
-each), the ids' documents and lengths. ``Shard`` opens it: access, rank, select, counting
-and occurrences of any id without decoding the rest of the planes' order.
+binary: a wavelet matrix of its ids (a bit plane a bit, compressed in blocks, with a directory of the blocks' places and of
+the ones before them), the ids' documents and lengths. ``Shard`` opens it: access, rank, select, counting
+and occurrences of any id read the directory and one block a plane.
 
 Flat files (``separator_scan``): ids of many documents, one after another, each ended by a
 separator id, cut into blocks of equal size at any place, with no index. Blocks are searched for the
@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,58 +172,95 @@ class Encoder:
 
 # ---- wavelet matrix
 
+_HEAD, _MAGIC = "<4sQQHI", b"WMX2"
+BITS = 1 << 15  # of a plane that are pressed together
 
-def _pack(planes: list[np.ndarray], doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, n: int, zeros: list[int]) -> bytes:
-    press = zstandard.ZstdCompressor(level=1)
-    parts = [press.compress(x.tobytes()) for x in (doc_ids, known, lengths, *planes)]
-    head = struct.pack("<4sQQH", b"WMX1", n, len(doc_ids), len(planes)) + struct.pack(f"<{len(zeros)}Q{len(parts)}Q", *zeros, *map(len, parts))
-    return head + b"".join(parts)
 
+def shard_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, bits: int = BITS) -> bytes:
+    """A shard file: a head, the directory, the documents, and the bit planes.
 
-def shard_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """A shard file: bit planes from the highest bit down, each stably parted by its own bits."""
-    n, bits = len(ids), max(1, int(ids.max()).bit_length() if len(ids) else 1)
-    seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-    planes, zeros = [], []
-    for level in range(bits - 1, -1, -1):
+    Planes go from the highest bit down, each stably parted by its own bits. A plane is pressed in blocks
+    of ``bits`` bits; the directory holds, for each block, where it begins and how many ones are before it. So whoever
+    has the directory finds rank and select by opening one block a plane.
+    """
+    n, levels = len(ids), max(1, int(ids.max()).bit_length() if len(ids) else 1)
+    seq = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+    press = zstandard.ZstdCompressor(level=1)
+    known = np.array([x is not None for x in doc_ids], np.uint8)
+    tables = [press.compress(x.tobytes()) for x in (np.array([x or 0 for x in doc_ids], "<i8"), known, np.asarray(lengths, "<i8"))]
+    blocks, before, zeros = [], [], []
+    for level in range(levels - 1, -1, -1):
         one = (seq & seq.dtype.type(1 << level)) != 0
-        planes.append(np.packbits(one))
+        plane = np.packbits(one)
+        ends = np.arange(0, n, bits)
+        ones = np.add.reduceat(one.astype(np.int64), ends) if n else np.zeros(0, np.int64)
+        before.append(np.cumsum(ones) - ones)
+        blocks += [press.compress(plane[a // 8 : (a + bits) // 8].tobytes()) for a in ends.tolist()]
         seq = np.concatenate([seq[~one], seq[one]])
-        zeros.append(n - int(np.count_nonzero(one)))
-    known = np.array([x is not None for x in doc_ids], np.uint8)
-    return _pack(planes, np.array([x or 0 for x in doc_ids], "<i8"), known, np.asarray(lengths, "<i8"), n, zeros)
+        zeros.append(n - int(ones.sum()))
+    sizes = np.array([*map(len, tables), *map(len, blocks)], "<u4")
+    head = struct.pack(_HEAD, _MAGIC, n, len(doc_ids), levels, bits)
+    return b"".join([head, np.array(zeros, "<u8").tobytes(), sizes.tobytes(), np.concatenate(before).astype("<u4").tobytes() if n else b"", *tables, *blocks])
 
 
 class Shard:
-    """An open shard file. ``size`` ids; all positions count from 0."""
+    """An open shard file: access, rank, select, counting and occurrences. All positions count from 0.
 
-    BLOCK = 512
+    Opening reads the head and the directory; every other call reads the blocks that it needs, one a plane for access and rank, and
+    keeps a few of them. The file is a buffer, or a function of (offset, size) that reads from wherever it lies. Without
+    documents the file has no ids; ids that do not occur have rank 0.
+    """
 
-    def __init__(self, data: bytes) -> None:
-        magic, self.size, docs, levels = struct.unpack_from("<4sQQH", data)
-        if magic != b"WMX1":
+    def __init__(self, data: bytes | Callable[[int, int], bytes], kept: int = 64) -> None:
+        self._read = data if callable(data) else lambda at, n: data[at : at + n]
+        head = struct.calcsize(_HEAD)
+        magic, self.size, docs, levels, self.bits = struct.unpack(_HEAD, bytes(self._read(0, head)))
+        if magic != _MAGIC:
             raise ValueError("not a shard file")
-        at = struct.calcsize("<4sQQH")
-        sizes = struct.unpack_from(f"<{levels}Q{levels + 3}Q", data, at)
-        self.zeros, sizes = sizes[:levels], sizes[levels:]
-        at += 8 * (2 * levels + 3)
-        press, parts = zstandard.ZstdDecompressor(), []
-        for n in sizes:
-            parts.append(press.decompress(data[at : at + n]))
-            at += n
-        raw, known, lengths, *planes = parts
-        self.lengths = np.frombuffer(lengths, "<i8")
-        self.doc_ids = [d if k else None for d, k in zip(np.frombuffer(raw, "<i8").tolist(), np.frombuffer(known, np.uint8).tolist(), strict=True)]
-        self.planes = [np.frombuffer(x, np.uint8) for x in planes]
-        self._ones: list[np.ndarray] | None = None
+        self.blocks = -(-self.size // self.bits)
+        parts = 3 + levels * self.blocks
+        raw = bytes(self._read(head, 8 * levels + 4 * parts + 4 * levels * self.blocks))
+        self.zeros = np.frombuffer(raw, "<u8", levels).astype(np.int64).tolist()
+        sizes = np.frombuffer(raw, "<u4", parts, 8 * levels).astype(np.int64)
+        self._ones = np.frombuffer(raw, "<u4", levels * self.blocks, 8 * levels + 4 * parts).astype(np.int64).reshape(levels, -1)
+        ends = head + len(raw) + np.cumsum(sizes)
+        self._at, self._sizes = (ends - sizes).tolist(), sizes.tolist()
+        self._press, self._kept, self._most = zstandard.ZstdDecompressor(), {}, kept
+        self._documents: tuple | None = None
+
+    def _part(self, i: int) -> bytes:
+        return self._press.decompress(bytes(self._read(self._at[i], self._sizes[i])))
+
+    def _block(self, depth: int, block: int) -> np.ndarray:
+        key = depth * self.blocks + block
+        if key not in self._kept:
+            if len(self._kept) >= self._most:
+                del self._kept[next(iter(self._kept))]
+            self._kept[key] = np.frombuffer(self._part(3 + key), np.uint8)
+        return self._kept[key]
+
+    def _docs(self) -> tuple[list[int | None], np.ndarray]:
+        if self._documents is None:
+            ids, known, lengths = np.frombuffer(self._part(0), "<i8"), np.frombuffer(self._part(1), np.uint8), np.frombuffer(self._part(2), "<i8")
+            self._documents = [d if k else None for d, k in zip(ids.tolist(), known.tolist(), strict=True)], lengths
+        return self._documents
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return self._docs()[0]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._docs()[1]
 
     def ids(self) -> np.ndarray:
         """All ids: the planes' partings undone from the last to the first."""
-        levels = len(self.planes)
+        levels = len(self.zeros)
         kind = np.uint16 if levels <= 16 else np.uint32
         seq = np.zeros(self.size, kind)
         for depth in range(levels - 1, -1, -1):
-            one = np.unpackbits(self.planes[depth], count=self.size).view(bool)
+            plane = b"".join(self._part(3 + depth * self.blocks + b) for b in range(self.blocks))
+            one = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.size).view(bool)
             z = self.zeros[depth]
             new = np.empty_like(seq)
             new[~one] = seq[:z]
@@ -232,23 +269,32 @@ class Shard:
         return seq
 
     def _rank1(self, depth: int, i: int) -> int:
-        """Ones in the first i bits of a plane, by sampled sums and one block's bit count."""
-        if self._ones is None:
-            step = self.BLOCK // 8
-            self._ones = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), step)))]) if len(p) else np.zeros(1, np.int64) for p in self.planes]
-        block, rest = divmod(i, self.BLOCK)
-        total = int(self._ones[depth][block])
+        """Ones in the first i bits of a plane: the directory's sum before a block, and bits counted in it."""
+        if i == self.size:
+            return self.size - self.zeros[depth]
+        block, rest = divmod(i, self.bits)
+        total = int(self._ones[depth, block])
         if rest:
-            part = self.planes[depth][block * (self.BLOCK // 8) :][: (rest + 7) // 8]
-            total += int(np.unpackbits(part, count=rest).sum())
+            part = self._block(depth, block)
+            total += int(np.bitwise_count(part[: rest >> 3]).sum())
+            if rest & 7:
+                total += (int(part[rest >> 3]) >> (8 - (rest & 7))).bit_count()
         return total
 
+    def _select(self, depth: int, bit: int, k: int) -> int:
+        """Place in a plane of the k-th (from 0) of its ones or zeros."""
+        before = self._ones[depth] if bit else np.arange(self.blocks) * self.bits - self._ones[depth]
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        here = np.unpackbits(self._block(depth, block), count=min(self.bits, self.size - block * self.bits))
+        return block * self.bits + int(np.flatnonzero(here == bit)[k - int(before[block])])
+
     def access(self, i: int) -> int:
         if not 0 <= i < self.size:
             raise IndexError(i)
         out = 0
         for depth, z in enumerate(self.zeros):
-            bit = (int(self.planes[depth][i >> 3]) >> (7 - (i & 7))) & 1
+            block, rest = divmod(i, self.bits)
+            bit = (int(self._block(depth, block)[rest >> 3]) >> (7 - (rest & 7))) & 1
             ones = self._rank1(depth, i)
             i = z + ones if bit else i - ones
             out = out << 1 | bit
@@ -276,16 +322,7 @@ class Shard:
         i = self._down(token, 0) + k
         for depth in range(len(self.zeros) - 1, -1, -1):
             bit = token >> (len(self.zeros) - 1 - depth) & 1
-            want = i - self.zeros[depth] if bit else i
-            low, high = 0, self.size
-            while low < high:  # first position with want + 1 such bits at or before it
-                mid = (low + high) // 2
-                ones = self._rank1(depth, mid + 1)
-                if (ones if bit else mid + 1 - ones) > want:
-                    high = mid
-                else:
-                    low = mid + 1
-            i = low
+            i = self._select(depth, bit, i - self.zeros[depth] if bit else i)
         return i
 
     def occurrences(self, token: int) -> list[int]:
@@ -315,7 +352,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -
         return out
 
     for batch in batches:
-        for part in slices(batch, "text", 3 << 20):
+        for part in slices(batch, "text", 3 << 19):
             flat, lengths = Encoder.of(path).encode(part.column("text"), end)
             ids.append(flat)
             sizes.append(lengths)
@@ -327,7 +364,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -
         yield row()
 
 
-def write_shards(docs: DataFrame, vocab: str | None = None, end: int = END, shard_tokens: int = 4 << 20, path: str | None = None) -> str:
+def write_shards(docs: DataFrame, vocab: str | None = None, end: int = END, shard_tokens: int = 2 << 20, path: str | None = None) -> str:
     """Writes the shard files of documents in ascending doc_id order (nulls first, equal ids by a hash of the text); returns their folder."""
     spark = docs.sparkSession
     vocab, path = vocab or vocabulary(), path or new_path(spark, "token-shards")
@@ -397,7 +434,7 @@ def _flat(batches: Iterator[pa.RecordBatch], path: str, end: int, block: int) ->
 
     names = 0
     for batch in batches:
-        for part in slices(batch, "text", 3 << 20):
+        for part in slices(batch, "text", 3 << 19):
             flat, lengths = Encoder.of(path).encode(part.column("text"), end)
             own = flat == end
             own[np.cumsum(lengths) - 1] = False
