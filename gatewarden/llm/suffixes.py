@@ -267,7 +267,29 @@ def _meet(batches: Iterator[pa.RecordBatch], deal: np.ndarray) -> Iterator[pa.Re
             yield Spans.rows(keys, doc[use], start[use], count[use], anchor[use] | np.uint64(1 << 63), deal)
 
 
-CONTEXTS = "part int, id long, th long, start long, count int, anchor long, bytes binary"
+CONTEXTS = "part int, docs binary, doc binary, start binary, count binary, anchor binary, bytes binary"
+
+
+def _packed_contexts(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, data: np.ndarray, begin: np.ndarray, deal: np.ndarray, length: int) -> pa.Table:
+    """Contexts with their bytes, one row for each part of anchors."""
+    part = (mixed(anchor) % np.uint64(len(deal))).astype(np.int64)
+    order = np.lexsort((anchor, part))
+    doc, start, count, anchor, begin, part = (x[order] for x in (doc, start, count, anchor, begin, part))
+    out: dict[str, list] = {k: [] for k in ("part", "docs", "doc", "start", "count", "anchor", "bytes")}
+    press, at = zstandard.ZstdCompressor(level=1), runs(part)
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
+        used, local = np.unique(doc[a:b], return_inverse=True)
+        size = count[a:b] + length - 1
+        ends = np.cumsum(size)
+        flat = data[np.arange(ends[-1]) + np.repeat(begin[a:b] - ends + size, size)]
+        out["part"].append(int(deal[part[a]]))
+        out["docs"].append(packed(keys[used].ravel()))
+        out["doc"].append(packed(local.astype(np.uint32)))
+        out["start"].append(packed(start[a:b].astype(np.uint32)))
+        out["count"].append(packed(count[a:b].astype(np.uint8)))
+        out["anchor"].append(packed(anchor[a:b] & np.uint64((1 << 48) - 1), 6))
+        out["bytes"].append(press.compress(flat.tobytes()))
+    return pa.table({"part": pa.array(out.pop("part"), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
 
 def _documents(table: pa.Table) -> tuple[dict[tuple[int, int], int], pa.Table]:
@@ -280,8 +302,8 @@ def _fetch(docs: pa.Table, spans: pa.Table, deal: np.ndarray, length: int) -> pa
     place, _ = _documents(docs)
     text = docs.column("text").cast(pa.large_binary()).combine_chunks()
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks else text
-    out = []
     data, offsets = buffer_of(text) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    held, all_keys, n_keys = [], [np.zeros((0, 2), np.int64)], 0
     for row in spans.to_pylist():
         keys, doc, start, count, anchor = Spans.read(row)
         some = np.flatnonzero(anchor)
@@ -289,15 +311,25 @@ def _fetch(docs: pa.Table, spans: pa.Table, deal: np.ndarray, length: int) -> pa
             continue
         doc, start, count, anchor = doc[some], start[some], count[some], anchor[some]
         where = np.array([place.get(k, -1) for k in map(tuple, keys.tolist())], np.int64)[doc]
-        a = offsets[where] + start
-        size = count + length - 1
-        at = np.concatenate([[0], np.cumsum(size)])
-        flat = data[np.arange(at[-1]) + np.repeat(a - at[:-1], size)]
-        raw = pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)])
-        out.append(pa.table({"part": pa.array(deal[(mixed(anchor) % np.uint64(len(deal))).astype(np.int64)]), "id": keys[doc, 0], "th": keys[doc, 1], "start": start, "count": count.astype(np.int32), "anchor": anchor.view(np.int64), "bytes": raw.cast(pa.binary())}))
-    if out:
-        return pa.concat_tables(out)
-    return pa.table({"part": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "th": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "count": pa.array([], pa.int32()), "anchor": pa.array([], pa.int64()), "bytes": pa.array([], pa.binary())})
+        held.append((doc + n_keys, start, count, anchor, offsets[where] + start))
+        all_keys.append(keys)
+        n_keys += len(keys)
+    doc, start, count, anchor, begin = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 5
+    return _packed_contexts(np.concatenate(all_keys), doc, start, count, anchor.astype(np.uint64), data, begin, deal, length)
+
+
+def _contexts(rows: list[dict], length: int) -> tuple[np.ndarray, ...]:
+    """Keys of documents, and of each context its document, start, anchor, and bytes (flat, with where they begin)."""
+    keys, held, flat, n_keys = [], [], [], 0
+    press = zstandard.ZstdDecompressor()
+    for row in rows:
+        own = unpacked(row["docs"], "<i8").reshape(-1, 2)
+        held.append((unpacked(row["doc"], "<u4").astype(np.int64) + n_keys, unpacked(row["start"], "<u4").astype(np.int64), unpacked(row["count"], "<u1").astype(np.int64), unpacked(row["anchor"], "<u8", 6)))
+        flat.append(np.frombuffer(press.decompress(row["bytes"]), np.uint8))
+        keys.append(own)
+        n_keys += len(own)
+    doc, start, count, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
+    return np.concatenate(keys), doc, start, anchor, np.concatenate(flat), np.concatenate([[0], np.cumsum(count + length - 1)])
 
 
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
@@ -332,14 +364,13 @@ def prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     n = len(text)
     order = suffix_order(text, length)
     last = text[order - 1]  # the transform; the text is read as a circle
-    size = int(text.max()) + 1
-    total = np.bincount(text, minlength=size)
-    base = np.concatenate([[0], np.cumsum(total)])[:size]
-    occ = np.zeros((size, n + 1), np.int32)
-    for c in range(1, size):
-        np.cumsum(last == c, out=occ[c, 1:])
+    back = np.empty(n, np.int64)  # the row one step to the left, of rows that follow no 0
+    back[np.argsort(last, kind="stable")] = np.arange(n)
+    change = np.zeros(n, np.int64)  # rows in between that follow another byte than the row before
+    np.cumsum(last[1:] != last[:-1], out=change[1:])
+    total = np.bincount(text)
+    base = np.cumsum(total) - total
     lead = text[order]
-    back = base[last] + occ[last, np.arange(n)]  # the row one step to the left, of rows that follow no 0
     border = np.zeros(n + 1, bool)
     border[[0, n]] = True
     # intervals of all single bytes
@@ -348,17 +379,16 @@ def prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     one = high - low == 1
     single, low, high = low[one], low[~one], high[~one]
     for _ in range(1, length):
-        wide = high - low > 8
-        new_low, new_high = [], []
-        if wide.any():
-            i, j = low[wide], high[wide]
-            for c in range(1, size):
-                a, b = base[c] + occ[c, i], base[c] + occ[c, j]
-                fresh = np.flatnonzero((a < b) & ~border[b])
-                new_low.append(a[fresh])
-                new_high.append(b[fresh])
-        # few rows: each goes one step to the left, and those that stay side by side are one interval
-        i, j = low[~wide], high[~wide]
+        # an interval whose rows all follow one byte goes to the left as it is
+        same = change[low] == change[high - 1]
+        i, j = low[same], high[same]
+        some = last[i] != 0
+        a = back[i[some]]
+        b = a + (j - i)[some]
+        fresh = ~border[b]
+        new_low, new_high = [a[fresh]], [b[fresh]]
+        # of others each row goes one step to the left, and those that stay side by side are one interval
+        i, j = low[~same], high[~same]
         many = j - i
         rows = np.repeat(i - np.cumsum(many) + many, many) + np.arange(many.sum())
         own = np.repeat(np.arange(len(i)), many)
@@ -374,10 +404,9 @@ def prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         left = single[last[single] != 0]
         left = back[left]
         left = left[~border[left + 1]]
-        for b in new_high:
-            border[b] = True
+        low, high = np.concatenate(new_low), np.concatenate(new_high)
+        border[high] = True
         border[left + 1] = True
-        low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (new_low, new_high))
         one = high - low == 1
         single = np.concatenate([left, low[one]])
         low, high = low[~one], high[~one]
@@ -424,12 +453,10 @@ def _copies(flat: np.ndarray, at: np.ndarray, anchor: np.ndarray, ids: np.ndarra
 
 
 def _expand(batches: Iterator[pa.RecordBatch], deal: np.ndarray, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for _, table in _tables(batches):
-        table = table.combine_chunks()
-        flat, at = buffer_of(table.column("bytes").chunk(0))
-        anchor = table.column("anchor").to_numpy().view(np.uint64)
-        ids = table.column("id").to_numpy()
-        size = np.diff(at)
+    for _, rows in _by_part(batches):
+        keys, doc, begin, anchor, flat, at = _contexts(rows, length)
+        del rows
+        ids, size = keys[doc, 0], np.diff(at)
         first = _copies(flat, at, anchor, ids)
         own = np.flatnonzero(first == np.arange(len(first)))  # different contexts, each with the least of its documents
         # Of two contexts with an anchor, a common string of this length covers the bytes before it or after it
@@ -470,8 +497,7 @@ def _expand(batches: Iterator[pa.RecordBatch], deal: np.ndarray, length: int, gr
             a = b
         who, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
         if len(who):
-            keys = np.stack([ids, table.column("th").to_numpy()], 1)
-            yield Spans.rows(keys, who, table.column("start").to_numpy()[who] + start, count, np.zeros(len(who), np.uint64), deal)
+            yield Spans.rows(keys, doc[who], begin[who] + start, count, np.zeros(len(who), np.uint64), deal)
 
 
 def _halves(flat: np.ndarray, at: np.ndarray, which: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
@@ -491,21 +517,6 @@ def _halves(flat: np.ndarray, at: np.ndarray, which: np.ndarray, anchor: np.ndar
     return out
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    now, held = None, []
-    for batch in batches:
-        part = batch.column("part").to_numpy()
-        at = runs(part)
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
-            if part[a] != now and held:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = int(part[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
