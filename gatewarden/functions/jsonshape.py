@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 import json as jsonlib
-
 from collections.abc import Sequence
 from typing import Any
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gatewarden.functions.normalize import interleaved
-from gatewarden.functions.redact import redacted
+from gatewarden.functions.redact import let, redacted
 from gatewarden.rules import EntityRule
 
 STRING = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
@@ -30,7 +30,7 @@ def strict_json(text: Column) -> Column:
     """
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when((F.size(listed) == 1) & inside.isNotNull(), F.try_parse_json(text))
+    return let(listed, lambda v: F.when((F.size(v) == 1) & inside.isNotNull(), F.get(v, 0)))
 
 
 def blob(text: Column) -> Column:
@@ -53,29 +53,63 @@ def _kind(value: Column) -> Column:
     )
 
 
-def schema_errors(value: Column, schema: dict[str, Any], path: str = "") -> Column:
+KNOWN = {
+    "type", "enum", "const", "required", "properties", "patternProperties", "additionalProperties", "items", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength",
+    "minItems", "maxItems", "uniqueItems", "pattern", "minProperties", "maxProperties", "allOf", "anyOf", "oneOf", "not", "$ref", "$defs", "definitions",
+}
+
+
+def _target(root: dict[str, Any], ref: str, seen: tuple[str, ...]) -> Any:
+    """What a local reference of a schema points to; a cycle cannot be written out as an expression and raises."""
+    if not ref.startswith("#") or ref in seen:
+        raise NotImplementedError(f"schema reference {ref}: {'refers to itself' if ref in seen else 'only references within the schema are known'}")
+    found: Any = root
+    for part in ref[1:].split("/")[1:]:
+        found = found[part.replace("~1", "/").replace("~0", "~")]
+    return found
+
+
+def _named_like(pattern: str):
+    return lambda e: F.regexp_like(e["key"], F.lit(pattern))
+
+
+def _value_of(below, sub: dict[str, Any] | bool, name: str):
+    return lambda e: below(e["value"], sub, f"/{name}")
+
+
+def schema_errors(value: Column, schema: dict[str, Any] | bool, path: str = "", root: dict[str, Any] | None = None, seen: tuple[str, ...] = ()) -> Column:
     """Errors of a variant against a JSON schema, as ``path: message``; empty if it is valid.
 
-    Known keywords: type, enum, const, required, properties, additionalProperties false, items, minimum, maximum,
-    exclusiveMinimum, exclusiveMaximum, minLength, maxLength, minItems, maxItems, pattern. Any other raises.
+    Known keywords: see ``KNOWN``; references are local and must not be cyclic. Any other keyword raises.
     """
-    known = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "minItems", "maxItems", "pattern"}
-    if unknown := set(schema) - known - ANNOTATIONS:
+    none = F.array().cast("array<string>")
+    if isinstance(schema, bool):
+        return none if schema else F.array(F.lit(f"{path}: no value is allowed"))
+    if unknown := set(schema) - KNOWN - ANNOTATIONS:
         raise NotImplementedError(f"schema keywords: {', '.join(sorted(unknown))}")
+    root = schema if root is None else root
+    return let(value, lambda v: _errors(v, schema, path, root, seen))
+
+
+def _errors(value: Column, schema: dict[str, Any], path: str, root: dict[str, Any], seen: tuple[str, ...]) -> Column:
+    none = F.array().cast("array<string>")
     kind, out = _kind(value), []
+    below = lambda v, sub, more="": schema_errors(v, sub, path + more, root, seen)
+    fits = lambda sub: F.size(below(value, sub)) == 0
 
     def unless(good: Column, message: str) -> None:
-        out.append(F.when(~F.coalesce(good, F.lit(False)), F.array(F.lit(f"{path}: {message}"))).otherwise(F.array().cast("array<string>")))
+        out.append(F.when(~F.coalesce(good, F.lit(False)), F.array(F.lit(f"{path}: {message}"))).otherwise(none))
 
     if "type" in schema:
         wanted = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
         unless(kind.isin(*wanted, *(["integer"] if "number" in wanted else [])), f"is not of type {' or '.join(wanted)}")
     for options in [schema["enum"]] if "enum" in schema else [[schema["const"]]] if "const" in schema else []:
-        unless(F.to_json(value).isin(*[jsonlib.dumps(x, separators=(",", ":"), ensure_ascii=False) for x in options]), "is not one of the values allowed")
+        unless(F.to_json(value).isin(*[jsonlib.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True) for x in options]), "is not one of the values allowed")
     number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
     for word, test, message in (
         ("minimum", lambda x: number >= x, "is less than the minimum"), ("maximum", lambda x: number <= x, "is greater than the maximum"),
         ("exclusiveMinimum", lambda x: number > x, "is not greater than the minimum"), ("exclusiveMaximum", lambda x: number < x, "is not less than the maximum"),
+        ("multipleOf", lambda x: F.abs(number / x - F.round(number / x)) < 1e-9, "is not a multiple"),
     ):
         if word in schema:
             unless(~kind.isin("integer", "number") | test(F.lit(float(schema[word]))), message)
@@ -87,19 +121,43 @@ def schema_errors(value: Column, schema: dict[str, Any], path: str = "") -> Colu
         unless((kind != "array") | (F.size(items) >= schema["minItems"]), "has too few items")
     if "maxItems" in schema:
         unless((kind != "array") | (F.size(items) <= schema["maxItems"]), "has too many items")
+    if schema.get("uniqueItems"):
+        unless((kind != "array") | let(F.transform(items, lambda v: F.to_json(v)), lambda x: F.size(F.array_distinct(x)) == F.size(x)), "has equal items")
     if "items" in schema:
-        each = F.flatten(F.transform(items, lambda v: schema_errors(v, schema["items"], f"{path}/items")))
-        out.append(F.when(kind == "array", F.coalesce(each, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+        each = F.flatten(F.transform(items, lambda v: below(v, schema["items"], "/items")))
+        out.append(F.when(kind == "array", F.coalesce(each, none)).otherwise(none))
     member = lambda k: F.try_variant_get(value, f"$['{k}']", "variant")
+    named, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
     for k in schema.get("required", []):
         unless((kind != "object") | member(k).isNotNull(), f"lacks the property {k}")
-    for k, sub in schema.get("properties", {}).items():
-        found = schema_errors(member(k), sub, f"{path}/{k}")
-        out.append(F.when((kind == "object") & member(k).isNotNull(), found).otherwise(F.array().cast("array<string>")))
-    if schema.get("additionalProperties") is False:
-        extra = F.array_except(F.json_object_keys(F.to_json(value)), F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>"))
-        unless((kind != "object") | (F.size(extra) == 0), "has properties beyond those allowed")
-    return F.concat(*out) if out else F.array().cast("array<string>")
+    for k, sub in named.items():
+        out.append(F.when((kind == "object") & member(k).isNotNull(), below(member(k), sub, f"/{k}")).otherwise(none))
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
+    for p, sub in patterns.items():
+        each = F.flatten(F.transform(F.filter(entries, _named_like(p)), _value_of(below, sub, p)))
+        out.append(F.when(kind == "object", F.coalesce(each, none)).otherwise(none))
+    rest = schema.get("additionalProperties", True)
+    if rest is not True:
+        free = lambda e: ~e["key"].isin(*named) & ~F.regexp_like(e["key"], F.lit("|".join(f"(?:{p})" for p in patterns) or "(?!)"))
+        if rest is False:
+            unless((kind != "object") | (F.size(F.filter(entries, free)) == 0), "has properties beyond those allowed")
+        else:
+            each = F.flatten(F.transform(F.filter(entries, free), lambda e: below(e["value"], rest, "/*")))
+            out.append(F.when(kind == "object", F.coalesce(each, none)).otherwise(none))
+    if "minProperties" in schema:
+        unless((kind != "object") | (F.size(entries) >= schema["minProperties"]), "has too few properties")
+    if "maxProperties" in schema:
+        unless((kind != "object") | (F.size(entries) <= schema["maxProperties"]), "has too many properties")
+    out += [below(value, sub) for sub in schema.get("allOf", [])]
+    if "anyOf" in schema:
+        unless(functools.reduce(lambda x, y: x | y, map(fits, schema["anyOf"]), F.lit(False)), "fits none of the alternatives")
+    if "oneOf" in schema:
+        unless(functools.reduce(lambda x, y: x + y, [fits(sub).cast("int") for sub in schema["oneOf"]], F.lit(0)) == 1, "does not fit exactly one of the alternatives")
+    if "not" in schema:
+        unless(~fits(schema["not"]), "fits what is excluded")
+    if "$ref" in schema:
+        out.append(schema_errors(value, _target(root, schema["$ref"], seen), path, root, (*seen, schema["$ref"])))
+    return F.concat(*out) if out else none
 
 
 def validated(text: Column, schema: dict[str, Any]) -> Column:
@@ -136,6 +194,16 @@ def to_chat_messages(system: Column, messages: Column) -> Column:
     return F.when(system.isNotNull(), F.concat(lead, plain)).otherwise(plain)
 
 
+def max_tokens(asked: Column) -> Column:
+    """The bound of a reply that a chat request carries; a request without one has 1024."""
+    return F.coalesce(asked.cast("int"), F.lit(1024))
+
+
+def usage_of_blocks(prompt_tokens: Column, completion_tokens: Column) -> Column:
+    """Usage under the names of the interface of blocks; counts that are missing are 0."""
+    return F.struct(F.coalesce(prompt_tokens, F.lit(0)).alias("input_tokens"), F.coalesce(completion_tokens, F.lit(0)).alias("output_tokens"))
+
+
 def to_blocks(content: Column, calls: Column, denied: Column | None = None) -> Column:
     """Blocks of a chat reply: text, a tool_use for each call (arguments that are no JSON become {}), denied tools; never none."""
     block = lambda kind, text=None, id=None, name=None, input=None: F.struct(*[(F.lit(None).cast("string") if x is None else x).alias(n) for n, x in (("type", F.lit(kind)), ("text", text), ("id", id), ("name", name), ("input", input))])

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.functions.normalize import normalized_literal, with_normalized
-from gatewarden.rules import TIERS, EntityRule, RuleSet, quoted
+from gatewarden.rules import TIERS, EntityRule, RuleSet, needed, quoted
 
+#: So many literals are searched for one by one.
+FEW = 64
 VERDICT = "struct<level: string, rule: string>"
 
 
@@ -26,14 +29,26 @@ def first_literal(norm: Column, literals: Sequence[str]) -> Column:
     if not literals:
         return F.lit(None).cast("string")
     one = "(" + "|".join(map(quoted, literals)) + ")"
-    return F.nullif(F.regexp_extract(norm, one, 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(norm, one, 1), F.lit(""))
+    if len(literals) > FEW:
+        return found
+    # most texts hold none, which searches for each tell sooner than the alternation
+    return F.when(functools.reduce(lambda x, y: x | y, [F.contains(norm, F.lit(x)) for x in literals]), found)
 
 
 def first_pattern(norm: Column, patterns: Sequence[str], unicode: bool = False) -> Column:
     """The first declared pattern that matches anywhere, as its text."""
     if not patterns:
         return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(F.regexp_like(norm, F.lit(java(p, True, unicode))), F.lit(p)) for p in patterns])
+    return F.coalesce(*[F.when(_may_hold(norm, p, unicode) & F.regexp_like(norm, F.lit(java(p, True, unicode))), F.lit(p)) for p in patterns])
+
+
+def _may_hold(norm: Column, pattern: str, unicode: bool) -> Column:
+    """Whether the text holds what every match of a pattern holds, in any case."""
+    part = needed(pattern)
+    if not part or (unicode and part.lower() != part.upper()):
+        return F.lit(True)
+    return F.contains(norm if part.lower() == part.upper() else F.lower(norm), F.lit(part.lower()))
 
 
 def automaton_literal(norm: Column, literals: Sequence[str]) -> Column:
@@ -43,10 +58,10 @@ def automaton_literal(norm: Column, literals: Sequence[str]) -> Column:
     chosen = list(dict.fromkeys(literals))
 
     @F.pandas_udf("string")
-    def found(texts: pd.Series) -> pd.Series:
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        tree = ahocorasick.Automaton()
+        tree = ahocorasick.Automaton()  # once a task, not once a batch
         for i, x in enumerate(chosen):
             tree.add_word(x, (i, len(x)))
         tree.make_automaton()
@@ -55,7 +70,8 @@ def automaton_literal(norm: Column, literals: Sequence[str]) -> Column:
             best = min(((end - n + 1, i) for end, (i, n) in tree.iter(text)), default=None) if text else None
             return chosen[best[1]] if best else None
 
-        return texts.map(one)
+        for texts in batches:
+            yield texts.map(one)
 
     return found(norm)
 
@@ -110,8 +126,8 @@ def contains_entity(text: Column, rules: Sequence[EntityRule], entities: set[str
     chosen = [r for r in rules if entities is None or r.entity in entities]
     if not chosen:
         return F.lit(False)
-    found = [F.regexp_like(text, F.lit(r.pattern)) for r in chosen]
-    return F.coalesce(found[0] if len(found) == 1 else F.greatest(*found), F.lit(False))
+    one = lambda r: F.regexp_like(text, F.lit(r.pattern)) if not needed(r.pattern) else F.contains(text, F.lit(needed(r.pattern))) & F.regexp_like(text, F.lit(r.pattern))
+    return F.coalesce(functools.reduce(lambda x, y: x | y, map(one, chosen)), F.lit(False))
 
 
 def wildcard(name: Column, pattern: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,12 +19,14 @@ SPELLED = r"[0-9A-Za-z](?:[-._*~][0-9A-Za-z]){3,}"
 
 
 def zero_width(text: Column) -> Column:
-    return F.translate(text, ZERO_WIDTH, "")
+    for c in ZERO_WIDTH:  # few texts have any; a search for each is cheaper than a look at every character
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def lower(text: Column) -> Column:
     """Case by character, whatever its neighbours: a final sigma is like any other."""
-    return F.lower(F.translate(text, "Σ", "σ"))
+    return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
 
 
 def leet(text: Column) -> Column:
@@ -33,14 +35,33 @@ def leet(text: Column) -> Column:
 
 def spaces(text: Column) -> Column:
     """Runs of space, tab and line ends become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"[ \n\r\t]+", " "))
+    return F.trim(F.regexp_replace(text, r" [ \n\r\t]+|[\n\r\t][ \n\r\t]*", " "))
+
+
+#: Stands for no character; put around matches. Texts that hold it all the same go the longer way.
+MARK = "\uffff"
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def parted(text: Column, pattern: str) -> Column:
+    """The text cut at the matches of a pattern: what is before the first, the first, what is between, the second, and so on.
+
+    One search: matches are marked where they stand, and the text is cut at the marks.
+    """
+    quick = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(pieces, found, lambda p, m: F.when(m.isNull(), F.array(p)).otherwise(F.array(p, m)))
+    return F.when(F.contains(text, F.lit(MARK)), F.flatten(both)).otherwise(quick)
 
 
 def interleaved(text: Column, pattern: str, change) -> Column:
     """The text with each match of a pattern changed by a function of a Column."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(pieces, F.transform(found, change), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(both, "")).otherwise(text)
+    made = lambda parts: F.when(F.size(parts) > 1, F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, change(x)).otherwise(x)), "")).otherwise(text)
+    return let(parted(text, pattern), made)
 
 
 def collapse_separators(text: Column) -> Column:
@@ -59,19 +80,22 @@ def normalized(text: Column, options: Normalize = Normalize()) -> Column:
     return collapse_separators(text) if options.separators else text
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    # the array library's own function leaves characters decomposed
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def compatible(text: Column) -> Column:
+    """The compatibility form; only texts beyond ASCII are sent to Python, as others are their own."""
+    beyond = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)
+    return F.coalesce(_nfkc(beyond), text)
 
 
 def with_normalized(df: DataFrame, text: str, out: str, options: Normalize = Normalize()) -> DataFrame:
-    """Adds the normalized text. Only rows beyond ASCII go through Python for their compatibility form."""
-    if not options.nfkc:
-        return df.withColumn(out, normalized(F.col(text), options))
-    beyond = F.coalesce(F.regexp_like(F.col(text), F.lit(r"[^\x00-\x7F]")), F.lit(False))
-    plain = df.where(~beyond).withColumn(out, F.col(text))
-    wide = df.where(beyond).withColumn(out, _nfkc(F.col(text)))
-    return plain.unionByName(wide).withColumn(out, normalized(F.col(out), options))
+    """Adds the normalized text, in one read of the rows."""
+    df = df.withColumn(out, compatible(F.col(text)) if options.nfkc else F.col(text))
+    return df.withColumn(out, normalized(F.col(out), options))
 
 
 def normalized_literal(pattern: str, options: Normalize = Normalize()) -> str:

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewarden.rules import BARE, INDEXED, LLM_GUARD, OUTPUT_PHRASES, EntityRule, quoted
+from gatewarden.functions.normalize import let, parted
+from gatewarden.rules import BARE, INDEXED, LLM_GUARD, OUTPUT_PHRASES, EntityRule, needed, quoted
 
 STYLES = {"bare": BARE, "indexed": INDEXED, "numbered": INDEXED, "llm_guard": LLM_GUARD, "llm-guard": LLM_GUARD}
 
@@ -31,24 +32,41 @@ def chosen(rules: Sequence[EntityRule], entities: set[str] | None) -> list[Entit
 
 
 def redacted(text: Column, rules: Sequence[EntityRule], entities: set[str] | None = None) -> Column:
-    """Every match of every rule becomes [ENTITY]."""
+    """Every match of every rule becomes [ENTITY].
+
+    A rule is tried where the text, as it came, holds what every match must hold: no placeholder can bring that in.
+    """
+    whole = text
+
+    def tried(r: EntityRule, part: str | None, t: Column) -> Column:
+        changed = F.regexp_replace(t, F.lit(r.pattern), F.lit(f"[{r.entity}]"))
+        return F.when(F.contains(whole, F.lit(part)), changed).otherwise(t) if part else changed
+
+    def trying(r: EntityRule, part: str):
+        return lambda t: tried(r, part, t)
+
     for r in chosen(rules, entities):
-        text = F.regexp_replace(text, F.lit(r.pattern), F.lit(f"[{r.entity}]"))
+        part = needed(r.pattern)
+        if part and not any(part in f"[{x.entity}]" for x in rules) and not set("[]") & set(part):
+            text = let(text, trying(r, part))
+        else:
+            text = tried(r, None, text)
     return text
 
 
 def _rule_rows(rules: Sequence[EntityRule], style: str) -> Column:
     """Rules as an array of pattern, head, tail, to be folded over: each rule's result is then made once."""
-    return F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(affixes(r.entity, style)[0]).alias("head"), F.lit(affixes(r.entity, style)[1]).alias("tail")) for r in rules])
+    fields = lambda r: (("pattern", r.pattern), ("part", needed(r.pattern) or ""), ("head", affixes(r.entity, style)[0]), ("tail", affixes(r.entity, style)[1]))
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in fields(r)]) for r in rules])
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), use), 0)
+def _matches(text: Column, rule: Column) -> Column:
+    """All matches of a rule's pattern; where the text lacks what every match holds, there is no search."""
+    return F.when(F.contains(text, rule["part"]), F.regexp_extract_all(text, rule["pattern"], F.lit(0))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def _renumbered(text: Column, rule: Column, known: Column | None = None) -> Column:
-    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+    found = _matches(text, rule)
 
     def made(m: Column) -> Column:
         values = F.array_distinct(F.reverse(m)) if known is None else known
@@ -56,7 +74,7 @@ def _renumbered(text: Column, rule: Column, known: Column | None = None) -> Colu
         both = F.zip_with(F.split(text, rule["pattern"], -1), names, lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
         return F.when(F.size(m) > 0, F.array_join(both, "")).otherwise(text)
 
-    return _let(found, made)
+    return let(found, made)
 
 
 def all_numbered(text: Column, rules: Sequence[EntityRule], style: str) -> Column:
@@ -100,32 +118,42 @@ def with_vault(df: DataFrame, texts: str, rules: Sequence[EntityRule], style: st
         return df.withColumn(vault, none)
 
     def step(acc: Column, r: Column) -> Column:
-        found = F.transform(acc["texts"], lambda t: F.reverse(F.regexp_extract_all(t, r["pattern"], F.lit(0))))
+        found = F.transform(acc["texts"], lambda t: F.reverse(_matches(t, r)))
 
         def made(known: Column) -> Column:
             new = F.transform(acc["texts"], lambda t: _renumbered(t, r, known))
             entries = F.transform(known, lambda v, i: F.struct(F.concat(r["head"], (i + 1).cast("string"), r["tail"]).alias("placeholder"), v.alias("original")))
             return F.when(F.size(known) > 0, F.struct(new.alias("texts"), F.concat(acc["vault"], entries).alias("vault"))).otherwise(acc)
 
-        return _let(F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull()))), made)
+        return let(F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull()))), made)
 
     folded = F.aggregate(_rule_rows(rules, style), F.struct(F.col(texts).alias("texts"), none.alias("vault")), step)
     return df.withColumn("_fold", folded).withColumn(texts, F.col("_fold.texts")).withColumn(vault, F.col("_fold.vault")).drop("_fold")
 
 
-def spans(text: Column, rules: Sequence[EntityRule]) -> Column:
-    """All matches of all rules on the raw text, by rule and place: entity, start, end (bytes), text."""
-    none = F.array().cast("array<struct<entity: string, start: int, end: int, text: string>>")
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.octet_length(x))
+SPANS = "array<struct<entity: string, start: int, end: int, text: string>>"
 
-    def of(r: EntityRule) -> Column:
-        found, pieces = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), F.split(text, r.pattern, -1)
 
-        def one(v: Column, i: Column) -> Column:
-            start = total(F.slice(pieces, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-            return F.struct(F.lit(r.entity).alias("entity"), start.alias("start"), (start + F.octet_length(v)).alias("end"), v.alias("text"))
+def spans(text: Column, rules: Sequence[EntityRule]) -> Column:
+    """All matches of all rules on the raw text, by rule and place: entity, start, end (bytes), text.
 
-        return F.when(F.regexp_like(text, F.lit(r.pattern)), F.transform(found, one)).otherwise(none)
+    Each rule's matches are sought once and walked once, with the place reached so far.
+    """
+    none = F.array().cast(SPANS)
+
+    def of(r: EntityRule) -> Column:
+        def walked(parts: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                end = acc["at"] + F.octet_length(x)
+                one = F.struct(F.lit(r.entity).alias("entity"), acc["at"].alias("start"), end.alias("end"), x.alias("text"))
+                out = F.when(acc["match"], F.array_append(acc["out"], one)).otherwise(acc["out"])
+                return F.struct(end.alias("at"), (~acc["match"]).alias("match"), out.alias("out"))
+
+            start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
+            return F.when(F.size(parts) > 1, F.aggregate(parts, start, step)["out"]).otherwise(none)
+
+        found = parted(text, r.pattern)
+        return let(F.when(F.contains(text, F.lit(needed(r.pattern))), found) if needed(r.pattern) else found, walked)
 
     return F.flatten(F.array(*[of(r) for r in rules]))
 

@@ -39,6 +39,23 @@ def union_shapes(*shapes: DataFrame) -> DataFrame:
     return out
 
 
+RELOAD = ("request_id", "timestamp", "verdict", "error", "latency_us")
+#: Labels of reload errors have at most so many characters.
+LABEL = 200
+
+
+def reload_entries(builds: DataFrame, ok: Column, error: Column) -> DataFrame:
+    """Builds (request_id, timestamp, latency_us) in the slim shape of reloads; they go to the log of requests."""
+    verdict = F.when(ok, RELOADS[0]).otherwise(RELOADS[1])
+    return builds.select("request_id", "timestamp", verdict.alias("verdict"), F.when(~ok, F.left(error, F.lit(LABEL))).alias("error"), "latency_us")
+
+
+def console_entries(records: DataFrame) -> DataFrame:
+    """Records of the console (edits with a file, other changes with a target) in the shape of its log; what one lacks is null."""
+    fields = [x.split() for x in CONSOLE.split(", ")]
+    return records.select(*[(F.col(n) if n in records.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields])
+
+
 def newest(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """The last n rows; each task keeps n, which are merged."""
     return rows.orderBy(*[F.desc(c) for c in order]).limit(n)

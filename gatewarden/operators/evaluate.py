@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewarden.functions.redact import let
+
 GOLD = "id string, text string, annotations array<struct<type: string, start: int, end: int>>"
 
 
@@ -33,11 +35,14 @@ def matched(detected: Column, gold: Column, strict: bool = False) -> Column:
 
 def outcomes(df: DataFrame, keys: list[str], detected: str = "detected", gold: str = "gold", strict: bool = False) -> DataFrame:
     """One row a span: keys, kind (tp, fp, fn), entity, start, end, place."""
-    rows = df.withColumn("_m", matched(F.col(detected), F.col(gold), strict))
-    found = rows.select(*keys, "_m", F.posexplode(detected).alias("place", "s"))
-    found = found.select(*keys, F.when(F.get("_m", F.col("place")) >= 0, "tp").otherwise("fp").alias("kind"), "s.entity", "s.start", "s.end", "place")
-    missed = rows.select(*keys, "_m", F.posexplode(gold).alias("place", "s")).where(~F.array_contains("_m", F.col("place")))
-    return found.unionByName(missed.select(*keys, F.lit("fn").alias("kind"), "s.entity", "s.start", "s.end", "place"))
+    one = lambda kind, s, i: F.struct(kind.alias("kind"), s["entity"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"), i.alias("place"))
+
+    def judged(m: Column) -> Column:
+        found = F.transform(detected, lambda s, i: one(F.when(F.get(m, i) >= 0, "tp").otherwise("fp"), s, i))
+        missed = F.filter(F.transform(gold, lambda s, i: one(F.when(~F.array_contains(m, i), "fn"), s, i)), lambda x: x["kind"].isNotNull())
+        return F.concat(found, missed)
+
+    return df.select(*keys, F.explode(let(matched(F.col(detected), F.col(gold), strict), judged)).alias("s")).select(*keys, "s.*")
 
 
 def ratios(df: DataFrame) -> DataFrame:

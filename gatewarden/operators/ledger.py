@@ -54,19 +54,32 @@ def admitted(requests: DataFrame, limits: DataFrame, block: Column, order: list[
     return rows.withColumn("admitted", F.col("token_limit").isNull() | (F.col("spent_before") < F.col("token_limit")))
 
 
+def _framed(attempts: DataFrame, minutes: int) -> DataFrame:
+    """Attempts by blocks of as many minutes, each in its own block and, not ``_own``, in the next.
+
+    A window of those minutes that ends in a block lies in it and the one before, so no window spans all
+    attempts of a user: one with a third of them is spread over the blocks.
+    """
+    block = F.floor(F.unix_micros(F.col("attempted_at").cast("timestamp")) / (minutes * 60_000_000))
+    own, after = F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block + 1).alias("b"), F.lit(False).alias("own"))
+    rows = attempts.withColumn("_f", F.explode(F.when(block.isNull(), F.array(own)).otherwise(F.array(own, after))))
+    return rows.withColumn("_block", F.col("_f.b")).withColumn("_own", F.col("_f.own")).drop("_f")
+
+
 def recent_counts(attempts: DataFrame, by: str, minutes: int, out: str) -> DataFrame:
     """Adds the attempts of the same user or address within the last minutes, this one included."""
     seconds = F.unix_micros(F.col("attempted_at").cast("timestamp"))
-    window = W.partitionBy(by).orderBy(seconds).rangeBetween(-(minutes * 60_000_000 - 1), 0)
-    return attempts.withColumn(out, F.count("*").over(window))
+    window = W.partitionBy(by, "_block").orderBy(seconds).rangeBetween(-(minutes * 60_000_000 - 1), 0)
+    return _framed(attempts, minutes).withColumn(out, F.count("*").over(window)).where("_own").drop("_block", "_own")
 
 
 def lockouts(attempts: DataFrame, most: int = 10, minutes: int = 15) -> DataFrame:
     """Failed attempts with ``locked``: as many failures as allowed in the last minutes, since the last success."""
-    rows = attempts.withColumn("epoch", F.sum(F.col("success").cast("int")).over(W.partitionBy("username").orderBy("attempted_at", "attempt_id").rowsBetween(W.unboundedPreceding, -1)))
+    rows = _framed(attempts, minutes)
+    rows = rows.withColumn("epoch", F.sum(F.col("success").cast("int")).over(W.partitionBy("username", "_block").orderBy("attempted_at", "attempt_id").rowsBetween(W.unboundedPreceding, -1)))
     failed = rows.where("not success").withColumn("epoch", F.coalesce("epoch", F.lit(0)))
-    window = W.partitionBy("username", "epoch").orderBy(F.unix_micros(F.col("attempted_at").cast("timestamp"))).rangeBetween(-(minutes * 60_000_000 - 1), 0)
-    return failed.withColumn("recent", F.count("*").over(window)).withColumn("locked", F.col("recent") >= most)
+    window = W.partitionBy("username", "_block", "epoch").orderBy(F.unix_micros(F.col("attempted_at").cast("timestamp"))).rangeBetween(-(minutes * 60_000_000 - 1), 0)
+    return failed.withColumn("recent", F.count("*").over(window)).withColumn("locked", F.col("recent") >= most).where("_own").drop("_block", "_own", "epoch")
 
 
 def pruned(rows: DataFrame, at: str, now: Column, keep_minutes: int) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewarden.functions.match import model_glob
@@ -67,7 +72,7 @@ def unknown_backends(routes: DataFrame, backends: DataFrame) -> DataFrame:
     return named.distinct().join(backends.select("backend"), "backend", "left_anti")
 
 
-TOKEN = r"^ng_[A-Za-z0-9]_[A-Za-z0-9]{24}$"
+TOKEN = r"^ng_[A-Za-z0-9]_[A-Za-z0-9]{24}\z"
 
 
 def token_parts(token: Column) -> Column:
@@ -109,6 +114,69 @@ def merged_models(lists: DataFrame) -> DataFrame:
 
 
 def listing_failed(lists: DataFrame) -> DataFrame:
-    """One row: whether every backend failed, and the errors in order."""
+    """One row: whether every backend failed, and the errors of those that did, in order."""
     by = lists.groupBy("backend").agg(F.max("error").alias("error"))
-    return by.agg(F.bool_and(F.col("error").isNotNull()).alias("failed"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", F.col("backend"), F.col("error")))), "; ").alias("errors"))
+    return by.agg(F.bool_and(F.col("error").isNotNull()).alias("failed"), F.array_join(F.sort_array(F.collect_list(F.concat("backend", F.lit(": "), "error"))), "; ").alias("errors"))
+
+
+def listed(rows: DataFrame, at: str, tie: str, *keys: str) -> DataFrame:
+    """Rows with place: 1 for the latest, by keys if there are any; equal times go by the smaller ``tie``.
+
+    Without keys the last places need all rows in order; they are ranked by ranges of time that tasks hold, and the ranges' sizes.
+    """
+    if keys:
+        return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(at), tie)).cast("long"))
+    block = F.date_trunc("day", at)
+    inside = F.row_number().over(W.partitionBy("_block").orderBy(F.desc(at), tie))
+    sizes = rows.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))  # one row a day
+    before = sizes.select("_block", F.coalesce(F.sum("_n").over(W.orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_block", block).withColumn("_inside", inside).join(small(before), "_block")
+    return ranked.withColumn("place", (F.col("_before") + F.col("_inside")).cast("long")).drop("_block", "_inside", "_before")
+
+
+def found_users(asked: DataFrame, users: DataFrame, by_id: str, by_name: str) -> DataFrame:
+    """Questions with the user they ask for, by id where that is given, else by name; nobody is null."""
+    one = users.select(F.col("id").alias("_id"), F.struct("*").alias("_by_id"))
+    two = users.select(F.col("username").alias("_name"), F.struct("*").alias("_by_name"))
+    rows = asked.join(small(one), F.col(by_id) == F.col("_id"), "left")
+    rows = rows.join(small(two), F.col(by_id).isNull() & (F.col(by_name) == F.col("_name")), "left")
+    return rows.withColumn("_user", F.coalesce("_by_id", "_by_name")).select(*asked.columns, *[F.col(f"_user.{c}").alias(c) for c in users.columns])
+
+
+def cache_outcomes(lookups: DataFrame, cache: str, key: str, at: str, ordinal: str, capacity: int = 10_000, ttl_s: float = 60.0) -> DataFrame:
+    """Lookups with hit: what a cache of ``capacity`` entries that expire ``ttl_s`` seconds after they were put in would answer.
+
+    A hit is a use; what is not found, or has expired, is put in anew. A full cache drops an expired entry, else the one whose
+    last use is longest ago. Lookups of one ``cache`` (an instance of a gateway) are taken in the order of ``at``, then ``ordinal``.
+    They are streamed through one task in that order, which holds no more than ``capacity`` entries; caches are dealt among tasks.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lookups.schema.fields)
+    parts = int(lookups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lookups.repartition(parts, cache).sortWithinPartitions(cache, at, ordinal)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, entries, due = object(), {}, []  # entries in the order of their last use; due: times put in, oldest first
+        for batch in batches:
+            hits = []
+            for c, k, t in zip(*(batch.column(x).to_pylist() for x in (cache, key, at)), strict=True):
+                if c != now:
+                    now, entries, due = c, {}, []
+                put = entries.pop(k, None)
+                hit = put is not None and (t - put).total_seconds() < ttl_s
+                if not hit:
+                    if put is None and len(entries) >= capacity:
+                        while due and entries.get(due[0][1]) != due[0][0]:
+                            heapq.heappop(due)  # replaced or dropped since
+                        old = due[0][1] if due and (t - due[0][0]).total_seconds() >= ttl_s else next(iter(entries))
+                        del entries[old]
+                    put = t
+                    heapq.heappush(due, (t, k))
+                    if len(due) > 4 * capacity:
+                        due = [(p, x) for x, p in entries.items()]
+                        due.append((t, k))
+                        heapq.heapify(due)
+                entries[k] = put
+                hits.append(hit)
+            yield batch.append_column("hit", pa.array(hits, pa.bool_()))
+
+    return ordered.where(F.col(key).isNotNull() & F.col(at).isNotNull()).mapInArrow(answered, f"{kinds}, hit boolean")

@@ -17,6 +17,7 @@ from gatewarden.operators.tools import ToolGate
 
 WINDOW = 64  # bytes after which an open bracket is no placeholder
 PLACEHOLDER = r"\[[^\]]{0,62}\]|\[[^\]]{63}"
+DELTAS = "choices array<struct<delta: struct<content: string>>>"
 CONTENT = r'"content"\s*:\s*"(?:[^"\\]|\\.)*"'
 
 
@@ -28,14 +29,16 @@ def reassembled(chunks: DataFrame, key: str = "request_id") -> DataFrame:
     return whole.select(key, F.slice(parts, F.lit(1), F.size(parts) - 1).alias("events"), F.element_at(parts, -1).alias("rest"))
 
 
-def payload(event: Column) -> Column:
-    """The data of an event's first data line; null for the end mark, comments and empty data."""
-    found = F.regexp_extract(event, r"(?m)^data:[ \t]*([^\r\n]*)", 1)
-    return F.when((found != "") & (found != "[DONE]"), found)
+def payloads(event: Column) -> Column:
+    """The data of all data lines of an event, in order; the end mark, comments and empty data are left out."""
+    return F.regexp_extract_all(event, F.lit(r"(?m)^data:[ \t]*+(?!\[DONE\]\r?$)([^\r\n]+)"), F.lit(1))
 
 
 def filtered(event: Column, change: Callable[[Column], Column]) -> Column:
-    """An event with the texts of its deltas changed; all else, and events that do not change, stay as they are."""
+    """An event with the texts of its deltas changed, in all choices and data lines.
+
+    All else, events that do not change, and events that name the end mark stay as they are.
+    """
     one = lambda m: F.from_json(F.concat(F.lit("["), F.regexp_replace(m, r'^"content"\s*:\s*', ""), F.lit("]")), "array<string>")
     quoted = lambda t: F.regexp_replace(F.to_json(F.array(t)), r"^\[|\]$", "")
 
@@ -43,8 +46,8 @@ def filtered(event: Column, change: Callable[[Column], Column]) -> Column:
         old = F.get(one(m), 0)
         return F.when(change(old) == old, m).otherwise(F.concat(F.lit('"content":'), quoted(change(old))))
 
-    data = payload(event)
-    mine = F.get_json_object(data, "$.choices[0].delta.content").isNotNull() & ~F.contains(event, F.lit("[DONE]"))
+    text = lambda p: F.exists(F.from_json(p, DELTAS)["choices"], lambda c: c["delta"]["content"].isNotNull())
+    mine = ~F.contains(event, F.lit("[DONE]")) & F.contains(event, F.lit("data:")) & F.exists(payloads(event), lambda p: F.coalesce(text(p), F.lit(False)))
     return F.when(mine, interleaved(event, CONTENT, new)).otherwise(event)
 
 
@@ -54,19 +57,23 @@ def emitted(events: Column, rest: Column) -> Column:
 
 
 def usage(replies: DataFrame, key: str = "request_id") -> DataFrame:
-    """key, prompt_tokens, completion_tokens, model of the last event that carries both counts."""
-    rows = replies.select(key, F.posexplode("events").alias("i", "event")).select(key, "i", payload(F.col("event")).alias("p"))
-    count = lambda n: F.get_json_object("p", f"$.usage.{n}").try_cast("long")
-    rows = rows.select(key, "i", count("prompt_tokens").alias("prompt_tokens"), count("completion_tokens").alias("completion_tokens"), F.coalesce(F.get_json_object("p", "$.model"), F.lit("unknown")).alias("model"))
-    rows = rows.where("prompt_tokens is not null and completion_tokens is not null")
-    last = rows.groupBy(key).agg(F.max_by(F.struct("prompt_tokens", "completion_tokens", "model"), "i").alias("u"))
+    """key, prompt_tokens, completion_tokens, model of the last event that carries both counts.
+
+    Of an event's data lines the first that carries both counts.
+    """
+    rows = replies.select(key, F.posexplode("events").alias("i", "event")).where(F.contains("event", F.lit('"usage"')))
+    rows = rows.select(key, "i", F.posexplode(payloads(F.col("event"))).alias("k", "p")).select(key, "i", "k", F.from_json("p", "usage struct<prompt_tokens: string, completion_tokens: string>, model string").alias("u"))
+    count = lambda n: F.col(f"u.usage.{n}").try_cast("long").alias(n)
+    rows = rows.select(key, (-F.col("k")).alias("k"), "i", count("prompt_tokens"), count("completion_tokens"), F.coalesce("u.model", F.lit("unknown")).alias("model"))
+    rows = rows.where("prompt_tokens >= 0 and completion_tokens >= 0")
+    last = rows.groupBy(key).agg(F.max_by(F.struct("prompt_tokens", "completion_tokens", "model"), F.struct("i", "k")).alias("u"))
     return last.select(key, "u.*")
 
 
 def content(replies: DataFrame, key: str = "request_id") -> DataFrame:
-    """key, text: the deltas' texts joined."""
-    text = F.transform("events", lambda e: F.get_json_object(payload(e), "$.choices[0].delta.content"))
-    return replies.select(key, F.array_join(F.filter(text, lambda t: t.isNotNull()), "").alias("text"))
+    """key, text: the texts of the first choice's deltas joined. Each event is parsed once."""
+    text = lambda p: F.get(F.from_json(p, DELTAS)["choices"], 0)["delta"]["content"]
+    return replies.select(key, F.array_join(F.transform(F.flatten(F.transform("events", payloads)), text), "").alias("text"))
 
 
 def restored_stream(text: Column, vault: Column, strategy: str = "exact") -> Column:
@@ -82,11 +89,11 @@ def tool_calls(replies: DataFrame, key: str = "request_id") -> DataFrame:
 
     Only what came before the event that finishes the calls; calls that never got a name are left out.
     """
-    rows = replies.select(key, F.posexplode("events").alias("i", "event")).select(key, "i", F.from_json(payload(F.col("event")), DELTA).alias("e"))
-    rows = rows.select(key, "i", F.posexplode("e.choices").alias("c", "choice"))
+    rows = replies.select(key, F.posexplode("events").alias("i", "event")).select(key, "i", F.posexplode(payloads(F.col("event"))).alias("d", "p")).select(key, "i", "d", F.from_json("p", DELTA).alias("e"))
+    rows = rows.select(key, "i", "d", F.posexplode("e.choices").alias("c", "choice"))
     done = rows.where("choice.finish_reason = 'tool_calls'").groupBy(key).agg(F.min("i").alias("end"))
-    parts = rows.join(done, key).where("i <= end").select(key, "i", F.posexplode("choice.delta.tool_calls").alias("k", "t"))
-    parts = parts.select(key, F.struct("i", "k").alias("at"), F.coalesce("t.index", F.lit(0)).alias("index"), F.col("t.id").alias("id"), F.col("t.function.name").alias("name"), F.col("t.function.arguments").alias("arguments"))
+    parts = rows.join(done, key).where("i <= end").select(key, "i", "d", "c", F.posexplode("choice.delta.tool_calls").alias("k", "t"))
+    parts = parts.select(key, F.struct("i", "d", "c", "k").alias("at"), F.coalesce("t.index", F.lit(0)).alias("index"), F.col("t.id").alias("id"), F.col("t.function.name").alias("name"), F.col("t.function.arguments").alias("arguments"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("arguments").isNotNull(), F.struct("at", "arguments")))), lambda a: a["arguments"]), "")
     merged = parts.groupBy(key, "index").agg(last("id"), last("name"), joined.alias("arguments")).where("name is not null")

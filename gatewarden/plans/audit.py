@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatewarden.operators import audit
-from gatewarden.plans.registry import PROMPTS, pick, prompts, query, sql_list, table
+from gatewarden.plans.registry import PROMPTS, pick, prompts, query, shared, sql_list, table
 from gatewarden.plans.text import verdict_sql
 
 VERDICTS = ("allow", "allow", "allow", "block", "reload_ok", "reload_failed")
@@ -105,24 +105,39 @@ def audit_lines_tolerant(spark, folder):
     return audit.parsed_entries(rows.select("event_id", line.alias("line"))).select("event_id", "request_id", "verdict")
 
 
-def _round_trip(spark, events):
-    """Written as JSON lines to the shared folder, appended to once, read again."""
+def _log_folder(spark, name):
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{base}/audit-{uuid.uuid4().hex}"
-    rows = events.select(F.col("event_id").cast("string").alias("request_id"), F.lit("allow").alias("verdict"), "event_id")
-    audit.write_entries(rows.where("event_id % 2 = 0").drop("event_id"), path)
-    audit.write_entries(rows.where("event_id % 2 <> 0").drop("event_id"), path)
-    return audit.read_entries(spark, path).select("request_id", "verdict")
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("audit_log_round_trip", "SELECT CAST(event_id AS VARCHAR) AS request_id, 'allow' AS verdict FROM events WHERE user_id % 3 = 0")
+@query("audit_log_round_trip", "SELECT CAST(event_id AS VARCHAR) AS request_id, 'allow' AS verdict FROM events")
 def audit_log_round_trip(spark, folder):
-    """A third of the users, as its SQL has it; audit_log_round_trip_all has all events."""
-    return _round_trip(spark, table(spark, folder, "events").where("user_id % 3 = 0"))
+    """Every event written as a JSON line to the shared folder, appended to once, read again."""
+    path = _log_folder(spark, "audit")
+    rows = table(spark, folder, "events").select(F.col("event_id").cast("string").alias("request_id"), F.lit("allow").alias("verdict"), "event_id")
+    audit.write_entries(rows.where("event_id % 2 = 0").drop("event_id"), path)
+    audit.write_entries(rows.where("event_id % 2 <> 0").drop("event_id"), path)
+    return audit.read_entries(spark, path).select("request_id", "verdict")
 
 
-@query("audit_log_round_trip_all", "SELECT CAST(event_id AS VARCHAR) AS request_id, 'allow' AS verdict FROM events")
-def audit_log_round_trip_all(spark, folder):
-    return _round_trip(spark, table(spark, folder, "events"))
+@query("reload_log", "SELECT CAST(event_id AS VARCHAR) AS request_id, CASE WHEN event_id % 4 <> 0 THEN 'allow' WHEN user_id % 3 = 0 THEN 'reload_failed' ELSE 'reload_ok' END AS verdict, CASE WHEN event_id % 4 = 0 AND user_id % 3 = 0 THEN left(repeat('bad rule ', 30), 200) END AS error, CASE WHEN event_id % 4 <> 0 THEN 'k' || user_id END AS api_key, event_id % 97 AS latency_us FROM events")
+def reload_log(spark, folder):
+    """Reloads and requests in one log: both shapes written, then read as one."""
+    path = _log_folder(spark, "reloads")
+    rows = table(spark, folder, "events").select("event_id", "user_id", F.col("event_id").cast("string").alias("request_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), (F.col("event_id") % 97).alias("latency_us"))
+    requests = rows.where("event_id % 4 <> 0").select("request_id", "timestamp", F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("api_key"), F.lit("allow").alias("verdict"), "latency_us")
+    builds = audit.reload_entries(rows.where("event_id % 4 = 0"), F.col("user_id") % 3 != 0, F.repeat(F.lit("bad rule "), 30)).select("request_id", "timestamp", "verdict", "error", "latency_us")
+    audit.write_entries(requests, path)
+    audit.write_entries(builds, path)
+    return audit.read_entries(spark, path).select("request_id", "verdict", "error", "api_key", "latency_us")
+
+
+@query("console_log_round_trip", f"SELECT CAST(event_id AS VARCHAR) AS request_id, timestamp, actor, action, target, file FROM {CONSOLE}")
+def console_log_round_trip(spark, folder):
+    """Edits and other changes of the console written to its log, each in its own shape, and read as one."""
+    path = _log_folder(spark, "console")
+    rows = console(spark, folder).withColumn("request_id", F.col("event_id").cast("string"))
+    audit.write_entries(audit.console_entries(rows.where("file is not null").drop("target", "event_id")), path)
+    audit.write_entries(audit.console_entries(rows.where("target is not null").drop("file", "event_id")), path)
+    return audit.read_entries(spark, path, audit.CONSOLE).select("request_id", "timestamp", "actor", "action", "target", "file")

@@ -67,13 +67,21 @@ def chat_flow_reversible(spark, folder):
     return rows.select("conv_id", F.col("place").cast("long").alias("place"), restored(text, F.reverse("vault")).alias("text"))
 
 
-@query("messages_to_chat", f"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, content, CAST(1024 AS INTEGER) AS max_tokens FROM (SELECT conv_id, turn, role, text AS content FROM {TURNS} WHERE role <> 'system'
+@query("messages_to_chat", f"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, content, CASE WHEN conv_id % 3 = 0 THEN CAST(100 + conv_id AS INTEGER) ELSE 1024 END AS max_tokens FROM (SELECT conv_id, turn, role, text AS content FROM {TURNS} WHERE role <> 'system'
 UNION ALL SELECT conv_id, -1, 'system', 'Be brief.' FROM (SELECT DISTINCT conv_id FROM conversations WHERE role <> 'system') c WHERE conv_id % 2 = 0) x""")
 def messages_to_chat(spark, folder):
     rows = chats(spark, folder).withColumn("messages", F.filter("messages", lambda m: m["role"] != "system")).where(F.size("messages") > 0)
     system = F.when(F.col("conv_id") % 2 == 0, F.lit("Be brief."))
     found = rows.select("conv_id", F.posexplode(jsonshape.to_chat_messages(system, F.col("messages"))).alias("place", "m"))
-    return found.select("conv_id", F.col("place").cast("long").alias("place"), "m.role", "m.content", F.coalesce(F.lit(None).cast("int"), F.lit(1024)).alias("max_tokens"))
+    return found.select("conv_id", F.col("place").cast("long").alias("place"), "m.role", "m.content", jsonshape.max_tokens(F.when(F.col("conv_id") % 3 == 0, F.col("conv_id") + 100)).alias("max_tokens"))
+
+
+@query("chat_usage", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END AS input_tokens, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 100 END AS output_tokens FROM documents")
+def chat_usage(spark, folder):
+    """Usage of replies, as the interface of blocks names it; some replies lack one count or both."""
+    d = F.col("doc_id")
+    used = jsonshape.usage_of_blocks(F.when(d % 3 != 0, F.col("n_chars").cast("long")), F.when(d % 4 != 0, d % 100))
+    return table(spark, folder, "documents").select("doc_id", used.alias("u")).select("doc_id", "u.*")
 
 
 CALL = f"{sql_list(NAMES)}[1 + doc_id % {len(NAMES)}]"
@@ -89,20 +97,10 @@ def _blocks(rows, content):
     return rows.select("doc_id", F.col("place").cast("long").alias("place"), "b.type", "b.text", "b.name", "b.input", "stop_reason")
 
 
-@query("chat_to_messages", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 20) END AS content, doc_id % 4 <> 0 AS called FROM documents)
+@query("chat_to_messages", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END AS content, doc_id % 4 <> 0 AS called FROM documents)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, type, text, name, input, stop_reason FROM (
 SELECT doc_id, 0 AS k, 'text' AS type, content AS text, NULL AS name, NULL AS input, CASE WHEN called THEN 'tool_use' ELSE 'end_turn' END AS stop_reason FROM d WHERE content <> '' OR NOT called AND doc_id % 5 <> 0
 UNION ALL SELECT doc_id, 1, 'tool_use', NULL, {CALL}, CASE WHEN json_valid({ARG}) THEN {ARG} ELSE '{{}}' END, 'tool_use' FROM d WHERE called
 UNION ALL SELECT doc_id, 2, 'denied_tools', '[{{"name":"x","reason":"r"}}]', NULL, NULL, CASE WHEN called THEN 'tool_use' ELSE 'end_turn' END FROM d WHERE doc_id % 5 = 0) x""")
 def chat_to_messages(spark, folder):
-    """The first 20 characters only, as its SQL has it; chat_to_messages_whole has all."""
-    return _blocks(table(spark, folder, "documents"), F.left("text", F.lit(20)))
-
-
-@query("chat_to_messages_whole", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(text, '') END AS content, doc_id % 4 <> 0 AS called FROM documents)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, type, text, name, input, stop_reason FROM (
-SELECT doc_id, 0 AS k, 'text' AS type, content AS text, NULL AS name, NULL AS input, CASE WHEN called THEN 'tool_use' ELSE 'end_turn' END AS stop_reason FROM d WHERE content <> '' OR NOT called AND doc_id % 5 <> 0
-UNION ALL SELECT doc_id, 1, 'tool_use', NULL, {CALL}, CASE WHEN json_valid({ARG}) THEN {ARG} ELSE '{{}}' END, 'tool_use' FROM d WHERE called
-UNION ALL SELECT doc_id, 2, 'denied_tools', '[{{"name":"x","reason":"r"}}]', NULL, NULL, CASE WHEN called THEN 'tool_use' ELSE 'end_turn' END FROM d WHERE doc_id % 5 = 0) x""")
-def chat_to_messages_whole(spark, folder):
     return _blocks(table(spark, folder, "documents"), F.col("text"))

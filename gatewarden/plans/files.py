@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatewarden.plans.registry import pick, query, sql_list, table
+from gatewarden.plans.registry import pick, query, shared, sql_list, table
 from gatewarden.sources import files
 
 LINES = ("developer mode\t0\t8.0", "# comment", "   ", "casino\t2\t1.0", "/\\bSEC-\\d{6}\\b/\t1", "no key", "bad key\tx", "too big\t7", "plain\t1\tnot a number", "//\t2")
@@ -70,15 +70,14 @@ def file_kinds(spark, folder):
 
 
 
-@query("gold_corpus", "SELECT 'd' || doc_id AS id, 'EMAIL' AS type, 0 AS start, CAST(doc_id % 9 AS INTEGER) AS stop FROM documents")
+@query("gold_corpus", "SELECT 'd' || doc_id AS id, sha256(text) AS digest, 'EMAIL' AS type, 0 AS start, CAST(doc_id % 9 AS INTEGER) AS stop FROM documents WHERE text IS NOT NULL")
 def gold_corpus(spark, folder):
     """A corpus written as JSON lines to the shared folder and read by the strict reader."""
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{base}/gold-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/gold-{uuid.uuid4().hex}"
     span = F.struct(F.lit("EMAIL").alias("type"), F.lit(0).alias("start"), (F.col("doc_id") % 9).cast("int").alias("end"))
-    table(spark, folder, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("t").alias("text"), F.array(span).alias("annotations")).write.json(path)
-    return files.gold_corpus(spark, path).select("id", F.explode("annotations").alias("a")).select("id", "a.type", "a.start", F.col("a.end").alias("stop"))
+    table(spark, folder, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text", F.array(span).alias("annotations")).write.json(path)
+    return files.gold_corpus(spark, path).select("id", F.sha2("text", 256).alias("digest"), F.explode("annotations").alias("a")).select("id", "digest", "a.type", "a.start", F.col("a.end").alias("stop"))
 
 

@@ -90,10 +90,14 @@ def failover_outcome(spark, folder):
     return rows.select("conv_id", "o.outcome", "o.backend", F.coalesce("o.status", F.lit(0)).alias("status"), "o.attempts")
 
 
-@query("unknown_backends", "SELECT 'gamma' AS backend WHERE EXISTS (SELECT 1 FROM conversations)")
+@query("unknown_backends", f"SELECT DISTINCT b AS backend FROM (SELECT unnest(['m' || conv_id % 7, 'm' || turn % 5, 'alpha']) AS b FROM conversations) x WHERE b NOT IN (SELECT 'm' || turn % 4 FROM conversations) AND b <> 'alpha'")
 def unknown_backends(spark, folder):
-    there = spark.createDataFrame([("alpha",), ("beta",)], "backend string")
-    return lookups.unknown_backends(routes(spark), there)
+    """Routes and fallbacks named by turns of conversations, against the backends that turns know."""
+    rows = table(spark, folder, "conversations")
+    name = lambda c, n: F.concat(F.lit("m"), (F.col(c) % n).cast("string"))
+    named = rows.select(name("conv_id", 7).alias("backend"), F.array(name("turn", 5), F.lit("alpha")).alias("fallback"))
+    there = rows.select(name("turn", 4).alias("backend")).distinct().unionByName(spark.range(1).select(F.lit("alpha").alias("backend")))
+    return lookups.unknown_backends(named, there)
 
 
 def tokens_of(spark, folder):
@@ -158,15 +162,70 @@ def prompt_hashes(spark, folder):
     return prompts(spark, folder).select("doc_id", F.sha2("text", 256).alias("prompt_hash"))
 
 
-@query("model_lists", f"SELECT m AS id, b AS owned_by FROM (SELECT unnest({sql_list(MODELS)}) AS m) x, (SELECT unnest(['alpha', 'beta']) AS b) y WHERE EXISTS (SELECT 1 FROM conversations)")
+LISTS = "(SELECT 'b' || user_id % 6 AS backend, CASE WHEN user_id % 6 < 4 THEN event_type || '-' || event_id % 11 END AS model, CASE WHEN user_id % 6 >= 4 THEN 'refused ' || user_id % 6 END AS error FROM events)"
+
+
+def lists_of(spark, folder):
+    """Model lists of six backends; two of them cannot be reached."""
+    b = F.col("user_id") % 6
+    rows = table(spark, folder, "events").select(F.concat(F.lit("b"), b.cast("string")).alias("backend"), F.when(b < 4, F.concat("event_type", F.lit("-"), (F.col("event_id") % 11).cast("string"))).alias("model"), F.when(b >= 4, F.concat(F.lit("refused "), b.cast("string"))).alias("error"))
+    return rows.distinct()
+
+
+@query("model_lists", f"SELECT DISTINCT model AS id, backend AS owned_by FROM {LISTS} l WHERE error IS NULL")
 def model_lists(spark, folder):
-    rows = [(b, m, None) for b in ("alpha", "beta") for m in MODELS] + [("gamma", None, "connection refused")]
-    return lookups.merged_models(spark.createDataFrame(rows, "backend string, model string, error string"))
+    return lookups.merged_models(lists_of(spark, folder))
+
 
+FAILED = "SELECT bool_and(e IS NOT NULL) AS failed, coalesce(string_agg(backend || ': ' || e, '; ' ORDER BY backend), '') AS errors FROM (SELECT backend, max(error) AS e FROM {0} l GROUP BY backend) b"
 
-@query("model_lists_failed", "SELECT false AS failed, 'gamma: connection refused' AS errors WHERE false")
+
+@query("model_lists_failed", FAILED.format(LISTS) + " UNION ALL " + FAILED.format(f"(SELECT * FROM {LISTS} m WHERE error IS NOT NULL)"))
 def model_lists_failed(spark, folder):
-    rows = [(b, m, None) for b in ("alpha", "beta") for m in MODELS] + [("gamma", None, "connection refused")]
-    return lookups.listing_failed(spark.createDataFrame(rows, "backend string, model string, error string")).where("failed")
+    """All backends, and only those that cannot be reached."""
+    lists = lists_of(spark, folder)
+    return lookups.listing_failed(lists).unionByName(lookups.listing_failed(lists.where("error is not null")))
+
+
+@query("token_line_ends", f"SELECT event_id, coalesce(regexp_matches(token, '{lookups.TOKEN}'), false) AS valid FROM (SELECT event_id, {SHOWN} || CASE event_id % 3 WHEN 0 THEN chr(10) WHEN 1 THEN '' ELSE chr(13) || chr(10) END AS token FROM events) t")
+def token_line_ends(spark, folder):
+    """A line end after a token makes it malformed."""
+    end = F.when(F.col("event_id") % 3 == 0, "\n").when(F.col("event_id") % 3 == 1, "").otherwise("\r\n")
+    return shown(spark, folder).select("event_id", lookups.token_parts(F.concat("token", end))["valid"].alias("valid"))
+
+
+USERS = "(SELECT user_id AS id, 'user' || user_id AS username, min(ts) AS created_at, max(ts) AS last_login_at FROM events GROUP BY user_id)"
+
+
+def users_of(spark, folder):
+    rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_login_at")).withColumn("username", F.concat(F.lit("user"), F.col("id").cast("string")))
+
+
+@query("users_listed", f"SELECT id, username, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM {USERS} u")
+def users_listed(spark, folder):
+    """Newest first."""
+    return lookups.listed(users_of(spark, folder), "created_at", "id").select("id", "username", "place")
+
+
+@query("user_by_id_or_name", f"SELECT e.event_id, coalesce(a.username, b.username) AS username FROM events e LEFT JOIN {USERS} a ON e.event_id % 2 = 0 AND a.id = e.event_id % 90 LEFT JOIN {USERS} b ON e.event_id % 2 = 1 AND b.username = 'user' || e.event_id % 90")
+def user_by_id_or_name(spark, folder):
+    """Even events ask by id, odd ones by name; nobody found is null."""
+    e = F.col("event_id")
+    asked = table(spark, folder, "events").select("event_id", F.when(e % 2 == 0, e % 90).alias("by_id"), F.when(e % 2 == 1, F.concat(F.lit("user"), (e % 90).cast("string"))).alias("by_name"))
+    return lookups.found_users(asked, users_of(spark, folder), "by_id", "by_name").select("event_id", "username")
+
+
+@query("sessions_listed", "SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC) AS place FROM (SELECT user_id, CAST(date_part('day', ts) AS BIGINT) AS day, max(ts) AS seen FROM events GROUP BY ALL) s")
+def sessions_listed(spark, folder):
+    """A user's sessions, the one seen last first; a session is a user's day here."""
+    rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    sessions = rows.groupBy("user_id", F.dayofmonth("ts").cast("long").alias("day")).agg(F.max("ts").alias("seen"))
+    return lookups.listed(sessions, "seen", "day", "user_id").select("user_id", "day", "place")
 
 
+@query("cache_outcomes")
+def cache_outcomes(spark, folder):
+    """Lookups of sixteen caches of 20 entries that live two hours."""
+    rows = table(spark, folder, "events").select("event_id", (F.col("event_id") % 16).alias("cache"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    return lookups.cache_outcomes(rows, "cache", "key", "at", "event_id", 20, 7200.0).select("event_id", "hit")

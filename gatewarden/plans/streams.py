@@ -11,6 +11,9 @@ from gatewarden.plans.redaction import mask_sql
 from gatewarden.plans.registry import TURNS, q, query, turns
 
 END = "data: [DONE]"
+#: The body of a reply in SQL, with plain line ends.
+EMITTED = """': hello' || chr(10) || chr(10) || array_to_string(list_transform(range(1, CAST(ceil(length(text) / 5.0) AS BIGINT) + 1), lambda i: 'data: {"choices":[{"delta":{"content":' || CAST(to_json(substr(text, CAST((i - 1) * 5 + 1 AS BIGINT), 5)) AS VARCHAR) || '}}]}' || chr(10) || chr(10)), '')
+|| 'data: {"usage":{"prompt_tokens":' || length(text) || ',"completion_tokens":' || CAST(ceil(length(text) / 5.0) AS BIGINT) || '},"model":"m1"}' || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10) || CASE WHEN request_id % 7 = 0 THEN 'data: cut' ELSE '' END"""
 
 
 def bodies(spark, folder):
@@ -18,10 +21,9 @@ def bodies(spark, folder):
     rows = turns(spark, folder).where("role = 'assistant' and text is not null")
     rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("text"))
     n = F.ceil(F.length("text") / 5).cast("int")
-    piece = lambda i: F.substring("text", (i - 1) * 5 + 1, F.lit(5))
     literal = lambda t: F.regexp_replace(F.to_json(F.array(t)), r"^\[|\]$", "")
-    event = lambda i: F.concat(F.lit('data: {"choices":[{"delta":{"content":'), literal(piece(i)), F.lit("}}]}"))
-    events = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), event)
+    event = lambda t: F.concat(F.lit('data: {"choices":[{"delta":{"content":'), literal(t), F.lit("}}]}"))
+    events = F.transform(F.regexp_extract_all("text", F.lit("(?s).{1,5}"), F.lit(0)), event)
     last = F.concat(F.lit('data: {"usage":{"prompt_tokens":'), F.length("text").cast("string"), F.lit(',"completion_tokens":'), n.cast("string"), F.lit('},"model":"m1"}'))
     events = F.concat(F.array(F.lit(": hello")), events, F.array(last, F.lit(END)))
     gap = F.when(F.col("request_id") % 5 == 0, "\r\n\r\n").otherwise("\n\n")
@@ -31,8 +33,7 @@ def bodies(spark, folder):
 
 def chunks(spark, folder):
     rows = bodies(spark, folder)
-    n = F.ceil(F.length("body") / 37).cast("int")
-    return rows.select("request_id", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("body", (i - 1) * 37 + 1, F.lit(37)))).alias("seq", "chunk")).repartition("seq")
+    return rows.select("request_id", F.posexplode(F.regexp_extract_all("body", F.lit("(?s).{1,37}"), F.lit(0))).alias("seq", "chunk")).repartition("seq")
 
 
 REPLIES = f"(SELECT conv_id * 1000 + turn AS request_id, text FROM {TURNS} WHERE role = 'assistant' AND text IS NOT NULL)"
@@ -72,12 +73,34 @@ def stream_filtered(spark, folder):
     return sse.content(rows)
 
 
-@query("stream_emitted", f"SELECT request_id, true AS same FROM {REPLIES} r")
+@query("stream_emitted", f"SELECT request_id, sha256({EMITTED}) AS digest FROM {REPLIES} r")
 def stream_emitted(spark, folder):
     """Events that no filter changes go out as they came, with plain line ends between them."""
-    rows = sse.reassembled(chunks(spark, folder)).join(bodies(spark, folder), "request_id")
+    rows = sse.reassembled(chunks(spark, folder))
     out = sse.emitted(F.transform("events", lambda e: sse.filtered(e, lambda t: t)), F.col("rest"))
-    return rows.select("request_id", (out == F.replace("body", F.lit("\r\n\r\n"), F.lit("\n\n"))).alias("same"))
+    return rows.select("request_id", F.sha2(out, 256).alias("digest"))
+
+
+def multi(spark, folder):
+    """Replies whose events have a comment, several data lines and two choices; usage stands in a second data line."""
+    rows = turns(spark, folder).where("role = 'assistant' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
+    literal = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    delta = F.concat(F.lit(': note\nevent: m\ndata: {"choices":[{"delta":{}},{"delta":{"content":'), literal, F.lit('}}]}\ndata: {"choices":[{"delta":{"content":"my password"}}],"usage":{"prompt_tokens":'), F.length("text").cast("string"), F.lit(',"completion_tokens":7}}'))
+    other = F.lit('data: not json\ndata: {"usage":{"prompt_tokens":"x"}}')
+    last = F.lit('data: {"usage":{"prompt_tokens":1,"completion_tokens":2}}\ndata: [DONE]')
+    return rows.select("request_id", F.concat(F.array(delta, other), F.when(F.col("request_id") % 3 == 0, F.array(last)).otherwise(F.array().cast("array<string>"))).alias("events"))
+
+
+@query("stream_usage_lines", f"SELECT request_id, CASE WHEN request_id % 3 = 0 THEN 1 ELSE length(text) END AS prompt_tokens, CASE WHEN request_id % 3 = 0 THEN 2 ELSE 7 END AS completion_tokens, 'unknown' AS model FROM {REPLIES} r")
+def stream_usage_lines(spark, folder):
+    return sse.usage(multi(spark, folder))
+
+
+@query("stream_filtered_choices", f"SELECT request_id, {mask_sql('text')} AS second, {mask_sql(q('my password'))} AS later FROM {REPLIES} r")
+def stream_filtered_choices(spark, folder):
+    """Deltas are masked in every choice and every data line."""
+    out = multi(spark, folder).select("request_id", sse.payloads(sse.filtered(F.get("events", 0), masked_output)).alias("p"))
+    return out.select("request_id", F.get_json_object(F.get("p", 0), "$.choices[1].delta.content").alias("second"), F.get_json_object(F.get("p", 1), "$.choices[0].delta.content").alias("later"))
 
 
 @query("stream_restored", f"SELECT request_id, text || ' mail a@b.io ' || '[{'x' * 70}] [none] a@b.io' AS text FROM {REPLIES} r")

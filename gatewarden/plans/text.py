@@ -8,7 +8,7 @@ from gatewarden.functions import match, normalize
 from gatewarden.plans.registry import MODELS, PROMPTS, TURNS, chats, prompts, q, query, sql_list, table, turns
 from gatewarden.rules import ALERT_PHRASES, BLOCK_PHRASES, ENTITY_PATTERNS, FLAG_PHRASES, KeywordRule, Normalize, RuleSet, default_entities, default_keywords, quoted
 
-# Patterns of a regex dictionary: personal data and addresses, by tier.
+# Patterns of a regex dictionary, personal data and addresses, by tier.
 PATTERNS = (
     (r"\b\d{3}-\d{2}-\d{4}\b", "block"),
     (r"\bAKIA[0-9A-Z]{16}\b", "block"),
@@ -89,15 +89,14 @@ def verdict_obfuscated(spark, folder):
     return match.classified(prompts(spark, folder), "text", rules).select("doc_id", "verdict.level", "verdict.rule")
 
 
-@query("normalize_nfkc", f"SELECT doc_id, text AS norm FROM {PROMPTS} WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("normalize_nfkc")
 def normalize_nfkc(spark, folder):
-    """The compatibility form where SQL can state it: ASCII text is its own."""
-    ascii_only = prompts(spark, folder).where(~F.regexp_like("text", F.lit(r"[^\x00-\x7F]")))
-    return ascii_only.select("doc_id", normalize._nfkc("text").alias("norm"))
+    """The compatibility form of every text; SQL here has none, so it is tested by the library's own."""
+    return prompts(spark, folder).select("doc_id", normalize.compatible(F.col("text")).alias("norm"))
 
 
-@query("normalize_nfkc_all")
-def normalize_nfkc_all(spark, folder):
+@query("normalize_all_steps")
+def normalize_all_steps(spark, folder):
     return normalize.with_normalized(prompts(spark, folder), "text", "norm").select("doc_id", "norm")
 
 

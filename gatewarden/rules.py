@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -71,6 +72,25 @@ def default_entities() -> tuple[EntityRule, ...]:
     return tuple(EntityRule(e, p) for e, p in ENTITY_PATTERNS)
 
 
+@functools.cache
+def needed(pattern: str) -> str | None:
+    """The longest text that every match of a pattern holds, if one can be told from its outermost sequence.
+
+    A search for it is far cheaper than the pattern, so texts without it need not be tried.
+    """
+    try:
+        from re import _constants, _parser
+
+        items = list(_parser.parse(pattern))
+    except (ImportError, re.error):
+        return None
+    best = run = ""
+    for kind, value in items:
+        run = run + chr(value) if kind is _constants.LITERAL else ""
+        best = max(best, run, key=len)
+    return best or None
+
+
 def regex_body(pattern: str) -> str | None:
     """The body of a ``/body/`` pattern; None for a literal."""
     return pattern[1:-1] if len(pattern) > 2 and pattern[0] == "/" == pattern[-1] else None
