@@ -16,6 +16,7 @@ from gatewarden.operators.audit import verdict_rates
 EVENTS = "request_id string, event string"
 PIECES = "request_id string, text string"
 WINDOW = 64
+IDLE_MS = 24 * 3600 * 1000
 
 
 def split_events(buffer: str) -> tuple[list[str], str]:
@@ -27,13 +28,14 @@ def split_events(buffer: str) -> tuple[list[str], str]:
 class InOrder(StatefulProcessor):
     """Pieces (request_id, seq from 0, last) put in order across batches.
 
-    State: what the subclass carries over, the next seq, pieces that came early, and the seq of the last piece.
+    State: what the subclass carries over, the next seq, pieces that came early, and the seq of the last piece. It
+    goes when a reply ends, and when nothing came for ``IDLE_MS``, so replies that never end do not pile up.
     """
 
     column = "chunk"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "carried string, next long, early string, last long")
+        self.state = handle.getValueState("state", "carried string, next long, early string, last long", IDLE_MS)
 
     def taken(self, rows: Iterator[pd.DataFrame]) -> tuple[str, str, bool]:
         """What was carried over, the text that is in order now, and whether the reply has ended."""
@@ -75,43 +77,58 @@ class Reassembly(InOrder):
 
 def reassemble(chunks: DataFrame) -> DataFrame:
     """A stream of chunks as a stream of events, in update or append mode."""
-    return chunks.groupBy("request_id").transformWithStateInPandas(Reassembly(), EVENTS, "append", "none")
+    return chunks.groupBy("request_id").transformWithStateInPandas(Reassembly(), EVENTS, "append", "processingTime")
 
 
 def restore_window(pending: str, text: str, entries: dict[str, str]) -> tuple[str, str]:
-    """What may go out now, and what may still become a placeholder (kept back, at most WINDOW bytes)."""
+    """What may go out now, and what may still become a placeholder (kept back, at most WINDOW bytes).
+
+    Bracket by bracket: one that is not closed within WINDOW bytes is no placeholder.
+    """
     out: list[str] = []
-    for ch in text:
-        if not pending:
-            if ch == "[":
-                pending = ch
-            else:
-                out.append(ch)
-            continue
-        pending += ch
-        if ch == "]":
-            out.append(entries.get(pending, pending))
-            pending = ""
-        elif len(pending.encode()) >= WINDOW:
-            out.append(pending)
-            pending = ""
-    return "".join(out), pending
+    text = pending + text
+    at = 0
+    while (start := text.find("[", at)) >= 0:
+        out.append(text[at:start])
+        stop = text.find("]", start, start + WINDOW)
+        whole = text[start : stop + 1] if stop >= 0 else text[start : start + WINDOW]
+        size = 0
+        for end, ch in enumerate(whole, 1):
+            size += len(ch.encode())
+            if size >= WINDOW and ch != "]":
+                break
+        else:
+            if stop < 0:  # all that is left, and short enough
+                return "".join(out), text[start:]
+        closed = stop >= 0 and end == len(whole)
+        out.append(entries.get(whole, whole) if closed else whole[:end])
+        at = start + end
+    return "".join([*out, text[at:]]), ""
 
 
 class Restoring(InOrder):
     """Pieces of text with placeholders restored; carried over: the text of an open bracket.
 
-    ``entries`` maps requests to placeholders and originals. What is open at the end goes out if ``emit_rest``.
+    Each piece comes with its request's ``vault`` (placeholders and originals). What is open at the end goes out if ``emit_rest``.
     """
 
     column = "text"
 
-    def __init__(self, entries: dict[str, dict[str, str]], emit_rest: bool = True) -> None:
-        self.entries, self.emit_rest = entries, emit_rest
+    def __init__(self, emit_rest: bool = True) -> None:
+        self.emit_rest = emit_rest
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pending, text, ended = self.taken(rows)
-        known = self.entries.get(key[0], {})
+        known: dict[str, str] = {}
+
+        def noted() -> Iterator[pd.DataFrame]:
+            for part in rows:
+                for vault in part["vault"]:
+                    if vault is not None and len(vault):
+                        known.update(vault if isinstance(vault, dict) else dict(vault))
+                        break
+                yield part
+
+        pending, text, ended = self.taken(noted())
         out, pending = restore_window(pending, text, known) if known else (pending + text, "")
         if ended and self.emit_rest:
             out += pending
@@ -120,8 +137,13 @@ class Restoring(InOrder):
             yield pd.DataFrame({"request_id": [key[0]], "text": [out]})
 
 
-def restore(pieces: DataFrame, entries: dict[str, dict[str, str]], emit_rest: bool = True) -> DataFrame:
-    return pieces.groupBy("request_id").transformWithStateInPandas(Restoring(entries, emit_rest), PIECES, "append", "none")
+def restore(pieces: DataFrame, vaults: DataFrame, emit_rest: bool = True) -> DataFrame:
+    """A stream of pieces with the placeholders of their request's vault (request_id, vault: map) restored.
+
+    Vaults are a table that the stream is joined with; no task holds those of other requests.
+    """
+    both = pieces.join(vaults.select("request_id", "vault"), "request_id", "left")
+    return both.groupBy("request_id").transformWithStateInPandas(Restoring(emit_rest), PIECES, "append", "processingTime")
 
 
 def block_rates(entries: DataFrame, at: str = "ts", width: str = "1 minute", late: str = "5 minutes") -> DataFrame:
@@ -138,15 +160,16 @@ def attempt_rates(attempts: DataFrame, minutes: int = 15, step: str = "1 minute"
 def guarded_stream(requests: DataFrame, build, apply, path: str, checkpoint: str):
     """Runs requests through an engine that is built anew for every batch, so a changed rule file takes effect.
 
-    ``build()`` returns an engine; if it raises, the engine before it goes on.
+    ``build()`` returns an engine; if it raises, the engine before it goes on. Each batch writes a folder of its own
+    (``batch=<id>``) anew, so a batch that is run again after a failure doubles nothing.
     """
     held = {"engine": build()}
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         try:
             held["engine"] = build()
         except (ValueError, OSError):
             pass
-        apply(held["engine"], df).write.mode("append").parquet(path)
+        apply(held["engine"], df).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

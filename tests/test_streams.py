@@ -56,6 +56,60 @@ def test_restored_stream(spark, tmp_path):
     for i in (2, 0, 1):
         (source / f"{i}.json").write_text(json.dumps({"request_id": "r", "seq": i, "text": pieces[i], "last": i == 2}) + "\n")
     rows = spark.readStream.schema("request_id string, seq int, text string, last boolean").option("maxFilesPerTrigger", 1).json(str(source))
-    q = live.restore(rows, {"r": {"[REDACTED_EMAIL_1]": "a@b.io"}}).writeStream.format("memory").queryName("restored").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    vaults = spark.createDataFrame([("r", {"[REDACTED_EMAIL_1]": "a@b.io"}), ("s", {"[X_1]": "y"})], "request_id string, vault map<string, string>")
+    q = live.restore(rows, vaults).writeStream.format("memory").queryName("restored").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted("".join(r.text for r in spark.table("restored").collect())) == sorted("to a@b.io please [x")
+
+
+def test_windows_of_placeholders_at_every_cut():
+    """The same by characters, one after another."""
+    import random
+
+    def plain(text, entries):
+        out, pending = [], ""
+        for ch in text:
+            if not pending:
+                if ch == "[":
+                    pending = ch
+                else:
+                    out.append(ch)
+                continue
+            pending += ch
+            if ch == "]":
+                out.append(entries.get(pending, pending))
+                pending = ""
+            elif len(pending.encode()) >= live.WINDOW:
+                out.append(pending)
+                pending = ""
+        return "".join(out), pending
+
+    rnd, entries = random.Random(4), {"[A_1]": "x", "[B_2]": "[y]"}
+    for _ in range(400):
+        text = "".join(rnd.choice(["[A_1]", "[B_2]", "[", "]", "é", "日" * rnd.randrange(25), "ab", "[none]", "z" * rnd.randrange(70)]) for _ in range(rnd.randrange(12)))
+        out, pending, at = "", "", 0
+        while at < len(text):
+            step = rnd.randrange(1, 30)
+            part, pending = live.restore_window(pending, text[at : at + step], entries)
+            out, at = out + part, at + step
+        assert (out, pending) == plain(text, entries)
+
+
+def test_counts_of_a_hot_user_by_definition(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd, rows, now = random.Random(5), [], datetime(2024, 1, 1)
+    for i in range(900):
+        now += timedelta(seconds=rnd.choice([1, 20, 90, 1000]))
+        rows.append((i, "u" if rnd.random() < 0.8 else "v", now, rnd.random() < 0.1))
+    df = spark.createDataFrame(rows, "attempt_id int, username string, attempted_at timestamp, success boolean")
+    near = lambda a, b: a[1] == b[1] and timedelta(0) <= a[2] - b[2] < timedelta(minutes=15)
+    got = {r.attempt_id: r.n for r in ledger.recent_counts(df, "username", 15, "n").collect()}
+    assert got == {a[0]: sum(near(a, b) for b in rows[: a[0] + 1]) for a in rows}
+    want = {}
+    for a in rows:
+        if not a[3]:
+            last = max((b[0] for b in rows[: a[0]] if b[1] == a[1] and b[3]), default=-1)
+            want[a[0]] = sum(near(a, b) and not b[3] and b[0] > last for b in rows[: a[0] + 1])
+    assert {r.attempt_id: r.recent for r in ledger.lockouts(df, 4).collect()} == want
