@@ -425,7 +425,8 @@ def _flat(batches: Iterator[pa.RecordBatch], path: str, end: int, block: int) ->
     """Flat files cut into blocks at any place; a file is what one task writes."""
     from pyspark import TaskContext
 
-    file, seq, rest = TaskContext.get().partitionId(), 0, np.zeros(0, "<u2")
+    kind = "<u2" if Encoder.of(path).library.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
+    file, seq, rest = TaskContext.get().partitionId(), 0, np.zeros(0, kind)
     press = zstandard.ZstdCompressor(level=1)
 
     def row(block: int, ids: np.ndarray | None, docs: list | None) -> pa.RecordBatch:
@@ -439,7 +440,7 @@ def _flat(batches: Iterator[pa.RecordBatch], path: str, end: int, block: int) ->
             own = flat == end
             own[np.cumsum(lengths) - 1] = False
             flat[own] = 0
-            rest = np.concatenate([rest, flat.astype("<u2")])
+            rest = np.concatenate([rest, flat.astype(kind)])
             yield row(names, None, part.column("doc_id").cast(pa.int64()).to_pylist())
             names += 1
             while len(rest) >= block:
@@ -455,8 +456,13 @@ FLAT = "file int, block int, data binary, n long, doc_ids array<long>"
 def _separators(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[pa.RecordBatch]:
     """Positions of the separator in each block, as one list a block."""
     press = zstandard.ZstdDecompressor()
+
+    def ids(data: pa.BinaryScalar, n: int) -> np.ndarray:
+        raw = press.decompress(data.as_buffer().to_pybytes())
+        return np.frombuffer(raw, f"<u{len(raw) // n}")  # two bytes an id, or four for larger vocabularies
+
     for batch in batches:
-        found = [np.flatnonzero(np.frombuffer(press.decompress(x.as_buffer().to_pybytes()), "<u2") == end) for x in batch.column("data")]
+        found = [np.flatnonzero(ids(x, n) == end) for x, n in zip(batch.column("data"), batch.column("n").to_pylist(), strict=True)]
         yield pa.record_batch({"file": batch.column("file"), "block": batch.column("block"), "n": batch.column("n"), "at": pa.array(found, pa.list_(pa.int32()))})
 
 

@@ -59,7 +59,8 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     active = both.where("since <= fetched_at and (until is null or fetched_at < until)")
     first = F.struct((-F.length("domain")).alias("k"), "since", "category", "domain")
     verdict = active.groupBy("host", "fetched_at").agg(F.min(first).alias("v"))
-    rows = captures.join(verdict, ["host", "fetched_at"], "left")
+    # written, so that very many captures of one host and time can be split in the join
+    rows = captures.join(written(verdict, "url-verdicts"), ["host", "fetched_at"], "left")
     return rows.select("page_id", "host", "fetched_at", F.col("v").isNotNull().alias("blocked"), F.col("v.domain").alias("domain"), F.col("v.category").alias("category"), F.col("v.since").alias("since"))
 
 
