@@ -76,17 +76,22 @@ def automaton_literal(norm: Column, literals: Sequence[str]) -> Column:
     return found(norm)
 
 
+def literal(norm: Column, literals: Sequence[str]) -> Column:
+    """The literal found leftmost, by native searches for a few of them, by the automaton for a dictionary."""
+    return (first_literal if len(literals) <= FEW else automaton_literal)(norm, literals)
+
+
 def verdict(norm: Column, rules: RuleSet, engine: str = "aho-corasick", unicode: bool = False) -> Column:
     """level and rule: block before alert before flag, in each tier literals before patterns.
 
-    ``aho-corasick`` is one native alternation a tier; ``automaton`` scans in Python.
+    ``aho-corasick`` is native for a few literals a tier, and an automaton for dictionaries; ``automaton`` always is one.
     """
     if engine not in ("aho-corasick", "automaton"):
         raise ValueError(f"unknown keyword engine: {engine}")
     steps = []
     for tier in TIERS:
         literals = [normalized_literal(r.pattern, rules.normalize) for r in rules.of(tier, False)]
-        scan = automaton_literal if engine == "automaton" else first_literal
+        scan = automaton_literal if engine == "automaton" else literal
         patterns = [r.pattern for r in rules.of(tier, True)]
         for present, rule in ((literals, scan(norm, literals)), (patterns, first_pattern(norm, patterns, unicode))):
             if present:
@@ -152,4 +157,4 @@ def any_wildcard(name: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-__all__ = ["any_wildcard", "automaton_literal", "classified", "contains_entity", "first_literal", "first_pattern", "model_glob", "shadowed", "verdict", "weighted_verdict", "wildcard"]
+__all__ = ["any_wildcard", "automaton_literal", "classified", "contains_entity", "first_literal", "first_pattern", "literal", "model_glob", "shadowed", "verdict", "weighted_verdict", "wildcard"]

@@ -77,6 +77,17 @@ def verdict_automaton(spark, folder):
     return match.classified(prompts(spark, folder), "text", LITERALS, engine="automaton").select("doc_id", "lang", "verdict.level", "verdict.rule")
 
 
+#: A dictionary of 660 phrases, by rule.
+DICTIONARY = tuple(f"{a}{b}{c} {d}" for a in "bdfglmnprst" for b in "aeiou" for c in "nrst" for d in "adi")
+
+
+@query("verdict_dictionary", f"SELECT doc_id, CASE WHEN rule IS NULL THEN 'clean' ELSE 'alert' END AS level, rule FROM (SELECT doc_id, {literal_sql('norm', DICTIONARY)} AS rule FROM (SELECT doc_id, {norm_sql('text')} AS norm FROM {PROMPTS}) x) y")
+def verdict_dictionary(spark, folder):
+    """Rules by the hundred: literals of a tier beyond a few are sought by an automaton."""
+    rules = RuleSet(tuple(KeywordRule(p, "alert") for p in DICTIONARY))
+    return match.classified(prompts(spark, folder), "text", rules).select("doc_id", "verdict.level", "verdict.rule")
+
+
 @query("verdict_weighted", f"SELECT doc_id, level, CASE WHEN level = 'flag' THEN printf('score=%.1f', w) ELSE rule END AS rule FROM (SELECT *, {' + '.join(f'contains(norm, {q(p)})::INT' for p in FLAG_PHRASES)} + 0.0 AS w FROM ({verdict_sql(PROMPTS, False, 'doc_id')}) x JOIN (SELECT doc_id, {norm_sql('text')} AS norm FROM {PROMPTS}) y USING (doc_id)) z")
 def verdict_weighted(spark, folder):
     return match.classified(prompts(spark, folder), "text", LITERALS, engine="weighted").select("doc_id", "verdict.level", "verdict.rule")
