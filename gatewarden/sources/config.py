@@ -220,21 +220,21 @@ def pool(found: Config) -> Pool:
     warnings = ("[backend] is ignored beside [backends.*]",) if found.backends and found.backend else ()
     backends = dict(found.backends) or ({"default": found.backend} if found.backend else {})
     if not backends:
-        raise ConfigError("no backend configured")
+        raise ConfigError("routing needs a backend, and none is given")
     for r in found.routing.rules:
-        at = f"[routing] rule for model `{r.model}`"
+        at = f"routing, models like {r.model!r}:"
         if r.backend not in backends:
-            raise ConfigError(f"{at} points at unknown backend `{r.backend}`")
+            raise ConfigError(f"{at} there is no backend {r.backend!r}")
         for i, b in enumerate(r.fallback):
             if b not in backends:
-                raise ConfigError(f"{at} lists unknown fallback `{b}`")
+                raise ConfigError(f"{at} there is no backend {b!r} to fall back on")
             if b == r.backend:
-                raise ConfigError(f"{at} lists its own primary `{b}` as a fallback")
+                raise ConfigError(f"{at} {b!r} cannot be its own fallback")
             if b in r.fallback[:i]:
-                raise ConfigError(f"{at} lists duplicate fallback `{b}`")
+                raise ConfigError(f"{at} {b!r} is a fallback twice")
     default = found.routing.default
     if default is not None and default not in backends:
-        raise ConfigError(f"[routing].default = `{default}` does not match any backend")
+        raise ConfigError(f"routing: there is no backend {default!r} to be the default")
     if default is None and len(backends) > 1:
-        raise ConfigError(f"[routing].default is required with {len(backends)} backends configured")
+        raise ConfigError(f"routing: one of the {len(backends)} backends must be named as the default")
     return Pool(backends, found.routing.rules, default or next(iter(backends)), warnings)

@@ -147,23 +147,23 @@ def policy(text: str) -> Policy:
     try:
         raw = yaml.safe_load(text)
         if not isinstance(raw, dict) or raw.get("version") != 1:
-            raise RuleFileError(f"unsupported policy version {raw.get('version') if isinstance(raw, dict) else None} (expected 1)")
+            raise RuleFileError("a policy bundle is a mapping of version 1")
         rules = tuple(PolicyRule(**{**r, "compliance": tuple(r.get("compliance") or ())}) for r in raw.get("rules") or [])
     except (yaml.YAMLError, TypeError) as error:
         raise RuleFileError(f"policy: {error}") from error
     seen: set[str] = set()
     for r in rules:
         if not r.id:
-            raise RuleFileError("rule has empty id")
+            raise RuleFileError("a policy rule lacks its id")
         if r.id in seen:
-            raise RuleFileError(f"duplicate rule id `{r.id}`")
+            raise RuleFileError(f"policy rule {r.id!r} occurs twice")
         seen.add(r.id)
         if not r.pattern:
-            raise RuleFileError(f"rule `{r.id}` has empty pattern")
+            raise RuleFileError(f"policy rule {r.id!r} lacks a pattern")
         if r.action not in ACTIONS:
-            raise RuleFileError(f"rule `{r.id}` has unknown action `{r.action}`")
+            raise RuleFileError(f"policy rule {r.id!r}: no such action as {r.action!r}")
         if r.action == "redact" and not r.placeholder:
-            raise RuleFileError(f"rule `{r.id}` action=redact requires `placeholder` field")
+            raise RuleFileError(f"policy rule {r.id!r} redacts, but names no placeholder")
     return Policy(rules, (raw.get("metadata") or {}).get("name"))
 
 
