@@ -7,9 +7,9 @@ Tokens without evidence cost a little, so that evidence must lie close together.
 linear-time scan then finds all maximal scoring segments of a text.
 Segment scores are judged as extremes of random sequences: the expected number of chance
 segments of score S in n words is K n exp(-lambda S), and the segments of a text are pooled
-by their sum statistic. lambda solves the equation of the scores' chances in clean text; K is counted on clean
-texts. A logistic curve turns the statistic into a score. Both K and the curve are fitted on
-segments found with weights that were learned without the row: the labelled rows are halved, and
+by their sum statistic. lambda solves the equation of the scores' chances in clean text. A logistic curve turns
+the statistic into a score. K and the curve are fitted together, for the greatest likelihood of labels (K among
+``SCALES``), on segments found with weights that were learned without the row: the labelled rows are halved, and
 each half is scanned with the weights of the other.
 
 The labelled rows that are fitted on are a bounded sample (``SAMPLE`` rows, least hash of
@@ -25,6 +25,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from gatewarden.llm.store import clear, whole, written
 SAMPLE, PRIOR, DENSITY, MIN_COUNT = 20_000, 0.01, 0.3, 3
 THRESHOLD, SIGNIFICANT, FLOOR = 0.3, 0.01, -12.0
 STARTS = (5, 4)
+#: Values of K that are tried.
+SCALES = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 LOWER, INSIDE = table(word=b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -144,30 +147,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.record_batch({"kind": pa.array(np.full(len(token), kind), pa.int32()), "token": pa.array(token.view(np.int64)), **{f"n{i}": pa.array(n[:, i], pa.int64()) for i in range(4)}})
 
 
-def _clean(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
-    """Of clean rows, scanned with the other half's weights: words, and segments that reach the least weight."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            half = part.column("half").to_pylist()
-            toxic = part.column("toxic").to_pylist()
-            words = chance = 0
-            for i in range(part.num_rows):
-                if not toxic[i]:
-                    count, found = models[1 - half[i]].found(part.column("text").slice(i, 1))
-                    words += int(count[0])
-                    chance += len(found[0])
-            yield pa.record_batch({"words": pa.array([words], pa.int64()), "chance": pa.array([chance], pa.int64())})
-
-
 def _statistics(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
+    """The statistic of each row under every K, with the other half's weights."""
     for batch in batches:
         for part in slices(batch, "text"):
-            x = []
-            for i, half in enumerate(part.column("half").to_pylist()):
-                model = models[1 - half]
-                count, found = model.found(part.column("text").slice(i, 1))
-                x.append(model.statistic(int(count[0]), found[0]))
-            yield pa.record_batch({"x": pa.array(x, pa.float64()), "toxic": part.column("toxic").cast(pa.int32())})
+            for half in (0, 1):
+                some = part.filter(pc.equal(part.column("half"), half))
+                if some.num_rows:
+                    count, found = models[1 - half].found(some.column("text"))
+                    each = [replace(models[1 - half], scale=k) for k in SCALES]
+                    x = [[m.statistic(n, f) for m in each] for n, f in zip(count.tolist(), found, strict=True)]
+                    yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "toxic": some.column("toxic").cast(pa.int32())})
 
 
 def _rate(weight: np.ndarray, share: np.ndarray, gap: float) -> float:
@@ -183,11 +173,6 @@ def _rate(weight: np.ndarray, share: np.ndarray, gap: float) -> float:
     return low
 
 
-def chance_scale(words: int, chance: int, rate: float, least: float) -> float:
-    """K of the law K n exp(-rate S), from the segments of score ``least`` and more in so many clean words."""
-    return min(1e6, max(1e-6, (chance + 0.5) * math.exp(min(600.0, rate * least)) / max(1, words)))
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Shift and slope of the curve through 0/1 labels, lightly regularised (Newton's method)."""
     a, b = 0.0, 0.1
@@ -204,6 +189,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(max(b, 0.0))
 
 
+def _likelihood(x: np.ndarray, y: np.ndarray, shift: float, slope: float) -> float:
+    """Log of the chance of the labels under a curve."""
+    z = np.clip(shift + slope * x, -500, 500)
+    return float((y * z - np.logaddexp(0, z)).sum())
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -246,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = F.xxhash64("doc_id")
     named = named.where(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(sample)
     named = named.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.shiftright(order, 7), F.lit(2)).cast("int").alias("half"))
-    # the texts of the sample, read three times below
+    # the texts of the sample, read twice below
     marked = written(clear(docs, "doc_id", "text").join(F.broadcast(named), "doc_id").select("text", "toxic", "half"), "labelled")
     cells = [F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]
     total = marked.mapInArrow(_counts, "kind int, token long, n0 long, n1 long, n2 long, n3 long").groupBy("kind", "token").agg(*cells)
@@ -254,14 +245,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model, *halves = [_weighed(rows.assign(t=t, c=c), gap) for t, c in ((rows.n1 + rows.n3, rows.n0 + rows.n2), (rows.n1, rows.n0), (rows.n3, rows.n2))]
     if model is None or None in halves:
         return empty
-    seen = marked.mapInArrow(lambda it: _clean(it, halves), "words long, chance long").agg(F.sum("words"), F.sum("chance")).first()
-    least = min(h.weight.min() for h in halves)
-    halves, model = ([replace(m, scale=chance_scale(seen[0] or 0, seen[1] or 0, m.rate, least)) for m in x] for x in (halves, [model]))
-    got = marked.mapInArrow(lambda it: _statistics(it, halves), "x double, toxic int").toPandas()
+    got = marked.mapInArrow(lambda it: _statistics(it, halves), "x array<double>, toxic int").toPandas()
     if got.toxic.nunique() < 2:
         return empty
-    shift, slope = _logistic(got.x.to_numpy(), got.toxic.to_numpy(np.float64))
-    return replace(model[0], shift=shift, slope=slope)
+    x, y = np.stack(got.x.to_numpy()), got.toxic.to_numpy(np.float64)
+    curves = [_logistic(x[:, k], y) for k in range(len(SCALES))]
+    k = int(np.argmax([_likelihood(x[:, i], y, *c) for i, c in enumerate(curves)]))
+    return replace(model, scale=SCALES[k], shift=curves[k][0], slope=curves[k][1])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

@@ -161,10 +161,12 @@ def test_allowed_parts_do_not_hide_the_rest():
 
 
 def test_calibration(spark):
-    """K is what clean texts show, and the curve comes from rows scanned with weights that were learned without them."""
+    """K and the curve come from rows scanned with weights that were learned without them."""
     rnd = random.Random(24)
-    assert toxicity.chance_scale(10_000, 49, 1.0, 2.0) == pytest.approx(49.5 * math.exp(2) / 10_000)
-    assert toxicity.chance_scale(0, 0, 1.0, 1.0) > 0
+    x, y = np.array([-3.0, -2, -1, 1, 2, 3]), np.array([0.0, 0, 1, 0, 1, 1])
+    best = toxicity._likelihood(x, y, *toxicity._logistic(x, y))
+    assert all(best >= toxicity._likelihood(x, y, a, b) - 0.02 for a in np.linspace(-1, 1, 9) for b in np.linspace(0, 2, 9))
+    assert toxicity._likelihood(x, y, 0.2, 0.7) == pytest.approx(sum(math.log(p if t else 1 - p) for t, p in zip(y, 1 / (1 + np.exp(-0.2 - 0.7 * x)), strict=True)))
     rows, labels = [], []
     for i in range(800):
         toxic = int(i % 4 == 0)
@@ -177,7 +179,7 @@ def test_calibration(spark):
     held = [i for i in range(800) if zlib.crc32(str(i).encode()) % 4 == 2]
     said = np.array([got[i] for i in held])
     true = np.array([i % 4 == 0 for i in held])
-    assert said[true].mean() > 0.9 and said[~true].mean() < 0.1 and 1e-6 <= model.scale <= 1e6
+    assert said[true].mean() > 0.9 and said[~true].mean() < 0.1 and model.scale in toxicity.SCALES
 
 
 def test_pruning_of_clustered_vectors(spark):
