@@ -30,7 +30,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared(spark: SparkSession) -> str:
     """The folder that a cluster shares: spark.checkpoint.dir; where it is unset the warehouse, but on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
