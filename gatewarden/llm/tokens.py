@@ -365,7 +365,10 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -
 
 
 def write_shards(docs: DataFrame, vocab: str | None = None, end: int = END, shard_tokens: int = 2 << 20, path: str | None = None) -> str:
-    """Writes the shard files of documents in ascending doc_id order (nulls first, equal ids by a hash of the text); returns their folder."""
+    """Writes the shard files of documents in ascending doc_id order (nulls first, equal ids by a hash of the text); returns their folder.
+
+    Null texts hold the end id alone; rows of one id and text stand side by side; an empty table gives a folder without shards.
+    """
     spark = docs.sparkSession
     vocab, path = vocab or vocabulary(), path or new_path(spark, "token-shards")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -472,7 +475,9 @@ def separator_scan(flat: DataFrame, end: int = FLAT_END) -> DataFrame:
     Each block is searched alone. Of a block, the prefix scan needs three numbers: its
     size, its count of separators, and the place of its last one; the scan over a file's blocks
     gives where the block begins, how many documents ended before it, and where the open one began.
-    A last document without a separator is reported too; n_tokens counts the separator.
+    A last document without a separator is reported too; n_tokens counts the separator. Separators side by side are
+    documents of that one token. A file without blocks gives no rows; blocks are told apart by file and number, which must not
+    be null or repeated; other columns are not read.
     """
     at = written(flat.select("file", "block", "data", "n").mapInArrow(lambda it: _separators(it, end), "file int, block int, n long, at array<int>"), "separators")
     order = W.partitionBy("file").orderBy("block")
@@ -490,7 +495,10 @@ def separator_scan(flat: DataFrame, end: int = FLAT_END) -> DataFrame:
 
 
 def write_flat(docs: DataFrame, vocab: str | None = None, end: int = FLAT_END, block: int = BLOCK) -> DataFrame:
-    """Flat token files (rows with data) and, apart from them, the documents of each file in order."""
+    """Flat token files (rows with data) and, apart from them, the documents of each file in order.
+
+    Null texts are empty documents; null and repeated doc_ids stay, in the order of the rows that a task reads.
+    """
     vocab = vocab or vocabulary()
     return written(clear(docs, "doc_id", "text").mapInArrow(lambda it: _flat(it, vocab, end, block), FLAT), "flat-tokens")
 
