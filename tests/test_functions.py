@@ -103,3 +103,64 @@ def test_tool_gate(spark):
     rows = df.select("i", gate.decision(F.col("name"), F.col("arguments")).alias("d")).orderBy("i").collect()
     assert [r.d.decision for r in rows] == ["deny", "deny", "deny", "deny", "sanitize", "allow", "deny"]
     assert rows[4].d.arguments == '{"x":["[EMAIL]"],"a@b.io":1}' and "deny list" in rows[0].d.reason and "failed schema" in rows[3].d.reason
+
+
+def test_what_every_match_holds():
+    """A text that a pattern matches holds the part named for it, so leaving out texts without it loses nothing."""
+    import random
+    import re
+
+    from gatewarden.plans.text import PATTERNS
+    from gatewarden.rules import ENTITY_PATTERNS, needed
+
+    rnd = random.Random(6)
+    pool = ["AKIA" + "A1" * 8, "a.b@c.io", "123-45-6789", "4111 1111-11111111", "ghp_" + "a" * 36, "sk-" + "x9" * 12, "sk-ant-" + "x" * 81, "rk_live_" + "Z" * 20, "AIza" + "b" * 35, "eyJa.b-c.d_e", "xoxb-1234567890", "t" * 33, "10.0.0.1", " ", ".", "@", "-", "é"]
+    hits = 0
+    for _ in range(3000):
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randint(1, 4)))
+        for p in [p for _, p in ENTITY_PATTERNS] + [p for p, _ in PATTERNS]:
+            if re.search(p, text):
+                hits += 1
+                assert not needed(p) or needed(p) in text, (p, text)
+    assert hits > 1000 and needed(r"ab?c|de") is None and needed(r"x+(?:abc)?de{2}fg") == "fg" and needed("(") is None
+
+
+def test_marks_in_the_text_itself(spark):
+    from gatewarden.functions.normalize import MARK, interleaved
+
+    texts = ["a1b22c", f"a1{MARK}b22", MARK, "", None, "none", "9"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.x for r in rows.select("i", interleaved(F.col("t"), "[0-9]+", lambda m: F.concat(F.lit("<"), m, F.lit(">"))).alias("x")).collect()}
+    import re
+
+    assert got == {i: None if t is None else re.sub("[0-9]+", lambda m: f"<{m[0]}>", t) for i, t in enumerate(texts)}
+
+
+def test_vault_of_several_rules_over_a_request(spark):
+    import re
+
+    from gatewarden.functions import redact
+    from gatewarden.rules import default_entities
+
+    rules = [r for r in default_entities() if r.entity in ("EMAIL", "SSN", "CARD")]
+    requests = [["mail a@b.io and c@d.io", "a@b.io 123-45-6789", ""], ["none"], ["4111 1111 1111 1111 x@y.zz", "x@y.zz 999-99-9999 999-99-9998"], []]
+    want = []
+    for texts in requests:
+        vault, now = [], list(texts)
+        for r in rules:
+            known = list(dict.fromkeys(v for t in now for v in reversed(re.findall(r.pattern, t))))
+            now = [re.sub(r.pattern, lambda m, known=known, r=r: f"[{r.entity}_{known.index(m[0]) + 1}]", t) for t in now]
+            vault += [(f"[{r.entity}_{i + 1}]", v) for i, v in enumerate(known)]
+        want.append((now, vault))
+    rows = spark.createDataFrame(list(enumerate(requests)), "i int, texts array<string>")
+    found = redact.with_vault(rows, "texts", rules)
+    back = found.select("i", "texts", "vault", F.transform("texts", lambda t: redact.restored(t, F.col("vault"))).alias("back")).orderBy("i").collect()
+    assert [(r.texts, [tuple(e) for e in r.vault]) for r in back] == want and [r.back for r in back] == requests
+
+
+def test_names_of_methods_and_styles():
+    from gatewarden.functions import redact, spotlight
+
+    assert [spotlight.method_of(n) for n in ("Delimiter", "DATAMARK", "base64", "encoding", "what")] == ["delimiting", "datamarking", "encoding", "encoding", "datamarking"]
+    assert redact.style_of("Numbered") == "indexed" and redact.style_of("what") == "bare" and redact.style_of("bare", True) == "indexed"
+    assert spotlight.Spotlight(mark="~").told.count("~") == 1 and spotlight.Spotlight(rider="").told == ""

@@ -59,3 +59,12 @@ def test_engine_takes_policy_before_dictionaries(spark):
     engine = Engine.build(config(text), {"p.yaml": POLICY, "d.txt": "two\t0"}.__getitem__)
     assert [r.pattern for r in engine.keywords.rules] == ["one", "Jailbreak Now", "two"]
     assert error_label(FileNotFoundError()) == "file_not_found" and reload_entry(ValueError(), "r", "t", 1)["error"] == "build_failed"
+
+
+def test_reports_are_written(spark, tmp_path):
+    import json
+
+    report = spark.createDataFrame([("EMAIL", 3, 1.0), ("TOTAL", 3, 0.5)], "entity string, tp long, f1 double")
+    files.write_report(report, f"file://{tmp_path}/report")
+    assert {tuple(r) for r in spark.read.json(f"file://{tmp_path}/report").select("entity", "tp", "f1").collect()} == {("EMAIL", 3, 1.0), ("TOTAL", 3, 0.5)}
+    assert json.loads(files.report_json([r.asDict() for r in report.collect()]))[1] == {"entity": "TOTAL", "tp": 3, "f1": 0.5}
