@@ -218,6 +218,26 @@ def _search(batches: Iterator[pa.RecordBatch], shared, top: int) -> Iterator[pa.
         yield pa.record_batch({"query_id": pa.array(own), "vec_id": pa.array(own, mask=~nothing), "score": pa.array(own, mask=~nothing), "blocks": pa.array(np.full(len(q), len(blocks))), "scored": pa.array(scored)})
 
 
+def _sets(packs: list, limit: int) -> list[list[str]]:
+    """Names of packs (part, pack, size) put together to sets of about ``limit`` bytes, however many parts they came from."""
+    out: list[list[str]] = []
+    room = 0
+    for part, pack, size in sorted(packs):
+        if not out or size > room:
+            out.append([])
+            room = limit
+        out[-1].append(f"{part}:{pack}")
+        room -= size
+    return out
+
+
+def _opened_packs(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width = max(r.terms for r in rows)
+    ids = [np.frombuffer(r.ids, np.int64) for r in rows]
+    vectors = [_fitted(np.frombuffer(r.weights, np.int64).reshape(len(i), r.terms), width) for i, r in zip(ids, rows, strict=True)]
+    return np.concatenate(ids), np.concatenate(vectors), np.concatenate([np.frombuffer(r.floors, np.int64) for r in rows])
+
+
 def _matches(vectors: DataFrame, queries: DataFrame, top: int, scale: int, block: int, query_bytes: int) -> DataFrame:
     """The best of every task for every query, and rows without vec_id that hold the blocks a task has and those it scored."""
     spark = vectors.sparkSession
@@ -236,10 +256,8 @@ def _matches(vectors: DataFrame, queries: DataFrame, top: int, scale: int, block
     packs = written(asked.mapInArrow(lambda it: _packs(it, shared, scale, top, query_bytes), PACKS), "query-packs")
     path = new_path(spark, "top-scores")
     spark.createDataFrame([], FOUND).write.parquet(path)
-    for part, pack in sorted(packs.select("part", "pack").collect()):
-        row = packs.where((F.col("part") == part) & (F.col("pack") == pack)).first()  # one set, of bounded size
-        ids = np.frombuffer(row.ids, np.int64)
-        one = spark.sparkContext.broadcast((ids, np.frombuffer(row.weights, np.int64).reshape(len(ids), row.terms), np.frombuffer(row.floors, np.int64)))
+    for names in _sets(packs.select("part", "pack", (F.length("weights") + 2 * F.length("ids")).alias("size")).collect(), query_bytes):
+        one = spark.sparkContext.broadcast(_opened_packs(packs.where(F.concat_ws(":", "part", "pack").isin(names)).collect()))  # one set, of bounded size
         blocks.mapInArrow(lambda it, one=one: _search(it, one, top), FOUND).write.mode("append").parquet(path)
         one.destroy()
     return spark.read.schema(FOUND).parquet(path)
