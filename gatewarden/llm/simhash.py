@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden.llm.lexing import slices
-from gatewarden.llm.store import clear, mark, swept, whole, written
+from gatewarden.llm.store import clear, removed, scope, whole, written
 
 SHINGLE, RADIUS, SEED, TILE = 4, 4, 42, 1024
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -171,7 +171,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a hub's rows are read from a shuffle on both sides and can be split. A lost executor
     costs at most one round; tables of earlier rounds are removed. Raises if it has not settled after ``max_rounds``.
     """
-    spark, since = edges.sparkSession, mark()
+    with scope() as tables:
+        return _contracted(edges, tables, max_rounds)
+
+
+def _contracted(edges: DataFrame, tables: list[str], max_rounds: int) -> DataFrame:
     e = edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct()
     for _ in range(max_rounds):
         both = e.unionByName(e.selectExpr("v u", "u v"))
@@ -182,7 +186,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = written(e.groupBy("u").agg(F.min("v").alias("m")), "components-small")
         e = e.join(small, "u").where("v <> m").selectExpr("v u", "m v").unionByName(small.selectExpr("u", "m v")).selectExpr("greatest(u, v) u", "least(u, v) v").where("u <> v").distinct()
         e = written(e, "components")
-        swept(spark, since, keep=1)
+        removed(edges.sparkSession, tables, keep=1)
         rows, nodes = e.agg(F.count("*"), F.count_distinct("u")).first()
         # only stars: every node hangs on one root, and no root hangs on anything
         if rows == nodes and not e.select(F.col("v").alias("u")).distinct().join(e.select("u"), "u", "left_semi").limit(1).count():

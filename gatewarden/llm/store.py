@@ -5,12 +5,31 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders written by this process, in order; ``swept`` removes them.
-_WRITTEN: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Paths of the tables that are written inside, in order: those of this call alone, whatever other threads write.
+
+    Who opened it may remove any of them once no open result reads them (``removed``); what is left at
+    the end goes to the scope around, if there is one.
+    """
+    own: list[str] = []
+    token = _SCOPE.set(own)
+    try:
+        yield own
+    finally:
+        _SCOPE.reset(token)
+        outer = _SCOPE.get()
+        if outer is not None:
+            outer.extend(own)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    own = _SCOPE.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
@@ -40,15 +61,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A point in time for ``swept``."""
-    return len(_WRITTEN)
-
-
-def swept(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the tables written after a mark, but for the last ``keep``; no result that reads them may be open."""
-    gone = _WRITTEN[since : len(_WRITTEN) - keep]
-    del _WRITTEN[since : len(_WRITTEN) - keep]
+def removed(spark: SparkSession, paths: list[str], keep: int = 0) -> None:
+    """Deletes the tables of a scope, but for the last ``keep``; no result that reads them may be open."""
+    gone = paths[: len(paths) - keep]
+    del paths[: len(paths) - keep]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in gone:
         at = jvm.org.apache.hadoop.fs.Path(path)

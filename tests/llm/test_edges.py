@@ -286,8 +286,23 @@ def test_a_hub_and_a_chain_are_one_component(spark):
 def test_tables_are_swept(spark):
     import glob
 
-    since = store.mark()
-    kept = [store.written(spark.range(3).toDF("x"), f"sweep{i}") for i in range(3)][-1]
-    store.swept(spark, since, keep=1)
+    with store.scope() as tables:
+        kept = [store.written(spark.range(3).toDF("x"), f"sweep{i}") for i in range(3)][-1]
+        store.removed(spark, tables, keep=1)
     folder = store.shared_dir(spark).removeprefix("file://")
     assert kept.count() == 3 and len(glob.glob(f"{folder}/sweep*")) == 1
+
+
+def test_calls_in_threads_keep_their_own_tables(spark):
+    """Several near-duplicate searches and a removal of repeats, at once in one session, give what each gives alone."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rnd = random.Random(29)
+    base = [prose(rnd, 60) for _ in range(6)]
+    docs = spark.createDataFrame([(i, base[i % 6] + " " + prose(rnd, i % 3)) for i in range(60)], "doc_id long, text string")
+    ran = {"near": lambda: simhash.near_groups(docs), "one": lambda: simhash.one_of_each(docs), "suffixes": lambda: suffixes.without_repeats(docs)}
+    result = lambda name: sorted(map(repr, ran[name]().collect()))
+    alone = {name: result(name) for name in ran}
+    names = ["near", "one", "near", "suffixes", "near"]
+    with ThreadPoolExecutor(len(names)) as pool:
+        assert list(pool.map(result, names)) == [alone[n] for n in names]
