@@ -57,12 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written and read again; the tables that a stage worked with go once its result is written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for i, (name, stage) in enumerate(STAGES):
-        since = before if before is not None else store.mark()
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = store.written(docs, f"stage-{name}")
-            store.swept(spark, since, keep=1)
-            before = store.mark() - 1
-    return docs
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with store.scope() as tables:
+        for name, stage in STAGES[:-1]:
+            docs = store.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            store.removed(spark, tables, keep=1)
+        return STAGES[-1][1](spark, docs, sf_dir)
