@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json as jsonlib
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -14,13 +15,39 @@ from gatewarden.functions.normalize import interleaved
 from gatewarden.functions.redact import let, redacted
 from gatewarden.rules import EntityRule
 
-STRING = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
+#: A string of a JSON text; with the colon after it, if it is a key.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
 ANNOTATIONS = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "format"}
 
 
+def decoded(token: Column) -> Column:
+    """The text that a JSON string (with its quotes) stands for."""
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(F.contains(token, F.lit("\\")), F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), 0)).otherwise(plain)
+
+
+def encoded(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
+def changed_strings(json: Column, change) -> Column:
+    """JSON text with every string value changed by a function of what it stands for, at any depth.
+
+    Keys, layout and values that do not change stay as they are; others are written anew, so the text stays JSON whatever is changed.
+    """
+    def new(token: Column) -> Column:
+        def both(old: Column) -> Column:
+            return let(change(old), lambda x: F.when(x == old, token).otherwise(encoded(x)))
+
+        return F.when(F.endswith(token, F.lit(":")), token).otherwise(F.coalesce(let(decoded(token), both), token))
+
+    return interleaved(json, STRING, new)
+
+
 def mask_strings(json: Column, rules: Sequence[EntityRule], entities: set[str] | None = None) -> Column:
     """JSON text with every string value redacted at any depth; keys and layout stay."""
-    return interleaved(json, STRING, lambda s: F.when(F.endswith(s, F.lit(":")), s).otherwise(redacted(s, rules, entities)))
+    return changed_strings(json, lambda s: redacted(s, rules, entities))
 
 
 def strict_json(text: Column) -> Column:
@@ -103,7 +130,7 @@ def _errors(value: Column, schema: dict[str, Any], path: str, root: dict[str, An
     if "type" in schema:
         wanted = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
         unless(kind.isin(*wanted, *(["integer"] if "number" in wanted else [])), f"is not of type {' or '.join(wanted)}")
-    for options in [schema["enum"]] if "enum" in schema else [[schema["const"]]] if "const" in schema else []:
+    for options in [schema[w] if w == "enum" else [schema[w]] for w in ("enum", "const") if w in schema]:
         unless(F.to_json(value).isin(*[jsonlib.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True) for x in options]), "is not one of the values allowed")
     number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
     for word, test, message in (
@@ -126,13 +153,15 @@ def _errors(value: Column, schema: dict[str, Any], path: str, root: dict[str, An
     if "items" in schema:
         each = F.flatten(F.transform(items, lambda v: below(v, schema["items"], "/items")))
         out.append(F.when(kind == "array", F.coalesce(each, none)).otherwise(none))
-    member = lambda k: F.try_variant_get(value, f"$['{k}']", "variant")
+    fields = F.try_variant_get(value, "$", "map<string, variant>")
+    # a path cannot name every property
+    member = lambda k: F.try_variant_get(value, f"$['{k}']", "variant") if re.fullmatch(r"[\w -]+", k, re.A) else F.try_element_at(fields, F.lit(k))
     named, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
     for k in schema.get("required", []):
         unless((kind != "object") | member(k).isNotNull(), f"lacks the property {k}")
     for k, sub in named.items():
         out.append(F.when((kind == "object") & member(k).isNotNull(), below(member(k), sub, f"/{k}")).otherwise(none))
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
+    entries = F.map_entries(fields)
     for p, sub in patterns.items():
         each = F.flatten(F.transform(F.filter(entries, _named_like(p)), _value_of(below, sub, p)))
         out.append(F.when(kind == "object", F.coalesce(each, none)).otherwise(none))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pyarrow as pa
@@ -86,10 +87,36 @@ def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+#: Runs of so many letters and more that no compatibility form changes are told by a pattern.
+PLAIN_RUN = 32
+
+
+@functools.cache
+def plain_letters() -> str:
+    """Inside of a character class: code points that stay as they are, and never join with what is before them.
+
+    A text of these alone is its own compatibility form. The class need not be complete: texts with other letters are formed.
+    """
+    def plain(c: int) -> bool:
+        x = chr(c)
+        return not (0x1100 <= c <= 0x11FF or 0xD800 <= c <= 0xDFFF) and unicodedata.category(x)[0] != "M" and unicodedata.combining(x) == 0 and unicodedata.normalize("NFKC", x) == x
+
+    runs: list[list[int]] = []
+    for c in range(0x10000):
+        if plain(c):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    # all of the first letters, and long runs beyond them
+    chosen = [(a, b) for a, b in runs if a < 0x100 or b - a + 1 >= PLAIN_RUN]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in chosen)
+
+
 def compatible(text: Column) -> Column:
-    """The compatibility form; only texts beyond ASCII are sent to Python, as others are their own."""
-    beyond = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)
-    return F.coalesce(_nfkc(beyond), text)
+    """The compatibility form; only texts with letters that it may change are sent to Python, as others are their own."""
+    other = F.regexp_like(text, F.lit(r"[^\x00-\x7F]")) & F.regexp_like(text, F.lit(f"[^{plain_letters()}]"))
+    return F.coalesce(_nfkc(F.when(other, text)), text)
 
 
 def with_normalized(df: DataFrame, text: str, out: str, options: Normalize = Normalize()) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewarden.functions.normalize import let, parted
+from gatewarden.functions.normalize import interleaved, let, parted
 from gatewarden.rules import BARE, INDEXED, LLM_GUARD, OUTPUT_PHRASES, EntityRule, needed, quoted
 
 STYLES = {"bare": BARE, "indexed": INDEXED, "numbered": INDEXED, "llm_guard": LLM_GUARD, "llm-guard": LLM_GUARD}
@@ -65,16 +65,49 @@ def _matches(text: Column, rule: Column) -> Column:
     return F.when(F.contains(text, rule["part"]), F.regexp_extract_all(text, rule["pattern"], F.lit(0))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
-def _renumbered(text: Column, rule: Column, known: Column | None = None) -> Column:
-    found = _matches(text, rule)
+#: Up to so many values are numbered by looking each up in the list of distinct ones.
+LOOKED_UP = 64
 
-    def made(m: Column) -> Column:
-        values = F.array_distinct(F.reverse(m)) if known is None else known
-        names = F.transform(m, lambda v: F.concat(rule["head"], F.array_position(values, v).cast("string"), rule["tail"]))
-        both = F.zip_with(F.split(text, rule["pattern"], -1), names, lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
-        return F.when(F.size(m) > 0, F.array_join(both, "")).otherwise(text)
 
-    return let(found, made)
+def numbers(values: Column) -> Column:
+    """For each element of an array the number of its value, from 1 in the order of first occurrence.
+
+    Many values are sorted and numbered by their runs, so ten thousand of them take no hundred million comparisons.
+    """
+    number = lambda known: F.transform(values, lambda v: F.array_position(known, v).cast("int"))
+    return F.when(F.size(values) > LOOKED_UP, _by_runs(values)).otherwise(let(F.array_distinct(values), number))
+
+
+def _runs(rows: Column, field: str, made) -> Column:
+    """``made`` of a run's first row, its number and each row, for all runs of equal fields of sorted rows."""
+    def cut(t: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda j: (j == 0) | (F.get(t, j)[field] != F.get(t, j - 1)[field]))
+
+        def runs(h: Column) -> Column:
+            size = lambda a, k: F.coalesce(F.get(h, k + 1), F.size(t)) - a
+            return F.flatten(F.transform(h, lambda a, k: F.transform(F.slice(t, a + 1, size(a, k)), lambda x: made(F.get(t, a), k, x))))
+
+        return let(heads, runs)
+
+    return let(F.sort_array(rows), cut)
+
+
+def _by_runs(values: Column) -> Column:
+    placed = F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    first = _runs(placed, "v", lambda head, _, x: F.struct(head["i"].alias("first"), x["i"].alias("i")))
+    number = _runs(first, "first", lambda _, k, x: F.struct(x["i"].alias("i"), (k + 1).alias("n")))
+    return F.transform(F.sort_array(number), lambda x: x["n"])
+
+
+def _renamed(text: Column, rule: Column, number: Column) -> Column:
+    """The text with the matches of a rule named by their numbers."""
+    names = F.transform(number, lambda n: F.concat(rule["head"], n.cast("string"), rule["tail"]))
+    both = F.zip_with(F.split(text, rule["pattern"], -1), names, lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
+    return F.when(F.size(number) > 0, F.array_join(both, "")).otherwise(text)
+
+
+def _renumbered(text: Column, rule: Column) -> Column:
+    return let(_matches(text, rule), lambda m: F.when(F.size(m) > 0, _renamed(text, rule, F.reverse(numbers(F.reverse(m))))).otherwise(text))
 
 
 def all_numbered(text: Column, rules: Sequence[EntityRule], style: str) -> Column:
@@ -118,14 +151,17 @@ def with_vault(df: DataFrame, texts: str, rules: Sequence[EntityRule], style: st
         return df.withColumn(vault, none)
 
     def step(acc: Column, r: Column) -> Column:
-        found = F.transform(acc["texts"], lambda t: F.reverse(_matches(t, r)))
+        found = F.transform(acc["texts"], lambda t: F.coalesce(F.reverse(_matches(t, r)), F.array().cast("array<string>")))
 
-        def made(known: Column) -> Column:
-            new = F.transform(acc["texts"], lambda t: _renumbered(t, r, known))
-            entries = F.transform(known, lambda v, i: F.struct(F.concat(r["head"], (i + 1).cast("string"), r["tail"]).alias("placeholder"), v.alias("original")))
-            return F.when(F.size(known) > 0, F.struct(new.alias("texts"), F.concat(acc["vault"], entries).alias("vault"))).otherwise(acc)
+        def made(m: Column) -> Column:
+            flat = F.flatten(m)
+            before = lambda k: F.aggregate(F.slice(m, F.lit(1), k), F.lit(0), lambda n, x: n + F.size(x))
+            new = lambda number: F.transform(acc["texts"], lambda t, k: _renamed(t, r, F.reverse(F.slice(number, before(k) + 1, F.size(F.get(m, k))))))
+            entries = F.transform(F.array_distinct(flat), lambda v, i: F.struct(F.concat(r["head"], (i + 1).cast("string"), r["tail"]).alias("placeholder"), v.alias("original")))
+            done = let(numbers(flat), lambda number: F.struct(new(number).alias("texts"), F.concat(acc["vault"], entries).alias("vault")))
+            return F.when(F.exists(m, lambda x: F.size(x) > 0), done).otherwise(acc)
 
-        return let(F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull()))), made)
+        return let(found, made)
 
     folded = F.aggregate(_rule_rows(rules, style), F.struct(F.col(texts).alias("texts"), none.alias("vault")), step)
     return df.withColumn("_fold", folded).withColumn(texts, F.col("_fold.texts")).withColumn(vault, F.col("_fold.vault")).drop("_fold")
@@ -173,7 +209,30 @@ def restored(text: Column, vault: Column, strategy: str = "exact") -> Column:
         quote = lambda t: F.regexp_replace(t, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
         safe = lambda t: F.regexp_replace(t, r"([\\$])", r"\\$1")
         return F.aggregate(vault, text, lambda t, e: F.regexp_replace(t, F.concat(F.lit("(?i)"), quote(e["placeholder"])), safe(e["original"])))
-    return F.aggregate(vault, text, lambda t, e: F.replace(t, e["placeholder"], e["original"]))
+    one_by_one = F.aggregate(vault, text, lambda t, e: F.replace(t, e["placeholder"], e["original"]))
+    return F.when(F.size(vault) > LOOKED_UP, F.coalesce(_at_once(text, vault), one_by_one)).otherwise(one_by_one)
+
+
+def _at_once(text: Column, vault: Column) -> Column:
+    """The text cut at its brackets once, each looked up by its number; null if the vault does not allow that.
+
+    It does if the entries of each name stand together and are numbered from 1, as ``with_vault`` leaves them, and no original
+    holds a bracket, so that nothing that was put in can be a placeholder again.
+    """
+    parsed = F.transform(vault, lambda e, i: F.struct(F.regexp_extract(e["placeholder"], r"^(\[[^\[\]]*_)[1-9][0-9]*\]$", 1).alias("head"), F.regexp_extract(e["placeholder"], r"_([1-9][0-9]*)\]$", 1).try_cast("int").alias("n"), i.alias("i")))
+
+    def of(rows: Column) -> Column:
+        def found(bases: Column) -> Column:
+            base = lambda head: F.get(F.filter(bases, lambda b: b["head"] == head), 0)["i"]
+            regular = F.forall(rows, lambda x: F.coalesce((x["head"] != "") & (base(x["head"]) + x["n"] - 1 == x["i"]), F.lit(False)))
+            fits = regular & ~F.exists(vault, lambda e: F.regexp_like(e["original"], F.lit(r"[\[\]]")))
+            place = lambda m: base(F.regexp_extract(m, r"^(.*_)[0-9]+\]$", 1)) + F.regexp_extract(m, r"_([0-9]+)\]$", 1).try_cast("int") - 1
+            known = lambda m: F.filter(F.array(F.get(vault, place(m))), lambda e: e["placeholder"] == m)
+            return F.when(fits, interleaved(text, r"\[[^\[\]]*\]", lambda m: F.coalesce(F.get(known(m), 0)["original"], m)))
+
+        return let(F.filter(rows, lambda x: x["n"] == 1), found)
+
+    return let(parsed, of)
 
 
 def masked_output(text: Column, phrases: Sequence[str] = OUTPUT_PHRASES) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,18 +87,40 @@ def reload_status(entries: DataFrame, after: str, order: list[str], lines: int =
     return seen.agg(F.max_by("verdict", F.struct(*order)).alias("verdict"))
 
 
-def rank_percentiles(rows: DataFrame, value: str, points: dict[str, float], keys: list[str] | None = None) -> DataFrame:
-    """The value at floor(n p) of the ascending order (from 0), exactly.
+#: Ranges of values that exact percentiles are sought in.
+RANGES = 64
+
+
+def rank_percentiles(rows: DataFrame, value: str, points: dict[str, float], keys: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """The value at floor(n p) of the ascending order (from 0), exactly; null values are left out.
 
-    Equal values are counted first, so only distinct values are ordered, by a running sum of counts.
+    Rows are counted by ranges of the value first, whose bounds are estimated; the counts tell which range holds a rank, and only
+    the distinct values of those ranges are ordered, each range by itself, with their counts. A key with all rows takes no more.
     """
     keys = keys or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(value))
-    counts = counts.withColumn("_hi", upto).withColumn("_n", F.sum("_c").over(W.partitionBy(*keys)))
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    rows = rows.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in names.items()], F.col(value).alias("_v"))
+    own = list(names.values())
+    steps = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
+    bounds = rows.groupBy(*own).agg(F.percentile_approx("_v", steps, F.lit(1000)).alias("_b")).withColumn("_b", F.array_distinct("_b"))
+    counts = rows.groupBy(*own, "_v").agg(F.count("*").alias("_c"))
+    if own:
+        by = bounds.select(*[F.col(n).alias(f"{n}b") for n in own], "_b")
+        counts = counts.join(by, [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in own]).drop(*[f"{n}b" for n in own])
+    else:
+        counts = counts.withColumn("_b", F.lit(bounds.first()["_b"]))  # a few bounds
+    counts = counts.withColumn("_range", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
+    sizes = counts.groupBy(*own, "_range").agg(F.sum("_c").alias("_s"))
+    ordered = W.partitionBy(*own).orderBy("_range")
+    sizes = sizes.withColumn("_hi", F.sum("_s").over(ordered)).withColumn("_n", F.sum("_s").over(W.partitionBy(*own))).withColumn("_lo", F.col("_hi") - F.col("_s"))
     at = lambda p: F.floor(F.col("_n") * F.lit(p))
+    held = functools.reduce(lambda x, y: x | y, [(F.col("_hi") > at(p)) & (F.col("_lo") <= at(p)) for p in points.values()])
+    few = sizes.where(held).select(*[F.col(n).alias(f"{n}s") for n in own], F.col("_range").alias("_r"), "_lo", "_n")
+    near = counts.join(few, [F.col(n).eqNullSafe(F.col(f"{n}s")) for n in own] + [F.col("_range") == F.col("_r")])
+    upto = near.withColumn("_hi", F.col("_lo") + F.sum("_c").over(W.partitionBy(*own, "_range").orderBy("_v")))
     hit = lambda p: (F.col("_hi") > at(p)) & (F.col("_hi") - F.col("_c") <= at(p))
-    return counts.groupBy(*keys).agg(*[F.max(F.when(hit(p), F.col(value))).alias(name) for name, p in points.items()])
+    found = upto.groupBy(*own).agg(*[F.max(F.when(hit(p), F.col("_v"))).alias(name) for name, p in points.items()])
+    return found.select(*[F.col(n).alias(k) for k, n in names.items()], *points)
 
 
 def verdict_rates(entries: DataFrame, at: str, width: str, verdict: str = "block") -> DataFrame:

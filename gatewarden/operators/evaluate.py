@@ -1,12 +1,13 @@
 """Evaluation of recognizers: detected spans against gold ones.
 
-Spans of one text are few; they are gathered by text and matched one to one, in the order of
+Spans are gathered by text, or where there are many by clusters of spans that overlap, and matched one to one, in the order of
 detection, each to the first gold span that is still free. No pairs are formed by a join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewarden.functions.redact import let
@@ -33,16 +34,57 @@ def matched(detected: Column, gold: Column, strict: bool = False) -> Column:
     return F.aggregate(detected, F.array().cast("array<int>"), step)
 
 
+#: Texts with so many pairs of a detected and a gold span, and fewer, are matched as they are.
+FEW_PAIRS = 1024
+
+
 def outcomes(df: DataFrame, keys: list[str], detected: str = "detected", gold: str = "gold", strict: bool = False) -> DataFrame:
-    """One row a span: keys, kind (tp, fp, fn), entity, start, end, place."""
-    one = lambda kind, s, i: F.struct(kind.alias("kind"), s["entity"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"), i.alias("place"))
+    """One row a span: keys, kind (tp, fp, fn), entity, start, end, place.
+
+    ``keys`` name a text. Where it has many spans they are swept by their start first: spans that no other one reaches across, alike in
+    entity, are a cluster, and matches stay inside clusters, which are few spans each.
+    """
+    pairs = F.size(detected).cast("long") * F.size(gold)
+    rows = df.select(*keys, F.coalesce(detected, F.array().cast(SPAN)).alias("detected"), F.coalesce(gold, F.array().cast(SPAN)).alias("gold"), (F.coalesce(pairs, F.lit(0)) > FEW_PAIRS).alias("_many"))
+    few = _judged(rows.where("not _many"), keys, strict)
+    return few.unionByName(_judged(_clusters(rows.where("_many"), keys, strict), keys, strict))
+
+
+SPAN = "array<struct<entity: string, start: int, end: int>>"
+
+
+def _spans(spans: str) -> Column:
+    return F.transform(spans, lambda s, i: F.struct(s["entity"].alias("entity"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), i.alias("i")))
+
+
+def _clusters(rows: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """The spans of texts by cluster, each with its place ``i`` in its text."""
+    both = F.concat(*[F.transform(_spans(c), lambda s, c=c: F.struct(F.lit(c).alias("side"), s.alias("s"))) for c in ("detected", "gold")])
+    spans = rows.select(*keys, F.explode(both).alias("x")).select(*keys, "x.side", "x.s", "x.s.entity", "x.s.start", "x.s.end")
+    if strict:
+        cluster = [*keys, "entity", "start", "end"]
+    else:
+        by = W.partitionBy(*keys, "entity").orderBy("start", "end")
+        reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+        spans = spans.withColumn("_new", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1)))
+        spans = spans.withColumn("_cluster", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+        cluster = [*keys, "entity", "_cluster"]
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("s.i", "s.entity", "s.start", "s.end"))))
+    return spans.groupBy(*cluster).agg(of("detected").alias("detected"), of("gold").alias("gold")).drop("entity", "start", "end", "_cluster")
+
+
+def _judged(rows: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    detected, gold = F.col("detected"), F.col("gold")
+    placed = "i" in rows.schema["detected"].dataType.elementType.names
+    place = lambda s, i: s["i"] if placed else i
+    one = lambda kind, s, i: F.struct(kind.alias("kind"), s["entity"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"), place(s, i).alias("place"))
 
     def judged(m: Column) -> Column:
         found = F.transform(detected, lambda s, i: one(F.when(F.get(m, i) >= 0, "tp").otherwise("fp"), s, i))
         missed = F.filter(F.transform(gold, lambda s, i: one(F.when(~F.array_contains(m, i), "fn"), s, i)), lambda x: x["kind"].isNotNull())
         return F.concat(found, missed)
 
-    return df.select(*keys, F.explode(let(matched(F.col(detected), F.col(gold), strict), judged)).alias("s")).select(*keys, "s.*")
+    return rows.select(*keys, F.explode(let(matched(detected, gold, strict), judged)).alias("s")).select(*keys, "s.*")
 
 
 def ratios(df: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatewarden.functions.match import model_glob
-
 #: Reference tables of at most so many rows are sent to all tasks; larger ones are joined by shuffling.
 SMALL_ROWS = 100_000
 
@@ -41,10 +39,17 @@ def enriched(decisions: DataFrame, policy: DataFrame, rule: str = "rule") -> Dat
 def routed(requests: DataFrame, routes: DataFrame, default: str, model: str = "model") -> DataFrame:
     """Requests with backend and chain: the first route whose pattern fits the model, else the default without fallbacks.
 
-    Models are few beside requests: routes are tried once for each distinct model.
+    Models are few beside requests: each distinct model is joined once, on its name and all its beginnings, with the
+    routes by what they ask for, so a table of many routes is never compared with all models.
     """
     models = requests.select(F.col(model).alias("_model")).where(F.col(model).isNotNull()).distinct()
-    hit = models.join(small(routes), model_glob(F.col("_model"), F.col("pattern")))
+    # a model is fitted by its own name and by its beginnings, so routes are joined on those
+    star = F.endswith("pattern", F.lit("*"))
+    keyed = routes.where("pattern is not null").withColumn("_key", F.struct(star.alias("star"), F.when(star, F.expr("left(pattern, length(pattern) - 1)")).otherwise(F.col("pattern")).alias("text")))
+    least = keyed.groupBy("_key").agg(F.min_by(F.struct("ord", "backend", "fallback"), "ord").alias("_r"))
+    starts = F.transform(F.sequence(F.lit(0), F.length("_model")), lambda n: F.struct(F.lit(True).alias("star"), F.left("_model", n).alias("text")))
+    keys = models.select("_model", F.explode(F.array_append(starts, F.struct(F.lit(False).alias("star"), F.col("_model").alias("text")))).alias("_key"))
+    hit = keys.join(least, "_key").select("_model", "_r.*")
     first = hit.groupBy("_model").agg(F.min_by(F.struct("backend", "fallback"), "ord").alias("_r"))
     rows = requests.join(small(first), requests[model] == F.col("_model"), "left")
     backend = F.coalesce("_r.backend", F.lit(default))
@@ -122,16 +127,18 @@ def listing_failed(lists: DataFrame) -> DataFrame:
 def listed(rows: DataFrame, at: str, tie: str, *keys: str) -> DataFrame:
     """Rows with place: 1 for the latest, by keys if there are any; equal times go by the smaller ``tie``.
 
-    Without keys the last places need all rows in order; they are ranked by ranges of time that tasks hold, and the ranges' sizes.
+    Rows without a time come last. Without keys the last places need all rows in order; they are ranked by ranges of time that tasks
+    hold, and the ranges' sizes.
     """
     if keys:
-        return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(at), tie)).cast("long"))
+        return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(at), tie)).cast("long"))
     block = F.date_trunc("day", at)
-    inside = F.row_number().over(W.partitionBy("_block").orderBy(F.desc(at), tie))
+    inside = F.row_number().over(W.partitionBy("_block").orderBy(F.desc_nulls_last(at), tie))
     sizes = rows.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))  # one row a day
-    before = sizes.select("_block", F.coalesce(F.sum("_n").over(W.orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_block", block).withColumn("_inside", inside).join(small(before), "_block")
-    return ranked.withColumn("place", (F.col("_before") + F.col("_inside")).cast("long")).drop("_block", "_inside", "_before")
+    before = sizes.select("_block", F.coalesce(F.sum("_n").over(W.orderBy(F.desc_nulls_last("_block")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = before.withColumnRenamed("_block", "_day")
+    ranked = rows.withColumn("_block", block).withColumn("_inside", inside).join(small(before), F.col("_block").eqNullSafe(F.col("_day")))
+    return ranked.withColumn("place", (F.col("_before") + F.col("_inside")).cast("long")).drop("_block", "_day", "_inside", "_before")
 
 
 def found_users(asked: DataFrame, users: DataFrame, by_id: str, by_name: str) -> DataFrame:
@@ -148,7 +155,7 @@ def cache_outcomes(lookups: DataFrame, cache: str, key: str, at: str, ordinal: s
 
     A hit is a use; what is not found, or has expired, is put in anew. A full cache drops an expired entry, else the one whose
     last use is longest ago. Lookups of one ``cache`` (an instance of a gateway) are taken in the order of ``at``, then ``ordinal``.
-    They are streamed through one task in that order, which holds no more than ``capacity`` entries; caches are dealt among tasks.
+    Lookups without a key or a time are left out. They are streamed through one task in that order, which holds no more than ``capacity`` entries; caches are dealt among tasks.
     """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lookups.schema.fields)
     parts = int(lookups.sparkSession.conf.get("spark.sql.shuffle.partitions"))

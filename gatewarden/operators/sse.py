@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewarden.functions.jsonshape import decoded, encoded
 from gatewarden.functions.normalize import interleaved
-from gatewarden.functions.redact import restored
+from gatewarden.functions.redact import let, restored
 from gatewarden.operators.tools import ToolGate
 
 WINDOW = 64  # bytes after which an open bracket is no placeholder
 PLACEHOLDER = r"\[[^\]]{0,62}\]|\[[^\]]{63}"
 DELTAS = "choices array<struct<delta: struct<content: string>>>"
-CONTENT = r'"content"\s*:\s*"(?:[^"\\]|\\.)*"'
+CONTENT = r'"content"\s*+:\s*+"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 def reassembled(chunks: DataFrame, key: str = "request_id") -> DataFrame:
@@ -39,12 +40,9 @@ def filtered(event: Column, change: Callable[[Column], Column]) -> Column:
 
     All else, events that do not change, and events that name the end mark stay as they are.
     """
-    one = lambda m: F.from_json(F.concat(F.lit("["), F.regexp_replace(m, r'^"content"\s*:\s*', ""), F.lit("]")), "array<string>")
-    quoted = lambda t: F.regexp_replace(F.to_json(F.array(t)), r"^\[|\]$", "")
-
     def new(m: Column) -> Column:
-        old = F.get(one(m), 0)
-        return F.when(change(old) == old, m).otherwise(F.concat(F.lit('"content":'), quoted(change(old))))
+        old = decoded(F.regexp_replace(m, r'^"content"\s*:\s*', ""))
+        return let(old, lambda x: let(change(x), lambda y: F.when(y == x, m).otherwise(F.concat(F.lit('"content":'), encoded(y)))))
 
     text = lambda p: F.exists(F.from_json(p, DELTAS)["choices"], lambda c: c["delta"]["content"].isNotNull())
     mine = ~F.contains(event, F.lit("[DONE]")) & F.contains(event, F.lit("data:")) & F.exists(payloads(event), lambda p: F.coalesce(text(p), F.lit(False)))

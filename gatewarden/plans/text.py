@@ -83,7 +83,7 @@ DICTIONARY = tuple(f"{a}{b}{c} {d}" for a in "bdfglmnprst" for b in "aeiou" for
 
 @query("verdict_dictionary", f"SELECT doc_id, CASE WHEN rule IS NULL THEN 'clean' ELSE 'alert' END AS level, rule FROM (SELECT doc_id, {literal_sql('norm', DICTIONARY)} AS rule FROM (SELECT doc_id, {norm_sql('text')} AS norm FROM {PROMPTS}) x) y")
 def verdict_dictionary(spark, folder):
-    """Rules by the hundred: literals of a tier beyond a few are sought by an automaton."""
+    """Rules by the hundred: literals of a tier beyond a few are sought by their tree."""
     rules = RuleSet(tuple(KeywordRule(p, "alert") for p in DICTIONARY))
     return match.classified(prompts(spark, folder), "text", rules).select("doc_id", "verdict.level", "verdict.rule")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os.path
 import re
 from dataclasses import dataclass, field
 
@@ -73,16 +74,19 @@ def default_entities() -> tuple[EntityRule, ...]:
 
 
 @functools.cache
-def needed(pattern: str) -> str | None:
+def needed(pattern: str, any_case: bool = False) -> str | None:
     """The longest text that every match of a pattern holds, if one can be told from its outermost sequence.
 
-    A search for it is far cheaper than the pattern, so texts without it need not be tried.
+    A search for it is far cheaper than the pattern, so texts without it need not be tried. A pattern with flags has none, as
+    it may match in another case; with ``any_case`` the text is to be sought in any case, so that flag does no harm.
     """
     try:
         from re import _constants, _parser
 
-        items = list(_parser.parse(pattern))
-    except (ImportError, re.error):
+        items = _parser.parse(pattern)
+    except (ImportError, re.error, RecursionError, OverflowError):
+        return None
+    if items.state.flags & ~(re.UNICODE | (re.IGNORECASE if any_case else 0)):
         return None
     best = run = ""
     for kind, value in items:
@@ -91,6 +95,46 @@ def needed(pattern: str) -> str | None:
     return best or None
 
 
+def _tree(words: set[str]) -> str:
+    """A pattern of words as a tree: for each first letter what they share, then what follows; longer words come first."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        if w:
+            heads.setdefault(w[0], []).append(w)
+    branches = []
+    for letter, group in heads.items():
+        common = os.path.commonprefix(group)
+        rest = {w[len(common) :] for w in group}
+        branches.append((letter, quoted(common) + ("" if rest == {""} else _tree(rest))))
+    step = max(4, round(len(branches) ** 0.5))
+    if len(branches) > step:  # a look at the letter tells which few branches are to be tried
+        parts = [branches[i : i + step] for i in range(0, len(branches), step)]
+        out = ["(?=[" + "".join(_in_class(x) for x, _ in part) + "])(?:" + "|".join(p for _, p in part) + ")" for part in parts]
+    else:
+        out = [p for _, p in branches]
+    if "" in words:
+        out.append("")
+    return out[0] if len(out) == 1 else "(?:" + "|".join(out) + ")"
+
+
+def _in_class(letter: str) -> str:
+    return "\\" + letter if letter in "\\^-[]&~" else letter
+
+
+@functools.cache
+def any_of(words: tuple[str, ...], longest: bool = False) -> str:
+    """A pattern for the first declared of the words that match at a place; with ``longest`` for the longest one.
+
+    Words are put together by what they begin with, so a place in a text is compared with few of them. Of two
+    words of which one begins with the other, the longer one can only come first if it is declared first.
+    """
+    kept: set[str] = set()
+    for w in words:
+        if w and (longest or not any(w[:n] in kept for n in range(1, len(w)))):
+            kept.add(w)
+    return _tree(kept) if kept else "(?!)"
+
+
 def regex_body(pattern: str) -> str | None:
     """The body of a ``/body/`` pattern; None for a literal."""
     return pattern[1:-1] if len(pattern) > 2 and pattern[0] == "/" == pattern[-1] else None

@@ -164,3 +164,96 @@ def test_names_of_methods_and_styles():
     assert [spotlight.method_of(n) for n in ("Delimiter", "DATAMARK", "base64", "encoding", "what")] == ["delimiting", "datamarking", "encoding", "encoding", "datamarking"]
     assert redact.style_of("Numbered") == "indexed" and redact.style_of("what") == "bare" and redact.style_of("bare", True) == "indexed"
     assert spotlight.Spotlight(mark="~").told.count("~") == 1 and spotlight.Spotlight(rider="").told == ""
+
+
+def test_trees_of_words_are_alternations():
+    import random
+    import re
+
+    from gatewarden.rules import any_of
+
+    rnd = random.Random(7)
+    for _ in range(1500):
+        letters = rnd.choice(["ab", "ab[]\\.^-&~é|(", "abcdefghijklmnopqrstuvwxyz"])
+        words = tuple("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 60)))
+        text = "".join(rnd.choice(letters) for _ in range(20))
+        for longest, order in ((False, words), (True, sorted(words, key=len, reverse=True))):
+            one, two = re.search(any_of(words, longest), text), re.search("|".join(map(re.escape, order)), text)
+            assert (one and (one.start(), one[0])) == (two and (two.start(), two[0]))
+
+
+def test_dictionaries_of_literals_and_patterns(spark):
+    """Thousands of literals and hundreds of patterns by tree and factors decide as they do one by one."""
+    import random
+    import re
+
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdeé-.") for _ in range(n))
+    literals = [word(rnd.randint(2, 6)) for _ in range(800)]
+    patterns = [rnd.choice([r"-{0}[a-d]*", "{0}[0-9]+", "(?:{0}|{1})x", "{0}.{1}", "(?i){0}{1}", "[{2}]{0}z?"]).format(re.escape(word(3)), re.escape(word(2)), "abc") for _ in range(150)]
+    rules = RuleSet((*(KeywordRule(p, "flag") for p in literals), *(KeywordRule(p, ("block", "alert")[i % 2], True) for i, p in enumerate(patterns))))
+    texts = ["".join(rnd.choice("abcdeéx-. 09") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    want = []
+    for t in texts:
+        n = " ".join(t.split())
+        hit = next(((level, r.pattern) for level in ("block", "alert") for r in rules.of(level, True) if re.search(r.pattern, n, re.I | re.A)), None)
+        first = re.search("|".join(map(re.escape, literals)), n)
+        want.append(hit or (("flag", first[0]) if first else ("clean", None)))
+    assert verdicts(spark, texts, rules) == want and len({w[0] for w in want}) == 4
+
+
+def test_rules_with_flags_are_not_passed_over(spark):
+    """Random rules, with flags and without, find what the patterns alone find: no search for a part may hide a match."""
+    import random
+    import re
+
+    from gatewarden.rules import EntityRule
+
+    rnd = random.Random(9)
+    parts = ["employee", "Key", r"\d+", "-", "[A-C]", "(?:ab|cd)", "(?i:Zed)", "x?", r"\s"]
+    flags = ["", "(?i)", "(?s)", "(?x)", "(?im)"]
+    texts = ["EMPLOYEE-77 Employee-8", "key 9 KEY7", "abCD-zed ZED x", "employee", "K e y", "A1 b2 C-3", None, ""]
+    # \\b and \\w of letters beyond ASCII differ between libraries, so texts here have none
+    rules = [EntityRule("E", rnd.choice(flags) + "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) + "k?") for _ in range(14)]
+    rules = [r for r in rules if not re.search(r.pattern, "")] + [EntityRule("E", r"(?i)\bemployee-\d+\b")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rules:
+        rx = re.compile(r.pattern, re.A)
+        got = df.select("i", match.contains_entity(F.col("t"), [r]).alias("c"), redact.redacted(F.col("t"), [r]).alias("b"), redact.all_numbered(F.col("t"), [r], INDEXED).alias("n"), F.size(redact.spans(F.col("t"), [r])).alias("s")).orderBy("i").collect()
+        for g, t in zip(got, texts, strict=True):
+            if t is None:
+                assert (g.c, g.b, g.n) == (False, None, None)
+                continue
+            found = [m[0] for m in rx.finditer(t)]
+            known = list(dict.fromkeys(reversed(found)))
+            assert (g.c, g.b, g.s) == (bool(found), rx.sub("[E]", t), len(found)), (r, t)
+            assert g.n == rx.sub(lambda m, known=known: f"[E_{known.index(m[0]) + 1}]", t), (r, t)
+
+
+def test_large_vaults(spark):
+    """Ten thousand placeholders in one request, numbered and restored in time that grows with their number."""
+    import time
+
+    rules = [r for r in default_entities() if r.entity in ("EMAIL", "SSN")]
+    texts = [" ".join(f"u{(i * 7919 + k) % 9000}@b.io" for i in range(6000)) + " 123-45-6789" for k in (0, 3000)]
+    rows = spark.createDataFrame([(texts,), ([texts[0][:500], ""],)], "texts array<string>")
+    began = time.time()
+    found = redact.with_vault(rows, "texts", rules)
+    got = found.select("texts", "vault", F.transform("texts", lambda t: redact.restored(F.concat(t, F.lit(" [none] [EMAIL_99999]")), F.col("vault"))).alias("back")).collect()
+    assert time.time() - began < 60
+    assert [[t.removesuffix(" [none] [EMAIL_99999]") for t in r.back] for r in got] == [texts, [texts[0][:500], ""]]
+    seen = list(dict.fromkeys(v for t in texts for v in reversed(t.split()) if "@" in v))
+    assert [e.original for e in got[0].vault] == [*seen, "123-45-6789"] and got[0].vault[0].placeholder == "[EMAIL_1]"
+    odd = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.struct(F.concat(F.lit("[A_"), i.cast("string"), F.lit("]")).alias("placeholder"), F.when(i == 1, "[A_2]").otherwise(F.concat(F.lit("v"), i.cast("string"))).alias("original")))
+    assert one(spark, "[A_1] [A_100] [A_101]", lambda t: redact.restored(t, odd)) == "v2 v100 [A_101]"
+
+
+def test_plain_letters_are_their_own_form():
+    import re
+    import unicodedata
+
+    from gatewarden.functions.normalize import plain_letters
+
+    inside = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), plain_letters()) + "]")
+    plain = [c for c in map(chr, range(0x10000)) if inside.fullmatch(c)]
+    assert unicodedata.normalize("NFKC", "".join(plain)) == "".join(plain) and all(c in plain for c in "aZé ßЖя日本あア한ğ")

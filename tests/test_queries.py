@@ -121,6 +121,131 @@ def test_schema_references_and_refusals(spark):
     assert errors('{"l": [{"y":2,"x":1}, "q"]}', schema) == [] and errors('{"l": ["q", 3]}', schema) == ["/l/items: is not one of the values allowed"]
     assert errors('{"no": 1}', schema) == ["/no: no value is allowed"] and errors("5", {"not": {"multipleOf": 2.5}}) == [": fits what is excluded"]
     assert errors("0.3", {"multipleOf": 0.1}) == [] and errors('{"a":1,"b":"x"}', {"properties": {"a": {}}, "additionalProperties": {"type": "integer"}}) == ["/*: is not of type integer"]
+    assert errors('{"it\'s": 1, "a.b": 2}', {"required": ["it's", 'say "x"'], "properties": {"it's": {"type": "string"}, "a.b": {"maximum": 1}}}) == [': lacks the property say "x"', "/it's: is not of type string", "/a.b: is greater than the maximum"]
+    assert errors('"b"', {"enum": ["a", "b"], "const": "a"}) == [": is not one of the values allowed"]
     for bad in ({"$defs": {"a": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}, {"$ref": "http://x/y"}, {"contains": {}}):
         with pytest.raises(NotImplementedError):
             errors("1", bad)
+
+
+def test_masked_arguments_are_json(spark):
+    """Random nested values with escapes and addresses: the text stays JSON, and equals a walk over its strings."""
+    import json
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from gatewarden.functions.jsonshape import mask_strings
+    from gatewarden.rules import default_entities
+
+    rnd, mail = random.Random(4), dict((r.entity, r.pattern) for r in default_entities())["EMAIL"]
+    bits = ["\n", '"', "\\", "@", "bob@example.com", "é", "a", ":", "\t", "{", "日", " ", "carl@b.io", "\b", "/"]
+    text = lambda: "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 7)))
+
+    def value(depth):
+        kind = rnd.randrange(6 if depth else 4)
+        if kind == 4:
+            return [value(depth - 1) for _ in range(rnd.randint(0, 4))]
+        if kind == 5:
+            return {text(): value(depth - 1) for _ in range(rnd.randint(0, 4))}
+        return [text(), rnd.randint(-9, 9), None, text()][kind]
+
+    def walked(v):
+        if isinstance(v, str):
+            return re.sub(mail, "[EMAIL]", v)
+        return [walked(x) for x in v] if isinstance(v, list) else {k: walked(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    values = [value(4) for _ in range(400)] + [{"to": "hi\nbob@example.com"}, "x" * 50_000 + "\\ a@b.io"]
+    raw = [json.dumps(v, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1])) for v in values]
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, t string").select("i", mask_strings(F.col("t"), default_entities(), {"EMAIL"}).alias("t")).collect()
+    changed = 0
+    for r in rows:
+        assert json.loads(r.t) == walked(values[r.i])
+        changed += walked(values[r.i]) != values[r.i]
+    assert changed > 50
+
+
+def test_routes_by_prefix(spark):
+    """First route that fits, by definition; and no loop over pairs in the plan of many routes."""
+    import random
+
+    from gatewarden.operators import lookups
+
+    rnd = random.Random(5)
+    name = lambda n: "".join(rnd.choice("ab*") for _ in range(n))
+    routes = [(i, name(rnd.randint(0, 4)) + rnd.choice(["", "*"]), f"b{i}", [f"f{i}"] if i % 2 else None) for i in range(60)]
+    models = [name(rnd.randint(0, 6)) for _ in range(200)] + [None, "", "*"]
+    fits = lambda p, m: m.startswith(p[:-1]) if p.endswith("*") else m == p
+    want = {}
+    for i, m in enumerate(models):
+        hit = None if m is None else next((r for r in routes if fits(r[1], m)), None)
+        want[i] = ("d", ["d"]) if hit is None else (hit[2], [hit[2], *(hit[3] or [])])
+    table = spark.createDataFrame(routes, "ord int, pattern string, backend string, fallback array<string>")
+    requests = spark.createDataFrame(list(enumerate(models)), "i int, model string")
+    got = {r.i: (r.backend, r.chain) for r in lookups.routed(requests, table, "d").collect()}
+    assert got == want
+    many = spark.range(200_000).selectExpr("cast(id as int) ord", "concat('m', id, if(id % 2 = 0, '*', '')) pattern", "'b' backend", "array('c') fallback")
+    plan = lookups.routed(requests, many, "d")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rows_without_a_time_are_listed_last(spark):
+    from datetime import datetime
+
+    from gatewarden.operators.lookups import listed
+
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, None), (3, datetime(2024, 1, 2)), (4, None)], "i int, t timestamp")
+    assert sorted((r.place, r.i) for r in listed(rows, "t", "i").collect()) == [(1, 3), (2, 1), (3, 2), (4, 4)]
+    by = listed(rows.selectExpr("*", "i % 2 k"), "t", "i", "k").collect()
+    assert sorted((r.k, r.place, r.i) for r in by) == [(0, 1, 2), (0, 2, 4), (1, 1, 3), (1, 2, 1)]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_many_spans_by_sweep(spark, strict):
+    """Clusters match as the whole text does; twenty thousand spans of one text take seconds."""
+    import random
+    import time
+
+    from gatewarden.operators import evaluate
+
+    rnd = random.Random(6)
+    span = lambda: (rnd.choice("AB"), a := rnd.randrange(900), a + rnd.choice([0, 1, 3, 9]))
+    texts = [(i, [span() for _ in range(rnd.choice([0, 3, 60]))], [span() for _ in range(rnd.choice([0, 2, 60]))]) for i in range(12)] + [(20, None, [("A", 0, 2)]), (21, [("A", 0, 2)], None)]
+    schema = "id int, detected array<struct<entity: string, start: int, end: int>>, gold array<struct<entity: string, start: int, end: int>>"
+    df = spark.createDataFrame(texts, schema)
+    got = sorted(map(repr, evaluate.outcomes(df, ["id"], strict=strict).collect()))
+    want = []
+    for i, found, gold in texts:
+        found, gold, used = found or [], gold or [], set()
+        for k, (e, a, b) in enumerate(found):
+            fits = [j for j, (f, x, y) in enumerate(gold) if j not in used and e == f and ((a, b) == (x, y) if strict else a < y and x < b)]
+            used |= set(fits[:1])
+            want.append((i, "tp" if fits else "fp", e, a, b, k))
+        want += [(i, "fn", *g, j) for j, g in enumerate(gold) if j not in used]
+    assert sorted(map(repr, map(tuple, evaluate.outcomes(df, ["id"], strict=strict).collect()))) == sorted(map(repr, want)) and got
+    big = [("A", 5 * i, 5 * i + 4) for i in range(20_000)]
+    rows = spark.createDataFrame([(1, big, big[::-1])], schema)
+    began = time.time()
+    assert {r.kind: r["count"] for r in evaluate.outcomes(rows, ["id"], strict=strict).groupBy("kind").count().collect()} == {"tp": 20_000}
+    assert time.time() - began < 30
+
+
+def test_percentiles_by_ranges(spark):
+    import random
+
+    from gatewarden.operators.audit import rank_percentiles
+
+    rnd, points = random.Random(7), {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.randrange(10_000), 7, None])) for _ in range(4000)] + [("c", 5), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    at = lambda vs, p: sorted(vs)[int(len(vs) * p)]
+    for keys in (["k"], []):
+        groups = {}
+        for k, v in rows:
+            if v is not None:
+                groups.setdefault((k,) if keys else (), []).append(v)
+        want = sorted(repr((*k, *[at(vs, p) for p in points.values()])) for k, vs in groups.items())
+        for ranges in (2, 64):
+            assert sorted(repr(tuple(r)) for r in rank_percentiles(df, "v", points, keys, ranges).collect()) == want
+    assert rank_percentiles(df.limit(0), "v", points).collect() in ([], [(None,) * 4])
