@@ -20,7 +20,10 @@ strings with a common anchor.
    around their anchor cannot share such a string, and are left out by the hashes of their halves.)
 4. ``_remove`` takes the found strings out of the documents.
 
-Memory: a task holds one part of the anchors or documents. Parts hold about ``PART_BYTES`` of text, whatever the input
+Documents are packed first, as they come, into chunks of about ``PART_BYTES`` of text, written once: a row is known by its chunk and its
+place there, never by its id or its text, so rows without an id, with one id or with one text are all their own.
+
+Memory: a task holds one chunk or one part of the anchors at a time. Parts hold about ``PART_BYTES`` of text, whatever the input
 (there are no fewer than shuffle partitions), and each has a partition of its own. Nothing is collected.
 """
 
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +43,6 @@ from gatewarden.llm.lexing import buffer_of, mixed, prefix_hash, runs, slices, s
 from gatewarden.llm.store import clear, written
 
 LENGTH, GRAM = 50, 16
-GATHER = 1 << 19  # anchors packed together
 PART_BYTES = 8 << 20  # of text, by part
 SUFFIXES = 1 << 17  # of one transform
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any
@@ -91,37 +94,80 @@ def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return same
 
 
-def document_part(ids: np.ndarray, th: np.ndarray, deal: np.ndarray) -> np.ndarray:
-    return deal[(mixed(ids.astype(np.int64).view(np.uint64) ^ (th.astype(np.int64).view(np.uint64) << np.uint64(17))) % np.uint64(len(deal))).astype(np.int64)]
+def stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    at = [*runs(values).tolist(), len(values)]
+    return list(zip(at[:-1], at[1:], strict=True))
 
 
 class Spans:
-    """Runs of strings of documents: document (index of keys), first start, number, and for open ones the anchor."""
+    """Runs of strings of the documents of a chunk: document (its place there), first start, number, and for open ones the anchor."""
 
-    DDL = "part int, docs binary, doc binary, start binary, count binary, anchor binary, has_open boolean"
+    DDL = "part long, doc binary, start binary, count binary, anchor binary, has_open boolean"
 
     @staticmethod
-    def rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, deal: np.ndarray) -> pa.RecordBatch:
-        """One row for each part of documents; ``keys`` are (id, text hash) pairs; anchor 0: settled."""
-        part = document_part(keys[:, 0], keys[:, 1], deal)[doc]
-        order = np.lexsort((start, doc, part))
-        part, doc, start, count, anchor = (x[order] for x in (part, doc, start, count, anchor))
-        out: dict[str, list] = {k: [] for k in ("part", "docs", "doc", "start", "count", "anchor")}
-        at = runs(part)
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
-            used, local = np.unique(doc[a:b], return_inverse=True)
+    def rows(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
+        """One row for each chunk; ``keys`` are (id, chunk, place) of documents; anchor 0: settled."""
+        part, place = keys[doc, 1], keys[doc, 2]
+        order = np.lexsort((start, place, part))
+        part, place, start, count, anchor = (x[order] for x in (part, place, start, count, anchor))
+        out: dict[str, list] = {k: [] for k in ("part", "doc", "start", "count", "anchor")}
+        for a, b in stretches(part):
             out["part"].append(int(part[a]))
-            out["docs"].append(packed(keys[used].ravel()))
-            out["doc"].append(packed(local.astype(np.uint32)))
+            out["doc"].append(packed(place[a:b].astype(np.uint32)))
             out["start"].append(packed(start[a:b].astype(np.uint32)))
             out["count"].append(packed(count[a:b].astype(np.uint8)))
             out["anchor"].append(packed(anchor[a:b]))
-        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("docs", "doc", "start", "count", "anchor")], pa.array([bool(anchor.any())] * len(out["part"]))], names=[*out, "has_open"])
+        return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int64()), *[pa.array(out[k], pa.binary()) for k in ("doc", "start", "count", "anchor")], pa.array([bool(anchor.any())] * len(out["part"]))], names=[*out, "has_open"])
 
     @staticmethod
     def read(row: dict) -> tuple[np.ndarray, ...]:
-        keys = unpacked(row["docs"], "<i8").reshape(-1, 2)
-        return keys, unpacked(row["doc"], "<u4").astype(np.int64), unpacked(row["start"], "<u4").astype(np.int64), unpacked(row["count"], "<u1").astype(np.int64), unpacked(row["anchor"], "<u8")
+        return unpacked(row["doc"], "<u4").astype(np.int64), unpacked(row["start"], "<u4").astype(np.int64), unpacked(row["count"], "<u1").astype(np.int64), unpacked(row["anchor"], "<u8")
+
+
+CHUNKS = "part long, ids binary, missing binary, sizes binary, text binary"
+
+
+class Texts:
+    """A chunk of documents: ids (LAST for null), which are missing, bytes of all texts, and where each begins."""
+
+    def __init__(self, row: dict) -> None:
+        self.part = row["part"]
+        self.ids, self.missing = unpacked(row["ids"], "<i8"), unpacked(row["missing"], "<u1").astype(bool)
+        self.offsets = np.concatenate([[0], np.cumsum(unpacked(row["sizes"], "<u4"), dtype=np.int64)])
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8)
+        self.keys = np.stack([self.ids, np.full(len(self.ids), self.part), np.arange(len(self.ids))], 1)
+
+    def cuts(self, size: int) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of at most ``size`` bytes (one longer text stands alone)."""
+        a = 0
+        while a < len(self.ids):
+            b = max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + size, side="right")) - 1)
+            yield a, b
+            a = b
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    number, held, flat, n_bytes = TaskContext.get().partitionId() << 32, [], [], 0
+    press = zstandard.ZstdCompressor(level=1)
+
+    def made() -> pa.RecordBatch:
+        ids, missing, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        columns = packed(ids), packed(missing.astype(np.uint8)), packed(sizes.astype(np.uint32)), press.compress(b"".join(flat))
+        return pa.record_batch({"part": pa.array([number], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in zip(("ids", "missing", "sizes", "text"), columns, strict=True)}})
+
+    for batch in batches:
+        for part in slices(batch, "text", size):
+            data, offsets = buffer_of(part.column("text"))
+            if held and n_bytes + len(data) > size:
+                yield made()
+                number, held, flat, n_bytes = number + 1, [], [], 0
+            ids = part.column("doc_id").cast(pa.int64())
+            held.append((ids.fill_null(LAST).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), np.diff(offsets)))
+            flat.append(data.tobytes())
+            n_bytes += len(data)
+    if held:
+        yield made()
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -167,49 +213,34 @@ def _settled(data: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.n
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], deal: np.ndarray, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    keys: list[np.ndarray] = []
-    bytes_held: list[np.ndarray] = []
-    n_keys = n_held = n_bytes = 0
     parts = len(deal)
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal held, keys, bytes_held, n_keys, n_held, n_bytes
-        all_keys, data = np.concatenate(keys), np.concatenate(bytes_held)
-        doc, begin, start, count, anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
-        held, keys, bytes_held, n_keys, n_held, n_bytes = [], [], [], 0, 0, 0
-        if not len(doc):
-            return
-        order, done = _settled(data, begin, count + length - 1, anchor, context, all_keys[doc, 0])
-        del data, begin, context
-        doc, start, count, anchor = (x[order] for x in (doc, start, count, anchor))
-        if done.any():
-            own = Spans.rows(all_keys, doc[done], start[done], count[done], np.zeros(int(done.sum()), np.uint64), deal)
-            for i in range(own.num_rows):  # on their way to the documents they pass through the tasks of anchors
-                yield _sent(int(deal[i % parts]), None, None, None, None, None, _ipc(own.slice(i, 1)))
-        doc, start, count, anchor = (x[~done] for x in (doc, start, count, anchor))
-        part = ((anchor >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")  # the anchors of a part stay sorted
-        doc, start, count, anchor, part = (x[by] for x in (doc, start, count, anchor, part))
-        at = runs(part)
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
-            used, local = np.unique(doc[a:b], return_inverse=True)
-            step = np.diff(anchor[a:b] >> np.uint64(16), prepend=np.uint64(0))  # 48 bits; a chance equality only adds a comparison
-            yield _sent(int(deal[part[a]]), packed(all_keys[used].ravel()), packed(local.astype(np.uint32)), packed(start[a:b].astype(np.uint32)), packed(count[a:b].astype(np.uint8)), packed(step), None)
-
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
-            data, offsets = buffer_of(part.column("text"))
-            row, start, count, anchor, context = anchors_of(data, offsets, length, gram)
-            ids = part.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
-            keys.append(np.stack([ids, part.column("th").to_numpy(zero_copy_only=False)], 1))
-            bytes_held.append(data)
-            held.append((row + n_keys, offsets[row] + start + n_bytes, start, count, anchor, context))
-            n_keys, n_held, n_bytes = n_keys + len(ids), n_held + len(row), n_bytes + len(data)
-            if n_held >= GATHER:
-                yield from flush()
-    if keys:
-        yield from flush()
+        for i in range(batch.num_rows):
+            texts = Texts(batch.slice(i, 1).to_pylist()[0])
+            held = []
+            for a, b in texts.cuts(1 << 20):
+                base = texts.offsets[a]
+                row, start, count, anchor, context = anchors_of(texts.data[base : texts.offsets[b]], texts.offsets[a : b + 1] - base, length, gram)
+                held.append((row + a, texts.offsets[row + a] + start, start, count, anchor, context))
+            doc, begin, start, count, anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            if not len(doc):
+                continue
+            order, done = _settled(texts.data, begin, count + length - 1, anchor, context, texts.ids[doc])
+            keys = texts.keys
+            del texts, begin, context, held
+            doc, start, count, anchor = (x[order] for x in (doc, start, count, anchor))
+            if done.any():
+                own = Spans.rows(keys, doc[done], start[done], count[done], np.zeros(int(done.sum()), np.uint64))
+                for k in range(own.num_rows):  # on their way to the documents they pass through the tasks of anchors
+                    yield _sent(int(deal[k % parts]), None, None, None, None, None, _ipc(own.slice(k, 1)))
+            doc, start, count, anchor = (x[~done] for x in (doc, start, count, anchor))
+            part = ((anchor >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")  # the anchors of a part stay sorted
+            doc, start, count, anchor, part = (x[by] for x in (doc, start, count, anchor, part))
+            for a, b in stretches(part):
+                used, local = np.unique(doc[a:b], return_inverse=True)
+                step = np.diff(anchor[a:b] >> np.uint64(16), prepend=np.uint64(0))  # 48 bits; a chance equality only adds a comparison
+                yield _sent(int(deal[part[a]]), packed(keys[used].ravel()), packed(local.astype(np.uint32)), packed(start[a:b].astype(np.uint32)), packed(count[a:b].astype(np.uint8)), packed(step), None)
 
 
 ANCHORS = "part int, docs binary, doc binary, start binary, count binary, anchors binary, pass binary"
@@ -240,7 +271,7 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield now, rows
 
 
-def _meet(batches: Iterator[pa.RecordBatch], deal: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of several documents, with where they stand."""
     for _, rows in _by_part(batches):
         keys, held, n_keys = [], [], 0
@@ -248,7 +279,7 @@ def _meet(batches: Iterator[pa.RecordBatch], deal: np.ndarray) -> Iterator[pa.Re
             if row["pass"] is not None:
                 yield from pa.ipc.open_stream(row["pass"])
                 continue
-            own = unpacked(row["docs"], "<i8").reshape(-1, 2)
+            own = unpacked(row["docs"], "<i8").reshape(-1, 3)
             anchor = np.cumsum(unpacked(row["anchors"], "<u8"), dtype=np.uint64)
             held.append((unpacked(row["doc"], "<u4").astype(np.int64) + n_keys, unpacked(row["start"], "<u4").astype(np.int64), unpacked(row["count"], "<u1").astype(np.int64), anchor))
             keys.append(own)
@@ -264,7 +295,7 @@ def _meet(batches: Iterator[pa.RecordBatch], deal: np.ndarray) -> Iterator[pa.Re
         many = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at) if len(at) else np.zeros(0, bool)
         use = order[np.repeat(many, np.diff(np.append(at, len(order))))]
         if len(use):
-            yield Spans.rows(keys, doc[use], start[use], count[use], anchor[use] | np.uint64(1 << 63), deal)
+            yield Spans.rows(keys, doc[use], start[use], count[use], anchor[use] | np.uint64(1 << 63))
 
 
 CONTEXTS = "part int, docs binary, doc binary, start binary, count binary, anchor binary, bytes binary"
@@ -276,8 +307,8 @@ def _packed_contexts(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, count
     order = np.lexsort((anchor, part))
     doc, start, count, anchor, begin, part = (x[order] for x in (doc, start, count, anchor, begin, part))
     out: dict[str, list] = {k: [] for k in ("part", "docs", "doc", "start", "count", "anchor", "bytes")}
-    press, at = zstandard.ZstdCompressor(level=1), runs(part)
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
+    press = zstandard.ZstdCompressor(level=1)
+    for a, b in stretches(part):
         used, local = np.unique(doc[a:b], return_inverse=True)
         size = count[a:b] + length - 1
         ends = np.cumsum(size)
@@ -292,30 +323,18 @@ def _packed_contexts(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, count
     return pa.table({"part": pa.array(out.pop("part"), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
 
-def _documents(table: pa.Table) -> tuple[dict[tuple[int, int], int], pa.Table]:
-    ids = table.column("doc_id").cast(pa.int64()).fill_null(LAST).to_pylist()
-    return {k: i for i, k in enumerate(zip(ids, table.column("th").to_pylist(), strict=True))}, table
-
-
-def _fetch(docs: pa.Table, spans: pa.Table, deal: np.ndarray, length: int) -> pa.Table:
-    """Bytes of the open contexts of a part of the documents."""
-    place, _ = _documents(docs)
-    text = docs.column("text").cast(pa.large_binary()).combine_chunks()
-    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks else text
-    data, offsets = buffer_of(text) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    held, all_keys, n_keys = [], [np.zeros((0, 2), np.int64)], 0
+def _fetch(chunk: pa.Table, spans: pa.Table, deal: np.ndarray, length: int) -> pa.Table:
+    """Bytes of the open contexts of a chunk."""
+    held = [(*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))]
     for row in spans.to_pylist():
-        keys, doc, start, count, anchor = Spans.read(row)
+        doc, start, count, anchor = Spans.read(row)
         some = np.flatnonzero(anchor)
-        if not len(some):
-            continue
-        doc, start, count, anchor = doc[some], start[some], count[some], anchor[some]
-        where = np.array([place.get(k, -1) for k in map(tuple, keys.tolist())], np.int64)[doc]
-        held.append((doc + n_keys, start, count, anchor, offsets[where] + start))
-        all_keys.append(keys)
-        n_keys += len(keys)
-    doc, start, count, anchor, begin = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 5
-    return _packed_contexts(np.concatenate(all_keys), doc, start, count, anchor.astype(np.uint64), data, begin, deal, length)
+        held.append((doc[some], start[some], count[some], anchor[some]))
+    doc, start, count, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
+    if not len(doc):
+        return _packed_contexts(np.zeros((0, 3), np.int64), doc, start, count, anchor, np.zeros(0, np.uint8), doc, deal, length)
+    texts = Texts(chunk.to_pylist()[0])
+    return _packed_contexts(texts.keys, doc, start, count, anchor, texts.data, texts.offsets[doc] + start, deal, length)
 
 
 def _contexts(rows: list[dict], length: int) -> tuple[np.ndarray, ...]:
@@ -323,7 +342,7 @@ def _contexts(rows: list[dict], length: int) -> tuple[np.ndarray, ...]:
     keys, held, flat, n_keys = [], [], [], 0
     press = zstandard.ZstdDecompressor()
     for row in rows:
-        own = unpacked(row["docs"], "<i8").reshape(-1, 2)
+        own = unpacked(row["docs"], "<i8").reshape(-1, 3)
         held.append((unpacked(row["doc"], "<u4").astype(np.int64) + n_keys, unpacked(row["start"], "<u4").astype(np.int64), unpacked(row["count"], "<u1").astype(np.int64), unpacked(row["anchor"], "<u8", 6)))
         flat.append(np.frombuffer(press.decompress(row["bytes"]), np.uint8))
         keys.append(own)
@@ -452,7 +471,7 @@ def _copies(flat: np.ndarray, at: np.ndarray, anchor: np.ndarray, ids: np.ndarra
     return out
 
 
-def _expand(batches: Iterator[pa.RecordBatch], deal: np.ndarray, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _expand(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for _, rows in _by_part(batches):
         keys, doc, begin, anchor, flat, at = _contexts(rows, length)
         del rows
@@ -497,7 +516,7 @@ def _expand(batches: Iterator[pa.RecordBatch], deal: np.ndarray, length: int, gr
             a = b
         who, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
         if len(who):
-            yield Spans.rows(keys, doc[who], begin[who] + start, count, np.zeros(len(who), np.uint64), deal)
+            yield Spans.rows(keys, doc[who], begin[who] + start, count, np.zeros(len(who), np.uint64))
 
 
 def _halves(flat: np.ndarray, at: np.ndarray, which: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
@@ -520,38 +539,36 @@ def _halves(flat: np.ndarray, at: np.ndarray, which: np.ndarray, anchor: np.ndar
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _remove(docs: pa.Table, spans: pa.Table, length: int, texts: bool) -> pa.Table:
-    place, _ = _documents(docs)
-    gone: list[list[np.ndarray]] = [[] for _ in range(docs.num_rows)]
+def _remove(chunk: pa.Table, spans: pa.Table, length: int, texts: bool) -> pa.Table:
+    rows = chunk.to_pylist()
+    if not rows:
+        return _removed(np.zeros(0, np.int64), np.zeros(0, bool), [], [], [], [], texts)
+    docs = Texts(rows[0])
+    held = [(np.zeros(0, np.int64),) * 3]
     for row in spans.to_pylist():
-        keys, doc, start, count, anchor = Spans.read(row)
+        doc, start, count, anchor = Spans.read(row)
         use = np.flatnonzero(anchor == 0)
-        use = use[np.argsort(doc[use], kind="stable")]
-        head = [*runs(doc[use]).tolist(), len(use)]
-        for a, b in zip(head[:-1], head[1:], strict=True):
-            i = place.get(tuple(keys[doc[use[a]]].tolist()))
-            if i is not None:
-                gone[i].append(np.stack([start[use[a:b]], start[use[a:b]] + count[use[a:b]] + length - 1]))
-    n, removed, spans_n, kept = [], [], [], []
-    same = list(zip(docs.column("doc_id").cast(pa.int64()).fill_null(LAST).to_pylist(), docs.column("th").to_pylist(), strict=True))
-    for i, value in enumerate(docs.column("text").cast(pa.large_binary())):
-        data = value.as_py() or b""
-        cuts = gone[place[same[i]]]
-        left, lost, number = data, 0, 0
-        if cuts:
-            edge = np.zeros(len(data) + 1, np.int64)
-            both = np.concatenate(cuts, axis=1)
-            np.add.at(edge, both[0], 1)
-            np.add.at(edge, both[1], -1)
-            out = np.cumsum(edge[:-1]) > 0
-            lost, number = int(out.sum()), int(out[0]) + int(np.count_nonzero(out[1:] & ~out[:-1]))
-            left = np.frombuffer(data, np.uint8)[~out].tobytes()
-        n.append(len(data))
+        held.append((doc[use], start[use], count[use]))
+    doc, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+    edge = np.zeros(len(docs.data) + 1, np.int32)
+    np.add.at(edge, docs.offsets[doc] + start, 1)
+    np.add.at(edge, docs.offsets[doc] + start + count + length - 1, -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    n, removed, number, kept = [], [], [], []
+    for a, b in zip(docs.offsets[:-1].tolist(), docs.offsets[1:].tolist(), strict=True):
+        out = gone[a:b]
+        lost = int(out.sum())
+        left = docs.data[a:b][~out].tobytes() if lost else docs.data[a:b].tobytes()
+        n.append(b - a)
         removed.append(lost)
-        spans_n.append(number)
+        number.append(int(out[0]) + int(np.count_nonzero(out[1:] & ~out[:-1])) if lost else 0)
         kept.append(left if texts else hashlib.sha256(left).hexdigest())
+    return _removed(docs.ids, docs.missing, n, removed, number, kept, texts)
+
+
+def _removed(ids: np.ndarray, missing: np.ndarray, n: list, removed: list, number: list, kept: list, texts: bool) -> pa.Table:
     last = {"kept": pa.array(kept, pa.binary())} if texts else {"kept_sha256": pa.array(kept, pa.string())}
-    return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_n, pa.int64()), **last})
+    return pa.table({"doc_id": pa.array(ids, mask=missing), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(number, pa.int64()), **last})
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -560,27 +577,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     A null text counts as empty. A null doc_id counts as larger than any other. Rows of one doc_id do not
     remove from each other; equal rows get equal results. An empty table gives no rows; other columns are not read.
     """
-    rows = clear(docs, "doc_id", "text").withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit((1 << 31) - 1)))
+    rows = clear(docs, "doc_id", "text")
+    chunks = written(rows.mapInArrow(lambda it: _chunked(it, part_bytes), CHUNKS), "text-chunks")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     deal = own_partitions(parts)
-    sent = rows.mapInArrow(lambda it: _anchors(it, deal, length, gram), ANCHORS)
-    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _meet(it, deal), Spans.DDL)
+    sent = chunks.mapInArrow(lambda it: _anchors(it, deal, length, gram), ANCHORS)
+    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, Spans.DDL)
     met = written(met, "repeat-spans")
-    own = rows.mapInArrow(lambda it: _parted(it, deal), "doc_id long, text binary, th long, part int").repartition(parts, "part").groupBy("part")
-    contexts = own.cogroup(met.where("has_open").repartition(parts, "part").groupBy("part")).applyInArrow(lambda a, b: _fetch(a, b, deal, length), CONTEXTS)
-    more = contexts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _expand(it, deal, length, gram), Spans.DDL)
-    spans = met.where("not has_open").unionByName(more).repartition(parts, "part")
+    own = chunks.groupBy("part")
+    contexts = own.cogroup(met.where("has_open").groupBy("part")).applyInArrow(lambda a, b: _fetch(a, b, deal, length), CONTEXTS)
+    more = contexts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _expand(it, length, gram), Spans.DDL)
+    spans = met.where("not has_open").unionByName(more)
     schema = REMOVED.replace("kept_sha256 string", "kept binary") if texts else REMOVED
     return own.cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _remove(a, b, length, texts), schema)
 
 
-def _parted(batches: Iterator[pa.RecordBatch], deal: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
-        part = document_part(ids, batch.column("th").to_numpy(zero_copy_only=False), deal)
-        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "text": batch.column("text").cast(pa.binary()), "th": batch.column("th"), "part": pa.array(part)})
-
-
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

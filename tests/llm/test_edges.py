@@ -306,3 +306,14 @@ def test_calls_in_threads_keep_their_own_tables(spark):
     names = ["near", "one", "near", "suffixes", "near"]
     with ThreadPoolExecutor(len(names)) as pool:
         assert list(pool.map(result, names)) == [alone[n] for n in names]
+
+
+def test_rows_are_known_by_their_place(spark):
+    """Rows without an id or of one id, of one text or of texts alike, are their own: each loses what it shares, and no more."""
+    rnd = random.Random(30)
+    shared = prose(rnd, 30)
+    rows = [(None, "q" * 200), (None, "q" * 200), (7, "q" * 200 + "x"), (7, "z" * 300), (7, shared), (None, shared + " end"), (None, shared)] + [(None, "lone " + prose(rnd, 40)) for _ in range(50)]
+    got = sorted((repr(r.doc_id), r.n_bytes, r.n_removed) for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), part_bytes=500).collect())
+    n = len(shared.encode())
+    want = [("None", 200, 200)] * 2 + [("7", 201, 0), ("7", 300, 0), ("7", n, 0), ("None", n + 4, n), ("None", n, n)] + [("None", len(t.encode()), 0) for _, t in rows[7:]]
+    assert got == sorted(want)
