@@ -108,7 +108,8 @@ def rank_percentiles(rows: DataFrame, value: str, points: dict[str, float], keys
         by = bounds.select(*[F.col(n).alias(f"{n}b") for n in own], "_b")
         counts = counts.join(by, [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in own]).drop(*[f"{n}b" for n in own])
     else:
-        counts = counts.withColumn("_b", F.lit(bounds.first()["_b"]))  # a few bounds
+        found = bounds.first()["_b"] or []  # a few bounds; none of an empty table
+        counts = counts.withColumn("_b", F.array(*map(F.lit, found)).cast(bounds.schema["_b"].dataType))
     counts = counts.withColumn("_range", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
     sizes = counts.groupBy(*own, "_range").agg(F.sum("_c").alias("_s"))
     ordered = W.partitionBy(*own).orderBy("_range")

@@ -59,7 +59,10 @@ def _spans(spans: str) -> Column:
 
 def _clusters(rows: DataFrame, keys: list[str], strict: bool) -> DataFrame:
     """The spans of texts by cluster, each with its place ``i`` in its text."""
-    both = F.concat(*[F.transform(_spans(c), lambda s, c=c: F.struct(F.lit(c).alias("side"), s.alias("s"))) for c in ("detected", "gold")])
+    def of_side(side: str) -> Column:
+        return F.transform(_spans(side), lambda s: F.struct(F.lit(side).alias("side"), s.alias("s")))
+
+    both = F.concat(of_side("detected"), of_side("gold"))
     spans = rows.select(*keys, F.explode(both).alias("x")).select(*keys, "x.side", "x.s", "x.s.entity", "x.s.start", "x.s.end")
     if strict:
         cluster = [*keys, "entity", "start", "end"]

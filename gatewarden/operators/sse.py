@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewarden.functions.jsonshape import decoded, encoded
@@ -82,22 +83,41 @@ def restored_stream(text: Column, vault: Column, strategy: str = "exact") -> Col
 DELTA = "struct<choices: array<struct<delta: struct<tool_calls: array<struct<index: bigint, id: string, function: struct<name: string, arguments: string>>>>, finish_reason: string>>>"
 
 
-def tool_calls(replies: DataFrame, key: str = "request_id") -> DataFrame:
+def tool_calls(replies: DataFrame, key: str = "request_id", rounds: bool = False) -> DataFrame:
     """key, index, id, name, arguments: deltas merged by index; ids and names overwrite, arguments append.
 
-    Only what came before the event that finishes the calls; calls that never got a name are left out.
+    Only what came before a finish of the calls; calls that never got a name are left out. A reply may finish calls several times: with ``rounds`` each
+    round is merged by itself and round and ``end`` (the event that finishes it) are added, else only the first counts.
     """
     rows = replies.select(key, F.posexplode("events").alias("i", "event")).select(key, "i", F.posexplode(payloads(F.col("event"))).alias("d", "p")).select(key, "i", "d", F.from_json("p", DELTA).alias("e"))
     rows = rows.select(key, "i", "d", F.posexplode("e.choices").alias("c", "choice"))
-    done = rows.where("choice.finish_reason = 'tool_calls'").groupBy(key).agg(F.min("i").alias("end"))
-    parts = rows.join(done, key).where("i <= end").select(key, "i", "d", "c", F.posexplode("choice.delta.tool_calls").alias("k", "t"))
-    parts = parts.select(key, F.struct("i", "d", "c", "k").alias("at"), F.coalesce("t.index", F.lit(0)).alias("index"), F.col("t.id").alias("id"), F.col("t.function.name").alias("name"), F.col("t.function.arguments").alias("arguments"))
+    before = W.partitionBy(key).orderBy("i", "d", "c").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("done", F.coalesce((F.col("choice.finish_reason") == "tool_calls").cast("int"), F.lit(0)))
+    rows = rows.withColumn("round", F.coalesce(F.sum("done").over(before), F.lit(0)))
+    # the rows of a round, with the event that ends it, if any does
+    rows = rows.withColumn("end", F.max(F.when(F.col("done") == 1, F.col("i"))).over(W.partitionBy(key, "round"))).where("end is not null")
+    parts = (rows if rounds else rows.where("round = 0")).select(key, "i", "d", "c", "round", "end", F.posexplode("choice.delta.tool_calls").alias("k", "t"))
+    parts = parts.select(key, "round", "end", F.struct("i", "d", "c", "k").alias("at"), F.coalesce("t.index", F.lit(0)).alias("index"), F.col("t.id").alias("id"), F.col("t.function.name").alias("name"), F.col("t.function.arguments").alias("arguments"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("arguments").isNotNull(), F.struct("at", "arguments")))), lambda a: a["arguments"]), "")
-    merged = parts.groupBy(key, "index").agg(last("id"), last("name"), joined.alias("arguments")).where("name is not null")
+    merged = parts.groupBy(key, *["round", "end"] * rounds, "index").agg(last("id"), last("name"), joined.alias("arguments")).where("name is not null")
     return merged.withColumn("id", F.coalesce("id", F.lit(""))).withColumn("arguments", F.when(F.col("arguments") == "", "{}").otherwise(F.col("arguments")))
 
 
+def gated(replies: DataFrame, gate: ToolGate, key: str = "request_id") -> DataFrame:
+    """key, events, denied: events up to the first that finishes calls which the gate denies, then the event that ends the stream.
+
+    What comes after is dropped, and so is the rest that no blank line ended. Replies without denied calls keep all events, the rest among them if it holds anything.
+    """
+    calls = tool_calls(replies, key, rounds=True).withColumn("d", gate.decision(F.col("name"), F.col("arguments"))).where("d.decision = 'deny'")
+    by_round = calls.groupBy(key, "end").agg(F.array_sort(F.collect_list(F.struct("round", "index", "d.reason"))).alias("r"))
+    first = by_round.groupBy(key).agg(F.min("end").alias("_end"), F.min_by("r", "end").alias("r"))
+    rows = replies.join(first, key, "left")
+    whole = F.concat("events", F.when(F.coalesce("rest", F.lit("")) != "", F.array("rest")).otherwise(F.array().cast("array<string>")))
+    cut = F.concat(F.slice("events", F.lit(1), F.col("_end")), F.array(deny_event(F.transform("r", lambda x: x["reason"]))))
+    return rows.select(key, F.when(F.col("_end").isNull(), whole).otherwise(cut).alias("events"), F.col("_end").isNotNull().alias("denied"))
+
+
 def denied(calls: DataFrame, gate: ToolGate, key: str = "request_id") -> DataFrame:
     """key, reasons: of replies with any denied call, in the order of their index. Sanitizing counts as allowed here."""
     rows = calls.withColumn("d", gate.decision(F.col("name"), F.col("arguments"))).where("d.decision = 'deny'")

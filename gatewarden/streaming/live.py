@@ -1,4 +1,4 @@
-"""The same operations on streams: replies reassembled and restored chunk by chunk, rates by window, limits kept as state."""
+"""The same operations on streams: replies reassembled and restored chunk by chunk, rates by window, rules rebuilt by batch. Limits kept as state are in ``guards``."""
 
 from __future__ import annotations
 
