@@ -6,6 +6,7 @@ import functools
 import json as jsonlib
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column
@@ -83,45 +84,179 @@ def _kind(value: Column) -> Column:
 KNOWN = {
     "type", "enum", "const", "required", "properties", "patternProperties", "additionalProperties", "items", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength",
     "minItems", "maxItems", "uniqueItems", "pattern", "minProperties", "maxProperties", "allOf", "anyOf", "oneOf", "not", "$ref", "$defs", "definitions",
+    "if", "then", "else", "prefixItems", "contains", "minContains", "maxContains", "dependentRequired", "propertyNames",
 }
 
 
-def _target(root: dict[str, Any], ref: str, seen: tuple[str, ...]) -> Any:
-    """What a local reference of a schema points to; a cycle cannot be written out as an expression and raises."""
-    if not ref.startswith("#") or ref in seen:
-        raise NotImplementedError(f"schema reference {ref}: {'refers to itself' if ref in seen else 'only references within the schema are known'}")
+def _target(root: dict[str, Any], ref: str) -> Any:
+    """What a local reference of a schema points to."""
+    if not ref.startswith("#"):
+        raise NotImplementedError(f"schema reference {ref}: only references within the schema are known")
     found: Any = root
     for part in ref[1:].split("/")[1:]:
         found = found[part.replace("~1", "/").replace("~0", "~")]
     return found
 
 
+#: Keywords whose schemas are for the value itself, and those whose schemas are for what it holds.
+SAME = ("allOf", "anyOf", "oneOf", "not", "if", "then", "else")
+INNER = ("properties", "patternProperties", "additionalProperties", "items", "prefixItems", "contains", "propertyNames")
+
+
+def _refs(schema: Any, words: Sequence[str]) -> set[str]:
+    """References in a schema, under the keywords given."""
+    if not isinstance(schema, dict):
+        return set()
+    found = {schema["$ref"]} if isinstance(schema.get("$ref"), str) else set()
+    for w in words:
+        sub = schema.get(w)
+        for x in sub if isinstance(sub, list) else sub.values() if w in ("properties", "patternProperties") and isinstance(sub, dict) else [sub]:
+            found |= _refs(x, words)
+    return found
+
+
+def _reach(root: dict[str, Any], refs: set[str], words: Sequence[str]) -> set[str]:
+    seen: set[str] = set()
+    while refs:
+        seen |= refs
+        refs = set().union(*(_refs(_target(root, r), words) for r in refs)) - seen
+    return seen
+
+
+def _recursive(root: Any) -> tuple[str, ...]:
+    """References that come back to themselves. One that does so for one and the same value has no meaning and raises."""
+    every = _reach(root, _refs(root, SAME + INNER), SAME + INNER)
+    for r in sorted(every):
+        if r in _reach(root, _refs(_target(root, r), SAME), SAME):
+            raise NotImplementedError(f"schema reference {r}: refers to itself")
+    return tuple(sorted(r for r in every if r in _reach(root, _refs(_target(root, r), SAME + INNER), SAME + INNER)))
+
+
 def _named_like(pattern: str):
     return lambda e: F.regexp_like(e["key"], F.lit(pattern))
 
 
-def _value_of(below, sub: dict[str, Any] | bool, name: str):
-    return lambda e: below(e["value"], sub, f"/{name}")
+@dataclass(frozen=True)
+class _Root:
+    """The whole schema, and the references that are not written out but left for later, by number from 1."""
+
+    schema: Any
+    later: tuple[str, ...] = ()
 
+    def holds_later(self, sub: Any) -> bool:
+        return bool(_reach(self.schema, _refs(sub, SAME + INNER), SAME + INNER) & set(self.later))
 
-def schema_errors(value: Column, schema: dict[str, Any] | bool, path: str = "", root: dict[str, Any] | None = None, seen: tuple[str, ...] = ()) -> Column:
+
+def schema_errors(value: Column, schema: dict[str, Any] | bool) -> Column:
     """Errors of a variant against a JSON schema, as ``path: message``; empty if it is valid.
 
-    Known keywords: see ``KNOWN``; references are local and must not be cyclic. Any other keyword raises.
+    Known keywords: see ``KNOWN``; references are local. Any other keyword raises. A schema that refers to itself is not written out: values that it
+    is to be tried on again are put on a list with the path to them, and the list is worked off, level by level, as deep as the value goes. Such a
+    reference may stand in one of the alternatives of ``anyOf``, but not within ``oneOf``, ``not``, ``if`` or ``contains``.
     """
+    later = _recursive(schema)
+    root = _Root(schema, later)
+    if not later:
+        return _schema_errors(value, schema, "", root)
+    places = [schema, *[_target(schema, r) for r in later]]
+    work = "array<struct<v: variant, s: int, path: string>>"
+
+    def step(acc: Column, _: Column) -> Column:
+        by_place = lambda make, w: functools.reduce(lambda x, k: F.when(w["s"] == k, make(w["v"], places[k])).otherwise(x), range(1, len(places)), make(w["v"], places[0]))
+        errors = F.transform(acc["work"], lambda w: F.transform(by_place(lambda v, p: _schema_errors(v, p, "", root), w), lambda e: F.concat(w["path"], e)))
+        more = F.transform(acc["work"], lambda w: F.transform(by_place(lambda v, p: _left(v, p, "", root), w), lambda x: F.struct(x["v"].alias("v"), x["s"].alias("s"), F.concat(w["path"], x["path"]).alias("path"))))
+        return F.struct(F.flatten(more).cast(work).alias("work"), F.concat(acc["errors"], F.flatten(errors)).alias("errors"))
+
+    def worked(v: Column) -> Column:
+        levels = (F.regexp_count(F.to_json(v), F.lit(r"[\[{]")) + 2) * len(places)
+        start = F.struct(F.array(F.struct(v.alias("v"), F.lit(0).alias("s"), F.lit("").alias("path"))).cast(work).alias("work"), F.array().cast("array<string>").alias("errors"))
+        return F.aggregate(F.sequence(F.lit(1), levels), start, step, lambda acc: acc["errors"])
+
+    return F.when(value.isNotNull(), let(value, worked)).otherwise(F.array().cast("array<string>"))
+
+
+def _schema_errors(value: Column, schema: dict[str, Any] | bool, path: str, root: _Root) -> Column:
     none = F.array().cast("array<string>")
     if isinstance(schema, bool):
         return none if schema else F.array(F.lit(f"{path}: no value is allowed"))
     if unknown := set(schema) - KNOWN - ANNOTATIONS:
         raise NotImplementedError(f"schema keywords: {', '.join(sorted(unknown))}")
-    root = schema if root is None else root
-    return let(value, lambda v: _errors(v, schema, path, root, seen))
+    return let(value, lambda v: _errors(v, schema, path, root))
+
 
+def _left(value: Column, schema: dict[str, Any] | bool, path: str, root: _Root) -> Column:
+    """What a schema leaves for later: values, the number of the reference each is to be tried on, and the path to it."""
+    none = F.array().cast("array<struct<v: variant, s: int, path: string>>")
+    if isinstance(schema, bool) or not root.holds_later(schema):
+        return none
+    return let(value, lambda v: _left_of(v, schema, path, root))
 
-def _errors(value: Column, schema: dict[str, Any], path: str, root: dict[str, Any], seen: tuple[str, ...]) -> Column:
+
+def _left_of(value: Column, schema: dict[str, Any], path: str, root: _Root) -> Column:
+    none = F.array().cast("array<struct<v: variant, s: int, path: string>>")
+    kind, out = _kind(value), []
+    below = lambda v, sub, more="": _left(v, sub, path + more, root)
+    fits = lambda sub: F.size(_schema_errors(value, sub, path, root)) == 0
+    for w in ("oneOf", "not", "if", "contains", "propertyNames"):
+        if any(root.holds_later(x) for x in (schema[w] if isinstance(schema.get(w), list) else [schema.get(w)])):
+            raise NotImplementedError(f"schema keyword {w}: a reference that comes back to itself within it")
+    if "$ref" in schema:
+        if schema["$ref"] in root.later:
+            out.append(F.array(F.struct(value.alias("v"), F.lit(root.later.index(schema["$ref"]) + 1).alias("s"), F.lit(path).alias("path"))))
+        else:
+            out.append(below(value, _target(root.schema, schema["$ref"])))
+    out += [below(value, sub) for sub in schema.get("allOf", [])]
+    if "if" in schema:
+        out.append(F.when(fits(schema["if"]), below(value, schema.get("then", True))).otherwise(below(value, schema.get("else", True))))
+    if late := [sub for sub in schema.get("anyOf", []) if root.holds_later(sub)]:
+        rest = functools.reduce(lambda x, y: x | y, [fits(sub) for sub in schema["anyOf"] if not root.holds_later(sub)], F.lit(False))
+        out.append(F.when(rest, none).otherwise(below(value, late[0])))
+    for inner, sub, more in _inner(value, schema):
+        if root.holds_later(sub):
+            each = F.flatten(F.transform(inner, functools.partial(_below_one, below, sub, more)))
+            out.append(F.coalesce(each, none))
+    return F.concat(*[x.cast("array<struct<v: variant, s: int, path: string>>") for x in out]) if out else none
+
+
+def _below_one(below, sub, more, v):
+    return below(v, sub, more)
+
+
+def _inner(value: Column, schema: dict[str, Any]) -> list[tuple[Column, Any, str]]:
+    """Arrays of what a value holds, each with the schema for its elements and their part of the path; null where it does not apply."""
+    items, fields = F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string, variant>")
+    array, object_ = _kind(value) == "array", _kind(value) == "object"
+    named, patterns, prefix = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("prefixItems", [])
+    out = [(F.when(array & (F.size(items) > i), F.array(F.get(items, i))), sub, f"/items/{i}") for i, sub in enumerate(prefix)]
+    if "items" in schema:
+        rest = F.slice(items, len(prefix) + 1, F.greatest(F.size(items) - len(prefix), F.lit(0))) if prefix else items
+        out.append((F.when(array, rest), schema["items"], "/items"))
+    for k, sub in named.items():
+        found = _member(value, fields, k)
+        out.append((F.when(object_ & found.isNotNull(), F.array(found)), sub, f"/{k}"))
+    entries = F.map_entries(fields)
+    values = lambda e: F.transform(e, lambda x: x["value"])
+    for p, sub in patterns.items():
+        out.append((F.when(object_, values(F.filter(entries, _named_like(p)))), sub, f"/{p}"))
+    if isinstance(schema.get("additionalProperties"), dict):
+        out.append((F.when(object_, values(F.filter(entries, _free(named, patterns)))), schema["additionalProperties"], "/*"))
+    return out
+
+
+def _free(named, patterns):
+    """Whether an entry is under no name and no pattern of a schema."""
+    return lambda e: ~e["key"].isin(*named) & ~F.regexp_like(e["key"], F.lit("|".join(f"(?:{p})" for p in patterns) or "(?!)"))
+
+
+def _member(value: Column, fields: Column, name: str) -> Column:
+    """A property; a path cannot name every one."""
+    return F.try_variant_get(value, f"$['{name}']", "variant") if re.fullmatch(r"[\w -]+", name, re.A) else F.try_element_at(fields, F.lit(name))
+
+
+def _errors(value: Column, schema: dict[str, Any], path: str, root: _Root) -> Column:
     none = F.array().cast("array<string>")
     kind, out = _kind(value), []
-    below = lambda v, sub, more="": schema_errors(v, sub, path + more, root, seen)
+    below = lambda v, sub, more="": _schema_errors(v, sub, path + more, root)
     fits = lambda sub: F.size(below(value, sub)) == 0
 
     def unless(good: Column, message: str) -> None:
@@ -150,42 +285,47 @@ def _errors(value: Column, schema: dict[str, Any], path: str, root: dict[str, An
         unless((kind != "array") | (F.size(items) <= schema["maxItems"]), "has too many items")
     if schema.get("uniqueItems"):
         unless((kind != "array") | let(F.transform(items, lambda v: F.to_json(v)), lambda x: F.size(F.array_distinct(x)) == F.size(x)), "has equal items")
-    if "items" in schema:
-        each = F.flatten(F.transform(items, lambda v: below(v, schema["items"], "/items")))
-        out.append(F.when(kind == "array", F.coalesce(each, none)).otherwise(none))
+    if "contains" in schema:
+        hits = F.size(F.filter(items, lambda v: F.size(below(v, schema["contains"])) == 0))
+        unless((kind != "array") | (hits >= schema.get("minContains", 1)), "contains too few items that fit")
+        if "maxContains" in schema:
+            unless((kind != "array") | (hits <= schema["maxContains"]), "contains too many items that fit")
     fields = F.try_variant_get(value, "$", "map<string, variant>")
-    # a path cannot name every property
-    member = lambda k: F.try_variant_get(value, f"$['{k}']", "variant") if re.fullmatch(r"[\w -]+", k, re.A) else F.try_element_at(fields, F.lit(k))
-    named, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
     for k in schema.get("required", []):
-        unless((kind != "object") | member(k).isNotNull(), f"lacks the property {k}")
-    for k, sub in named.items():
-        out.append(F.when((kind == "object") & member(k).isNotNull(), below(member(k), sub, f"/{k}")).otherwise(none))
+        unless((kind != "object") | _member(value, fields, k).isNotNull(), f"lacks the property {k}")
+    for k, wanted in schema.get("dependentRequired", {}).items():
+        for x in wanted:
+            unless((kind != "object") | _member(value, fields, k).isNull() | _member(value, fields, x).isNotNull(), f"lacks the property {x}, which {k} asks for")
+    for inner, sub, more in _inner(value, schema):
+        out.append(F.coalesce(F.flatten(F.transform(inner, functools.partial(_below_one, below, sub, more))), none))
     entries = F.map_entries(fields)
-    for p, sub in patterns.items():
-        each = F.flatten(F.transform(F.filter(entries, _named_like(p)), _value_of(below, sub, p)))
-        out.append(F.when(kind == "object", F.coalesce(each, none)).otherwise(none))
-    rest = schema.get("additionalProperties", True)
-    if rest is not True:
-        free = lambda e: ~e["key"].isin(*named) & ~F.regexp_like(e["key"], F.lit("|".join(f"(?:{p})" for p in patterns) or "(?!)"))
-        if rest is False:
-            unless((kind != "object") | (F.size(F.filter(entries, free)) == 0), "has properties beyond those allowed")
-        else:
-            each = F.flatten(F.transform(F.filter(entries, free), lambda e: below(e["value"], rest, "/*")))
-            out.append(F.when(kind == "object", F.coalesce(each, none)).otherwise(none))
+    if schema.get("additionalProperties", True) is False:
+        free = F.filter(entries, _free(schema.get("properties", {}), schema.get("patternProperties", {})))
+        unless((kind != "object") | (F.size(free) == 0), "has properties beyond those allowed")
+    if "propertyNames" in schema:
+        names = F.transform(entries, lambda e: F.parse_json(encoded(e["key"])))
+        unless((kind != "object") | F.forall(names, lambda n: F.size(below(n, schema["propertyNames"])) == 0), "has a property whose name does not fit")
     if "minProperties" in schema:
         unless((kind != "object") | (F.size(entries) >= schema["minProperties"]), "has too few properties")
     if "maxProperties" in schema:
         unless((kind != "object") | (F.size(entries) <= schema["maxProperties"]), "has too many properties")
     out += [below(value, sub) for sub in schema.get("allOf", [])]
-    if "anyOf" in schema:
+    if "if" in schema:
+        out.append(F.when(fits(schema["if"]), below(value, schema.get("then", True))).otherwise(below(value, schema.get("else", True))))
+    if late := sum(map(root.holds_later, schema.get("anyOf", []))):
+        if late > 1:
+            raise NotImplementedError("schema keyword anyOf: references that come back to themselves in several alternatives")
+        open_one = next(sub for sub in schema["anyOf"] if root.holds_later(sub))  # what is left of it is tried later
+        rest = functools.reduce(lambda x, y: x | y, [fits(sub) for sub in schema["anyOf"] if sub is not open_one], F.lit(False))
+        out.append(F.when(rest, none).otherwise(below(value, open_one)))
+    elif "anyOf" in schema:
         unless(functools.reduce(lambda x, y: x | y, map(fits, schema["anyOf"]), F.lit(False)), "fits none of the alternatives")
     if "oneOf" in schema:
         unless(functools.reduce(lambda x, y: x + y, [fits(sub).cast("int") for sub in schema["oneOf"]], F.lit(0)) == 1, "does not fit exactly one of the alternatives")
     if "not" in schema:
         unless(~fits(schema["not"]), "fits what is excluded")
-    if "$ref" in schema:
-        out.append(schema_errors(value, _target(root, schema["$ref"], seen), path, root, (*seen, schema["$ref"])))
+    if "$ref" in schema and schema["$ref"] not in root.later:
+        out.append(below(value, _target(root.schema, schema["$ref"])))
     return F.concat(*out) if out else none
 
 

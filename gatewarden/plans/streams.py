@@ -138,3 +138,16 @@ DENIAL = '{"error":{"type":"tool_call_denied","message":"the tool gate denied on
 def stream_tool_denials(spark, folder):
     rows = sse.denied(sse.tool_calls(call_streams(spark, folder)), GATE)
     return rows.select("request_id", sse.deny_event(F.col("reasons")).alias("event"))
+
+
+_DELTAS = """['data: {"choices":[{"delta":{"tool_calls":[{"index":0,"id":"a","function":{"name":"look"}}]}}]}', 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"arguments":"{\\"id"}}]}}]}',
+'data: {"choices":[{"delta":{"tool_calls":[{"index":1,"id":"b","function":{"name":"' || CASE WHEN request_id % 2 = 1 THEN 'delete_user' ELSE 'search' END || '","arguments":"{}"}}]}}]}', 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"function":{"arguments":"\\":1}"}}]}}]}']"""
+_AFTER = """['data: {"choices":[{"delta":{},"finish_reason":"tool_calls"}]}', 'data: [DONE]']"""
+_DENIED = f"['data: ' || {q(DENIAL)} || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10)]"
+
+
+@query("stream_gated", f"SELECT request_id, request_id % 2 = 1 AS denied, array_to_string({_DELTAS} || CASE WHEN request_id % 2 = 1 THEN {_DENIED} ELSE {_AFTER} END, chr(10)) AS events FROM {REPLIES} r")
+def stream_gated(spark, folder):
+    """What goes out of a reply whose calls are gated: all of it, or up to the finish of denied calls and the event that ends it."""
+    rows = sse.gated(call_streams(spark, folder).withColumn("rest", F.lit("")), GATE)
+    return rows.select("request_id", "denied", F.array_join("events", "\n").alias("events"))

@@ -39,6 +39,12 @@ def literal_sql(x: str, phrases) -> str:
     return f"nullif(regexp_extract({x}, {q('(' + '|'.join(map(quoted, phrases)) + ')')}, 1), '')"
 
 
+def first_of_sql(x: str, phrases) -> str:
+    """``literal_sql`` by a search for each phrase, which many phrases need: the least place, then the first declared."""
+    places = f"list_transform(range(1, {len(phrases) + 1}), lambda i: [instr({x}, ({sql_list(phrases)})[i]), i])"
+    return f"({sql_list(phrases)})[list_min(list_filter({places}, lambda p: p[1] > 0))[2]]"
+
+
 def pattern_sql(x: str, patterns) -> str:
     return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({x}, {q('(?i)' + p)}) THEN {q(p)} END" for p in patterns) + ")"
 
@@ -88,6 +94,26 @@ def verdict_dictionary(spark, folder):
     return match.classified(prompts(spark, folder), "text", rules).select("doc_id", "verdict.level", "verdict.rule")
 
 
+#: A dictionary of the size of those that are shipped together: 5,000 phrases and 200 patterns, by rule, of syllables that texts hold.
+SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "nt", "ea", "ti", "to", "it", "st", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "un")
+
+
+def syllables(i: int, n: int) -> list[str]:
+    i = i * 7919 + 17
+    return [SYLLABLES[i // len(SYLLABLES) ** k % len(SYLLABLES)] for k in range(n)]
+
+
+LARGE_LITERALS = tuple(dict.fromkeys("{}{} {}{}".format(*syllables(i, 4)) for i in range(5000)))
+LARGE_PATTERNS = tuple(dict.fromkeys("{}{}{}[a-z]{{2}}[ ,.]".format(*syllables(31 * i, 3)) for i in range(200)))
+
+
+@query("verdict_large_dictionary", f"SELECT doc_id, CASE WHEN pattern IS NOT NULL THEN 'alert' WHEN literal IS NOT NULL THEN 'flag' ELSE 'clean' END AS level, coalesce(pattern, literal) AS rule FROM (SELECT doc_id, {pattern_sql('norm', LARGE_PATTERNS)} AS pattern, {first_of_sql('norm', LARGE_LITERALS)} AS literal FROM (SELECT doc_id, {norm_sql('text')} AS norm FROM {PROMPTS}) x) y")
+def verdict_large_dictionary(spark, folder):
+    """Literals by their tree, patterns by their factors, which are sought once for all."""
+    rules = RuleSet((*(KeywordRule(p, "alert", True) for p in LARGE_PATTERNS), *(KeywordRule(p, "flag") for p in LARGE_LITERALS)))
+    return match.classified(prompts(spark, folder), "text", rules).select("doc_id", "verdict.level", "verdict.rule")
+
+
 @query("verdict_weighted", f"SELECT doc_id, level, CASE WHEN level = 'flag' THEN printf('score=%.1f', w) ELSE rule END AS rule FROM (SELECT *, {' + '.join(f'contains(norm, {q(p)})::INT' for p in FLAG_PHRASES)} + 0.0 AS w FROM ({verdict_sql(PROMPTS, False, 'doc_id')}) x JOIN (SELECT doc_id, {norm_sql('text')} AS norm FROM {PROMPTS}) y USING (doc_id)) z")
 def verdict_weighted(spark, folder):
     return match.classified(prompts(spark, folder), "text", LITERALS, engine="weighted").select("doc_id", "verdict.level", "verdict.rule")

@@ -123,7 +123,7 @@ def test_schema_references_and_refusals(spark):
     assert errors("0.3", {"multipleOf": 0.1}) == [] and errors('{"a":1,"b":"x"}', {"properties": {"a": {}}, "additionalProperties": {"type": "integer"}}) == ["/*: is not of type integer"]
     assert errors('{"it\'s": 1, "a.b": 2}', {"required": ["it's", 'say "x"'], "properties": {"it's": {"type": "string"}, "a.b": {"maximum": 1}}}) == [': lacks the property say "x"', "/it's: is not of type string", "/a.b: is greater than the maximum"]
     assert errors('"b"', {"enum": ["a", "b"], "const": "a"}) == [": is not one of the values allowed"]
-    for bad in ({"$defs": {"a": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}, {"$ref": "http://x/y"}, {"contains": {}}):
+    for bad in ({"$defs": {"a": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}, {"$ref": "http://x/y"}, {"unevaluatedItems": False}, {"oneOf": [{"$ref": "#"}, {}], "items": {"$ref": "#"}}):
         with pytest.raises(NotImplementedError):
             errors("1", bad)
 
@@ -249,3 +249,58 @@ def test_percentiles_by_ranges(spark):
         for ranges in (2, 64):
             assert sorted(repr(tuple(r)) for r in rank_percentiles(df, "v", points, keys, ranges).collect()) == want
     assert rank_percentiles(df.limit(0), "v", points).collect() in ([], [(None,) * 4])
+
+
+def test_schemas_that_refer_to_themselves(spark):
+    """A tree of values by a schema that comes back to itself, fifty levels deep and more; and lists by alternatives."""
+    import json
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gatewarden.functions.jsonshape import schema_errors
+
+    tree = {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#"}}, "next": {"anyOf": [{"type": "null"}, {"$ref": "#/$defs/link"}]}}, "$defs": {"link": {"allOf": [{"$ref": "#"}, {"required": ["name"]}]}}}
+
+    def good(x, link=False):
+        if not isinstance(x, dict) or not isinstance(x.get("v"), int) or (link and "name" not in x):
+            return False
+        if "kids" in x and not (isinstance(x["kids"], list) and all(map(good, x["kids"]))):
+            return False
+        return "next" not in x or x["next"] is None or good(x["next"], True)
+
+    rnd = random.Random(8)
+
+    def value(depth):
+        x = {"v": rnd.choice([1, 1, 1, 1, 1, 1, 1, "x"]), "name": "n"}
+        if depth and rnd.random() < 0.8:
+            x["kids"] = [value(depth - 1) for _ in range(rnd.randint(0, 2))]
+        if depth and rnd.random() < 0.4:
+            x["next"] = rnd.choice([None, value(depth - 1), value(depth - 1)])
+        if rnd.random() < 0.1:
+            del x["name"]
+        return x
+
+    deep = lambda last: json.loads('{"v":1,"kids":[' * 55 + last + "]}" * 55)
+    values = [value(4) for _ in range(150)] + [deep('{"v":2}'), deep('{"v":"no"}'), 5, []]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, t string")
+    got = {r.i: r.e for r in df.select("i", schema_errors(F.parse_json("t"), tree).alias("e")).collect()}
+    assert {i: not e for i, e in got.items()} == {i: good(v) for i, v in enumerate(values)} and 20 < sum(map(good, values)) < 140
+    assert got[151] == ["/kids/items" * 55 + "/v: is not of type integer"]
+
+
+def test_more_schema_keywords(spark):
+    from pyspark.sql import functions as F
+
+    from gatewarden.functions.jsonshape import schema_errors
+
+    cases = [
+        ({"if": {"properties": {"a": {"const": 1}}}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, {'{"a":1,"b":2}': [], '{"a":1}': [": lacks the property b"], '{"a":2}': [": lacks the property c"]}),
+        ({"prefixItems": [{"type": "string"}, {"type": "integer"}], "items": {"type": "null"}}, {'["x",1,null]': [], '[1]': ["/items/0: is not of type string"], '["x","y",3]': ["/items/1: is not of type integer", "/items: is not of type null"], "{}": []}),
+        ({"contains": {"minimum": 5}, "maxContains": 1}, {"[1,6]": [], "[1]": [": contains too few items that fit"], "[6,7]": [": contains too many items that fit"]}),
+        ({"dependentRequired": {"a": ["b"]}}, {'{"a":1,"b":1}': [], "{}": [], '{"a":1}': [": lacks the property b, which a asks for"]}),
+        ({"propertyNames": {"maxLength": 2}}, {'{"ab":1}': [], '{"abc":1}': [": has a property whose name does not fit"]}),
+    ]
+    for schema, values in cases:
+        df = spark.createDataFrame([(t,) for t in values], "t string")
+        assert {r.t: r.e for r in df.select("t", schema_errors(F.parse_json("t"), schema).alias("e")).collect()} == values
