@@ -88,7 +88,7 @@ def _nfkc(texts: pa.Array) -> pa.Array:
 
 
 #: Runs of so many letters and more that no compatibility form changes are told by a pattern.
-PLAIN_RUN = 32
+PLAIN_RUN = 64
 
 
 @functools.cache
@@ -115,7 +115,8 @@ def plain_letters() -> str:
 
 def compatible(text: Column) -> Column:
     """The compatibility form; only texts with letters that it may change are sent to Python, as others are their own."""
-    other = F.regexp_like(text, F.lit(r"[^\x00-\x7F]")) & F.regexp_like(text, F.lit(f"[^{plain_letters()}]"))
+    # a look at ASCII first, as most letters are of it and the class is long
+    other = F.regexp_like(text, F.lit(rf"(?=[^\x00-\x7F])[^{plain_letters()}]"))
     return F.coalesce(_nfkc(F.when(other, text)), text)
 
 
