@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from gatewarden.llm.store import clear, new_path, written
 
 BLANK = r"[\x20\x09-\x0D]+"
+#: A store is closed once its part of a batch is committed, so an executor holds those of its running tasks open, however many parts there are.
 STATE_CONF = {
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
@@ -85,7 +87,7 @@ def latest(spark: SparkSession, out: str) -> DataFrame:
 
 
 def _checked(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Digests that stand for several contents.
+    """Digests that stand for several contents, a row for each row that differs from the one that stays.
 
     Only rows of digests with several rows are compared, each with the whole content of the row that stays.
     """
@@ -96,7 +98,7 @@ def _checked(rows: DataFrame, groups: DataFrame) -> DataFrame:
         mine = rows.join(hits, "digest")
     mine = mine.select("digest", "locator", "keeper", "content")
     kept = mine.where("locator = keeper").select("digest", F.col("content").alias("kept"))
-    return mine.where("locator <> keeper").join(kept, "digest").where("content <> kept").select("digest").distinct()
+    return mine.where("locator <> keeper").join(kept, "digest").where("content <> kept").select("digest")
 
 
 def deduplicated(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -111,7 +113,8 @@ def deduplicated(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     spark.createDataFrame([], GROUPS).write.parquet(f"{out}/batch=-1")
     updates(spark, path, CONTENTS, state, out)
     groups = written(latest(spark, out), "groups")
-    unlike = written(_checked(rows, groups), "digests-of-several-texts")
+    # made distinct once written: the join before can then split the rows of a digest
+    unlike = written(_checked(rows, groups), "digests-of-several-texts").distinct()
     rows = rows.withColumn("sha", F.col("digest") if digest is sha256 else sha256(F.col("content")))
     if not unlike.limit(1).count():
         return _told(rows, groups, ["digest"])
