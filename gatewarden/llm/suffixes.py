@@ -585,12 +585,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     sent = chunks.mapInArrow(lambda it: _anchors(it, deal, length, gram), ANCHORS)
     met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, Spans.DDL)
     met = written(met, "repeat-spans")
-    own = chunks.groupBy("part")
-    contexts = own.cogroup(met.where("has_open").groupBy("part")).applyInArrow(lambda a, b: _fetch(a, b, deal, length), CONTEXTS)
+    many = max(parts, chunks.select("part").count())  # a chunk has about a partition to itself
+    own = chunks.repartition(many, "part").groupBy("part")
+    contexts = own.cogroup(met.where("has_open").repartition(many, "part").groupBy("part")).applyInArrow(lambda a, b: _fetch(a, b, deal, length), CONTEXTS)
     more = contexts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _expand(it, length, gram), Spans.DDL)
     spans = met.where("not has_open").unionByName(more)
     schema = REMOVED.replace("kept_sha256 string", "kept binary") if texts else REMOVED
-    return own.cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _remove(a, b, length, texts), schema)
+    return own.cogroup(spans.repartition(many, "part").groupBy("part")).applyInArrow(lambda a, b: _remove(a, b, length, texts), schema)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
