@@ -30,7 +30,7 @@ from gatewarden.llm.store import clear, written
 from gatewarden.llm.suffixes import packed, unpacked
 
 TOP, FAN_BITS, BEAM = 10, 4, 16
-CHUNK_BYTES, PACK_BYTES = 8 << 20, 1 << 20
+CHUNK_BYTES, PACK_BYTES = 4 << 20, 1 << 20
 #: Chosen chunks up to this number are sent to all tasks (a few numbers each).
 SMALL_CHOICES = 20_000
 #: Chunks are dealt to so many copies of a pack, if there are several packs.
