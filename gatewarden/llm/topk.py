@@ -9,8 +9,8 @@ falls below the query's k-th score so far. That score begins at the k-th of a sa
 block on. The k best of all tasks are merged.
 
 The pivots and the first k-th scores come from a sample of bounded size (``SAMPLE`` rows, ``SAMPLE_BYTES``); they decide how much is
-pruned, never what is found. Queries are packed into sets of bounded size (``QUERY_BYTES``) by the executors; each set
-is one pass over the blocks.
+pruned, never what is found. Queries are packed by the executors and dealt to sets of about ``QUERY_BYTES``; every set meets every part of the
+blocks in a task of its own, all in one job, so neither the driver nor the number of jobs grows with the queries.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatewarden.llm.store import clear, new_path, written
+from gatewarden.llm.store import clear, written
 
 SCALE, TOP, EVERY, BLOCK = 64, 20, 20, 256
 QUERY_BYTES, PART_BYTES = 16 << 20, 64 << 20
@@ -31,7 +32,7 @@ SAMPLE, SAMPLE_BYTES, PIVOTS = 2048, 8 << 20, 256
 #: Largest component that takes part: its integer and any product of two still fit a 64-bit float's integers.
 _EXACT32, _EXACT64 = 1 << 24, 1 << 53
 _LEAST = np.iinfo(np.int64).min
-BLOCKS = "ids binary, weights binary, terms int, most binary, least binary"
+BLOCKS = "blocks_of int, ids binary, weights binary, terms int, most binary, least binary"
 PACKS = "part int, pack int, ids binary, weights binary, terms int, floors binary"
 FOUND = "query_id long, vec_id long, score long, blocks long, scored long"
 #: Which vectors take part.
@@ -76,12 +77,12 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], scale: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by id to blocks of ``size``."""
-    ids, rows = np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
+    """Rows sorted by id to blocks of ``size``, with the number of their part."""
+    part, ids, rows = TaskContext.get().partitionId(), np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
 
     def block(i: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
         small = np.int16 if not w.size or np.abs(w).max() < 1 << 15 else np.int64
-        return pa.record_batch({"ids": pa.array([i.tobytes()], pa.binary()), "weights": pa.array([w.astype(small).tobytes()], pa.binary()), "terms": pa.array([w.shape[1]], pa.int32()), "most": pa.array([w.max(axis=0).tobytes() if w.size else b""], pa.binary()), "least": pa.array([w.min(axis=0).tobytes() if w.size else b""], pa.binary())})
+        return pa.record_batch({"blocks_of": pa.array([part], pa.int32()), "ids": pa.array([i.tobytes()], pa.binary()), "weights": pa.array([w.astype(small).tobytes()], pa.binary()), "terms": pa.array([w.shape[1]], pa.int32()), "most": pa.array([w.max(axis=0).tobytes() if w.size else b""], pa.binary()), "least": pa.array([w.min(axis=0).tobytes() if w.size else b""], pa.binary())})
 
     for batch in batches:
         good, new = weights(batch.column("embedding"), scale)
@@ -134,8 +135,6 @@ def _placed(batches: Iterator[pa.RecordBatch], shared, scale: int) -> Iterator[p
 
 def _packs(batches: Iterator[pa.RecordBatch], shared, scale: int, top: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Queries to sets of about ``limit`` bytes, each with the k-th score that the sample gives it."""
-    from pyspark import TaskContext
-
     known, rows, _ = shared.value
     part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -153,17 +152,22 @@ def _packs(batches: Iterator[pa.RecordBatch], shared, scale: int, top: int, limi
             number += 1
 
 
-def _search(batches: Iterator[pa.RecordBatch], shared, top: int) -> Iterator[pa.RecordBatch]:
-    qid, qw, floors = shared.value
+def _met(part: pa.Table, packs: pa.Table, top: int) -> pa.Table:
+    return pa.Table.from_batches(_search(part, packs, top) if part.num_rows and packs.num_rows else [], _FOUND)
+
+
+_FOUND = pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score", "blocks", "scored")])
+
+
+def _search(part: pa.Table, packs: pa.Table, top: int) -> Iterator[pa.RecordBatch]:
+    """A set of queries over a part of the blocks."""
+    qid, qw, floors = _opened_packs(packs.to_pylist())
     blocks, high, low = [], [], []
-    for batch in batches:
-        for row in zip(*(batch.column(c) for c in ("ids", "weights", "terms", "most", "least")), strict=True):
-            ids, data, terms, most, least = (x.as_py() for x in row)
-            blocks.append((ids, data, terms))
-            high.append(np.frombuffer(most, np.int64))
-            low.append(np.frombuffer(least, np.int64))
-    if not blocks or not len(qid):
-        return
+    for row in zip(*(part.column(c) for c in ("ids", "weights", "terms", "most", "least")), strict=True):
+        ids, data, terms, most, least = (x.as_py() for x in row)
+        blocks.append((ids, data, terms))
+        high.append(np.frombuffer(most, np.int64))
+        low.append(np.frombuffer(least, np.int64))
     width = qw.shape[1]
     high, low = (np.stack([_fitted(v[None, :], width)[0] for v in x]).astype(np.float64) for x in (high, low))
     many = int(np.clip((1 << 22) // len(blocks), 64, 2048))
@@ -214,28 +218,15 @@ def _search(batches: Iterator[pa.RecordBatch], shared, top: int) -> Iterator[pa.
             step, size = step + size, min(size * 2, 64) if step else 1
         r, c = np.nonzero(np.arange(top)[None, :] < full[:, None])
         nothing = np.zeros(len(q), bool)
-        yield pa.record_batch({"query_id": pa.array(own[r]), "vec_id": pa.array(name[r, c]), "score": pa.array(best[r, c]), "blocks": pa.nulls(len(r), pa.int64()), "scored": pa.nulls(len(r), pa.int64())})
-        yield pa.record_batch({"query_id": pa.array(own), "vec_id": pa.array(own, mask=~nothing), "score": pa.array(own, mask=~nothing), "blocks": pa.array(np.full(len(q), len(blocks))), "scored": pa.array(scored)})
-
-
-def _sets(packs: list, limit: int) -> list[list[str]]:
-    """Names of packs (part, pack, size) put together to sets of about ``limit`` bytes, however many parts they came from."""
-    out: list[list[str]] = []
-    room = 0
-    for part, pack, size in sorted(packs):
-        if not out or size > room:
-            out.append([])
-            room = limit
-        out[-1].append(f"{part}:{pack}")
-        room -= size
-    return out
+        yield pa.record_batch([pa.array(own[r]), pa.array(name[r, c]), pa.array(best[r, c]), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64())], schema=_FOUND)
+        yield pa.record_batch([pa.array(own), pa.array(own, mask=~nothing), pa.array(own, mask=~nothing), pa.array(np.full(len(q), len(blocks))), pa.array(scored)], schema=_FOUND)
 
 
-def _opened_packs(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    width = max(r.terms for r in rows)
-    ids = [np.frombuffer(r.ids, np.int64) for r in rows]
-    vectors = [_fitted(np.frombuffer(r.weights, np.int64).reshape(len(i), r.terms), width) for i, r in zip(ids, rows, strict=True)]
-    return np.concatenate(ids), np.concatenate(vectors), np.concatenate([np.frombuffer(r.floors, np.int64) for r in rows])
+def _opened_packs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width = max(r["terms"] for r in rows)
+    ids = [np.frombuffer(r["ids"], np.int64) for r in rows]
+    vectors = [_fitted(np.frombuffer(r["weights"], np.int64).reshape(len(i), r["terms"]), width) for i, r in zip(ids, rows, strict=True)]
+    return np.concatenate(ids), np.concatenate(vectors), np.concatenate([np.frombuffer(r["floors"], np.int64) for r in rows])
 
 
 def _matches(vectors: DataFrame, queries: DataFrame, top: int, scale: int, block: int, query_bytes: int) -> DataFrame:
@@ -254,13 +245,12 @@ def _matches(vectors: DataFrame, queries: DataFrame, top: int, scale: int, block
     blocks = written(blocks, "vector-blocks")
     asked = clear(queries, "vec_id", "embedding").where(WHOLE).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     packs = written(asked.mapInArrow(lambda it: _packs(it, shared, scale, top, query_bytes), PACKS), "query-packs")
-    path = new_path(spark, "top-scores")
-    spark.createDataFrame([], FOUND).write.parquet(path)
-    for names in _sets(packs.select("part", "pack", (F.length("weights") + 2 * F.length("ids")).alias("size")).collect(), query_bytes):
-        one = spark.sparkContext.broadcast(_opened_packs(packs.where(F.concat_ws(":", "part", "pack").isin(names)).collect()))  # one set, of bounded size
-        blocks.mapInArrow(lambda it, one=one: _search(it, one, top), FOUND).write.mode("append").parquet(path)
-        one.destroy()
-    return spark.read.schema(FOUND).parquet(path)
+    packed = packs.agg(F.coalesce(F.sum(F.length("weights") + 2 * F.length("ids")), F.lit(0))).first()[0]
+    sets = max(1, -(-packed // query_bytes))
+    dealt = F.pmod(F.xxhash64("part", "pack"), F.lit(sets)).cast("int").alias("set")
+    asked = packs.select(dealt, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("blocks_of"), "ids", "weights", "terms", "floors")
+    held = blocks.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    return held.groupBy("blocks_of", "set").cogroup(asked.groupBy("blocks_of", "set")).applyInArrow(lambda part, queries: _met(part, queries, top), FOUND)
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, scale: int = SCALE, block: int = BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
