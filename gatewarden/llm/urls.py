@@ -85,7 +85,8 @@ HOSTS = "SELECT DISTINCT host AS domain FROM captures UNION SELECT DISTINCT rege
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = clear(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url")
     time = F.expr(f"TIMESTAMP '{START}' + make_dt_interval(cast(page_id % 365 as int), cast(page_id % 24 as int))")
-    captures = pages.select("page_id", F.expr(HOST.replace("\\", "\\\\")).alias("host"), time.alias("fetched_at"))
+    # written, as the list is made from them too: pages are read once
+    captures = written(pages.select("page_id", F.expr(HOST.replace("\\", "\\\\")).alias("host"), time.alias("fetched_at")), "captures")
     hosts = spark.sql(_entries_sql(HOSTS).replace("FROM captures", "FROM {captures}"), captures=captures)
     entries = hosts.select("domain", "category", "action", F.expr(f"TIMESTAMP '{START}' + make_dt_interval(cast(d as int))").alias("at"))
     return judged(captures, entries)
