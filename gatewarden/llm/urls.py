@@ -1,13 +1,15 @@
 """URL filters by a temporal list join.
 
 A list is a log of dated entries: a domain is added under a category, or removed. Ordered by
-date, the entries of a domain become validity intervals. Every capture is judged by the
-entries active when it was fetched: an as-of join on its host and the host's parent domains,
-where the longest active domain decides.
-
-The verdict depends on the host and the time alone, so it is found once for each distinct pair, and a
-host with a third of all captures costs no more than its distinct times. Intervals are broadcast only
-when counted and few; otherwise each is copied to some salts, over which the pairs of a hot domain spread.
+date, the entries of a domain become validity intervals, and these become turns: stretches of time, apart from each
+other, in which one interval decides. Every capture is judged by the turn that was running when it was fetched: an
+as-of join on its host and the host's parent domains, where the longest listed domain decides.
+
+The as-of join is a merge: turns and questions (distinct pairs of domain and time) of one domain and day are
+ordered by time, and each question takes the last turn before it; the turn that a day begins with comes
+from a table of one row a domain and day. So a question costs the same however many entries its domain has, and
+a domain with a third of all captures or entries is spread over its days. A host with very many captures at one
+time costs one question.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ from pyspark.sql import functions as F
 
 from gatewarden.llm.store import clear, written
 
-BROADCAST_ROWS, SALTS, START = 50_000, 16, "2024-01-01 00:00:00"
+START = "2024-01-01 00:00:00"
+DAY = "unix_seconds(cast({} as timestamp)) div 86400"
+#: The end of an interval that is still active.
+NEVER = "TIMESTAMP '9999-12-31 00:00:00'"
 HOST = r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
 
 
@@ -31,9 +36,42 @@ def intervals(entries: DataFrame) -> DataFrame:
     """
     log = clear(entries, "domain", "category", "action", "at").where("domain is not null and category is not null and at is not null and action in ('add', 'remove')")
     log = log.withColumn("domain", F.lower("domain")).dropDuplicates()
-    order = W.partitionBy("domain", "category").orderBy("at", "action")
-    spans = log.withColumn("until", F.lead("at").over(order)).where("action = 'add' and (until is null or until > at)")
-    return spans.select("domain", "category", F.col("at").alias("since"), "until")
+    log = written(log.withColumn("day", F.expr(DAY.format("at"))), "url-log")
+    # the next entry is one of the same day, or the first of the next day that has any
+    days = log.groupBy("domain", "category", "day").agg(F.min("at").alias("first"))
+    later = days.withColumn("later", F.lead("first").over(W.partitionBy("domain", "category").orderBy("day"))).drop("first")
+    order = W.partitionBy("domain", "category", "day").orderBy("at", "action")
+    spans = log.join(later, ["domain", "category", "day"]).withColumn("until", F.coalesce(F.lead("at").over(order), "later"))
+    return spans.where("action = 'add' and (until is null or until > at)").select("domain", "category", F.col("at").alias("since"), "until")
+
+
+def turns(spans: DataFrame) -> DataFrame:
+    """domain, from, until, category, since: the stretches in which an interval decides, which never overlap within a domain.
+
+    Of the intervals that are active the earliest decides, then the first by category. So one that comes later begins
+    to decide when all before it have ended, and never does if that is not before its own end.
+    """
+    spans = written(spans.withColumn("day", F.expr(DAY.format("since"))).withColumn("ends", F.expr(f"coalesce(until, {NEVER})")), "url-intervals")
+    days = spans.groupBy("domain", "day").agg(F.max("ends").alias("most"))
+    upto = W.partitionBy("domain").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    before = days.withColumn("ended", F.max("most").over(upto)).drop("most")
+    own = W.partitionBy("domain", "day").orderBy("since", "category").rowsBetween(W.unboundedPreceding, -1)
+    found = spans.join(before, ["domain", "day"]).withColumn("from", F.greatest("since", "ended", F.max("ends").over(own)))
+    return found.where("`from` < ends").select("domain", "from", "until", "category", "since")
+
+
+def running(questions: DataFrame, spells: DataFrame) -> DataFrame:
+    """domain, at, category, since for each question (domain, at, distinct) whose time falls into a turn of its domain."""
+    turn = F.struct(F.col("from"), "until", "category", "since")
+    asked = questions.join(spells.select("domain").distinct(), "domain", "left_semi").select("domain", "at", F.lit(None).cast(spells.select(turn.alias("t")).schema[0].dataType).alias("turn"))
+    began = spells.select("domain", F.col("from").cast("timestamp").alias("at"), turn.alias("turn"))
+    both = written(began.unionByName(asked).withColumn("day", F.expr(DAY.format("at"))), "url-questions")
+    days = both.groupBy("domain", "day").agg(F.max("turn").alias("last"))
+    upto = W.partitionBy("domain").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    carried = days.withColumn("carried", F.last("last", ignorenulls=True).over(upto)).drop("last")
+    order = W.partitionBy("domain", "day").orderBy("at", F.col("turn").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    latest = both.join(carried, ["domain", "day"]).withColumn("now", F.coalesce(F.last("turn", ignorenulls=True).over(order), "carried"))
+    return latest.where("turn is null and now is not null and (now.until is null or at < now.until)").select("domain", "at", "now.category", "now.since")
 
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -49,14 +87,9 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     pairs = captures.select("host", "fetched_at").where("host <> '' and fetched_at is not null").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = pairs.select("host", "fetched_at", F.explode(suffixes).alias("domain"))
-    spans = written(spans, "url-intervals")
-    if spans.count() <= BROADCAST_ROWS:
-        both = keyed.join(F.broadcast(spans), "domain")
-    else:
-        salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = keyed.withColumn("salt", F.pmod(F.xxhash64("host", "fetched_at"), F.lit(SALTS)).cast("int")).join(salted, ["domain", "salt"])
-    active = both.where("since <= fetched_at and (until is null or fetched_at < until)")
+    keyed = pairs.select("host", "fetched_at", F.col("fetched_at").cast("timestamp").alias("at"), F.explode(suffixes).alias("domain"))
+    spells = written(turns(spans), "url-turns")
+    active = keyed.join(running(keyed.select("domain", "at").distinct(), spells), ["domain", "at"])
     first = F.struct((-F.length("domain")).alias("k"), "since", "category", "domain")
     verdict = active.groupBy("host", "fetched_at").agg(F.min(first).alias("v"))
     # written, so that very many captures of one host and time can be split in the join

@@ -263,6 +263,31 @@ def test_lists_in_any_case_and_single_labels(spark):
     assert urls.judged(odd, entries).count() == 4 and urls.judged(captures.limit(0), entries).count() == 0 and urls.judged(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_as_of_merge_against_definition(spark):
+    rnd = random.Random(31)
+    domains = ["b.org", "a.b.org", "x.a.b.org", "c.net", "localhost", "hot.io", ".".join(["long" * 500, "io"])]
+    when = lambda: at(2024, 1, 1 + rnd.randrange(9), rnd.choice([0, 0, 12, 23]), 0, rnd.choice([0, 0, 59]))
+    log = [(rnd.choice(domains), rnd.choice("pqrs"), rnd.choice(["add", "add", "remove"]), when()) for _ in range(200)]
+    log += [("hot.io", rnd.choice("pqrstuv"), rnd.choice(["add", "remove"]), when()) for _ in range(300)] + log[:20] + [("c.net", "p", "keep", when()), ("c.net", None, "add", when()), (None, "p", "add", when()), ("c.net", "p", "add", None)]
+    caps = [(i, rnd.choice([*domains, "w." + rnd.choice(domains), "hot.io", "none.org", "", None]), rnd.choice([when(), when(), None])) for i in range(600)]
+    caps += caps[:5] + [(1000 + i, "hot.io", at(2024, 1, 4)) for i in range(300)]
+    entries = spark.createDataFrame(log, "domain string, category string, action string, at timestamp")
+    got = urls.judged(spark.createDataFrame(caps, "page_id long, host string, fetched_at timestamp"), entries).collect()
+    spans = []
+    known = {r for r in log if None not in r and r[2] in ("add", "remove")}
+    for d, c in {(r[0], r[1]) for r in known}:
+        own = sorted((r[3], r[2]) for r in known if r[:2] == (d, c))
+        spans += [(d, c, a, b) for (a, act), (b, _) in zip(own, [*own[1:], (at(2100, 1, 1), "")], strict=True) if act == "add" and b > a]
+
+    def deciding(host, time):
+        found = [(-len(d), a, c, d) for d, c, a, b in spans if host and time and (host == d or ("." in d and host.endswith("." + d))) and a <= time < b]
+        return (True, min(found)[3], min(found)[2], min(found)[1]) if found else (False, None, None, None)
+
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((*c, *deciding(c[1], c[2]))) for c in caps)
+    stretches = sorted((r["domain"], r["from"], r["until"] or at(2100, 1, 1)) for r in urls.turns(urls.intervals(entries)).collect())
+    assert len(stretches) > 60 and all(x[1] < x[2] and (x[0] != y[0] or x[2] <= y[1]) for x, y in zip(stretches, stretches[1:]))
+
+
 def test_weight_zero_leaves_its_share_to_others(spark, tmp_path):
     import duckdb
 
