@@ -11,8 +11,10 @@ repeated words cost no more than others.
 
 Joining: a benchmark of at most ``BROADCAST_BYTES`` of text (measured first) becomes an
 index that every task holds, and documents are read in one narrow pass. A larger one is joined
-by shuffling distinct fingerprints; only the texts of candidate items then meet the documents, in groups of
-about ``BROADCAST_BYTES``. Both judge each row by its own text and give equal results.
+by shuffling: a row's fingerprints are kept if any item has them (a semi-join), the windows that reach over what is kept are
+looked up among the distinct windows of all items, and windows that the same items have are one set. So a row meets each
+of its windows once, however many items share it, and items are named once for all rows that hit the same
+sets. Both ways judge each row by its own text and give equal results.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewarden.llm.lexing import buffer_of, prefix_hash, runs, slices, span_hash, table, window_argmin, word_spans
+from gatewarden.llm.lexing import buffer_of, mixed, prefix_hash, runs, slices, span_hash, table, window_argmin, word_spans
 from gatewarden.llm.store import clear, whole, written
 
 WINDOW, GRAM, SHARE = 13, 8, 20
@@ -181,14 +183,15 @@ def _spread(rows: int, pairs: np.ndarray, ids: list[list[str]]) -> list[set[str]
 
 
 def _rows(part: pa.RecordBatch, words: Words, hit: np.ndarray, pairs: np.ndarray, ids: list[list[str]]) -> pa.RecordBatch:
-    return _judged(part, words, np.bincount(words.row[hit], minlength=part.num_rows), _spread(part.num_rows, pairs, ids))
+    names = _spread(part.num_rows, pairs, ids)
+    return _judged(part.column("doc_id"), words, np.bincount(words.row[hit], minlength=part.num_rows), [len(x) for x in names], [_digest(x) if x else None for x in names])
 
 
-def _judged(part: pa.RecordBatch, words: Words, n_hit: np.ndarray, names: list) -> pa.RecordBatch:
+def _judged(doc_id: pa.Array, words: Words, n_hit: np.ndarray, n_items: list, digests: list) -> pa.RecordBatch:
     nothing = _digest([])
     return pa.record_batch({
-        "doc_id": part.column("doc_id").cast(pa.int64()), "n_words": pa.array(words.counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
-        "n_items": pa.array([len(x) for x in names], pa.int64()), "items_sha256": pa.array([_digest(x) if x else nothing for x in names], pa.string()),
+        "doc_id": doc_id.cast(pa.int64()), "n_words": pa.array(words.counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
+        "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array([x or nothing for x in digests], pa.string()),
         "contaminated": pa.array((n_hit > 0) & (SHARE * n_hit >= words.counts)),
     })
 
@@ -214,48 +217,86 @@ def _prints(batches: Iterator[pa.RecordBatch], lengths: list[int], window: int,
 
 
 def _item_prints(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of items: kind 0 for those of a window's length or more, else their number of words."""
     for batch in batches:
-        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for kind, (h, _) in Index([item], [text], window, gram).grams.items():
-                h = np.unique(h)
-                yield pa.record_batch({"item": pa.array(np.full(len(h), item), pa.int64()), "kind": pa.array(np.full(len(h), kind), pa.int32()), "h": pa.array(h.view(np.int64))})
+        for part in slices(batch, "text"):
+            words = Words(part.column("text"))
+            short = np.flatnonzero((words.counts > 0) & (words.counts < window))
+            own = span_hash(prefix_hash(words.hashes), words.first[short], words.first[short + 1])
+            _, h = words.winnowed(window, gram)
+            kinds = np.concatenate([np.zeros(len(h), np.int64), words.counts[short]])
+            yield pa.record_batch({"kind": pa.array(kinds, pa.int32()), "h": pa.array(np.concatenate([h, own]).view(np.int64))})
+
+
+def _places(row: np.ndarray, words: Words, starts: np.ndarray, stops: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """Windows of words as two hashes of 64 bits, of the words and of the words mixed anew."""
+    a, b = (span_hash(prefix_hash(h), starts, stops).view(np.int64) for h in (words.hashes, mixed(words.hashes)))
+    first = words.first[row]
+    return pa.record_batch({"row": pa.array(row), "kind": pa.array(kind, pa.int32()), "a": pa.array(a), "b": pa.array(b), "start": pa.array(starts - first), "stop": pa.array(stops - first)})
+
 
+def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            words = Words(part.column("text"))
+            short = np.flatnonzero((words.counts > 0) & (words.counts < window))
+            at, _ = words.grams(window)
+            starts, stops = np.concatenate([at, words.first[short]]), np.concatenate([at + window, words.first[short + 1]])
+            row = np.concatenate([words.row[at], short])
+            found = _places(row, words, starts, stops, np.concatenate([np.zeros(len(at), np.int64), words.counts[short]]))
+            yield pa.record_batch({"item_id": part.column("item_id").take(found.column("row")), **{c: found.column(c) for c in ("kind", "a", "b")}})
 
-def _marks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Spans hit (pairs of word numbers) and items, of each row with a group of its candidate items."""
+
+def _around(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The windows of each row that reach over one of its ``prints``."""
     for batch in batches:
         for i in range(batch.num_rows):
             part = batch.slice(i, 1)
-            items = part.column("items")[0].as_py()
             words = Words(part.column("text"))
-            index = Index([x["item_id"] for x in items], [x["text"] for x in items], window, gram)
-            hit, pairs = index.hits(words)
-            if hit.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                yield pa.record_batch({"w_row": part.column("w_row"), "spans": pa.array([edge], pa.list_(pa.int64())), "names": pa.array([sorted(_spread(1, pairs, index.ids)[0])], pa.list_(pa.string()))})
+            prints = part.column("prints").flatten()
+            kinds, hashes = prints.field("kind").to_numpy(), prints.field("h").to_numpy().view(np.uint64)
+            for kind in np.unique(kinds).tolist():
+                need, reach = kind or window, kind or gram
+                at, h = words.grams(kind) if kind else words.winnowed(window, gram)
+                at = at[np.isin(h, hashes[kinds == kind])]
+                starts = np.unique((at[:, None] - np.arange(need - reach + 1)).ravel())
+                starts = starts[(starts >= 0) & (starts + need <= len(words.hashes))]
+                found = _places(np.zeros(len(starts), np.int64), words, starts, starts + need, np.full(len(starts), kind))
+                row = part.column("w_row").take(found.column("row"))
+                yield pa.record_batch({"w_row": row, **{c: found.column(c) for c in ("kind", "a", "b", "start", "stop")}})
 
 
-def _numbered(rows: DataFrame, items: DataFrame, size: int, window: int, gram: int, bound: int) -> DataFrame:
-    """Rows (k_text and others) with spans and names of what they share with the benchmark, by shuffling.
+def _numbered(rows: DataFrame, items: DataFrame, window: int, gram: int, named: bool = True) -> DataFrame:
+    """Rows (k_text and others) with the spans that they share with the benchmark, by shuffling; if ``named`` with number and digest of the items.
 
     Documents may lack or repeat doc_id, so rows get a key of their own; they are written with it, as
-    it would not be the same in another run. Items are dealt to groups of about ``bound`` bytes: a row meets
-    one group of its candidates at a time, and its spans are put together.
+    it would not be the same in another run. What joins read is written first, so that a window or set which very many
+    rows have can be split. A row's spans and sets are bounded by its words.
     """
     rows = written(rows.withColumn("w_row", F.monotonically_increasing_id()), "numbered")
     texts = rows.select("w_row", F.col("k_text").alias("text"))
-    # Items of one id may have several texts, so items have numbers too.
-    items = written(items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), "text"), "items")
-    known = written(items.mapInArrow(lambda it: _item_prints(it, window, gram), "item long, kind int, h long"), "item-fingerprints")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    known = written(items.select("text").mapInArrow(lambda it: _item_prints(it, window, gram), "kind int, h long").distinct(), "item-fingerprints")
     # Lengths up to the window are few, whatever the benchmark holds.
     lengths = sorted(r[0] for r in known.select("kind").distinct().collect())
-    prints = texts.mapInArrow(lambda it: _prints(it, lengths, window, gram), "w_row long, kind int, h long")
-    pairs = prints.join(known, ["kind", "h"]).select("w_row", "item").distinct()
-    groups = max(1, -(-size // max(bound, 1 << 16)))
-    own = pairs.join(items, "item").groupBy("w_row", F.pmod(F.xxhash64("item"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    marks = texts.join(own, "w_row").select("w_row", "text", "items").mapInArrow(lambda it: _marks(it, window, gram), "w_row long, spans array<long>, names array<string>")
-    found = marks.groupBy("w_row").agg(F.collect_list("spans").alias("w_spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("w_names"))
-    return rows.join(found, "w_row", "left")
+    prints = texts.mapInArrow(lambda it: _prints(it, lengths, window, gram), "w_row long, kind int, h long").join(known, ["kind", "h"], "left_semi")
+    own = prints.groupBy("w_row").agg(F.collect_list(F.struct("kind", "h")).alias("prints"))
+    around = texts.join(own, "w_row").select("w_row", "text", "prints").mapInArrow(lambda it: _around(it, window, gram), "w_row long, kind int, a long, b long, start long, stop long")
+    key = ["kind", "a", "b"]
+    windows = written(items.mapInArrow(lambda it: _item_windows(it, window), "item_id string, kind int, a long, b long").distinct(), "item-windows")
+    same = F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64("item_id")), F.bit_xor(F.xxhash64(F.lit("set"), "item_id")))
+    sets = written(windows.groupBy(*key).agg(same.alias("set")), "window-sets")
+    hits = written(around, "windows").join(sets, key)
+    found = hits.groupBy("w_row").agg(F.collect_list(F.array("start", "stop")).alias("w_spans"), F.array_sort(F.collect_set("set")).alias("sets"))
+    if not named:
+        return rows.join(found.drop("sets"), "w_row", "left")
+    found = written(found.withColumn("alike", F.sha2(F.array_join("sets", ","), 256)), "hits")
+    one = sets.groupBy("set").agg(F.min(F.struct(*key)).alias("w")).select("set", "w.*")
+    members = windows.join(one, key).select("set", "item_id")
+    alike = found.select("alike", "sets").dropDuplicates(["alike"]).select("alike", F.explode("sets").alias("set"))
+    names = alike.join(members, "set").select("alike", "item_id").distinct().groupBy("alike")
+    names = names.agg(F.count("*").alias("w_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("w_digest"))
+    return rows.join(found.join(written(names, "names"), "alike").select("w_row", "w_spans", "w_items", "w_digest"), "w_row", "left")
 
 
 def _hits_of(part: pa.RecordBatch, words: Words) -> np.ndarray:
@@ -275,8 +316,7 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "k_text"):
             words = Words(part.column("k_text"))
-            named = pa.record_batch({"doc_id": part.column("k_doc_id")})
-            yield _judged(named, words, _hits_of(part, words), [x or [] for x in part.column("w_names").to_pylist()])
+            yield _judged(part.column("k_doc_id"), words, _hits_of(part, words), [x or 0 for x in part.column("w_items").to_pylist()], part.column("w_digest").to_pylist())
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
@@ -304,8 +344,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     if size <= broadcast_bytes:
         index = _shared(items, window, gram)
         return docs.mapInArrow(lambda it: _narrow(it, index), RESULT)
-    rows = _numbered(docs.toDF("k_doc_id", "k_text"), items, size, window, gram, broadcast_bytes)
-    return rows.select("k_doc_id", "k_text", "w_spans", "w_names").mapInArrow(_wide, RESULT)
+    rows = _numbered(docs.toDF("k_doc_id", "k_text"), items, window, gram)
+    return rows.select("k_doc_id", "k_text", "w_spans", "w_items", "w_digest").mapInArrow(_wide, RESULT)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -341,6 +381,6 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BRO
     if size <= broadcast_bytes:
         index = _shared(items, WINDOW, GRAM)
         return back(rows.mapInArrow(lambda it: _kept(it, index), rows.schema))
-    found = _numbered(rows, items, size, WINDOW, GRAM, broadcast_bytes)
+    found = _numbered(rows, items, WINDOW, GRAM, named=False)
     columns = rows.columns
     return back(found.select(*columns, "w_spans").mapInArrow(lambda it: _kept_wide(it, columns), rows.schema))

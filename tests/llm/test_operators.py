@@ -144,10 +144,7 @@ def test_contamination(spark, bound):
     found, passages = texts(5)
     docs = [*enumerate(found), (None, passages[0]), (3, passages[1]), (3, passages[1])]
     items = [*enumerate(passages), (50, passages[0].upper()), (51, "kana lox"), (52, "sazin"), (53, ""), (54, None), (55, "the " * 14)]
-    docs = [d for d in docs if bound or d[0] != 3] if not bound else docs
     df = spark.createDataFrame(items, "item_id long, text string")
-    if not bound:
-        docs = [d for d in docs if d[0] is not None]
     got = winnow.contamination(table(spark, docs), df, broadcast_bytes=bound).collect()
     assert sorted(map(tuple, got), key=repr) == brute_contamination(docs, items)
     assert winnow.contamination(table(spark, docs), df.limit(0)).where("contaminated").count() == 0
@@ -167,6 +164,18 @@ def test_both_joins_judge_each_row_by_its_own_text(spark):
         assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, clean))
 
 
+def test_shared_passages_are_named_once(spark):
+    rnd = random.Random(8)
+    common, license_line = (" ".join(rnd.choice(WORDS) for _ in range(n)) for n in (40, 14))
+    own = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randrange(50)) for _ in range(n))
+    items = [(i, f"{own(5)} {common} {own(5)}" if i % 2 else f"{license_line} {own(9)}") for i in range(120)] + [(200, "one " * 60), (201, own(3))]
+    docs = [(i, f"{own(30)} {common if i % 3 else license_line} {own(20)}") for i in range(150)] + [(500, "one " * 400), (501, items[-1][1]), (502, f"{common} {license_line} {items[3][1]}"), (503, "one " * 12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    narrow, wide = [sorted(map(tuple, winnow.contamination(table(spark, docs), bench, broadcast_bytes=b).collect()), key=repr) for b in (1 << 20, 0)]
+    assert wide == narrow == brute_contamination(docs, items)
+    assert max(r[3] for r in wide) == 120 and sum(r[3] == 60 for r in wide) == 150
+
+
 def test_top_scores(spark):
     rnd = random.Random(6)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(400)]
