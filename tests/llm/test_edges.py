@@ -1,5 +1,6 @@
 """Odd inputs for every operator and stage: clashing columns, long texts, empty tables, ties and repeated rows."""
 
+import hashlib
 import math
 import random
 import re
@@ -147,6 +148,20 @@ def test_patterns_against_the_library(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in want) for k in range(3))
 
 
+def test_digest_of_the_patterns(spark):
+    rnd = random.Random(40)
+    pieces = ["password", "TOKEN", "api_key", "apikey", ": ", "=", "'", '"', "é", "\n", "AKIA", "ABCDEFGHIJKLMNO", "0123456789abcdef", "Zx9Qp2Lm8Rt4Vb6Nc1Ds", " ", "zz-zz", "/+.", "日本"]
+    rows = [(i, "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 40)))) for i in range(400)] + [(900, None), (901, ""), (None, "0123456789abcdef"), (3, "secret=aaaaaaaaaaaa"), (3, "secret=aaaaaaaaaaaa")]
+    want = []
+    for i, text in rows:
+        found = [(m.start(), k, m.end()) for k, (_, rx, least, g) in enumerate(BASE) for m in re.finditer(rx, text or "") if m.end(g) - m.start(g) >= least]
+        joined = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in sorted(found))
+        want.append((repr(i), *[sum(x[1] == k for x in found) for k in range(3)], hashlib.sha256(joined.encode()).hexdigest()))
+    got = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((repr(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted(want) and sum(w[1] for w in want) > 50
+    assert all(sum(not x.startswith("entropy") for x in r.spans.split(",") if x) == r.n_assign + r.n_access + r.n_hex for r in got)
+
+
 def test_allowed_parts_do_not_hide_the_rest():
     key = "Zx9Qp2Lm8Rt4Vb6Nc1DsWy7"
     scan = lambda t: [x[1:] for x in secrets.spans_of(pa.record_batch({"text": pa.array([t])}))[0]]
@@ -206,6 +221,16 @@ def test_ties_go_to_the_smaller_id(spark):
     assert {(r.query_id, r.rank): r.vec_id for r in got if r.query_id == 20} == {(20, k + 1): i for k, i in enumerate([i for i in range(21) if i != 20])}
 
 
+def test_vectors_with_clashing_columns_and_great_width(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=3000)]) for i in range(60)] + [(100, None), (101, [float("nan")] * 3000), (102, [None] * 3000), (None, [1.0] * 3000), (40, [0.5] * 3000), (40, [0.5] * 3000)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    other = F.array(F.lit(9.0))
+    odd = plain.select(F.lit(-1).alias("a"), "embedding", other.alias("b"), "vec_id", F.lit("x").alias("c")).toDF("VEC_ID", "embedding", "Embedding", "vec_id", "VEC_ID")
+    one, two = [sorted(map(tuple, topk.search(d, store.clear(d, "vec_id", "embedding").where("vec_id % 20 = 0"), block=16).collect()), key=repr) for d in (plain, odd)]
+    assert one == two and len(one) >= 3 * 20 and one == sorted(set(one), key=repr)
+
+
 def test_shards_read_only_what_they_need():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 40_000, 600_000).astype(np.uint32)
