@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The names of modes as configurations give them.
 DELIMIT, MARK, ENCODE = "delimiting", "datamarking", "encoding"
 NAMES = {"delimiting": DELIMIT, "delimiter": DELIMIT, "datamarking": MARK, "datamark": MARK, "encoding": ENCODE, "base64": ENCODE}
 
