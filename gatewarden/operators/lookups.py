@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Reference tables of at most so many rows are sent to all tasks; larger ones are joined by shuffling.
-SMALL_ROWS = 100_000
+#: Reference tables of at most so many rows and bytes (as JSON) are sent to all tasks; larger ones are joined by shuffling.
+SMALL_ROWS, SMALL_BYTES = 100_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """The table marked for broadcasting, if it is counted and small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """The table marked for broadcasting, if it is counted and small: few rows, and few bytes in them."""
+    held = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("rows"), held.alias("held")).first()
+    return F.broadcast(df) if found.rows <= rows and found.held <= size else df
 
 
 def enriched(decisions: DataFrame, policy: DataFrame, rule: str = "rule") -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from gatewarden.operators import lookups
 from gatewarden.plans.catalog import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -304,3 +305,10 @@ def test_more_schema_keywords(spark):
     for schema, values in cases:
         df = spark.createDataFrame([(t,) for t in values], "t string")
         assert {r.t: r.e for r in df.select("t", schema_errors(F.parse_json("t"), schema).alias("e")).collect()} == values
+
+
+def test_only_tables_of_few_rows_and_bytes_are_broadcast(spark):
+    few = spark.range(10).selectExpr("id", "repeat('x', 1000) AS text", "array(id) AS ids", "timestamp_seconds(id) AS at")
+    sent = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert sent(lookups.small(few)) and sent(lookups.small(few.limit(0)))
+    assert not sent(lookups.small(few, rows=9)) and not sent(lookups.small(few, size=5000))
