@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewarden.llm import mixing, simhash, store, tokens, toxicity, winnow
+from gatewarden.llm import alike, mixing, store, tokens, toxicity, winnow
 
 #: Share of the tokens that reach the mixing stage which it keeps, and epochs over each source.
 MIX_SHARE, MIX_EPOCHS = (4, 5), 1
@@ -25,8 +25,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: the least id (nulls last), of equal ids the least hash. Texts without words are one group."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates stays (five-word shingles alike by 0.8 or more, by SimHash of 512 bits): the least id (nulls last), of equal ids the least hash. Texts without words are one group."""
+    return alike.one_of_each(docs)
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gatewarden.llm import lexing, mixing, secrets, simhash, store, suffixes, tokens, topk, toxicity, urls, winnow
+from gatewarden.llm import alike, lexing, mixing, secrets, simhash, store, suffixes, tokens, topk, toxicity, urls, winnow
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "té", "ru", "sa") for b in ("na", "to", "ve", "x", "zin")]
 NAMES = ["doc_id", "TEXT", "text", "DOC_ID", "lang", "LANG", "source", "Source", "c_lang", "w_row", "c0", "text"]
@@ -32,7 +32,8 @@ def clashing(spark, rows):
 
 STAGES = {
     "toxicity": lambda docs, labels, bench: toxicity.mild_rows(docs, toxicity.fit(docs, labels)),
-    "near-duplicates": lambda docs, labels, bench: simhash.one_of_each(docs),
+    "near-duplicates": lambda docs, labels, bench: alike.one_of_each(docs),
+    "near-duplicates, few bits": lambda docs, labels, bench: simhash.one_of_each(docs),
     "decontamination": lambda docs, labels, bench: winnow.clean_rows(docs, bench),
     "decontamination, large": lambda docs, labels, bench: winnow.clean_rows(docs, bench, 0),
     "mixing": lambda docs, labels, bench: mixing.mixed_rows(docs, (4, 5)),
@@ -350,7 +351,7 @@ def test_calls_in_threads_keep_their_own_tables(spark):
     rnd = random.Random(29)
     base = [prose(rnd, 60) for _ in range(6)]
     docs = spark.createDataFrame([(i, base[i % 6] + " " + prose(rnd, i % 3)) for i in range(60)], "doc_id long, text string")
-    ran = {"near": lambda: simhash.near_groups(docs), "one": lambda: simhash.one_of_each(docs), "suffixes": lambda: suffixes.without_repeats(docs)}
+    ran = {"near": lambda: simhash.near_groups(docs), "one": lambda: alike.one_of_each(docs), "suffixes": lambda: suffixes.without_repeats(docs)}
     result = lambda name: sorted(map(repr, ran[name]().collect()))
     alone = {name: result(name) for name in ran}
     names = ["near", "one", "near", "suffixes", "near"]

@@ -1,6 +1,5 @@
 """Each stage of the pipeline on its own input, and the whole."""
 
-import hashlib
 import math
 import os
 import random
@@ -10,12 +9,12 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
+from test_alike import plain_groups
 from test_operators import RX, WORDS, brute_contamination
 
 import corpus_pipeline as pipeline
-from gatewarden.llm import mixing, simhash, tokens, toxicity, winnow
+from gatewarden.llm import mixing, tokens, toxicity, winnow
 from gatewarden.llm.store import written
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,7 +30,7 @@ def test_stages(spark):
     assert [d.columns for d in after[:-1]] == [columns] * 4
     first, near, clean, mixed, out = after
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
-    assert sorted(r[0] for r in near.select("doc_id").collect()) == sorted({r.component_id for r in simhash.near_groups(first).collect()})
+    assert sorted(r[0] for r in near.select("doc_id").collect()) == sorted(d[0] for d in plain_groups([tuple(r) for r in first.select("doc_id", "text").collect()]))
     bad = {r.doc_id for r in winnow.contamination(near, bench).where("contaminated").collect()}
     assert {r[0] for r in clean.select("doc_id").collect()} == {r[0] for r in near.select("doc_id").collect()} - bad
     assert {r.doc_id for r in mixing.mixture(clean, pipeline.MIX_SHARE, pipeline.MIX_EPOCHS).collect()} == {r[0] for r in mixed.select("doc_id").collect()}
@@ -122,23 +121,6 @@ def plain_scores(spark, docs, labels):
     return [1 / (1 + math.exp(-(best[2] + best[3] * plain_statistic(t, weight, rate, best[1])))) for _, t in docs]
 
 
-def plain_groups(docs):
-    """The row that stays of each group of near-duplicates, by all pairs of fingerprints."""
-
-    def print_of(text):
-        w = (text or "").encode().lower().split()
-        hs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-    prints, group = [print_of(d[1]) for d in docs], list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            if group[i] != group[j] and (prints[i] ^ prints[j]).bit_count() <= 4:
-                group = [group[j] if g == group[i] else g for g in group]
-    order = lambda d: (d[0] is None, d[0] or 0, hashlib.sha256(f"{'' if d[0] is None else d[0]}:{d[1] or ''}".encode()).hexdigest())
-    return [min((d for d, g in zip(docs, group, strict=True) if g == k), key=order) for k in sorted(set(group))]
-
-
 def test_pipeline_against_brute_force(spark, tmp_path):
     from tokenizers import Tokenizer
 
