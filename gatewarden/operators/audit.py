@@ -87,30 +87,41 @@ def reload_status(entries: DataFrame, after: str, order: list[str], lines: int =
     return seen.agg(F.max_by("verdict", F.struct(*order)).alias("verdict"))
 
 
-#: Ranges of values that exact percentiles are sought in.
-RANGES = 64
+#: Ranges of values that exact percentiles are sought in, and distinct values of a range that are sampled for its bounds, about.
+RANGES, SAMPLED = 64, 16
+
+
+def _range_bounds(counts: DataFrame, own: list[str], ranges: int) -> DataFrame:
+    """_b by key: upper bounds of ranges with about as many distinct values each; keys with few values need not have any.
+
+    The sample is chosen by the values' hashes. It is the same whenever it is worked out and in whatever order parts of it arrive,
+    as bounds that are read twice must be; those of percentile_approx change with the order in which its parts are merged.
+    """
+    sample = ranges * SAMPLED
+    many = counts.groupBy(*own).agg(F.count("*").alias("_d")).where(F.col("_d") > sample)
+    taken = _with_key(counts, many, own).where(F.pmod(F.xxhash64("_v"), F.lit(1 << 32)) / F.lit(1 << 32) < F.lit(sample) / F.col("_d"))
+    return taken.groupBy(*own).agg(F.filter(F.sort_array(F.collect_list("_v")), lambda v, i: i % SAMPLED == SAMPLED - 1).alias("_b"))
+
+
+def _with_key(rows: DataFrame, other: DataFrame, own: list[str], how: str = "inner") -> DataFrame:
+    """Rows with what another table has for their key, which may be null; without a key, with its only row."""
+    named = other.withColumnsRenamed({n: f"{n}b" for n in own})
+    return rows.join(named, [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in own] or F.lit(True), how).drop(*[f"{n}b" for n in own])
 
 
 def rank_percentiles(rows: DataFrame, value: str, points: dict[str, float], keys: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
     """The value at floor(n p) of the ascending order (from 0), exactly; null values are left out.
 
-    Rows are counted by ranges of the value first, whose bounds are estimated; the counts tell which range holds a rank, and only
+    Rows are counted by ranges of the value first, whose bounds come from a sample; the counts tell which range holds a rank, and only
     the distinct values of those ranges are ordered, each range by itself, with their counts. A key with all rows takes no more.
     """
     keys = keys or []
     names = {k: f"_k{i}" for i, k in enumerate(keys)}
     rows = rows.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in names.items()], F.col(value).alias("_v"))
     own = list(names.values())
-    steps = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
-    bounds = rows.groupBy(*own).agg(F.percentile_approx("_v", steps, F.lit(1000)).alias("_b")).withColumn("_b", F.array_distinct("_b"))
     counts = rows.groupBy(*own, "_v").agg(F.count("*").alias("_c"))
-    if own:
-        by = bounds.select(*[F.col(n).alias(f"{n}b") for n in own], "_b")
-        counts = counts.join(by, [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in own]).drop(*[f"{n}b" for n in own])
-    else:
-        found = bounds.first()["_b"] or []  # a few bounds; none of an empty table
-        counts = counts.withColumn("_b", F.array(*map(F.lit, found)).cast(bounds.schema["_b"].dataType))
-    counts = counts.withColumn("_range", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
+    counts = _with_key(counts, _range_bounds(counts, own, ranges), own, "left")
+    counts = counts.withColumn("_range", F.coalesce(F.array_size(F.filter("_b", lambda b: b < F.col("_v"))), F.lit(0))).drop("_b")
     sizes = counts.groupBy(*own, "_range").agg(F.sum("_c").alias("_s"))
     ordered = W.partitionBy(*own).orderBy("_range")
     sizes = sizes.withColumn("_hi", F.sum("_s").over(ordered)).withColumn("_n", F.sum("_s").over(W.partitionBy(*own))).withColumn("_lo", F.col("_hi") - F.col("_s"))

@@ -252,6 +252,34 @@ def test_percentiles_by_ranges(spark):
     assert rank_percentiles(df.limit(0), "v", points).collect() in ([], [(None,) * 4])
 
 
+def test_percentiles_of_rows_in_any_order(spark):
+    """Rows that are dealt out anew whenever they are read; between machines, parts of a shuffle come in any order too."""
+    import random
+    import secrets
+
+    from gatewarden.operators.audit import rank_percentiles
+
+    def mixed(batches):
+        for b in batches:
+            yield b.assign(to=[secrets.randbelow(2**31) for _ in range(len(b))])
+
+    rnd, points = random.Random(3), {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    rows = [(k, rnd.randrange(30_000)) for k in ("a", "b", None) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, v long").mapInPandas(mixed, "k string, v long, to long").repartition(4, "to").drop("to")
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for keys in (["k"], []):
+            groups = {}
+            for k, v in rows:
+                groups.setdefault((k,) if keys else (), []).append(v)
+            want = sorted(repr((*k, *[sorted(vs)[int(len(vs) * p)] for p in points.values()])) for k, vs in groups.items())
+            for _ in range(2):
+                assert sorted(repr(tuple(r)) for r in rank_percentiles(df, "v", points, keys).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+
+
 def test_schemas_that_refer_to_themselves(spark):
     """A tree of values by a schema that comes back to itself, fifty levels deep and more; and lists by alternatives."""
     import json
